@@ -5,26 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm import bpe, chat, fingerprint, forest, langid, packing, pii, quality, secrets, toxicity
 from plumbline.session import ship, table
 
 
-def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tokenizer(name: str) -> tuple[str, str]:
     import public_tokenizers
 
-    from plumbline.llm import bpe
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(ship(spark), sf_dir, "documents")
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_documents(spark, sf_dir))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(_documents(spark, sf_dir))
+
 
-    docs = table(ship(spark), sf_dir, "documents")
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = langid.predict(docs, langid.fit(docs, usable=~langid.held_out("doc_id")))
+    return out.withColumn("held_out", langid.held_out("doc_id"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.detect(_documents(spark, sf_dir))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprint.edits(_documents(spark, sf_dir))
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), *_tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return packing.pack(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.tiktoken"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~held)
+    return toxicity.score(docs, model).withColumn("held_out", held)
 
-    from plumbline.llm import packing
 
-    docs = table(ship(spark), sf_dir, "documents")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.join(_documents(spark, sf_dir), threshold=0.8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": chat.ORACLE_SQL}
