@@ -8,7 +8,8 @@ text: a sample of the corpus whatever its labels.  With class prior p the risk i
 for the logistic loss l, so a sigmoid of g estimates P(toxic | text).  When the
 second term of a batch turns negative its gradient is reversed, which keeps the
 risk from going below zero by over-fitting.  Several linear models over the
-presence of words are trained in numpy from different seeds and averaged.
+presence of words and of word beginnings are trained in numpy from different
+seeds and averaged.
 
 Both samples are bounded: ``POSITIVES`` and ``UNLABELLED`` are the expected
 numbers of documents, picked by a hash of the id with a threshold set from the
@@ -32,13 +33,20 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import text_slices
 
-POSITIVES, UNLABELLED, FEATURES, LEAST_DOCS = 2500, 7500, 1024, 4
-EPOCHS, BATCHES, RATE, DECAY, SEEDS = 60, 8, 0.05, 3e-3, (1, 2, 3)
+POSITIVES, UNLABELLED, FEATURES, LEAST_DOCS = 2500, 7500, 512, 4
+EPOCHS, STEP_POSITIVES, RATE, DECAY, SEEDS = 250, 512, 0.05, 3e-4, (1, 2, 3)
+#: Lengths of the word beginnings that are features beside whole words.
+STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def marks(word: str) -> list[str]:
+    """A lower-case word and its beginnings, which catch inflected and compound forms."""
+    return [word, *(word[:k] + "~" for k in STEMS if len(word) > k)]
+
+
 def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    return {m for w in set(_WORD.findall(text.lower())) for m in marks(w)}
 
 
 @dataclass
@@ -58,22 +66,26 @@ def train(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int) -> tuple[np
     theta, m, v, step = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0
     theta[-1] = np.log(prior / (1 - prior))
 
-    def slope(x: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
+    def slope(x: np.ndarray, z: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
         """Mean logistic loss of sign * g and its gradient."""
-        z = sign * (x @ theta[:-1] + theta[-1])
-        d = -sign / (1 + np.exp(np.clip(z, -50, 50)))
-        return float(np.logaddexp(0, -z).mean()), np.append(d @ x, d.sum()) / len(x)
+        d = (-sign / (1 + np.exp(np.clip(sign * z, -50, 50)))).astype(np.float32)
+        return float(np.logaddexp(0, -sign * z).mean()), np.append(d @ x, d.sum()) / len(x)
 
-    for _ in range(EPOCHS):
-        for p, u in zip(np.array_split(rng.permutation(len(x_p)), BATCHES), np.array_split(rng.permutation(len(x_u)), BATCHES)):
+    decay = max(DECAY, 0.12 / len(x_p))  # a small sample is held closer to zero
+    batches = max(1, len(x_p) // STEP_POSITIVES)
+    for _ in range(EPOCHS // batches + 1):
+        for p, u in zip(np.array_split(rng.permutation(len(x_p)), batches), np.array_split(rng.permutation(len(x_u)), batches)):
             if not len(p) or not len(u):
                 continue
-            _, g_pos = slope(x_p[p], 1)
-            neg_p, g_neg_p = slope(x_p[p], -1)
-            neg_u, g_neg_u = slope(x_u[u], -1)
+            w = theta[:-1].astype(np.float32)
+            rows_p, rows_u = x_p[p], x_u[u]
+            z_p, z_u = rows_p @ w + theta[-1], rows_u @ w + theta[-1]
+            _, g_pos = slope(rows_p, z_p, 1)
+            neg_p, g_neg_p = slope(rows_p, z_p, -1)
+            neg_u, g_neg_u = slope(rows_u, z_u, -1)
             rest = g_neg_u - prior * g_neg_p
             grad = prior * g_pos + rest if neg_u - prior * neg_p >= 0 else -rest
-            grad[:-1] += DECAY * theta[:-1]
+            grad[:-1] += decay * theta[:-1]
             step += 1
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
@@ -152,7 +164,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
                 for t in texts:
                     chunks = set(t.split())
                     for c in chunks - seen:
-                        hits = [index[w] for w in _WORD.findall(c.lower()) if w in index]
+                        hits = [index[m] for w in _WORD.findall(c.lower()) for m in marks(w) if m in index]
                         if hits:
                             useful[c] = hits
                     seen |= chunks
