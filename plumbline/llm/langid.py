@@ -25,6 +25,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,22 +225,51 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
 _MODELS: dict[int, Model] = {}
 
 
-def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: id, lang_pred, score, n_spans.
+def _worker(shared) -> Model:
+    """The model of this Python worker, with its cache of words."""
+    key = hash((tuple(shared.value[0]), shared.value[1].tobytes()))
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(*shared.value)
+    return _MODELS[key]
 
-    The model is broadcast; its size is fixed by ``BUCKETS`` and the languages.
-    """
+
+def _shared(df: DataFrame, model: Model):
+    """The model as a broadcast; its size is fixed by ``BUCKETS`` and the languages."""
+    return df.sparkSession.sparkContext.broadcast((model.langs, model.table.astype(np.float32), model.scripts))
+
+
+def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: id, lang_pred, score, n_spans."""
     kind = df.schema[id_col].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast((model.langs, model.table.astype(np.float32), model.scripts))
+    shared = _shared(df, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((tuple(shared.value[0]), shared.value[1].tobytes()))
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(*shared.value)
+        m = _worker(shared)
         for batch in batches:
             for first, texts in text_slices(batch, text_col, 8_000_000):
-                lang, score, n = zip(*_MODELS[key].predict(texts))
+                lang, score, n = zip(*m.predict(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(lang), pa.array(score), pa.array(n, pa.int64())], [id_col, "lang_pred", "score", "n_spans"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, n_spans long")
+
+
+def keep(df: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose language is known with a score of ``least`` or more, all columns.
+
+    A null label becomes the predicted language.
+    """
+    shared = _shared(df, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _worker(shared)
+        for batch in batches:
+            at = batch.schema.get_field_index(lang_col)
+            for first, texts in text_slices(batch, text_col, 8_000_000):
+                found = m.predict(texts)
+                rows = batch.slice(first, len(texts))
+                lang = pc.coalesce(rows.column(at), pa.array([x[0] for x in found], rows.column(at).type))
+                rows = rows.set_column(at, batch.schema.field(at).name, lang)
+                yield rows.filter(pa.array([x[0] != "und" and x[1] >= least for x in found]))
+
+    return df.mapInArrow(run, df.schema)

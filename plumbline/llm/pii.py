@@ -132,26 +132,37 @@ def redact(text: str, spans: list[tuple]) -> str:
     return "".join([*out, text[at:]])
 
 
-def detect(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False) -> DataFrame:
+def detect(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: counts by kind, base_sha256, spans, least score.
 
-    With ``redacted`` also the text with its spans replaced (null stays null).
     Other columns of the input are ignored.
     """
     kind = df.schema[id_col].dataType.simpleString()
     names = [f"n_{k}" for k in KINDS]
-    schema = ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names), "base_sha256 string", "spans string", "least_score double", *(["redacted string"] if redacted else [])])
+    schema = ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names), "base_sha256 string", "spans string", "least_score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in text_slices(batch, text_col):
                 found = [find(t) for t in texts]
-                rows = batch.slice(first, len(texts))
                 counts = [pa.array([sum(s[0] == k for s in spans) for spans in found], pa.int64()) for k in KINDS]
                 digest = [hashlib.sha256(joined([s for s in spans if s[0] in KINDS[:BASE]]).encode()).hexdigest() for spans in found]
-                cols = [rows.column(0), *counts, pa.array(digest), pa.array(list(map(joined, found))), pa.array([min((s[3] for s in x), default=None) for x in found], pa.float64())]
-                if redacted:
-                    cols.append(pa.array([redact(t, x) if valid else None for t, x, valid in zip(texts, found, rows.column(1).is_valid().to_pylist())], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, [id_col, *names, "base_sha256", "spans", "least_score", *(["redacted"] if redacted else [])])
+                least = pa.array([min((s[3] for s in x), default=None) for x in found], pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *counts, pa.array(digest), pa.array(list(map(joined, found))), least], [id_col, *names, "base_sha256", "spans", "least_score"])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def clean(df: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """All rows and columns, with the spans of each text replaced by their kinds; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for first, texts in text_slices(batch, text_col):
+                rows = batch.slice(first, len(texts))
+                valid = rows.column(at).is_valid().to_pylist()
+                made = pa.array([redact(t, find(t)) if v else None for t, v in zip(texts, valid)], rows.column(at).type)
+                yield rows.set_column(at, text_col, made)
+
+    return df.mapInArrow(run, df.schema)

@@ -146,30 +146,54 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return Model(features, np.mean([w for w, _ in made], axis=0), float(np.mean([b for _, b in made])))
 
 
-def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", cap: int = 400_000) -> DataFrame:
+class Scorer:
+    """Scores texts, with a bounded cache of what each chunk of text holds."""
+
+    def __init__(self, model: Model, cap: int = 400_000):
+        self.model, self.cap = model, cap
+        self.index = {w: i for i, w in enumerate(model.features)}
+        self.seen: set[str] = set()
+        self.useful: dict[str, list[int]] = {}
+
+    def scores(self, texts: list[str]) -> list[float]:
+        if len(self.seen) > self.cap:
+            self.seen, self.useful = set(), {}
+        out, index, useful = [], self.index, self.useful
+        for t in texts:
+            chunks = set(t.split())
+            for c in chunks - self.seen:
+                hits = [index[m] for w in _WORD.findall(c.lower()) for m in marks(w) if m in index]
+                if hits:
+                    useful[c] = hits
+            self.seen |= chunks
+            hit = sorted({i for c in chunks & useful.keys() for i in useful[c]})
+            out.append(self.model.score(np.array(hit, np.int64)))
+        return out
+
+
+def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, score, predicted.  The model is broadcast."""
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        index = {w: i for i, w in enumerate(m.features)}
-        seen: set[str] = set()
-        useful: dict[str, list[int]] = {}
+        scorer = Scorer(shared.value)
         for batch in batches:
             for first, texts in text_slices(batch, text_col):
-                if len(seen) > cap:
-                    seen, useful = set(), {}
-                out = []
-                for t in texts:
-                    chunks = set(t.split())
-                    for c in chunks - seen:
-                        hits = [index[m] for w in _WORD.findall(c.lower()) for m in marks(w) if m in index]
-                        if hits:
-                            useful[c] = hits
-                    seen |= chunks
-                    hit = sorted({i for c in chunks & useful.keys() for i in useful[c]})
-                    out.append(m.score(np.array(hit, np.int64)))
+                out = scorer.scores(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], [id_col, "score", "predicted"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+
+
+def keep(df: DataFrame, model: Model, *, below: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below the bound, all columns."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for first, texts in text_slices(batch, text_col):
+                yield batch.slice(first, len(texts)).filter(pa.array([s < below for s in scorer.scores(texts)]))
+
+    return df.mapInArrow(run, df.schema)
