@@ -1,9 +1,392 @@
-"""Queries over the driver's tables that exercise the library's operators."""
+"""Queries over the driver's tables that exercise the library's operators.
 
+These tables hold no drawings, so each query derives a small projection (marks,
+boxes, angles, token counts) and applies an operator to it.  The same derivation
+stands in the SQL.  Marks are numbered by a full ordering of lineitem, because
+(l_orderkey, l_linenumber) is not unique.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plumbline.functions import geometry, json, num, text
+from plumbline.operators import cost, selection, sequence, spatial
+from plumbline.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+NUMBERED = """SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem"""
+#: %g of a double in DuckDB.
+G = "printf('%g', {})"
+
+
+def query(sql: str | None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sheet, ord, mark_id, value, flag) of every line item."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *ORDER, "l_quantity", "l_returnflag")
+    rows = sequence.numbered(rows, ["l_orderkey"], list(map(F.col, ORDER)), "ord")
+    return rows.select(F.col("l_orderkey").alias("sheet"), "ord", F.concat(F.lit("P"), F.col("ord").cast("string")).alias("mark_id"), F.col("l_quantity").alias("value"), F.col("l_returnflag").alias("flag"))
+
+
+def _refs(marks: DataFrame) -> DataFrame:
+    """Replies: N is included, R excluded, A not mentioned; each also asks for an absent mark."""
+    named = marks.where("flag <> 'A'").select("sheet", F.when(F.col("flag") == "N", "included").otherwise("excluded").alias("list"), F.col("ord").alias("pos"), F.col("mark_id").alias("ref"), F.lit("").alias("reason"))
+    absent = marks.groupBy("sheet").agg(F.max("ord").alias("n")).select("sheet", F.lit("included").alias("list"), (F.col("n") + 1).alias("pos"), F.concat(F.lit("P"), (F.col("n") + 1).cast("string")).alias("ref"), F.lit("").alias("reason"))
+    return named.unionAll(absent)
+
+
+@query(f"""
+WITH m AS ({NUMBERED})
+SELECT l_orderkey AS sheet, 'P' || k AS mark_id, l_quantity AS value,
+       CASE l_returnflag WHEN 'N' THEN 'included' WHEN 'R' THEN 'excluded' ELSE 'unclassified' END AS outcome FROM m
+UNION ALL SELECT l_orderkey, 'P' || (max(k) + 1), NULL, 'unresolved' FROM m GROUP BY l_orderkey
+""")
+def label_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = _marks(spark, sf_dir)
+    return selection.resolve(_refs(marks), marks.drop("flag"), ["sheet"]).select("sheet", "mark_id", "value", "outcome")
+
+
+@query(f"""
+WITH m AS ({NUMBERED})
+SELECT l_orderkey AS sheet, coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0.0) AS length_mm,
+       round_even(coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0.0) / 1000, 3) AS length_m,
+       count(*) FILTER (l_returnflag <> 'R') AS segments, count(*) FILTER (l_returnflag = 'R') AS excluded
+FROM m GROUP BY l_orderkey
+""")
+def route_length_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = _marks(spark, sf_dir)
+    rows = selection.summarize(selection.resolve(_refs(marks), marks.drop("flag"), ["sheet"]), ["sheet"])
+    return rows.select("sheet", "length_mm", "length_m", "segments", "excluded")
+
+
+@query(f"""
+WITH m AS ({NUMBERED})
+SELECT l_orderkey AS sheet,
+       coalesce(string_agg({G.format('l_quantity')}, ' + ' ORDER BY l_returnflag = 'A', k, l_quantity) FILTER (l_returnflag <> 'R'), '')
+         || ' = ' || {G.format("coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0.0)")} || ' мм' AS formula
+FROM m GROUP BY l_orderkey
+""")
+def route_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = _marks(spark, sf_dir)
+    return selection.summarize(selection.resolve(_refs(marks), marks.drop("flag"), ["sheet"]), ["sheet"]).select("sheet", "formula")
+
+
+@query(f"""
+WITH m AS ({NUMBERED}) SELECT l_orderkey AS sheet, 'P' || (max(k) + 1) AS mark_id FROM m GROUP BY l_orderkey
+""")
+def unresolved_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = _marks(spark, sf_dir)
+    return selection.resolve(_refs(marks), marks.drop("flag"), ["sheet"]).where("outcome = 'unresolved'").select("sheet", "mark_id")
+
+
+@query("""
+SELECT l_suppkey AS sheet, l_orderkey, l_linenumber, l_partkey,
+       'P' || row_number() OVER (PARTITION BY l_suppkey ORDER BY round_even(l_extendedprice / 100 * 10, 0), l_discount, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS mark_id
+FROM lineitem
+""")
+def reading_order_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    order = sequence.reading_order(F.col("l_extendedprice") / 100, F.col("l_discount"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")))
+    return sequence.numbered(rows, ["l_suppkey"], order, "mark_id", "P").select(F.col("l_suppkey").alias("sheet"), "l_orderkey", "l_linenumber", "l_partkey", "mark_id")
+
+
+@query("""
+SELECT CAST(CAST(round_even((((l_quantity * 7.5 - 180) % 180) + 180) % 180 / 30, 0) AS INT) % 6 AS INT) AS axis, count(*) AS n
+FROM lineitem GROUP BY 1
+""")
+def axis_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    angle = F.col("l_quantity") * 7.5 - 180
+    return table(spark, sf_dir, "lineitem").groupBy(geometry.axis_of(angle).alias("axis")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINES = "SELECT l_orderkey AS sheet, k AS idx, CAST(l_discount * 1000 AS DOUBLE) AS ax, CAST(l_linenumber * 2 AS DOUBLE) AS ay, l_discount * 1000 + l_quantity AS bx, CAST(l_linenumber * 2 AS DOUBLE) AS by_, l_quantity AS len FROM m"
+
+
+@query(f"""
+WITH m AS ({NUMBERED}), s AS ({_LINES}),
+p AS (SELECT a.sheet, a.idx AS big, b.idx AS small FROM s a JOIN s b ON a.sheet = b.sheet AND a.idx <> b.idx
+      WHERE a.len >= 1e-6 AND b.len <= a.len AND abs(a.ay - b.ay) >= 0.5 AND b.ax - a.ax >= -1 AND b.bx - a.ax <= a.len + 1),
+c AS (SELECT sheet, big, count(*) AS children FROM p GROUP BY 1, 2 HAVING count(*) >= 2),
+r AS (SELECT p.sheet, p.small, max(p.big) AS parent FROM p JOIN c ON p.sheet = c.sheet AND p.big = c.big GROUP BY 1, 2)
+SELECT s.sheet, s.idx, coalesce(c.children, 0) AS children, r.parent FROM s
+LEFT JOIN c ON s.sheet = c.sheet AND s.idx = c.big LEFT JOIN r ON s.sheet = r.sheet AND s.idx = r.small
+""")
+def interval_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    rows = sequence.numbered(rows, ["l_orderkey"], list(map(F.col, ORDER)), "idx")
+    x, y = F.col("l_discount") * 1000, (F.col("l_linenumber") * 2).cast("double")
+    lines = rows.select(F.col("l_orderkey").alias("sheet"), "idx", x.alias("ax"), y.alias("ay"), (x + F.col("l_quantity")).alias("bx"), y.alias("by"), F.col("l_quantity").alias("length_pt"))
+    return spatial.hierarchy(lines, ["sheet"]).select("sheet", F.col("idx").cast("long").alias("idx"), F.size("children").cast("long").alias("children"), F.col("parent").cast("long").alias("parent"))
+
+
+_BOXES = """p AS (SELECT p_partkey, p_size % 25 AS cell, p_size * 1.0 AS x0, p_retailprice % 50 AS y0, p_size + 3.0 AS x1, p_retailprice % 50 + 2.0 AS y1 FROM part),
+s AS (SELECT s_suppkey, s_nationkey AS cell, s_nationkey + 0.5 AS x0, abs(s_acctbal) % 50 AS y0, s_nationkey + 3.2 AS x1, abs(s_acctbal) % 50 + 2.0 AS y1 FROM supplier)"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    price, acct = F.col("p_retailprice") % 50, F.abs("s_acctbal") % 50
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 25).alias("cell"), F.col("p_size").cast("double").alias("x0"), price.alias("y0"), (F.col("p_size") + 3.0).alias("x1"), (price + 2.0).alias("y1"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("cell"), (F.col("s_nationkey") + 0.5).alias("x0"), acct.alias("y0"), (F.col("s_nationkey") + 3.2).alias("x1"), (acct + 2.0).alias("y1"))
+    return p, s
+
+
+@query(f"""
+WITH {_BOXES}
+SELECT p_partkey FROM p WHERE EXISTS (SELECT 1 FROM s WHERE s.cell = p.cell AND abs(round_even(p.x0, 1) - s.x0) <= 1 AND abs(round_even(p.y0, 1) - s.y0) <= 1
+  AND abs(round_even(p.x1, 1) - s.x1) <= 1 AND abs(round_even(p.y1, 1) - s.y1) <= 1)
+""")
+def band_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s = _boxes(spark, sf_dir)
+    return spatial.band_semi_join(p, s, ["cell"]).select("p_partkey")
+
+
+@query(f"""
+WITH {_BOXES}
+SELECT p.p_partkey, s.s_suppkey FROM p JOIN s ON s.cell = p.cell
+WHERE (p.x0 + p.x1) / 2 >= s.x0 AND (p.x0 + p.x1) / 2 < s.x1 AND (p.y0 + p.y1) / 2 >= s.y0 AND (p.y0 + p.y1) / 2 < s.y1
+""")
+def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s = _boxes(spark, sf_dir)
+    points = p.select("p_partkey", "cell", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"))
+    return spatial.points_in_boxes(points, s, ["cell"]).select("p_partkey", "s_suppkey")
+
+
+@query(f"""
+WITH {_BOXES}, d AS (SELECT p_partkey, s_suppkey, greatest(s.x0 - (p.x0 + p.x1) / 2, 0, (p.x0 + p.x1) / 2 - s.x1) AS dx,
+  greatest(s.y0 - (p.y0 + p.y1) / 2, 0, (p.y0 + p.y1) / 2 - s.y1) AS dy FROM p JOIN s ON p.cell = s.cell)
+SELECT p.p_partkey, (SELECT s_suppkey FROM d WHERE d.p_partkey = p.p_partkey AND dx * dx + dy * dy <= 25 ORDER BY dx * dx + dy * dy, s_suppkey LIMIT 1) AS s_suppkey FROM p
+""")
+def nearest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s = _boxes(spark, sf_dir)
+    points = p.select("p_partkey", "cell", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"))
+    away = geometry.dist_point_box(points["px"], points["py"], *[s[c] for c in spatial.BOX])
+    return spatial.nearest(points, s, ["cell"], "p_partkey", away, F.lit(5.0), s["s_suppkey"]).select("p_partkey", "s_suppkey")
+
+
+@query(f"""
+WITH {_BOXES}
+SELECT p_partkey FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.cell = p.cell
+  AND s.x0 + 0.3 < (p.x0 + p.x1) / 2 AND (p.x0 + p.x1) / 2 < s.x1 - 0.3 AND s.y0 + 0.3 < (p.y0 + p.y1) / 2 AND (p.y0 + p.y1) / 2 < s.y1 - 0.3
+  AND p.x0 >= s.x0 - 1.2 AND p.y0 >= s.y0 - 1.2 AND p.x1 <= s.x1 + 1.2 AND p.y1 <= s.y1 + 1.2)
+""")
+def number_in_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s = _boxes(spark, sf_dir)
+    return spatial.contained_anti_join(p, s, ["cell"], F.lit(1.2), F.lit(0.3)).select("p_partkey")
+
+
+@query("""
+SELECT c_nationkey AS sheet, list_sort(list(c_acctbal))[len(list(c_acctbal)) // 2 + 1] AS scale, count(*) AS n FROM customer GROUP BY 1
+""")
+def upper_median_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("sheet")).agg(num.upper_median(F.collect_list("c_acctbal")).alias("scale"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT l_suppkey AS sheet, width, n FROM (SELECT l_suppkey, l_quantity AS width, count(*) AS n,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_quantity) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1
+""")
+def mode_with_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), "l_quantity")
+    return sequence.mode(rows, ["sheet"], F.bround("l_quantity", 2), "width")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS c FROM events)
+SELECT event_id, user_id FROM e WHERE c <= 3 OR r IN (0, CAST(floor(c / 3.0) AS BIGINT), CAST(floor(2 * c / 3.0) AS BIGINT))
+""")
+def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.systematic_sample(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")], 3).select("event_id", "user_id")
+
+
+@query("""
+SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1
+""")
+def keep_first_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.keep_first(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@query("""
+SELECT user_id, event_type, min(event_id) AS position, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2
+""")
+def last_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("position"), "value")
+    return sequence.last_wins(rows, ["user_id", "event_type"], "position").select("user_id", "event_type", "position", "value")
+
+
+@query("""
+WITH t AS (SELECT doc_id, split_part(text, ' ', 1) || ' ' || (n_chars % 90) AS s FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(s, '^[XYZxyz] ?[0-9]+') THEN 'coordinate' WHEN regexp_matches(s, '^[ОOoККk] ?[0-9]+') THEN 'support'
+  WHEN regexp_matches(s, '^[Dd][Nn] ?[0-9]') THEN 'spec' WHEN regexp_matches(s, '^[SsWw]{1,2}[_-]?[0-9]') THEN 'title' WHEN regexp_matches(s, '^[Nn]$') THEN 'other'
+  WHEN regexp_matches(s, '^[ОOo]\\.? ?[А-Яа-яA-Za-z]') THEN 'other' WHEN regexp_matches(s, '^[0-9]+ *[mM][mM]([^A-Za-zÀ-ÿ0-9_]|$)') THEN 'spec' END AS role
+FROM t
+""")
+def role_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" "), (F.col("n_chars") % 90).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.role_of_text(words).alias("role"))
+
+
+@query("""
+SELECT p_partkey, lower(trim(regexp_replace(replace(upper(p_name) || chr(160) || '  ' || p_brand, chr(160), ' '), '\\s+', ' ', 'g'))) AS key FROM part
+""")
+def norm_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.concat(F.upper("p_name"), F.lit("   "), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.norm_key(written).alias("key"))
+
+
+@query("""SELECT event_id, 'P' || json_extract_string(props, '$.k') AS ref FROM events""")
+def json_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.replace(F.col("props"), F.lit('"k"'), F.lit('"index"'))
+    return table(spark, sf_dir, "events").select("event_id", json.reference(F.try_parse_json(entry)).alias("ref"))
+
+
+_CALLS = """c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_linenumber % 4 AS m, l_partkey * 10 AS prompt, l_suppkey * 3 AS completion,
+  CAST(l_quantity AS BIGINT) * 2 AS reasoning, l_partkey * CAST(l_linenumber AS BIGINT) AS cache_write, l_partkey * 3 AS cache_read FROM lineitem),
+t AS (SELECT c.*, least(reasoning, completion) AS r, least(cache_write, prompt) AS w FROM c),
+u AS (SELECT t.*, least(cache_read, greatest(prompt - w, 0)) AS rd FROM t),
+x AS (SELECT u.*, greatest(prompt - w - rd, 0) AS plain, completion - r AS visible FROM u)"""
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = lambda c: F.col(c).cast("bigint")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.concat(F.lit("m"), (F.col("l_linenumber") % 4).cast("string")).alias("model"), (q("l_partkey") * 10).alias("prompt"), (q("l_suppkey") * 3).alias("completion"),
+        (q("l_quantity") * 2).alias("reasoning"), (q("l_partkey") * q("l_linenumber")).alias("cache_write"), (q("l_partkey") * 3).alias("cache_read"),
+    )
+
+
+def _tariffs(spark: SparkSession, default: bool) -> DataFrame:
+    rows = [("m0", 10.0, 50.0, 50.0, 12.5, 1.25), ("m1", 2.0, 8.0, 0.0, 0.0, 1.0)] + [("default", 1.0, 4.0, 3.0, 0.0, 0.0)] * default
+    return spark.createDataFrame(rows, "model string, input double, output double, reasoning double, cache_write double, cache_read double")
+
+
+@query(f"""
+WITH {_CALLS}
+SELECT 'm' || m AS model, count(*) AS calls, CAST(sum(plain) AS BIGINT) AS plain, CAST(sum(visible) AS BIGINT) AS visible, CAST(sum(r) AS BIGINT) AS reasoning, CAST(sum(w) AS BIGINT) AS cache_write, CAST(sum(rd) AS BIGINT) AS cache_read,
+  round(sum(plain) / 1e6 * (CASE m WHEN 0 THEN 10.0 WHEN 1 THEN 2.0 ELSE 0.0 END), 4) AS input_cost, round(sum(r) / 1e6 * (CASE m WHEN 0 THEN 50.0 WHEN 1 THEN 8.0 ELSE 0.0 END), 4) AS reasoning_cost
+FROM x GROUP BY m
+""")
+def llm_cost_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cost.costs(_calls(spark, sf_dir), _tariffs(spark, False))
+    sums = {"plain": "plain", "visible": "visible", "billed_reasoning": "reasoning", "billed_write": "cache_write", "billed_read": "cache_read"}
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), *[F.sum(c).alias(n) for c, n in sums.items()], F.round(F.sum("input_cost"), 4).alias("input_cost"), F.round(F.sum("reasoning_cost"), 4).alias("reasoning_cost"))
+
+
+@query(f"""
+WITH {_CALLS}
+SELECT 'm' || m AS model, CASE WHEN m < 2 THEN 'model' ELSE 'default' END AS price_source, CASE m WHEN 0 THEN 50.0 WHEN 1 THEN 8.0 ELSE 3.0 END::DOUBLE AS price_reasoning, count(*) AS n
+FROM x GROUP BY m
+""")
+def pricing_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cost.with_pricing(_calls(spark, sf_dir), _tariffs(spark, True))
+    return rows.groupBy("model", "price_source", "price_reasoning").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ERRORS = ("Error 429: Concurrent request limit reached for this API key", "invalid API key", "response_format is not supported", "connection reset by peer", "model not found", "odd")
+
+
+@query(f"""
+WITH e AS (SELECT event_id, list_value({', '.join(f"'{x}'" for x in _ERRORS)})[event_id % 6 + 1] || ' ' || event_type AS s FROM events)
+SELECT event_id, CASE WHEN contains(lower(s), '429') OR contains(lower(s), 'connection reset') THEN 'retryable' WHEN contains(lower(s), 'api key') OR contains(lower(s), 'model not found') THEN 'fatal'
+  WHEN contains(lower(s), 'response_format') THEN 'no_schema' ELSE 'other' END AS class FROM e
+""")
+def retry_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    message = F.concat(F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 6 + 1).cast("int")), F.lit(" "), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", text.error_class(message).alias("class"))
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS v, row_number() OVER (PARTITION BY l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
+b AS (SELECT p_partkey, p_size * 1.0 AS v, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_size) AS c FROM part)
+SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, b.p_partkey, coalesce(a.k > s.c, FALSE) AS duplicated FROM a
+LEFT JOIN (SELECT v, max(c) AS c FROM b GROUP BY v) s ON s.v = a.v LEFT JOIN b ON b.v = a.v AND b.k = CASE WHEN a.k > s.c THEN 1 ELSE a.k END
+""")
+def nth_occurrence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("v"))
+    pool = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("v"))
+    found = sequence.nth_match(asked, pool, ["v"], list(map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))), [F.col("p_partkey")])
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "p_partkey", "duplicated")
+
+
+@query("""
+SELECT v, 'extra' AS side FROM (SELECT l_quantity AS v FROM lineitem WHERE l_returnflag = 'N' EXCEPT ALL SELECT l_quantity FROM lineitem WHERE l_returnflag = 'R')
+UNION ALL SELECT v, 'missing' FROM (SELECT l_quantity AS v FROM lineitem WHERE l_returnflag = 'R' EXCEPT ALL SELECT l_quantity FROM lineitem WHERE l_returnflag = 'N')
+""")
+def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    side = lambda f: rows.where(F.col("l_returnflag") == f).select(F.col("l_quantity").alias("v"))
+    return sequence.multiset_diff(side("N"), side("R"))
+
+
+@query(f"""SELECT p_partkey, {G.format('p_retailprice')} AS a, {G.format('p_retailprice * 1000')} AS b, {G.format('p_retailprice / 1e8')} AS c FROM part""")
+def number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("p_retailprice")
+    return table(spark, sf_dir, "part").select("p_partkey", num.fmt_g(x).alias("a"), num.fmt_g(x * 1000).alias("b"), num.fmt_g(x / 1e8).alias("c"))
+
+
+@query("""
+SELECT o_orderkey, TRY_CAST(replace(replace(ltrim(CASE o_orderkey % 3 WHEN 0 THEN '< ' WHEN 1 THEN '>' ELSE '' END || o_totalprice, '<>'), ',', '.'), ' ', '') AS DOUBLE) AS value,
+  regexp_matches(CASE o_orderkey % 3 WHEN 0 THEN '< ' WHEN 1 THEN '>' ELSE '' END || CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR), '^[<>]?\\s*[0-9]+([.,][0-9]+)?$') AS is_label FROM orders
+""")
+def number_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sign = F.when(F.col("o_orderkey") % 3 == 0, "< ").when(F.col("o_orderkey") % 3 == 1, ">").otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", num.number_value(F.concat(sign, F.col("o_totalprice").cast("string"))).alias("value"), num.is_number_label(F.concat(sign, F.round("o_totalprice", 0).cast("bigint").cast("string"))).alias("is_label"))
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'A-' || o_orderkey WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS VARCHAR) END AS sheet, o_custkey FROM orders)
+SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN TRY_CAST(sheet AS DOUBLE) IS NOT NULL THEN 0 WHEN sheet IS NOT NULL THEN 1 ELSE 2 END, TRY_CAST(sheet AS DOUBLE) NULLS FIRST, o_orderkey) - 1 AS pos FROM t ORDER BY pos LIMIT 100
+""")
+def sheet_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred report rows in sheet order (a top-k report)."""
+    sheet = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("A-"), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 50).cast("string"))
+    first = table(spark, sf_dir, "orders").select("o_orderkey", sheet.alias("sheet")).orderBy(*sequence.sheet_order(F.col("sheet"), F.col("o_orderkey"))).limit(100)
+    pos = F.row_number().over(Window.orderBy(*sequence.sheet_order(F.col("sheet"), F.col("o_orderkey")))) - 1  # one hundred rows
+    return first.select("o_orderkey", pos.cast("long").alias("pos"))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS px, l_discount * 500 AS py, l_tax * 300 AS ax, 5.0 AS ay, l_quantity + 3 AS bx, 25.0 AS by_ FROM lineitem),
+f AS (SELECT *, least(1.0, greatest(0.0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM t)
+SELECT CAST(floor(sqrt((px - ax - t * (bx - ax)) ** 2 + (py - ay - t * (by_ - ay)) ** 2) / 5 + 0.0001) AS BIGINT) AS ring, count(*) AS n, round(sum(t), 3) AS along FROM f GROUP BY 1
+""")
+def segment_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity")
+    s = [q, F.col("l_discount") * 500, F.col("l_tax") * 300, F.lit(5.0), q + 3, F.lit(25.0)]
+    ring = F.floor(geometry.dist_point_segment(*s) / 5 + 0.0001)
+    return table(spark, sf_dir, "lineitem").groupBy(ring.alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(geometry.fraction(*s)), 3).alias("along"))
+
+
+@query("""
+SELECT o_orderstatus AS experiment, count(*) AS pages, count(*) FILTER (o_orderkey % 11 = 0) AS pages_failed, round(sum(o_totalprice) / count(*), 2) AS elapsed_per_page, count(DISTINCT o_custkey) AS lists,
+  min(o_orderdate) AS first_at, max(o_orderdate) AS last_at FROM orders GROUP BY 1
+""")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders")
+    return rows.groupBy(F.col("o_orderstatus").alias("experiment")).agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("o_orderkey") % 11 == 0).alias("pages_failed"), F.round(num.safe_share(F.sum("o_totalprice"), F.count(F.lit(1))), 2).alias("elapsed_per_page"),
+        F.countDistinct("o_custkey").alias("lists"), F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"),
+    )
