@@ -12,8 +12,13 @@ def half_even(x: Column, digits: int = 0) -> Column:
 
 
 def fmt_g(x: Column) -> Column:
-    """Six significant digits as C's %g writes them: 5563, 0.25, 1.23457e+06."""
+    """Six significant digits as C's %g writes them: 5563, 0.25, 1.23457e+06.
+
+    Ties of the shortest decimal form go to the even digit.
+    """
     x = x.cast("double")
+    size = F.substring_index(F.format_string("%.5e", x), "e", -1).try_cast("int")
+    x = F.coalesce(*[F.when(size == e, F.bround(x, 5 - e)) for e in range(-8, 16)], x)
     scientific = F.format_string("%.5e", x)
     exponent = F.substring_index(scientific, "e", -1).try_cast("int")
     # Fixed notation: all digits that %g keeps after the point, then no trailing zeros.

@@ -62,9 +62,10 @@ def sheet_scale(sheets: DataFrame, spans: DataFrame, auto: bool = True, least: f
     out = sheets.join(sizes, SHEET, "left")
     by_text = F.coalesce(F.size("sizes") >= LEAST_SIZES, F.lit(False)) if auto else F.lit(False)
     raw = F.when(by_text, num.upper_median(F.col("sizes")) / REF_TEXT_SIZE).otherwise(F.least("width_pt", "height_pt") / REF_SIDE if auto else F.lit(1.0))
-    source = F.when(by_text, "text").otherwise("side" if auto else "fixed")
+    source = F.when(by_text, F.lit("text")).otherwise(F.lit("side" if auto else "fixed"))
     clamped = (raw < least) | (raw > most)
-    return out.drop("sizes").withColumn("scale", F.greatest(F.least(raw, F.lit(most)), F.lit(least))).withColumn("scale_source", F.when(clamped, F.concat(source, F.lit("+clamped"))).otherwise(source))
+    source = F.when(clamped, F.concat(source, F.lit("+clamped"))).otherwise(source)
+    return out.select(*sheets.columns, F.greatest(F.least(raw, F.lit(most)), F.lit(least)).alias("scale"), source.alias("scale_source"))
 
 
 def scaled_limits(scale: Column, limits: Limits) -> list[Column]:
@@ -117,7 +118,7 @@ def stroke_width(segments: DataFrame, tips: DataFrame, limits: DataFrame) -> Dat
     """The commonest width of strokes with arrows at both ends; the thinnest of equals."""
     long = segments.where(~F.col("filled")).join(limits.select(*SHEET, "min_length", "arrow_gap"), SHEET).where(G.dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) >= F.col("min_length"))
     long = long.withColumn("seg", F.concat_ws(":", "path_id", "ord"))
-    spans = spatial.tips_at_ends(long, tips, SHEET, "seg", long["arrow_gap"]).where("at_a and at_b and only_a and only_b")
+    spans = spatial.tips_at_ends(long, tips, SHEET, "seg", F.col("arrow_gap")).where("at_a and at_b and only_a and only_b")
     return sequence.mode(spans, SHEET, F.bround("stroke_width", 2), "width")
 
 
@@ -207,7 +208,7 @@ def detect(sheets: DataFrame, paths: DataFrame, words: DataFrame, spans: DataFra
 
     thin = open_.join(lim.select(*SHEET, "width", "width_tol", "min_length", "leader_min_length", "arrow_gap"), SHEET).where(F.abs(F.col("stroke_width") - F.col("width")) <= F.col("width_tol"))
     thin = thin.withColumn("length_pt", G.dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).withColumn("seg", F.concat_ws(":", "path_id", "ord"))
-    ended = spatial.tips_at_ends(thin, tips, SHEET, "seg", thin["arrow_gap"])
+    ended = spatial.tips_at_ends(thin, tips, SHEET, "seg", F.col("arrow_gap"))
     drawn = Window.partitionBy(*SHEET).orderBy("path_id", "ord")
     spans_ = ended.where("length_pt >= min_length and at_a and at_b and only_a and only_b").withColumn("n", F.row_number().over(drawn))
     leaders = ended.where("length_pt >= leader_min_length and at_a <> at_b").withColumn("n", F.row_number().over(drawn))

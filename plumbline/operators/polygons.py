@@ -134,9 +134,11 @@ def bounds(segments: DataFrame, by: list[str]) -> DataFrame:
 
 def closed_loops(segments: DataFrame, by: list[str]) -> DataFrame:
     """Paths whose strokes as a whole are one closed loop, by corner degrees."""
-    ends = segments.select(*by, F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p"))
-    degree = ends.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("d")).groupBy(*by).agg((F.min("d") == 2).alias("lo"), (F.max("d") == 2).alias("hi"), (F.sum("d") / 2).cast("int").alias("n"))
-    return degree.where("lo and hi and n >= 3").select(*by)
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ends = segments.select(*by, F.explode(F.array(corner("ax", "ay"), corner("bx", "by"))).alias("__c"))
+    degree = ends.groupBy(*by, "__c").agg(F.count(F.lit(1)).alias("__d"))
+    loops = degree.groupBy(*by).agg(F.min("__d").alias("__lo"), F.max("__d").alias("__hi"), (F.sum("__d") / 2).alias("__n"))
+    return loops.where("__lo = 2 and __hi = 2 and __n >= 3").select(*by)
 
 
 def triangle_tips(segments: DataFrame, by: list[str], most_area: str = "arrow_max_area") -> DataFrame:

@@ -41,9 +41,17 @@ def references(responses: DataFrame, by: list[str], column: str = "response") ->
     return parts[0].unionAll(parts[1]).select(*by, "list", "pos", json.reference(F.col("e")).alias("ref"), json.reason(F.col("e")).alias("reason")).where("ref is not null")
 
 
-def resolve(refs: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
+def answered(responses: DataFrame, by: list[str], column: str = "response") -> DataFrame:
+    """Sheets whose reply has a list of included marks, be it empty."""
+    return responses.where(json.first_list(F.col(column), json.INCLUDED).isNotNull()).select(*by).distinct()
+
+
+def resolve(refs: DataFrame, marks: DataFrame, by: list[str], sheets: DataFrame | None = None) -> DataFrame:
     """Marks and references with their outcome, a row for each.
 
+    ``sheets`` are those with an answer about marks (``answered``); by default those
+    with a reference.  Sheets without marks are left to other readings of a reply.
+
     ``marks`` has mark_id, value and ord (order on the sheet).  ``outcome``:
     included (a mark named, once however often), unclassified (a mark that no list
     names: it counts too), excluded (named there; it still counts if it is also
@@ -53,9 +61,9 @@ def resolve(refs: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
         F.min(F.when(F.col("list") == "included", F.col("pos"))).alias("inc"), F.min(F.when(F.col("list") == "excluded", F.col("pos"))).alias("exc"),
         F.min_by(F.when(F.col("list") == "excluded", F.col("reason")), F.when(F.col("list") == "excluded", F.col("pos"))).alias("reason"),
     )
-    answered = refs.select(*by).distinct()
-    known = marks.join(answered, by, "left_semi").withColumnRenamed("mark_id", "ref").withColumn("known", F.lit(True))
-    both = known.join(named, [*by, "ref"], "full_outer")
+    sheets = refs.select(*by).distinct() if sheets is None else sheets
+    known = marks.join(sheets, by, "left_semi").withColumnRenamed("mark_id", "ref").withColumn("known", F.lit(True))
+    both = known.join(named.join(marks.select(*by).distinct(), by, "left_semi"), [*by, "ref"], "full_outer")
     outcome = (
         F.when(F.col("known").isNull(), "unresolved")
         .when(F.col("inc").isNotNull(), "included")
@@ -99,7 +107,8 @@ def report(responses: DataFrame, marks: DataFrame, by: list[str], column: str =
     above 1 mm becomes the status.  Every sheet gives one row.
     """
     v = F.col(column)
-    bymark = summarize(resolve(references(responses.where("error is null"), by, column), marks, by), by)
+    good = responses.where("error is null")
+    bymark = summarize(resolve(references(good, by, column), marks, by, answered(good, by, column)), by)
     bymark = bymark.select(*by, F.struct("length_mm", "segments", "excluded", "unresolved", "formula").alias("m"))
     branches = F.filter(json.first_list(v, BRANCH_LISTS), lambda b: json.kind_of(b) == "OBJECT")
     roots = F.filter(F.transform(branches, lambda b: json.first_number(b, PARENT_LENGTHS, strict=True)), lambda x: x.isNotNull())

@@ -16,39 +16,60 @@ from plumbline.functions import geometry as G
 BOX = ("x0", "y0", "x1", "y1")
 
 
-def _on(left: DataFrame, right: DataFrame, by: list[str], residual: Column) -> Column:
-    condition = residual
+def aside(df: DataFrame) -> DataFrame:
+    """All columns with the prefix ``r_``: the right side of a join by place."""
+    return df.select(*[F.col(c).alias(f"r_{c}") for c in df.columns])
+
+
+def right(columns: tuple[str, ...] | list[str] = BOX) -> list[Column]:
+    return [F.col(f"r_{c}") for c in columns]
+
+
+def left(columns: tuple[str, ...] | list[str] = BOX) -> list[Column]:
+    return [F.col(c) for c in columns]
+
+
+def _on(by: list[str], residual: Column) -> Column:
     for c in by:
-        condition = condition & (left[c] == right[c])
-    return condition
+        residual = residual & (F.col(c) == F.col(f"r_{c}"))
+    return residual
 
 
-def band_semi_join(left: DataFrame, right: DataFrame, by: list[str], slack: float = 1.0, anti: bool = False) -> DataFrame:
-    """Boxes of left (rounded to tenths) with a box of right within the slack on each side."""
+def band_semi_join(boxes: DataFrame, others: DataFrame, by: list[str], slack: float = 1.0, anti: bool = False) -> DataFrame:
+    """Boxes (rounded to tenths) with another one within the slack on each side."""
     near = F.lit(True)
     for c in BOX:
-        near = near & (F.abs(F.bround(left[c], 1) - right[c]) <= slack)
-    return left.join(right, _on(left, right, by, near), "left_anti" if anti else "left_semi")
+        near = near & (F.abs(F.bround(F.col(c), 1) - F.col(f"r_{c}")) <= slack)
+    return boxes.join(aside(others), _on(by, near), "left_anti" if anti else "left_semi")
 
 
 def contained_anti_join(boxes: DataFrame, frames: DataFrame, by: list[str], overshoot: Column, margin: Column) -> DataFrame:
     """Boxes that no frame is drawn around."""
-    wraps = G.wraps([frames[c] for c in BOX], [boxes[c] for c in BOX], overshoot, margin)
-    return boxes.join(frames, _on(boxes, frames, by, wraps), "left_anti")
+    return boxes.join(aside(frames), _on(by, G.wraps(right(), left(), overshoot, margin)), "left_anti")
+
+
+def holds(frame: list[Column], box: list[Column]) -> Column:
+    """The box lies in the frame."""
+    return (box[0] >= frame[0]) & (box[1] >= frame[1]) & (box[2] <= frame[2]) & (box[3] <= frame[3])
 
 
 def first_containing(boxes: DataFrame, frames: DataFrame, by: list[str], box_id: str, frame_id: str, grow: float = 1.0) -> DataFrame:
     """Each box with the first frame, grown a little, that holds it; null if none."""
-    f = G.grow([frames[c] for c in BOX], grow)
-    holds = (boxes["x0"] >= f[0]) & (boxes["y0"] >= f[1]) & (boxes["x1"] <= f[2]) & (boxes["y1"] <= f[3])
-    found = boxes.join(frames, _on(boxes, frames, by, holds)).groupBy(*[boxes[c] for c in by], boxes[box_id]).agg(F.min(frames[frame_id]).alias(frame_id))
+    pairs = boxes.join(aside(frames), _on(by, holds(G.grow(right(), grow), left())))
+    found = pairs.groupBy(*by, box_id).agg(F.min(f"r_{frame_id}").alias(frame_id))
     return boxes.join(found, [*by, box_id], "left")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
     """Pairs of a point (px, py) and a half-open box that holds it."""
-    inside = (points["px"] >= boxes["x0"]) & (points["px"] < boxes["x1"]) & (points["py"] >= boxes["y0"]) & (points["py"] < boxes["y1"])
-    return points.join(boxes, _on(points, boxes, by, inside)).drop(*[boxes[c] for c in by])
+    px, py, (x0, y0, x1, y1) = F.col("px"), F.col("py"), right()
+    pairs = points.join(aside(boxes), _on(by, (px >= x0) & (px < x1) & (py >= y0) & (py < y1)))
+    return _merged(pairs, points, boxes)
+
+
+def _merged(pairs: DataFrame, a: DataFrame, b: DataFrame, *more: Column) -> DataFrame:
+    """The left columns, and the right ones that have other names."""
+    return pairs.select(*a.columns, *[F.col(f"r_{c}").alias(c) for c in b.columns if c not in a.columns], *more)
 
 
 def grid_join(points: DataFrame, boxes: DataFrame, by: list[str], cell: float) -> DataFrame:
@@ -69,18 +90,23 @@ def tips_at_ends(segments: DataFrame, tips: DataFrame, by: list[str], segment_id
     ``at_a`` and ``at_b``: a tip touches that end; ``only_a`` and ``only_b``: a tip
     touches that end and not the other one.
     """
-    to_a = F.hypot(tips["x"] - segments["ax"], tips["y"] - segments["ay"]) <= gap
-    to_b = F.hypot(tips["x"] - segments["bx"], tips["y"] - segments["by"]) <= gap
-    pairs = segments.join(tips, _on(segments, tips, by, to_a | to_b)).select(*[segments[c] for c in [*by, segment_id]], to_a.alias("a"), to_b.alias("b"))
+    to_a = F.hypot(F.col("r_x") - F.col("ax"), F.col("r_y") - F.col("ay")) <= gap
+    to_b = F.hypot(F.col("r_x") - F.col("bx"), F.col("r_y") - F.col("by")) <= gap
+    pairs = segments.join(aside(tips), _on(by, to_a | to_b)).select(*by, segment_id, to_a.alias("a"), to_b.alias("b"))
     found = pairs.groupBy(*by, segment_id).agg(F.bool_or("a").alias("at_a"), F.bool_or("b").alias("at_b"), F.bool_or(F.expr("a and not b")).alias("only_a"), F.bool_or(F.expr("b and not a")).alias("only_b"))
     return segments.join(found, [*by, segment_id], "left").fillna(False, ["at_a", "at_b", "only_a", "only_b"])
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], left_id: str, distance: Column, most: Column, order: Column) -> DataFrame:
-    """The nearest right row of each left row within a distance; ties go by ``order``."""
-    pairs = left.join(right, _on(left, right, by, distance <= most), "left")
-    first = Window.partitionBy(*[left[c] for c in by], left[left_id]).orderBy(distance.asc_nulls_last(), order)
-    return pairs.withColumn("distance", distance).withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r", *[right[c] for c in by])
+def nearest(items: DataFrame, others: DataFrame, by: list[str], item_id: str, distance: Column, most: float, order: str) -> DataFrame:
+    """The nearest other row of each item within a distance; ties go by the other's ``order``.
+
+    ``distance`` is an expression over the item's columns and, with the prefix
+    ``r_``, the other's.
+    """
+    pairs = items.join(aside(others), _on(by, distance <= most), "left").withColumn("distance", distance)
+    first = Window.partitionBy(*by, item_id).orderBy(F.col("distance").asc_nulls_last(), f"r_{order}")
+    kept = pairs.withColumn("__r", F.row_number().over(first)).where("__r = 1")
+    return _merged(kept, items, others, F.col("distance"))
 
 
 def spans_over(big: dict[str, Column], small: dict[str, Column]) -> Column:

@@ -183,8 +183,8 @@ SELECT p.p_partkey, (SELECT s_suppkey FROM d WHERE d.p_partkey = p.p_partkey AND
 def nearest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = _boxes(spark, sf_dir)
     points = p.select("p_partkey", "cell", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"))
-    away = geometry.dist_point_box(points["px"], points["py"], *[s[c] for c in spatial.BOX])
-    return spatial.nearest(points, s, ["cell"], "p_partkey", away, F.lit(5.0), s["s_suppkey"]).select("p_partkey", "s_suppkey")
+    away = geometry.dist_point_box(F.col("px"), F.col("py"), *spatial.right())
+    return spatial.nearest(points, s, ["cell"], "p_partkey", away, 5.0, "s_suppkey").select("p_partkey", "s_suppkey")
 
 
 @query(f"""
