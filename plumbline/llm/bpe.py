@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from plumbline.llm import vec
+
 INF = 1 << 50
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 
@@ -247,14 +249,9 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_LOADED: dict[tuple[str, str], ByteBPE] = {}
-
-
 def loaded(path: str, pattern: str) -> ByteBPE:
     """One encoder for each Python worker."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBPE(read_ranks(path), pattern)
-    return _LOADED[path, pattern]
+    return vec.worker_slot(("bpe", path, pattern), lambda: ByteBPE(read_ranks(path), pattern))
 
 
 def text_slices(batch: pa.RecordBatch, text: str, limit: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:

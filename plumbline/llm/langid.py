@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import vec
 from plumbline.llm.bpe import text_slices
 
 #: Labelled documents for each language in the sample (expected number).
@@ -47,13 +47,21 @@ _OF_EDGE = np.array([_NAMES.index(s) for _, s in SCRIPTS])
 _LATIN = _NAMES.index("latin")
 
 
-def grams(word: str) -> list[int]:
-    """Hashed n-grams of a lower-case word with its borders."""
-    w = f" {word} "
-    out = [crc32(c.encode("utf-8", "replace")) for c in word]
-    for n in (2, 3):
-        out += [crc32(w[i : i + n].encode("utf-8", "replace")) for i in range(len(w) - n + 1)]
-    return [g % BUCKETS for g in out]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of non-empty lower-case words.
+
+    The words stand in one array of code points with one border between them, so
+    position p begins one n-gram of each length.  Gives buckets (3 x positions), the
+    mask of real n-grams (letters alone; no triple over a border), the first
+    position of each word (its left border), and the code points.
+    """
+    codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    one, two, three = codes[:-1], codes[1:], np.append(codes[2:], np.uint64(32))
+    keys = np.stack([one, one | two << np.uint64(21), one | two << np.uint64(21) | three << np.uint64(42)])
+    keys += np.array([[1], [2], [3]], np.uint64) << np.uint64(60)
+    border = codes == 32
+    real = np.stack([~border[:-1], np.ones(len(one), bool), ~border[1:]])
+    return (vec.mix(keys) % np.uint64(BUCKETS)).astype(np.int64), real, np.flatnonzero(border[:-1]), codes
 
 
 def letters(chunk: str) -> str:
@@ -62,53 +70,54 @@ def letters(chunk: str) -> str:
 
 
 def script_bits(word: str) -> int:
-    if word.isascii():
-        return 1 << _LATIN
-    codes = np.frombuffer(word.encode("utf-32-le", "replace"), "<u4")
+    """A bit for the script of most of a word's letters."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
     found = np.bincount(_OF_EDGE[np.searchsorted(_EDGES, codes, side="right") - 1], minlength=len(_NAMES))
     return 1 << int(found.argmax())
 
 
+def scripts_of(words: list[str], codes: np.ndarray) -> np.ndarray:
+    """Script bits of each word; all Latin at once where no other letter occurs."""
+    if codes.max(initial=0) < 0x370:
+        return np.full(len(words), 1 << _LATIN, np.int64)
+    return np.array([1 << _LATIN if w.isascii() else script_bits(w) for w in words], np.int64)
+
+
 @dataclass
 class Model:
     langs: list[str]
     table: np.ndarray  # bucket x language, log probabilities
     scripts: np.ndarray  # language -> bits of scripts
-    cap: int = 300_000
-    known: dict = field(default_factory=dict)
+    cap: int = 250_000
+    known: dict = field(default_factory=dict)  # chunk of text -> row
+    words: dict = field(default_factory=dict)  # its letters -> row
     scores: np.ndarray | None = None
     weights: np.ndarray | None = None
 
     def rows(self, chunks: list[list[str]]) -> np.ndarray:
-        """Row of each chunk in ``scores`` and ``weights``; new chunks are scored."""
+        """Row of each chunk in ``scores`` and ``weights``; new words are scored.
+
+        Row 0 is for chunks without a letter.
+        """
         if len(self.known) > self.cap or self.scores is None:
-            self.known, self.scores, self.weights = {}, np.zeros((self.cap * 2, len(self.langs)), np.float32), np.zeros(self.cap * 2, np.int32)
-        new = set().union(*chunks).difference(self.known)
+            self.known, self.words = {}, {"": 0}
+            self.scores, self.weights = np.zeros((1, len(self.langs)), np.float32), np.zeros(1, np.int32)
+        new = list(set().union(*chunks).difference(self.known))
         if new:
-            fresh = list(new)
-            first = len(self.known)
-            if first + len(fresh) > len(self.scores):
-                more = max(len(fresh), len(self.scores))
-                self.scores = np.concatenate([self.scores, np.zeros((more, len(self.langs)), np.float32)])
-                self.weights = np.concatenate([self.weights, np.zeros(more, np.int32)])
-            words = [letters(c) for c in fresh]
-            size = np.array([len(w) for w in words])
-            parts = [grams(w) if w else [] for w in words]
-            edges = np.zeros(len(parts) + 1, np.int64)
-            np.cumsum([len(p) for p in parts], out=edges[1:])
-            flat = np.fromiter((g for p in parts for g in p), np.int64, int(edges[-1]))
-            total = np.zeros((len(flat) + 1, len(self.langs)))
-            np.cumsum(self.table[flat], axis=0, out=total[1:])
-            made = total[edges[1:]] - total[edges[:-1]]
-            bits = np.array([script_bits(w) if w else 0 for w in words], np.int64)
-            allowed = (bits[:, None] & self.scripts[None, :]) != 0
-            made[(~allowed) & allowed.any(1)[:, None]] -= 40.0
-            made[size == 0] = 0
-            self.scores[first : first + len(fresh)] = made
-            self.weights[first : first + len(fresh)] = size
-            self.known.update(zip(fresh, range(first, first + len(fresh))))
+            plain = list(map(letters, new))
+            fresh = list(set(plain).difference(self.words))
+            if fresh:
+                self.words.update(zip(fresh, range(len(self.scores), len(self.scores) + len(fresh))))
+                bucket, real, first, codes = grams(fresh)
+                each = self.table[bucket[0]] * real[0][:, None] + self.table[bucket[1]] + self.table[bucket[2]] * real[2][:, None]
+                made = np.add.reduceat(each, first, axis=0)
+                allowed = (scripts_of(fresh, codes)[:, None] & self.scripts[None, :]) != 0
+                made[(~allowed) & allowed.any(1)[:, None]] -= 40.0
+                self.scores = np.concatenate([self.scores, made.astype(np.float32)])
+                self.weights = np.concatenate([self.weights, np.fromiter(map(len, fresh), np.int32, len(fresh))])
+            self.known.update(zip(new, map(self.words.__getitem__, plain)))
         get = self.known.__getitem__
-        return np.fromiter((get(c) for x in chunks for c in x), np.int64, sum(map(len, chunks)))
+        return np.concatenate([np.fromiter(map(get, x), np.int64, len(x)) for x in chunks]) if chunks else np.zeros(0, np.int64)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, int]]:
         """(language, score, number of spans) of each text."""
@@ -135,46 +144,85 @@ class Model:
         return [(self.langs[b], float(s), int(n)) if t else ("und", 0.0, 0) for b, s, t, n in zip(best.tolist(), score.tolist(), (total > 0).tolist(), (switches + 1).tolist())]
 
 
-def viterbi(scores: np.ndarray, row: np.ndarray, size: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
+def viterbi(scores: np.ndarray, row: np.ndarray, size: np.ndarray, switch: float, span: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Best label of each word and the number of changes, for all documents at once.
 
-    Step t handles word t of every document that has one: documents go by length,
-    so those still running are a prefix.
+    Documents are cut into spans of words.  All spans run side by side, for each
+    label of their first word: value[s, i, j] is the best score of span s from label
+    i to label j.  Then the spans of each document are joined, and the path is read
+    back.  So the number of steps is that of a span, however long a document is.
     """
-    c = scores.shape[1]
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    order = np.argsort(-size, kind="stable")
-    begin, length = first[order], size[order]
-    steps = int(length[0]) if len(length) else 0
-    running = np.searchsorted(-length, -np.arange(steps), side="left")
-    back = np.zeros((len(row), c), np.int8)
-    value = np.zeros((len(size), c), np.float32)
-    own = np.arange(c, dtype=np.int8)
+    c, docs = scores.shape[1], len(size)
+    first = np.cumsum(size) - size
+    parts = -(-size // span)
+    owner = np.repeat(np.arange(docs), parts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = first[owner] + nth * span
+    length = np.minimum(span, first[owner] + size[owner] - begin)
+    order = np.argsort(-length, kind="stable")
+    start, steps = begin[order], int(length.max(initial=0))
+    running = np.searchsorted(-length[order], -np.arange(steps), side="left")
+    labels = np.arange(c, dtype=np.int8)
+    value = np.full((len(order), c, c), -np.inf, np.float32)
+    back = np.zeros((len(row), c, c), np.int8)
     for t in range(steps):
         a = running[t]
-        at = begin[:a] + t
+        at = start[:a] + t
+        own = scores[row[at]]
+        if not t:
+            value[:, labels, labels] = own
+            continue
         v = value[:a]
-        if t:
-            top = v.argmax(1)
-            jump = v[np.arange(a), top][:, None] - switch
-            stay = v >= jump
-            back[at] = np.where(stay, own, top[:, None])
-            v = np.where(stay, v, jump)
-        value[:a] = v + scores[row[at]]
+        top = v.argmax(2)
+        jump = v.max(2)[:, :, None] - switch
+        stay = v >= jump
+        back[at] = np.where(stay, labels, top[:, :, None].astype(np.int8))
+        value[:a] = np.where(stay, v, jump) + own[:, None, :]
+    matrix = np.empty_like(value)
+    matrix[order] = value
+
+    # Join the spans of each document: the k-th spans of all documents that have one.
+    base = np.cumsum(parts) - parts
+    total = np.zeros((docs, c), np.float32)
+    entry = np.zeros((len(owner), c), np.int8)  # first label of the span for its last label
+    before = np.zeros((len(owner), c), np.int8)  # last label of the span before, for the first label
+    for k in range(int(parts.max(initial=0))):
+        d = np.flatnonzero(parts > k)
+        s = base[d] + k
+        if k:
+            prev = total[d]
+            top = prev.argmax(1)
+            jump = prev.max(1)[:, None] - switch
+            stay = prev >= jump
+            before[s] = np.where(stay, labels, top[:, None].astype(np.int8))
+            into = np.where(stay, prev, jump)
+        else:
+            into = np.zeros((len(d), c), np.float32)
+        joined = into[:, :, None] + matrix[s]
+        entry[s] = joined.argmax(1)
+        total[d] = joined.max(1)
+
+    end = np.zeros(len(owner), np.int8)
+    head = np.zeros(len(owner), np.int8)
+    label = total.argmax(1).astype(np.int8)
+    for k in range(int(parts.max(initial=0)) - 1, -1, -1):
+        d = np.flatnonzero(parts > k)
+        s = base[d] + k
+        end[s] = label[d]
+        head[s] = entry[s, label[d]]
+        label[d] = before[s, head[s]]
+
     path = np.zeros(len(row), np.int8)
-    label = value.argmax(1).astype(np.int8)
-    changes = np.zeros(len(size), np.int64)
+    now, source = end[order], head[order]
     for t in range(steps - 1, -1, -1):
         a = running[t]
-        at = begin[:a] + t
-        path[at] = label[:a]
+        at = start[:a] + t
+        path[at] = now[:a]
         if t:
-            prev = back[at, label[:a]]
-            changes[:a] += prev != label[:a]
-            label[:a] = prev
-    out = np.zeros(len(size), np.int64)
-    out[order] = changes
-    return path, out
+            now[:a] = back[at, source[:a], now[:a]]
+    doc = np.repeat(np.arange(docs), size)
+    change = (path[1:] != path[:-1]) & (doc[1:] == doc[:-1])
+    return path, np.bincount(doc[1:][change], minlength=docs).astype(np.int64)
 
 
 def held_out(id_col: str) -> Column:
@@ -203,35 +251,28 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
         for batch in batches:
             for first, texts in text_slices(batch, "text"):
                 for lang, t in zip(batch.column(0).slice(first, len(texts)).to_pylist(), texts):
-                    vector = seen.setdefault(lang, np.zeros(BUCKETS, np.float32))
-                    flat: list[int] = []
-                    for chunk in t.split():
-                        w = letters(chunk)
-                        if w:
-                            flat += grams(w)
-                            bits[lang] = bits.get(lang, 0) | script_bits(w)
-                    np.add.at(vector, flat, 1)
+                    words = [w for w in map(letters, t.split()) if w]
+                    if words:
+                        bucket, real, _, codes = grams(words)
+                        vector = seen.setdefault(lang, np.zeros(BUCKETS, np.float64))
+                        vector += np.bincount(bucket[real], minlength=BUCKETS)
+                        for b in np.unique(scripts_of(words, codes)).tolist():
+                            bits[lang] = bits.get(lang, 0) | b
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v.tobytes() for v in seen.values()]), pa.array([bits.get(k, 0) for k in seen], pa.int64())], ["lang", "counts", "bits"])
 
     counts = np.zeros((BUCKETS, len(langs)))
     scripts = np.zeros(len(langs), np.int64)
     for lang, vector, seen in picked.mapInArrow(count, "lang string, counts binary, bits long").collect():
-        counts[:, langs.index(lang)] += np.frombuffer(vector, np.float32)
+        counts[:, langs.index(lang)] += np.frombuffer(vector, np.float64)
         scripts[langs.index(lang)] |= seen
     return Model(langs, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)), scripts)
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def _worker(shared) -> Model:
     """The model of this Python worker, with its cache of words."""
-    key = hash((tuple(shared.value[0]), shared.value[1].tobytes()))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(*shared.value)
-    return _MODELS[key]
+    langs, table, scripts = shared.value
+    return vec.worker_slot(("langid", *langs, hash(table.tobytes())), lambda: Model(langs, table, scripts))
 
 
 def _shared(df: DataFrame, model: Model):
@@ -247,7 +288,7 @@ def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _worker(shared)
         for batch in batches:
-            for first, texts in text_slices(batch, text_col, 8_000_000):
+            for first, texts in text_slices(batch, text_col, 2_000_000):
                 lang, score, n = zip(*m.predict(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(lang), pa.array(score), pa.array(n, pa.int64())], [id_col, "lang_pred", "score", "n_spans"])
 
@@ -265,7 +306,7 @@ def keep(df: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "te
         m = _worker(shared)
         for batch in batches:
             at = batch.schema.get_field_index(lang_col)
-            for first, texts in text_slices(batch, text_col, 8_000_000):
+            for first, texts in text_slices(batch, text_col, 2_000_000):
                 found = m.predict(texts)
                 rows = batch.slice(first, len(texts))
                 lang = pc.coalesce(rows.column(at), pa.array([x[0] for x in found], rows.column(at).type))

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from plumbline.llm import vec
 from plumbline.llm.bpe import text_slices
 
 _UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -44,7 +45,7 @@ class CachedIds:
     safe cuts (a space that a visible character follows) are kept.
     """
 
-    def __init__(self, rank_path: str, pattern: str, cache: int = 500_000):
+    def __init__(self, rank_path: str, pattern: str, cache: int = 300_000):
         import tiktoken
 
         from plumbline.llm.bpe import read_ranks
@@ -76,13 +77,8 @@ class CachedIds:
         return out
 
 
-_LOADED: dict[tuple[str, str], CachedIds] = {}
-
-
 def loaded(rank_path: str, pattern: str) -> CachedIds:
-    if (rank_path, pattern) not in _LOADED:
-        _LOADED[rank_path, pattern] = CachedIds(rank_path, pattern)
-    return _LOADED[rank_path, pattern]
+    return vec.worker_slot(("ids", rank_path, pattern), lambda: CachedIds(rank_path, pattern))
 
 
 @dataclass

@@ -8,12 +8,28 @@ different words collide with probability about 2**-64.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_SLOT: dict[Hashable, Any] = {}
+
+
+def worker_slot(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps between tasks: one model with its caches.
+
+    Workers serve many operators in turn; keeping only the last one's model bounds
+    their memory by the largest, not by the sum.
+    """
+    if key not in _SLOT:
+        _SLOT.clear()
+        _SLOT[key] = make()
+    return _SLOT[key]
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 

@@ -30,12 +30,13 @@ def test_mixed_text_has_spans(langs, docs):
     assert lang == "en" and spans == 2 and 0.4 < score < 0.9
 
 
-def test_viterbi_is_the_best_path():
+@pytest.mark.parametrize("span", [1, 2, 3, 256])
+def test_viterbi_is_the_best_path(span):
     rng = np.random.default_rng(1)
     scores = rng.normal(0, 2, (40, 3)).astype(np.float32)
     size = np.array([5, 0, 7, 1, 6])
     row = rng.integers(0, 40, size.sum())
-    path, changes = langid.viterbi(scores, row, size, 1.5)
+    path, changes = langid.viterbi(scores, row, size, 1.5, span)
 
     def value(words, labels):
         return sum(scores[w, k] for w, k in zip(words, labels)) - 1.5 * sum(a != b for a, b in zip(labels, labels[1:]))
