@@ -10,8 +10,8 @@ Prediction: each word gets a log probability in each language.  The scripts of a
 word's letters narrow its candidates to languages that were seen in them.  The
 Viterbi path over a document's words pays ``SWITCH`` for each change of language,
 which labels spans of mixed text; the language with the most letters on the path
-is the document's, and ``score`` is its share of the letters times the margin's
-logistic.
+is the document's, and ``score`` is its share of the letters times the logistic
+of the margin, which is one half or more.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0.
 Equal texts get equal results.  Without any labelled row all is ``und``.
@@ -19,6 +19,7 @@ Equal texts get equal results.  Without any labelled row all is ``und``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +35,9 @@ from plumbline.llm.bpe import text_slices
 #: Labelled documents for each language in the sample (expected number).
 SAMPLE = 1500
 BUCKETS, SWITCH = 1 << 16, 12.0
+#: Most by which a word can favour one language over another.
+MOST = 10.0
+_NO_WORD = re.compile(r"[\d@/\\]")
 #: First code point of each script range, in order; fixed values.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -65,8 +69,12 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def letters(chunk: str) -> str:
-    """The letters of a chunk, in lower case."""
-    return (chunk if chunk.isalpha() else "".join([c for c in chunk if c.isalpha()])).lower()
+    """The letters of a chunk in lower case; none of keys, numbers and addresses."""
+    if chunk.isalpha():
+        return chunk.lower()
+    if _NO_WORD.search(chunk):
+        return ""
+    return "".join([c for c in chunk if c.isalpha()]).lower()
 
 
 def script_bits(word: str) -> int:
@@ -113,6 +121,7 @@ class Model:
                 made = np.add.reduceat(each, first, axis=0)
                 allowed = (scripts_of(fresh, codes)[:, None] & self.scripts[None, :]) != 0
                 made[(~allowed) & allowed.any(1)[:, None]] -= 40.0
+                made = np.maximum(made, made.max(axis=1, keepdims=True) - MOST)
                 self.scores = np.concatenate([self.scores, made.astype(np.float32)])
                 self.weights = np.concatenate([self.weights, np.fromiter(map(len, fresh), np.int32, len(fresh))])
             self.known.update(zip(new, map(self.words.__getitem__, plain)))
@@ -121,27 +130,30 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, int]]:
         """(language, score, number of spans) of each text."""
+        out = self._predict(texts)
+        # Texts whose only letters stand in keys, numbers and addresses are judged by those.
+        for i, (lang, *_) in enumerate(out):
+            if lang == "und" and self.langs and any(map(str.isalpha, texts[i])):
+                plain = ["".join(filter(str.isalpha, c)) for c in texts[i].split()]
+                out[i] = self._predict([" ".join(plain)])[0]
+        return out
+
+    def _predict(self, texts: list[str]) -> list[tuple[str, float, int]]:
         if not self.langs or not texts:
             return [("und", 0.0, 0)] * len(texts)
         chunks = [t.split() for t in texts]
         row = self.rows(chunks)
         size = np.array([len(c) for c in chunks], np.int64)
         path, switches = viterbi(self.scores, row, size, SWITCH)
-        weight = self.weights[row]
-        doc = np.repeat(np.arange(len(texts)), size)
-        mass = np.zeros((len(texts), len(self.langs)))
-        np.add.at(mass, (doc, path), weight)
-        total, gain = mass.sum(1), np.zeros((len(texts), len(self.langs)))
-        for k in range(len(self.langs)):
-            gain[:, k] = np.bincount(doc, weights=self.scores[row, k], minlength=len(texts))
-        best = mass.argmax(1)
-        at = np.arange(len(texts))
+        doc, n, c = np.repeat(np.arange(len(texts)), size), len(texts), len(self.langs)
+        mass = np.bincount(doc * c + path, weights=self.weights[row], minlength=n * c).reshape(n, c)
+        gain = np.stack([np.bincount(doc, weights=self.scores[row, k], minlength=n) for k in range(c)], axis=1)
+        total, best, at = mass.sum(1), mass.argmax(1), np.arange(n)
         others = gain.copy()
         others[at, best] = -np.inf
-        margin = np.clip(gain[at, best] - others.max(1), -30, 30) if len(self.langs) > 1 else np.full(len(texts), 30.0)
-        share = mass[at, best] / np.maximum(total, 1)
-        score = np.where(total > 0, share / (1 + np.exp(-margin)), 0.0)
-        return [(self.langs[b], float(s), int(n)) if t else ("und", 0.0, 0) for b, s, t, n in zip(best.tolist(), score.tolist(), (total > 0).tolist(), (switches + 1).tolist())]
+        margin = np.clip(gain[at, best] - others.max(1), 0, 30) if c > 1 else np.full(n, 30.0)
+        score = np.where(total > 0, mass[at, best] / np.maximum(total, 1) / (1 + np.exp(-margin)), 0.0)
+        return [(self.langs[b], float(s), int(k)) if t else ("und", 0.0, 0) for b, s, t, k in zip(best.tolist(), score.tolist(), (total > 0).tolist(), (switches + 1).tolist())]
 
 
 def viterbi(scores: np.ndarray, row: np.ndarray, size: np.ndarray, switch: float, span: int = 256) -> tuple[np.ndarray, np.ndarray]:

@@ -35,6 +35,8 @@ from plumbline.llm.bpe import text_slices
 
 POSITIVES, UNLABELLED, FEATURES, LEAST_DOCS = 2500, 7500, 512, 4
 EPOCHS, STEP_POSITIVES, RATE, DECAY, SEEDS = 250, 512, 0.05, 3e-4, (1, 2, 3)
+#: Size of the strongest feature in training; weaker ones are smaller, so decay holds them closer to zero.
+STRONGEST = 2.0
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -60,7 +62,7 @@ class Model:
 
 
 def train(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of one linear model; rows are 0/1 features."""
+    """Weights and bias of one linear model; absent features are 0."""
     rng = np.random.default_rng(seed)
     n = x_p.shape[1]
     theta, m, v, step = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0
@@ -128,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         strength = F.abs(F.col("a") / F.lit(float(n_p)) - F.col("b") / F.lit(float(n_u))) / F.sqrt(share * (1 - share) + 1e-9)
         rows = seen.where(F.col("a") + F.col("b") >= LEAST_DOCS).select("w", strength.alias("s")).orderBy(F.desc("s"), "w").limit(FEATURES).collect()
         features = [r[0] for r in rows]
+        size = STRONGEST * np.array([r[1] for r in rows], np.float32) / max(rows[0][1], 1e-9) if rows else np.zeros(0, np.float32)
         index = {w: i for i, w in enumerate(features)}
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,10 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         bags.unpersist()
     x = np.zeros((len(placed), len(features)), np.float32)
     for i, (_, hits) in enumerate(placed):
-        x[i, hits] = 1
+        x[i, hits] = size[hits]
     is_p = np.array([p for p, _ in placed], bool)
     made = [train(x[is_p], x[~is_p], prior, seed) for seed in SEEDS]
-    return Model(features, np.mean([w for w, _ in made], axis=0), float(np.mean([b for _, b in made])))
+    return Model(features, size * np.mean([w for w, _ in made], axis=0), float(np.mean([b for _, b in made])))
 
 
 class Scorer:
