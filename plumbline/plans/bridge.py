@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import geometry, json, num, text
-from plumbline.operators import cost, selection, sequence, spatial
+from plumbline.functions import geometry, json, layout, num, text
+from plumbline.operators import cost, quality, selection, sequence, spatial, textmap
 from plumbline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,3 +390,91 @@ def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("pages"), F.count_if(F.col("o_orderkey") % 11 == 0).alias("pages_failed"), F.round(num.safe_share(F.sum("o_totalprice"), F.count(F.lit(1))), 2).alias("elapsed_per_page"),
         F.countDistinct("o_custkey").alias("lists"), F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"),
     )
+
+
+@query("""SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'the') AND contains(text, '@')""")
+def find_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return textmap.find(textmap.find(docs, "THE"), "@", case_sensitive=True).select("doc_id", "lang")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT doc_id, string_agg(trim(line), chr(10) ORDER BY n) AS text FROM l WHERE trim(line) <> '' GROUP BY 1
+""")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return textmap.page_text(lines, ["doc_id"])
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') AS folder, 'page_' || CASE WHEN o_orderkey % 150 < 100 THEN lpad(CAST(o_orderkey % 150 AS VARCHAR), 2, '0') ELSE substr(CAST(o_orderkey % 150 AS VARCHAR), 1, 2) END || '.png' AS image FROM orders
+""")
+def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", layout.run_folder(F.col("o_orderstatus"), F.col("o_orderdate")).alias("folder"), layout.image_name(F.lit("page"), F.col("o_orderkey") % 150).alias("image"))
+
+
+_PIXELS = "SELECT p_partkey, p_size * 20.0 AS a, p_retailprice / 2 AS b, p_size * 20.0 + p_partkey % 300 - 100 AS c, p_retailprice / 2 - 40 AS d FROM part"
+
+
+@query(f"""
+WITH p AS ({_PIXELS}), q AS (SELECT p_partkey, greatest(least(a * 0.8, c * 0.8), 0) AS x0, least(greatest(a * 0.8, c * 0.8), 800.0) AS x1, greatest(least(b * 0.5, d * 0.5), 0) AS y0, least(greatest(b * 0.5, d * 0.5), 500.0) AS y1 FROM p)
+SELECT p_partkey, x0, y0, x1, y1 FROM q WHERE x1 - x0 >= 1 AND y1 - y0 >= 1
+""")
+def model_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, price = F.col("p_size") * 20.0, F.col("p_retailprice") / 2
+    box = [size, price, size + F.col("p_partkey") % 300 - 100, price - 40]
+    rows = table(spark, sf_dir, "part").select("p_partkey", geometry.model_box(box, F.lit(800.0), F.lit(500.0), "norm1000").alias("b"))
+    return rows.where("b is not null").select("p_partkey", "b.*")
+
+
+@query(f"""
+WITH p AS ({_PIXELS}), t AS (SELECT p_partkey, a AS x0, b AS y0, a + 30 AS x1, b + 12 AS y1 FROM p)
+SELECT p_partkey, CASE WHEN x1 + 2 + 13 <= 1000 THEN 'right' ELSE 'left' END AS side FROM t
+""")
+def chip_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, price = F.col("p_size") * 20.0, F.col("p_retailprice") / 2
+    place = layout.chip([size, price, size + 30, price + 12], 10.0, F.lit(1000.0), F.lit(1e9))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(place.x0 > size, "right").otherwise("left").alias("side"))
+
+
+@query("""
+WITH v AS (SELECT l_suppkey AS sheet, sum(l_quantity) AS s, count(l_quantity) AS n FROM lineitem GROUP BY 1), t AS (SELECT s_suppkey AS sheet, CAST(s_suppkey * 100 AS DOUBLE) AS total FROM supplier)
+SELECT coalesce(v.sheet, t.sheet) AS sheet, s AS sum, n, total, coalesce(abs(s - total) <= 0.5, FALSE) AS ok FROM v FULL JOIN t ON v.sheet = t.sheet
+""")
+def truth_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_quantity").alias("value"))
+    totals = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sheet"), (F.col("s_suppkey") * 100).cast("double").alias("total"))
+    return quality.check_totals(values, totals, ["sheet"])
+
+
+@query("""
+SELECT l_suppkey AS sheet, l_quantity AS value, side, count(*) AS n FROM (
+  SELECT *, 'extra' AS side FROM (SELECT l_suppkey, l_quantity FROM lineitem WHERE l_linestatus = 'O' EXCEPT ALL SELECT l_suppkey, l_quantity FROM lineitem WHERE l_linestatus = 'F')
+  UNION ALL SELECT *, 'missing' FROM (SELECT l_suppkey, l_quantity FROM lineitem WHERE l_linestatus = 'F' EXCEPT ALL SELECT l_suppkey, l_quantity FROM lineitem WHERE l_linestatus = 'O'))
+GROUP BY 1, 2, 3
+""")
+def truth_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    side = lambda f: rows.where(F.col("l_linestatus") == f).select(F.col("l_suppkey").alias("sheet"), F.col("l_quantity").alias("value"))
+    return quality.compare(side("O"), side("F"), ["sheet"])
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) WHEN event_id % 3 = 1 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) + 0.5 END AS length FROM events
+""")
+def reply_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first length field of a reply: a number, text with a comma, or none."""
+    k = F.get_json_object("props", "$.k")
+    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"value": '), k, F.lit("}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"length": "'), k, F.lit(',5"}'))).otherwise(F.lit('{"length": "n/a"}'))
+    return table(spark, sf_dir, "events").select("event_id", json.first_number(F.try_parse_json(reply), selection.LENGTHS).alias("length"))
+
+
+@query("""
+SELECT p_partkey, CAST(ceil(sqrt((p_size * 8.0) ** 2 + (p_retailprice / 10) ** 2) / 50) AS BIGINT) AS ring, abs(sin(radians(degrees(atan2(p_retailprice / 10, p_size * 8.0))))) > 0.5 AS rotated FROM part
+""")
+def line_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, zero = F.col("p_size") * 8.0, F.col("p_retailprice") / 10, F.lit(0.0)
+    return table(spark, sf_dir, "part").select("p_partkey", F.ceil(geometry.dist(zero, zero, x, y) / 50).alias("ring"), geometry.is_rotated(geometry.angle(zero, zero, x, y)).alias("rotated"))
