@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, fingerprint, forest, langid, packing, pii, quality, secrets, toxicity
+from plumbline.llm import bpe, chat, fingerprint, forest, langid, oracles, packing, pii, quality, secrets, toxicity
 from plumbline.session import ship, table
 
 
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE_SQL}
+    return oracles.oracle_sql()
