@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's setting, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            found = tempfile.mkdtemp(prefix="plumbline-")
-            spark.sparkContext.setCheckpointDir(found)
+    own = spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or own or tempfile.mkdtemp(prefix="plumbline-")
+    if not own:
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
