@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -17,7 +18,7 @@ DIR = "/root/testdata/sf0.001"
 
 def rows(frame):
     cols = sorted(frame.columns)
-    return cols, sorted(tuple("" if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in frame[cols].astype(object).itertuples(index=False))
+    return cols, sorted(tuple("" if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in frame[cols].astype(object).itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
