@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from plumbline.llm import queries
@@ -12,7 +13,7 @@ DIR = "/root/testdata/sf0.001"
 
 def rows(frame):
     cols = sorted(frame.columns)
-    return cols, sorted(tuple(f"{x:.12g}" if isinstance(x, float) else str(x) for x in r) for r in frame[cols].astype(object).itertuples(index=False))
+    return cols, sorted(tuple("" if pd.isna(x) else f"{x:.12g}" if isinstance(x, float) else str(x) for x in r) for r in frame[cols].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
