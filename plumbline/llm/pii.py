@@ -8,7 +8,8 @@ Offsets are code points, the end exclusive.  Null and empty texts have no spans.
 Spans of different kinds may overlap; spans of one kind never do.
 
 Patterns whose naive search is quadratic are anchored instead: an e-mail address
-at its @ sign, numbers inside maximal runs of the characters they can hold.
+at its @ sign, an IBAN at its country and check digits, other numbers inside
+maximal runs of the characters they can hold.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"[A-Z]{2}(?<![^\W_][A-Z]{2})[0-9]{2}")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?|@")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
@@ -95,18 +97,18 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
             for m in _PHONE.finditer(text, a, b):
                 if 10 <= sum(c.isdigit() for c in m.group()) <= 15:
                     found.append((m.start(), 3, m.end(), False))
-        if a >= 2 and text[a - 2 : a].isascii() and text[a - 2 : a].isupper() and (a == 2 or not text[a - 3].isalnum()):
-            m = _IBAN.match(text, a - 2)
-            code = m.group() if m else ""
-            while code and not mod97(code):  # a capital word may follow the code
-                code = code.rpartition(" ")[0]
-            if code:
-                found.append((a - 2, 4, a - 2 + len(code), True))
         if "-" in part:
             for m in _SSN.finditer(text, a, b):
                 x, y, z = m.groups()
                 if x not in ("000", "666") and x < "900" and y != "00" and z != "0000":
                     found.append((m.start(), 5, m.end(), False))
+    for head in _IBAN_HEAD.finditer(text):
+        m = _IBAN.match(text, head.start())
+        code = m.group() if m else ""
+        while code and not mod97(code):  # a capital word may follow the code
+            code = code.rpartition(" ")[0]
+        if code:
+            found.append((head.start(), 4, head.start() + len(code), True))
     out, done = [], -1
     for start, k, end, checked in sorted(found):
         near = {x.lower() for x in _WORD.findall(text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR])}

@@ -64,6 +64,18 @@ def test_pii_added_kinds():
     assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE88370400440532013000")
 
 
+def test_iban_whose_bank_code_has_letters():
+    for code in ("GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "IT60X0542811101000000123456", "DE89 3704 0044 0532 0130 00", "MT84MALT011000012345MTLCAST001S"):
+        for before, after in (("", ""), ("Pay to ", ", please"), ("IBAN: ", " BIC"), ("AB12 ", "."), ("_", " Thanks")):
+            text = before + code + after
+            assert ("iban", len(before), len(before) + len(code)) in [x[:3] for x in pii.find(text)]
+            assert pii.redact(text, pii.find(text)) == f"{before}[IBAN]{after}"
+        assert not [x for x in pii.find("é" + code) if x[0] == "iban"]
+    assert pii.find("NL92ABNA0417164300") == [] and pii.find("GB82 WEST") == []
+    pii.find("GB82" * 50_000)
+    pii.find("GB82 " * 40_000)
+
+
 def test_long_runs_are_linear():
     for t in ("a" * 200_000, "1" * 200_000, "+1" + " " * 200_000, "@" * 200_000, "1." * 100_000, "secret" + " " * 200_000):
         pii.find(t)
