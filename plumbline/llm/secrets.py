@@ -1,7 +1,9 @@
 """Secret scans: base patterns, then zstandard novelty primed with dictionaries.
 
 The base patterns (assign, access, hex) always count.  Besides them, tokens that
-look like keys are candidates if a sensitive word stands before them.  The
+look like keys are candidates if a sensitive word stands before them.  In
+NAME=value the value is the candidate and the name is part of what stands before
+it; an equals sign belongs to a candidate only as padding at its end.  The
 novelty of a candidate is what it adds to the compressed size of its
 surroundings, with a compressor primed by a dictionary of identifiers and by the
 surrounding text: identifiers, words and copies of nearby strings add little,
@@ -47,6 +49,10 @@ _HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+_PART = re.compile(r"[A-Za-z0-9+/_.-]+(?:=+(?![A-Za-z0-9+/_=.-]))?")
+#: A name made of words, which a value follows.
+_NAME = re.compile(r"[A-Za-z]+[0-9]*(?:[_.-]+(?:[A-Za-z]+[0-9]*|[0-9]+))*=?\Z")
+_VALUE = re.compile(r"""(?:=|(?<==))["']?[A-Za-z0-9+/_.-]""")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.I | re.A)
 
 
@@ -76,15 +82,23 @@ def find(text: str, novelty: Novelty, least_bits: float = LEAST_BITS) -> list[tu
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     begins = sorted(a for a, _, _ in found)
     ends = sorted(b for _, _, b in found)
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        if bisect_left(begins, b) > bisect_right(ends, a):  # a base span overlaps it
-            continue
-        before = text[max(0, a - AROUND) : a]
-        if not _SENSITIVE.search(before[-64:]) or m.group().isalpha() and (m.group().islower() or m.group().istitle()):
-            continue
-        if novelty.bits(before, m.group(), text[b : b + AROUND]) >= least_bits:
-            found.append((a, 3, b))
+    last = end = -1
+    for run in _CANDIDATE.finditer(text):
+        outer = bool(_SENSITIVE.search(text[max(0, run.start() - 64) : run.start()]))
+        if end != run.start() - 1 or text[end] not in "\"'":  # else a quoted value, whose name was the last part
+            last = run.start()
+        end = run.end()
+        for m in _PART.finditer(text, *run.span()):
+            a, b = m.span()
+            near, last = min(last, max(0, a - 64)), a  # a name of any length counts whole
+            if b - a < 16 or bisect_left(begins, b) > bisect_right(ends, a):  # a base span overlaps it
+                continue
+            if _NAME.match(m.group()) and _VALUE.match(text, b):
+                continue
+            if not (outer or _SENSITIVE.search(text[near:a])) or m.group().isalpha() and (m.group().islower() or m.group().istitle()):
+                continue
+            if novelty.bits(text[max(0, a - AROUND) : a], m.group(), text[b : b + AROUND]) >= least_bits:
+                found.append((a, 3, b))
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 

@@ -105,6 +105,23 @@ def test_novelty():
     assert n.bits(repeated, token, "") < 2 < n.bits("auth ", token, "")
 
 
+def test_novelty_of_unquoted_assignments():
+    n = secrets.Novelty()
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ81mTpL3v"
+    names = ("export AWS_SECRET_ACCESS_KEY", "private_key", "secret_key", "auth", "session", "cookie", "signature", "credential", "https://a.example/x?user=me&signature", "MY_AUTH_" + "LONG_" * 20 + "NAME")
+    for name in names:
+        for tail in ("", "=", "=="):
+            for sep in ("=", "='", '="'):
+                start = len(name) + len(sep)
+                found = secrets.find(f"{name}{sep}{value}{tail}{sep[1:]} # comment", n)
+                assert found == [("novel", start, start + len(value + tail))], (name, sep, tail)
+    assert secrets.find(f"colour={value}", n) == []
+    far = "auth " + "a=" * 40 + value
+    assert secrets.find(far, n) == [("novel", len(far) - len(value), len(far))]
+    secrets.find("abcdefghijklmnop=" * 20_000, n)
+    secrets.find("key" + "=" * 200_000 + "a", n)
+
+
 def plain_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
