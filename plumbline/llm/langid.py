@@ -11,7 +11,10 @@ word's letters narrow its candidates to languages that were seen in them.  The
 Viterbi path over a document's words pays ``SWITCH`` for each change of language,
 which labels spans of mixed text; the language with the most letters on the path
 is the document's, and ``score`` is its share of the letters times the logistic
-of the margin, which is one half or more.
+of the margin, which is one half or more.  The score is 0 where the text is in
+no learned language: words in scripts of none have more letters than the main
+language, or the likelihood per letter on the path lies ``FAR`` nats and
+``FAR_SHORT`` over the root of the number of letters below that of the sample.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0.
 Equal texts get equal results.  Without any labelled row all is ``und``.
@@ -37,6 +40,8 @@ SAMPLE = 1500
 BUCKETS, SWITCH = 1 << 16, 12.0
 #: Most by which a word can favour one language over another.
 MOST = 10.0
+#: Nats per letter below the learned sample from which a text is in no learned language; more for short texts.
+FAR, FAR_SHORT = 8.0, 12.0
 _NO_WORD = re.compile(r"[\d@/\\]")
 #: First code point of each script range, in order; fixed values.
 SCRIPTS = (
@@ -96,11 +101,13 @@ class Model:
     langs: list[str]
     table: np.ndarray  # bucket x language, log probabilities
     scripts: np.ndarray  # language -> bits of scripts
+    usual: np.ndarray  # language -> log probability per letter in the sample
     cap: int = 250_000
     known: dict = field(default_factory=dict)  # chunk of text -> row
     words: dict = field(default_factory=dict)  # its letters -> row
     scores: np.ndarray | None = None
-    weights: np.ndarray | None = None
+    weights: np.ndarray | None = None  # letters of each row
+    strange: np.ndarray | None = None  # rows in scripts of no language
 
     def rows(self, chunks: list[list[str]]) -> np.ndarray:
         """Row of each chunk in ``scores`` and ``weights``; new words are scored.
@@ -110,6 +117,7 @@ class Model:
         if len(self.known) > self.cap or self.scores is None:
             self.known, self.words = {}, {"": 0}
             self.scores, self.weights = np.zeros((1, len(self.langs)), np.float32), np.zeros(1, np.int32)
+            self.strange = np.zeros(1, bool)
         new = list(set().union(*chunks).difference(self.known))
         if new:
             plain = list(map(letters, new))
@@ -123,6 +131,7 @@ class Model:
                 made[(~allowed) & allowed.any(1)[:, None]] -= 40.0
                 made = np.maximum(made, made.max(axis=1, keepdims=True) - MOST)
                 self.scores = np.concatenate([self.scores, made.astype(np.float32)])
+                self.strange = np.concatenate([self.strange, ~allowed.any(1)])
                 self.weights = np.concatenate([self.weights, np.fromiter(map(len, fresh), np.int32, len(fresh))])
             self.known.update(zip(new, map(self.words.__getitem__, plain)))
         get = self.known.__getitem__
@@ -146,13 +155,19 @@ class Model:
         size = np.array([len(c) for c in chunks], np.int64)
         path, switches = viterbi(self.scores, row, size, SWITCH)
         doc, n, c = np.repeat(np.arange(len(texts)), size), len(texts), len(self.langs)
-        mass = np.bincount(doc * c + path, weights=self.weights[row], minlength=n * c).reshape(n, c)
+        known = self.weights[row] * ~self.strange[row]
+        total = np.bincount(doc, weights=self.weights[row], minlength=n)
+        mass = np.bincount(doc * c + path, weights=known, minlength=n * c).reshape(n, c)
+        got = np.bincount(doc, weights=self.scores[row, path] * ~self.strange[row], minlength=n)
         gain = np.stack([np.bincount(doc, weights=self.scores[row, k], minlength=n) for k in range(c)], axis=1)
-        total, best, at = mass.sum(1), mass.argmax(1), np.arange(n)
+        best, at = mass.argmax(1), np.arange(n)
         others = gain.copy()
         others[at, best] = -np.inf
         margin = np.clip(gain[at, best] - others.max(1), 0, 30) if c > 1 else np.full(n, 30.0)
-        score = np.where(total > 0, mass[at, best] / np.maximum(total, 1) / (1 + np.exp(-margin)), 0.0)
+        sure = np.maximum(mass.sum(1), 1)
+        below = (mass @ self.usual - got) / sure
+        learned = (mass[at, best] >= total - mass.sum(1)) & (below < FAR + FAR_SHORT / np.sqrt(sure))
+        score = np.where((total > 0) & learned, mass[at, best] / np.maximum(total, 1) / (1 + np.exp(-margin)), 0.0)
         return [(self.langs[b], float(s), int(k)) if t else ("und", 0.0, 0) for b, s, t, k in zip(best.tolist(), score.tolist(), (total > 0).tolist(), (switches + 1).tolist())]
 
 
@@ -251,7 +266,7 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
     ok = ok & usable if usable is not None else ok
     sizes = {r[0]: r[1] for r in df.where(ok).groupBy(lang_col).count().collect()}
     if not sizes:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0, np.int64))
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0, np.int64), np.zeros(0))
     langs = sorted(sizes)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1 << 30, int(sample / sizes[k] * (1 << 20)))))])
     picked = df.where(ok & (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) < share[F.col(lang_col)]))
@@ -260,6 +275,7 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         bits: dict[str, int] = {}
+        size: dict[str, int] = {}
         for batch in batches:
             for first, texts in text_slices(batch, "text"):
                 for lang, t in zip(batch.column(0).slice(first, len(texts)).to_pylist(), texts):
@@ -268,28 +284,31 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
                         bucket, real, _, codes = grams(words)
                         vector = seen.setdefault(lang, np.zeros(BUCKETS, np.float64))
                         vector += np.bincount(bucket[real], minlength=BUCKETS)
+                        size[lang] = size.get(lang, 0) + sum(map(len, words))
                         for b in np.unique(scripts_of(words, codes)).tolist():
                             bits[lang] = bits.get(lang, 0) | b
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v.tobytes() for v in seen.values()]), pa.array([bits.get(k, 0) for k in seen], pa.int64())], ["lang", "counts", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v.tobytes() for v in seen.values()]), pa.array([bits.get(k, 0) for k in seen], pa.int64()), pa.array([size[k] for k in seen], pa.int64())], ["lang", "counts", "bits", "letters"])
 
     counts = np.zeros((BUCKETS, len(langs)))
-    scripts = np.zeros(len(langs), np.int64)
-    for lang, vector, seen in picked.mapInArrow(count, "lang string, counts binary, bits long").collect():
+    scripts, size = np.zeros(len(langs), np.int64), np.zeros(len(langs), np.int64)
+    for lang, vector, seen, n in picked.mapInArrow(count, "lang string, counts binary, bits long, letters long").collect():
         counts[:, langs.index(lang)] += np.frombuffer(vector, np.float64)
         scripts[langs.index(lang)] |= seen
-    return Model(langs, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)), scripts)
+        size[langs.index(lang)] += n
+    table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS))
+    return Model(langs, table, scripts, (counts * table).sum(0) / np.maximum(size, 1))
 
 
 def _worker(shared) -> Model:
     """The model of this Python worker, with its cache of words."""
-    langs, table, scripts = shared.value
-    return vec.worker_slot(("langid", *langs, hash(table.tobytes())), lambda: Model(langs, table, scripts))
+    langs, table, scripts, usual = shared.value
+    return vec.worker_slot(("langid", *langs, hash(table.tobytes())), lambda: Model(langs, table, scripts, usual))
 
 
 def _shared(df: DataFrame, model: Model):
     """The model as a broadcast; its size is fixed by ``BUCKETS`` and the languages."""
-    return df.sparkSession.sparkContext.broadcast((model.langs, model.table.astype(np.float32), model.scripts))
+    return df.sparkSession.sparkContext.broadcast((model.langs, model.table.astype(np.float32), model.scripts, model.usual))
 
 
 def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,7 +329,7 @@ def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def keep(df: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose language is known with a score of ``least`` or more, all columns.
 
-    A null label becomes the predicted language.
+    Texts in no learned language have score 0 and go.  A null label becomes the predicted language.
     """
     shared = _shared(df, model)
 

@@ -58,6 +58,19 @@ def test_scripts_narrow(spark):
     assert [p[0] for p in m.predict(["неизвестно", "unknown", "123", ""])] == ["ru", "en", "und", "und"]
 
 
+def test_unlearned_languages_go(spark, docs, langs):
+    rng = np.random.default_rng(5)
+    noise = " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(3, 10))) for _ in range(60))
+    good = next(r.text for r in docs.where("lang = 'en'").where("n_chars > 400").collect())
+    real = "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood."
+    russian, chinese = "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由 在尊严和权利上一律平等"
+    texts = [russian, chinese, noise, f"{russian} {russian} words of text", good, real, f"{good} {chinese}"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in langid.keep(df, langs, least=0.2).collect()}
+    assert kept == {4: "en", 5: "en", 6: "en"}
+    assert [r.score for r in langid.predict(df, langs).orderBy("doc_id").collect()[:4]] == [0.0] * 4
+
+
 def test_no_labels(docs):
     m = langid.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.predict(docs, m).collect()} == {"und"}
