@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.llm import vec
 from plumbline.llm.bpe import text_slices
 
 _UNSAFE = re.compile(r" (?:\s|\Z)")
-COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+COLUMNS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class CachedIds:
@@ -152,8 +152,7 @@ class Pools:
             heapq.heappush(load, (weight + tier, g))
             offset = 0
             for length, (key, ids, total), start in pieces:
-                crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-                self.rows.append((key, start, length, crc, total, self.first_id + self.sequences, offset, tier, self.first_id + self.groups + g))
+                self.rows.append((key, start, length, ids[4 * start : 4 * (start + length)], total, self.first_id + self.sequences, offset, tier, self.first_id + self.groups + g))
                 offset += length
             self.sequences += 1
         self.groups += n
@@ -165,7 +164,7 @@ def pack(df: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id",
 
     A null or empty text is one end id.  Rows with equal ids or texts are packed
     one by one.  Other columns of the input are ignored.  Columns: the id, start,
-    length, ids_crc32, doc_tokens, sequence_id, offset, tier (the sequence's
+    length, ids (four little-endian bytes each), ids_crc32 of them, doc_tokens, sequence_id, offset, tier (the sequence's
     length) and step_group.  ``pool_tokens`` and ``group_tokens`` bound what a
     task holds and a step's tokens; they drop nothing.
     """
@@ -179,8 +178,9 @@ def pack(df: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id",
         def flush() -> Iterator[pa.RecordBatch]:
             if pools.rows:
                 rows, pools.rows = pools.rows, []
-                key, *rest, tier, group = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key, id_type), *(pa.array(x, pa.int64()) for x in rest), pa.array(tier, pa.int32()), pa.array(group, pa.int64())], [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
+                key, start, length, ids, *rest, tier, group = zip(*rows)
+                long = [pa.array(x, pa.int64()) for x in (start, length, *rest, group)]
+                yield pa.RecordBatch.from_arrays([pa.array(key, id_type), *long[:2], pa.array(ids, pa.binary()), *long[2:-1], pa.array(tier, pa.int32()), long[-1]], [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -193,4 +193,4 @@ def pack(df: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id",
             pools.pack(True)
             yield from flush()
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}").withColumn("ids_crc32", F.crc32("ids"))

@@ -56,7 +56,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.tiktoken"))
+    made = packing.pack(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.tiktoken"))
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,20 @@ def test_packing(docs, texts, none):
     assert packing.pack(none, path, P.PATTERN).count() == 0
 
 
+def test_packing_returns_ids(docs, texts):
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    copies = docs.groupBy("doc_id").count().where("count = 1").select("doc_id")
+    pieces = packing.pack(docs.join(copies, "doc_id", "left_semi"), path, P.PATTERN).toPandas()
+    assert (pieces.ids.map(len) == 4 * pieces.length).all() and (pieces.ids.map(zlib.crc32) == pieces.ids_crc32).all()
+    for key, g in pieces.sort_values("start").groupby("doc_id"):
+        assert ids(b"".join(g.ids)) == [*t.encode_ordinary(texts[key]), 1]
+    for _, g in pieces.sort_values("offset").groupby("sequence_id"):
+        assert len(b"".join(g.ids)) <= 4 * g.tier.iloc[0]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 6000), max_size=60), st.integers(2000, 20_000))
 def test_pools(sizes, pool):
