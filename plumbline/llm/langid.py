@@ -42,6 +42,7 @@ BUCKETS, SWITCH = 1 << 16, 12.0
 MOST = 10.0
 #: Nats per letter below the learned sample from which a text is in no learned language; more for short texts.
 FAR, FAR_SHORT = 8.0, 12.0
+_CHUNK = re.compile(r"\S+")
 _NO_WORD = re.compile(r"[\d@/\\]")
 #: First code point of each script range, in order; fixed values.
 SCRIPTS = (
@@ -139,21 +140,46 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, int]]:
         """(language, score, number of spans) of each text."""
-        out = self._predict(texts)
+        return [(lang, score, len(runs)) for lang, score, runs in self._labels(texts)[0]]
+
+    def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """(language, score, spans) of each text, a span being (start, end, language).
+
+        Offsets are code points, the end exclusive.  A span reaches from its first
+        word or other chunk to its last, so only white space is in none.
+        """
+        out, again = self._labels(texts)
+        for i, (lang, score, runs) in enumerate(out):
+            t = texts[i]
+            if len(runs) == 1 and i not in again:
+                spans = [(len(t) - len(t.lstrip()), len(t.rstrip()), runs[0][2])]
+            elif runs:
+                at = [m.span() for m in _CHUNK.finditer(t) if i not in again or any(map(str.isalpha, m.group()))]
+                spans = [(at[a][0], at[b - 1][1], k) for a, b, k in runs]
+            else:
+                spans = []
+            out[i] = lang, score, spans
+        return out
+
+    def _labels(self, texts: list[str]) -> tuple[list[tuple[str, float, list[tuple[int, int, str]]]], set[int]]:
+        """What _predict gives, and which texts were judged by the letters of all chunks that have one."""
+        out, again = self._predict(texts), set()
         # Texts whose only letters stand in keys, numbers and addresses are judged by those.
         for i, (lang, *_) in enumerate(out):
             if lang == "und" and self.langs and any(map(str.isalpha, texts[i])):
                 plain = ["".join(filter(str.isalpha, c)) for c in texts[i].split()]
                 out[i] = self._predict([" ".join(plain)])[0]
-        return out
+                again.add(i)
+        return out, again
 
-    def _predict(self, texts: list[str]) -> list[tuple[str, float, int]]:
+    def _predict(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """(language, score, runs) of each text, a run being (first chunk, chunk after the last, language)."""
         if not self.langs or not texts:
-            return [("und", 0.0, 0)] * len(texts)
+            return [("und", 0.0, [])] * len(texts)
         chunks = [t.split() for t in texts]
         row = self.rows(chunks)
         size = np.array([len(c) for c in chunks], np.int64)
-        path, switches = viterbi(self.scores, row, size, SWITCH)
+        path, _ = viterbi(self.scores, row, size, SWITCH)
         doc, n, c = np.repeat(np.arange(len(texts)), size), len(texts), len(self.langs)
         known = self.weights[row] * ~self.strange[row]
         total = np.bincount(doc, weights=self.weights[row], minlength=n)
@@ -161,14 +187,20 @@ class Model:
         got = np.bincount(doc, weights=self.scores[row, path] * ~self.strange[row], minlength=n)
         gain = np.stack([np.bincount(doc, weights=self.scores[row, k], minlength=n) for k in range(c)], axis=1)
         best, at = mass.argmax(1), np.arange(n)
-        others = gain.copy()
+        others = gain.astype(np.float64)  # counts of no word at all are integers
         others[at, best] = -np.inf
         margin = np.clip(gain[at, best] - others.max(1), 0, 30) if c > 1 else np.full(n, 30.0)
         sure = np.maximum(mass.sum(1), 1)
         below = (mass @ self.usual - got) / sure
         learned = (mass[at, best] >= total - mass.sum(1)) & (below < FAR + FAR_SHORT / np.sqrt(sure))
         score = np.where((total > 0) & learned, mass[at, best] / np.maximum(total, 1) / (1 + np.exp(-margin)), 0.0)
-        return [(self.langs[b], float(s), int(k)) if t else ("und", 0.0, 0) for b, s, t, k in zip(best.tolist(), score.tolist(), (total > 0).tolist(), (switches + 1).tolist())]
+        head = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(path, prepend=-1))
+        own, tail = doc[head], np.append(head[1:], len(row))
+        first = (np.cumsum(size) - size)[own]
+        runs: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        for d, a, z, k in zip(own.tolist(), (head - first).tolist(), (tail - first).tolist(), path[head].tolist()):
+            runs[d].append((a, z, self.langs[k]))
+        return [(self.langs[b], float(s), r) if t else ("und", 0.0, []) for b, s, t, r in zip(best.tolist(), score.tolist(), (total > 0).tolist(), runs)]
 
 
 def viterbi(scores: np.ndarray, row: np.ndarray, size: np.ndarray, switch: float, span: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +344,10 @@ def _shared(df: DataFrame, model: Model):
 
 
 def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: id, lang_pred, score, n_spans."""
+    """One row for each input row: id, lang_pred, score, spans.
+
+    Spans are structs (start, end, lang) in order, by code points, the end exclusive.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     shared = _shared(df, model)
 
@@ -320,10 +355,13 @@ def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         m = _worker(shared)
         for batch in batches:
             for first, texts in text_slices(batch, text_col, 2_000_000):
-                lang, score, n = zip(*m.predict(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(lang), pa.array(score), pa.array(n, pa.int64())], [id_col, "lang_pred", "score", "n_spans"])
+                lang, score, spans = zip(*m.label(texts))
+                a, b, k = zip(*(x for s in spans for x in s)) if any(spans) else ((), (), ())
+                each = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(k, pa.string())], ["start", "end", "lang"])
+                spans = pa.ListArray.from_arrays(np.cumsum([0, *map(len, spans)]).astype(np.int32), each)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(lang), pa.array(score), spans], [id_col, "lang_pred", "score", "spans"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, n_spans long")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def keep(df: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -36,7 +36,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     out = langid.predict(docs, langid.fit(docs, usable=~langid.held_out("doc_id")))
-    return out.withColumn("held_out", langid.held_out("doc_id"))
+    return out.select("doc_id", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), langid.held_out("doc_id").alias("held_out"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,20 @@ def test_mixed_text_has_spans(langs, docs):
     assert lang == "en" and spans == 2 and 0.4 < score < 0.9
 
 
+def test_spans_of_mixed_text(spark, docs, langs):
+    by = {lang: next(r.text for r in docs.where(F.col("lang") == lang).where("n_chars > 400").collect()) for lang in ("en", "de")}
+    en, de = (" \n".join(by[k].split()[:50]) for k in ("en", "de"))
+    texts = [f" 𝄞 {en}\t{de} 12 ", en, "", None, " 12ab/x1 3 ", f"{de} {en} {de}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in langid.predict(rows, langs).collect()}
+    (a, b, first), (c, d, second) = found[0]
+    assert (a, first, d, second) == (1, "en", len(texts[0]) - 1, "de") and c == b + 1 and abs(b - len(en) - 3) <= 20
+    assert found[1] == [(0, len(en), "en")] and found[2] == found[3] == []
+    assert [s[:2] for s in found[4]] == [(1, 8)]
+    assert [s[2] for s in found[5]] == ["de", "en", "de"]
+    assert [(x[0], x[2]) for x in langs.predict([t or "" for t in texts])] == [(x[0], len(x[2])) for x in langs.label([t or "" for t in texts])]
+
+
 @pytest.mark.parametrize("span", [1, 2, 3, 256])
 def test_viterbi_is_the_best_path(span):
     rng = np.random.default_rng(1)
