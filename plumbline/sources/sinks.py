@@ -38,8 +38,11 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_xlsx(rows: DataFrame, stats: DataFrame, path: str) -> str | None:
-    """Two sheets, result and statistics; None where the spreadsheet library is missing."""
+def write_xlsx(rows: DataFrame, stats: DataFrame, path: str, most: int = 100_000) -> str | None:
+    """Two sheets, result and statistics; None where the spreadsheet library is missing.
+
+    More than ``most`` rows in either are an error, and are for ``write_csv``.
+    """
     try:
         import openpyxl
     except ImportError:
@@ -48,7 +51,10 @@ def write_xlsx(rows: DataFrame, stats: DataFrame, path: str) -> str | None:
     for title, t in (("result", rows), ("statistics", stats)):
         sheet = book.create_sheet(title)
         sheet.append(t.columns)
-        for r in t.limit(100_000).collect():
+        got = t.limit(most + 1).collect()
+        if len(got) > most:
+            raise ValueError(f"more than {most} rows; use write_csv")
+        for r in got:
             sheet.append(list(r))
     book.remove(book.worksheets[0])
     book.save(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.sources import adapters, experiments, schemas
+from plumbline.sources import adapters, experiments, schemas, sinks
 from plumbline.streaming import sheets
 
 MARKS = {
@@ -100,3 +100,18 @@ def test_stream(spark, tmp_path):
     q = sheets.report_each(sheets.replies(spark, str(source)), marks, lambda df, n: out.extend(df.collect()), str(tmp_path / "check"))
     q.awaitTermination(120)
     assert sorted((r.page_number, r.length_mm, r.formula) for r in out) == [(1, 3.0, "1 + 2 = 3 мм"), (2, 6.0, "2 + 4 = 6 мм")]
+
+
+def test_xlsx_drops_no_row(spark, monkeypatch):
+    import sys
+    from unittest.mock import MagicMock
+
+    library = MagicMock()
+    monkeypatch.setitem(sys.modules, "openpyxl", library)
+    few, many = spark.range(2), spark.range(100_001)
+    assert sinks.write_xlsx(few, few, "report.xlsx") == "report.xlsx"
+    library.Workbook().save.assert_called_once_with("report.xlsx")
+    for rows, stats in ((many, few), (few, many)):
+        with pytest.raises(ValueError, match="use write_csv"):
+            sinks.write_xlsx(rows, stats, "report.xlsx")
+    library.Workbook().save.assert_called_once()
