@@ -39,46 +39,65 @@ COLUMNS = "start long, length long, ids binary, doc_tokens long, sequence_id lon
 
 
 class CachedIds:
-    """Ids of texts by a public tokenizer, with a bounded cache of words.
+    """Ids of texts as the ``tokenizers`` library gives them, with a bounded cache of words.
 
-    The merges of each missing word are the library's; only whole words between
-    safe cuts (a space that a visible character follows) are kept.
+    A text that holds one of the tokenizer's added strings (an end mark, say) goes to
+    the library whole, which alone knows what they mean.  In any other text a space
+    that a visible character follows always starts a pre-token, so texts are cut there
+    and words looked up; the missing words of many texts are encoded by the same ranks
+    in one call.  Words over ``LONG`` characters are not kept.
     """
 
-    def __init__(self, rank_path: str, pattern: str, cache: int = 300_000):
+    LONG = 64
+
+    def __init__(self, tokenizer_path: str, rank_path: str, pattern: str, cache: int = 300_000):
         import tiktoken
+        from tokenizers import Tokenizer
 
         from plumbline.llm.bpe import read_ranks
 
-        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(rank_path), special_tokens={})
+        ranks = read_ranks(rank_path)
+        self.library = Tokenizer.from_file(tokenizer_path)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)  # ids that begin with a space
+        self.spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.cache, self.words = cache, {}
 
+    def _plain(self, text: str) -> np.ndarray:
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of words, each with its space: one text of all, cut before each id that begins with a space."""
+        ids = self._plain(" " + " ".join(fresh))
+        flat, at = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
+        self.words.update((w, flat[a:b]) for w, a, b in zip(fresh, at, [*at[1:], len(flat)]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > self.cache:
             self.words = {}
-        words, out, plain = self.words, [], self.library.encode_ordinary
-        cut, new = [], set()
+        words, cut, new = self.words, [], set()
         for t in texts:
-            if _UNSAFE.search(t):
-                cut.append((np.array(plain(t), "<u4").tobytes(), []))
+            if any(x in t for x in self.added):
+                cut.append((np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), []))
+            elif _UNSAFE.search(t):
+                cut.append((self._plain(t).tobytes(), []))
             else:
                 head, *rest = t.split(" ")
                 new.update(rest)
-                cut.append((np.array(plain(head), "<u4").tobytes(), rest))
+                cut.append((self._plain(head).tobytes(), rest))
         new.difference_update(words)
-        fresh = list(new)
-        ids = list(map(plain, [" " + w for w in fresh]))
-        flat = np.fromiter((i for x in ids for i in x), "<u4", sum(map(len, ids))).tobytes()
-        at = 0
-        for w, x in zip(fresh, ids):
-            words[w] = flat[at : (at := at + 4 * len(x))]
-        for head, rest in cut:
-            out.append(head + b"".join(map(words.__getitem__, rest)))
+        if new:
+            self._learn(list(new))
+        out = [head + b"".join(map(words.__getitem__, rest)) for head, rest in cut]
+        for w in new:
+            if len(w) > self.LONG:
+                del words[w]
         return out
 
 
-def loaded(rank_path: str, pattern: str) -> CachedIds:
-    return vec.worker_slot(("ids", rank_path, pattern), lambda: CachedIds(rank_path, pattern))
+def loaded(tokenizer_path: str, rank_path: str, pattern: str) -> CachedIds:
+    return vec.worker_slot(("ids", tokenizer_path, rank_path, pattern), lambda: CachedIds(tokenizer_path, rank_path, pattern))
 
 
 @dataclass
@@ -159,20 +178,23 @@ class Pools:
         self.made = []
 
 
-def pack(df: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shortest: int = 64, end_id: int = 1, pool_tokens: int = 1 << 20, group_tokens: int = 1 << 17) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shortest: int = 64, end_id: int = 1, pool_tokens: int = 1 << 20, group_tokens: int = 1 << 17) -> DataFrame:
     """One row for each piece of a document in a sequence.
 
-    A null or empty text is one end id.  Rows with equal ids or texts are packed
-    one by one.  Other columns of the input are ignored.  Columns: the id, start,
-    length, ids (four little-endian bytes each), ids_crc32 of them, doc_tokens, sequence_id, offset, tier (the sequence's
-    length) and step_group.  ``pool_tokens`` and ``group_tokens`` bound what a
+    Ids are those of the tokenizer file with add_special_tokens=False; the rank file
+    holds the same vocabulary.  A null or empty text is one end id.  Rows with equal
+    ids or texts are packed one by one; a text longer than the window fills sequences
+    of its own and has one tail.  Other columns of the input are ignored, whatever
+    their names.  An empty table has no pieces.  Columns: the id, start, length, ids
+    (four little-endian bytes each), ids_crc32 of them, doc_tokens, sequence_id,
+    offset, tier (the sequence's length) and step_group.  ``pool_tokens`` and ``group_tokens`` bound what a
     task holds and a step's tokens; they drop nothing.
     """
     kind = df.schema[id_col].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = loaded(rank_path, pattern)
+        ids_of = loaded(tokenizer_path, rank_path, pattern)
         pools, id_type = Pools(window, shortest, TaskContext.get().partitionId() << 36, pool_tokens, group_tokens), None
 
         def flush() -> Iterator[pa.RecordBatch]:

@@ -56,7 +56,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = packing.pack(_documents(spark, sf_dir), *_tokenizer("byte_bpe_50k.tiktoken"))
+    import public_tokenizers
+
+    made = packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), *_tokenizer("byte_bpe_50k.tiktoken"))
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from plumbline.llm import bpe, packing
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
+FILES = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
 @pytest.fixture(scope="module")
@@ -66,13 +67,16 @@ def test_long_token(library):
     assert ids(bpe.loaded(PATH, P.PATTERN).encode([text])[0]) == library.encode_ordinary(text)
 
 
-def test_packing(docs, texts, none):
+def test_packing(spark, docs, texts, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    path = P.path("byte_bpe_50k.tiktoken")
-    pieces = packing.pack(docs, path, P.PATTERN).toPandas()
+    marked = spark.createDataFrame([(20_000, "hello <|endoftext|> world"), (20_001, "<|endoftext|><|endoftext|>\n x"), (20_002, "a  b<|endoftext|> ")], "doc_id long, text string")
+    docs = docs.unionByName(marked, allowMissingColumns=True)
+    texts = texts | {r.doc_id: r.text for r in marked.collect()}
+    pieces = packing.pack(docs, *FILES).toPandas()
+    ended = pieces[pieces.doc_id == 20_000].sort_values("start")
+    assert ids(b"".join(ended.ids)) == [31373, 220, 50256, 995, 1]
     copies = {r.doc_id: r.n for r in docs.groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
     for key, g in pieces.groupby("doc_id"):
         want = np.array([*t.encode(texts[key], add_special_tokens=False).ids, 1], "<u4")
@@ -91,18 +95,15 @@ def test_packing(docs, texts, none):
         assert n <= 2048
         padding += 0 if n & (n - 1) == 0 else 2048 - n
     assert padding <= 2048 * docs.rdd.getNumPartitions()
-    steps = pieces.drop_duplicates("sequence_id").groupby("step_group").tier.sum()
-    assert steps.max() - steps.min() <= 2 * 2048 or len(steps) > 1
-    assert packing.pack(none, path, P.PATTERN).count() == 0
+    assert packing.pack(none, *FILES).count() == 0
 
 
 def test_packing_returns_ids(docs, texts):
     import tiktoken
 
-    path = P.path("byte_bpe_50k.tiktoken")
-    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(FILES[1]), special_tokens={})
     copies = docs.groupBy("doc_id").count().where("count = 1").select("doc_id")
-    pieces = packing.pack(docs.join(copies, "doc_id", "left_semi"), path, P.PATTERN).toPandas()
+    pieces = packing.pack(docs.join(copies, "doc_id", "left_semi"), *FILES).toPandas()
     assert (pieces.ids.map(len) == 4 * pieces.length).all() and (pieces.ids.map(zlib.crc32) == pieces.ids_crc32).all()
     for key, g in pieces.sort_values("start").groupby("doc_id"):
         assert ids(b"".join(g.ids)) == [*t.encode_ordinary(texts[key]), 1]
@@ -110,6 +111,34 @@ def test_packing_returns_ids(docs, texts):
         assert len(b"".join(g.ids)) <= 4 * g.tier.iloc[0]
 
 
+def test_any_ids():
+    """Texts of odd white space, letters and end marks, against the library with its default settings."""
+    from tokenizers import Tokenizer
+
+    t, ours = Tokenizer.from_file(FILES[0]), packing.CachedIds(*FILES)
+    rng = np.random.default_rng(6)
+    parts = [*"ab é  \n\t\x1c\x85'sS1.漢", "<|endoftext|>", "　", " 's", "don't ", "<|endof", " w" * 3, "x" * 200]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 40))) for _ in range(3000)]
+    for _ in range(2):  # the second time from the cache
+        for text, got in zip(texts, ours.encode(texts)):
+            assert ids(got) == t.encode(text, add_special_tokens=False).ids
+    assert max(map(len, ours.words)) <= ours.LONG
+
+
+def test_step_groups_are_even():
+    p = packing.Pools(2048, 64, 0, 1 << 22, 1 << 14)
+    rng = np.random.default_rng(2)
+    for k, n in enumerate(rng.integers(1, 5000, 400).tolist()):
+        p.add(k, np.arange(n, dtype="<u4").tobytes())
+    p.pack(True)
+    load, tier = {}, {}
+    for *_, sequence, _, size, group in p.rows:
+        tier[sequence] = (group, size)
+    for group, size in tier.values():
+        load[group] = load.get(group, 0) + size
+    assert len(load) > 10 and max(load.values()) - min(load.values()) <= 2048
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 6000), max_size=60), st.integers(2000, 20_000))
 def test_pools(sizes, pool):
