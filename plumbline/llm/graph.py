@@ -1,29 +1,35 @@
-"""Connected components by alternating large and small stars, and saved tables."""
+"""Connected components by alternating large and small stars, joins with hot keys, and saved tables."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than this share of all rows is hot; there are fewer than ``HEAVY`` such keys.
+HEAVY = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's setting, or one of our own where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, whose executors are the driver, gets one of its
+    own; a cluster must name one.
+    """
     own = spark.sparkContext.getCheckpointDir()
-    found = spark.conf.get("spark.checkpoint.dir", None) or own or tempfile.mkdtemp(prefix="plumbline-")
+    found = spark.conf.get("spark.checkpoint.dir", None) or own
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="plumbline-")
     if not own:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def save(df: DataFrame) -> DataFrame:
-    """The rows of df, cut from their lineage by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def write(df: DataFrame) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder, reread; and its path."""
     spark = df.sparkSession
@@ -37,23 +43,67 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def tables_of(df: DataFrame) -> set[str]:
+    """Paths of the tables made by ``write`` that df reads."""
+    return {m.group() for f in df.inputFiles() if (m := re.match(r".*/plumbline-[0-9a-f]{32}(?=/)", f))}
+
+
+class Scratch:
+    """Tables of one job in the shared folder, which cut its lineage."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def save(self, df: DataFrame) -> DataFrame:
+        out, path = write(df)
+        self.paths.append(path)
+        return out
+
+    def clear(self, since: int = 0) -> None:
+        """Remove the tables saved from number ``since`` on, but the last one."""
+        gone, self.paths[since:] = self.paths[since:-1], self.paths[-1:]
+        for path in gone:
+            remove(self.spark, path)
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of rows with facts, which hold each key once and its number of rows (``size``).
+
+    A key that holds more than one in ``HEAVY`` of all rows is hot.  There are fewer
+    than ``HEAVY`` hot keys, so their facts are broadcast and their rows stay where
+    they are; only the other rows are shuffled.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HEAVY > total
+    heavy = facts.where(hot).select(key)
+    spread = rows.join(F.broadcast(facts.where(hot)), key)
+    return spread.unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(facts.where(~hot), key))
+
+
+def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
     """(node, root) for each node of an edge list (a, b); root is the least node.
 
-    Minima are aggregated before they are shuffled, so hubs are no hot keys; every
-    round ends in a checkpoint.
+    Minima are aggregated before they are shuffled and reach the edges of hubs by
+    ``attach``, so no task gets a hub.  Every round ends in a saved table, and the
+    table of the round before is removed.
     """
-    e = save(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    before = None
+    since = len(scratch.paths)
+    e, before = scratch.save(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()), None
     for _ in range(most):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(least, "a")
-        e = save(linked.select("a", F.col("m").alias("b")).unionAll(linked.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))).distinct())
+        least = scratch.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("b").alias("size")))
+        large = attach(both, least, "a", "size").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = scratch.save(large)
+        small = scratch.save(large.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("size")))
+        linked = attach(large, small, "a", "size")
+        e = scratch.save(linked.select("a", F.col("m").alias("b")).unionAll(linked.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))).distinct())
+        scratch.clear(since)
         now = e.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionAll(e.select("b").distinct().join(e.select("a").distinct(), F.col("b") == F.col("a"), "left_anti").select(F.col("b").alias("node"), F.col("b").alias("root")))
+            roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+            own = e.select("b").distinct().join(e.select("a").distinct(), F.col("b") == F.col("a"), "left_anti")
+            found = scratch.save(roots.unionAll(own.select(F.col("b").alias("node"), F.col("b").alias("root"))))
+            scratch.clear(since)
+            return found
         before = now
     raise RuntimeError("components did not settle")
