@@ -9,13 +9,16 @@ that it ends: a running sum, in four 31-bit lanes, of hashes of (position, role,
 text).  The hash of a whole conversation is looked up among the proper prefixes
 of all, after both sides were reduced to distinct keys, by an anti-join.
 
-A conversation is handled in blocks of ``BLOCK`` turn numbers, so one that holds
-a third of all rows is spread over tasks; what passes between its blocks is a row
-for each block.  Rendered text comes back by block (``part``), in order.
+Positions come from one range sort of the turns' keys (without their texts): a
+conversation of any size, whatever its turn numbers, is spread over the sort's
+partitions, and what passes between them is one row for each partition and
+conversation.  Rendered text comes back in parts of ``BLOCK`` positions.
 
 Defined cases: rows without a conv_id belong to no conversation and are left out.
-A null turn sorts first, null role and text are empty.  Turns with equal numbers
-go by role, then text; repeated rows are repeated turns.
+A null turn sorts first; null role and text are empty.  Turns with equal numbers
+go by the MD5 of role and text; repeated rows are repeated turns.  A text of any
+length is one turn of one part.  Other columns are ignored, whatever their names;
+an empty table has no conversations.
 """
 
 from __future__ import annotations
@@ -23,8 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm import graph
+
 BLOCK = 256
 _LANES = ("a", "b", "c", "d")
+_FIRST = -(1 << 63)
 
 
 def _lanes(*values: Column) -> list[Column]:
@@ -34,35 +40,48 @@ def _lanes(*values: Column) -> list[Column]:
 
 
 def turns(df: DataFrame) -> DataFrame:
-    """(conv, blk, turn, role, text) with nulls defined."""
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long"))
-    return df.where(F.col("conv_id").isNotNull()).select(
-        F.col("conv_id").alias("conv"), F.floor(turn / BLOCK).alias("blk"), turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-
-
-def prefixes(df: DataFrame) -> DataFrame:
-    """(conv, blk, p, n, k1, k2): each turn's position, its conversation's length and its prefix hash."""
-    rows = turns(df).withColumn("h", F.xxhash64("role", "text")).withColumn("h2", F.xxhash64("text", F.lit(5), "role"))
-    inside = Window.partitionBy("conv", "blk").orderBy("turn", "role", "text")
-    rows = rows.select("conv", "blk", "h", "h2", F.row_number().over(inside).alias("r"))
+    """(conv, turn, m, role, text) with nulls defined; m is the MD5 of role and text."""
+    role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(_FIRST).cast("long"))
+    return df.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").alias("conv"), turn.alias("turn"), F.md5(F.concat(role, F.lit("\x1f"), text).cast("binary")).alias("m"), role.alias("role"), text.alias("text"))
+
+
+def positions(df: DataFrame, scratch: graph.Scratch) -> DataFrame:
+    """(conv, turn, m, c, pid, p, n): c equal turns from position p on, of n; pid is the sort's partition."""
+    keys = turns(df).groupBy("conv", "turn", "m").agg(F.count("m").alias("c"))
+    keys = keys.repartitionByRange("conv", "turn", "m").sortWithinPartitions("conv", "turn", "m")
+    keys = scratch.save(keys.select("*", F.spark_partition_id().alias("pid")))
     whole = Window.partitionBy("conv")
-    so_far = whole.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("conv", "blk").agg(F.count("h").alias("c"))
-    counts = counts.select("conv", "blk", F.coalesce(F.sum("c").over(so_far), F.lit(0)).alias("skip"), F.sum("c").over(whole).alias("n"))
-    placed = rows.join(counts, ["conv", "blk"]).withColumn("p", F.col("skip") + F.col("r"))
-    placed = placed.select("conv", "blk", "p", "n", *_lanes(F.col("p"), F.col("h"), F.col("h2")))
-    run = Window.partitionBy("conv", "blk").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    sums = placed.groupBy("conv", "blk").agg(*(F.sum(x).alias(x) for x in _LANES))
-    sums = sums.select("conv", "blk", *(F.coalesce(F.sum(x).over(so_far), F.lit(0)).alias(f"{x}0") for x in _LANES))
-    rolled = placed.select("conv", "blk", "p", "n", *(F.sum(x).over(run).alias(x) for x in _LANES)).join(sums, ["conv", "blk"])
+    counts = keys.groupBy("conv", "pid").agg(F.sum("c").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(whole.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("conv", "pid", before.alias("skip"), F.sum("rows").over(whole).alias("n"))
+    inside = Window.partitionBy("conv", "pid").orderBy("turn", "m").rowsBetween(Window.unboundedPreceding, 0)
+    run = keys.withColumn("run", F.sum("c").over(inside)).join(counts, ["conv", "pid"])
+    placed = scratch.save(run.select("conv", "turn", "m", "c", "pid", (F.col("skip") + F.col("run") - F.col("c") + 1).alias("p"), "n"))
+    scratch.clear(len(scratch.paths) - 2)
+    return placed
+
+
+def _each(placed: DataFrame) -> DataFrame:
+    """A row for each position; p is that position."""
+    return placed.withColumn("p", F.explode(F.sequence("p", F.col("p") + F.col("c") - 1)))
+
+
+def prefixes(placed: DataFrame) -> DataFrame:
+    """(conv, p, n, k1, k2): each position, its conversation's length and its prefix hash."""
+    rows = _each(placed).select("conv", "pid", "p", "n", *_lanes(F.col("p"), F.xxhash64("m"), F.xxhash64(F.lit(5), "m")))
+    run = Window.partitionBy("conv", "pid").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("conv").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("conv", "pid").agg(*(F.sum(x).alias(x) for x in _LANES))
+    sums = sums.select("conv", "pid", *(F.coalesce(F.sum(x).over(so_far), F.lit(0)).alias(f"{x}0") for x in _LANES))
+    rolled = rows.select("conv", "pid", "p", "n", *(F.sum(x).over(run).alias(x) for x in _LANES)).join(sums, ["conv", "pid"])
     totals = [F.col(x) + F.col(f"{x}0") for x in _LANES]
-    return rolled.select("conv", "blk", "p", "n", F.xxhash64("p", totals[0], totals[1]).alias("k1"), F.xxhash64("p", totals[2], totals[3]).alias("k2"))
+    return rolled.select("conv", "p", "n", F.xxhash64("p", totals[0], totals[1]).alias("k1"), F.xxhash64("p", totals[2], totals[3]).alias("k2"))
 
 
-def maximal(df: DataFrame) -> DataFrame:
+def maximal(placed: DataFrame) -> DataFrame:
     """(conv, n, n_copies): conversations that no other one extends or repeats."""
-    seen = prefixes(df)
+    seen = prefixes(placed)
     ends = seen.where("p = n").groupBy("p", "k1", "k2").agg(F.min("conv").alias("conv"), F.count("conv").alias("n_copies"))
     inner = seen.where("p < n").select("p", "k1", "k2").distinct()
     return ends.join(inner, ["p", "k1", "k2"], "left_anti").select("conv", F.col("p").alias("n"), "n_copies")
@@ -76,26 +95,29 @@ def segment(role: Column, text: Column) -> Column:
 def render(df: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, n_copies, rendered) of the maximal conversations.
 
-    ``part`` numbers the blocks of a conversation, ``n_turns`` the turns in the
-    part, ``n_copies`` the equal conversations.
+    ``part`` numbers the blocks of positions of a conversation, ``n_turns`` the turns
+    in the part, ``n_copies`` the equal conversations.  Texts are shuffled only here,
+    to the places of kept turns; repeated rows are one before that.
     """
-    rows = turns(df)
-    blocks = rows.select("conv", "blk").distinct()
-    wanted = blocks.join(maximal(df).select("conv", "n_copies"), "conv")
-    kept = rows.join(wanted, ["conv", "blk"])
-    parts = kept.groupBy("conv", "blk").agg(F.max("n_copies").alias("n_copies"), F.count("turn").alias("n_turns"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return parts.select(F.col("conv").alias("conv_id"), F.col("blk").alias("part"), "n_turns", "n_copies", F.array_join(F.transform("t", lambda t: segment(t.role, t.text)), "").alias("rendered"))
+    scratch = graph.Scratch(df.sparkSession)
+    placed = positions(df, scratch)
+    wanted = scratch.save(maximal(placed))
+    kept = graph.attach(placed.drop("n"), wanted, "conv", "n").select("conv", "turn", "m", "c", "p", "n_copies")
+    texts = turns(df).groupBy("conv", "turn", "m").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    rows = _each(kept.join(texts, ["conv", "turn", "m"]))
+    parts = rows.groupBy("conv", F.floor((F.col("p") - 1) / BLOCK).alias("part")).agg(F.max("n_copies").alias("n_copies"), F.count("p").alias("n_turns"), F.sort_array(F.collect_list(F.struct("p", "role", "text"))).alias("t"))
+    return parts.select(F.col("conv").alias("conv_id"), "part", "n_turns", "n_copies", F.array_join(F.transform("t", lambda t: segment(t.role, t.text)), "").alias("rendered"))
 
 
 #: DuckDB: prefixes as whole texts instead of hashes.
 ORACLE_SQL = """
-WITH t AS (
-  SELECT conv_id AS conv, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, ''), coalesce(text, '')) AS p,
-         count(*) OVER (PARTITION BY conv_id) AS n
+WITH r AS (
+  SELECT conv_id AS conv, coalesce(turn, CAST('-9223372036854775808' AS BIGINT)) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn, md5(role || chr(31) || text)) AS p, count(*) OVER (PARTITION BY conv) AS n FROM r
 ), x AS (
-  SELECT conv, turn, role, text, p, n,
+  SELECT conv, role, text, p, n,
          string_agg(role || chr(31) || text, chr(30)) OVER (PARTITION BY conv ORDER BY p ROWS UNBOUNDED PRECEDING) AS prefix
   FROM t
 ), ends AS (
@@ -103,7 +125,7 @@ WITH t AS (
 ), kept AS (
   SELECT conv, n_copies FROM ends e WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.p < x.n AND x.p = e.p AND x.prefix = e.prefix)
 )
-SELECT x.conv AS conv_id, CAST(floor(x.turn / 256) AS BIGINT) AS part, count(*) AS n_turns, max(k.n_copies) AS n_copies,
+SELECT x.conv AS conv_id, (x.p - 1) // 256 AS part, count(*) AS n_turns, max(k.n_copies) AS n_copies,
        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY p) AS rendered
 FROM x JOIN kept k ON x.conv = k.conv GROUP BY 1, 2
 """
