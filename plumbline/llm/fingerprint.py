@@ -6,16 +6,24 @@ a shorter text make one shingle; a text without words has an empty sketch).
 Sketches of parts merge into the sketch of the whole, and two sketches estimate
 resemblance, containment and distinct counts.  While a sketch holds fewer than k
 hashes it is the whole set and all estimates are exact.
+
+Defined cases: null text is empty; two texts without words are alike.  Ids are
+integers; a null id comes before all others, and rows with one id follow each
+other by the hash of their text.  Texts of any length are hashed whole.  Other
+columns are ignored, whatever their names; an empty table has no rows.
 """
 
 from __future__ import annotations
 
+import json
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, WORDS = 128, 5
-#: Most ranges of ids in which neighbours are looked up.
-RANGES = 2048
+#: Characters of text in a range of neighbours, most ranges (above it ranges grow), and sampled rows for each range.
+RANGE_CHARS, RANGES, SAMPLED = 32_000_000, 1 << 16, 20
 _SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -60,8 +68,14 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def as_text(a: Column) -> Column:
-    """Ten hexadecimal digits of each hash."""
-    return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(F.shiftrightunsigned(h, 24)), 10, "0")), "")
+    """Sixteen hexadecimal digits of each hash, in order."""
+    return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+
+
+def from_text(t: Column) -> Column:
+    """The sketch that ``as_text`` wrote, to merge and compare again."""
+    digits = lambda i: F.substring(t, i * 16 + 1, F.lit(16))
+    return F.when(F.length(t) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), (F.length(t) / 16).cast("int") - 1), lambda i: F.conv(digits(i), 16, -10).cast("bigint")))
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -70,36 +84,63 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.withColumn("n_shingles", distinct_shingles(F.col("sketch"), k))
 
 
-def with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, next_text): each text with that of the next id; after the last comes the first.
+def cuts_of(docs: DataFrame) -> list[tuple[int | None, int]]:
+    """Rows (id, h) at which ranges begin, from a bounded sample of the rows of docs (id, h, text).
 
-    Ids are cut at quantiles into ranges; the first row of a range is also sent to
-    the range before it, as a row that only ends it.  So one shuffle of the texts
-    is enough, and no task holds more than a range.  Rows with one id follow each
-    other by text; null ids come first.
+    As many ranges as the texts need at ``RANGE_CHARS`` each, ``RANGES`` at most, and
+    enough for every task.  The driver gets one row for each range.
+    """
+    rows = docs.count()
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    want = min(1.0, SAMPLED * RANGES / max(rows, 1))
+    bound = F.lit(int(want * (1 << 30)))
+    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(1 << 30)) < bound) if want < 1 else docs
+    first = sample.select("id", "h", F.length("text").alias("n"))
+    held, chars = first.agg(F.count("h"), F.sum(F.col("n").cast("long"))).first()
+    if not held:
+        return []
+    n = min(RANGES, held, max(tasks, int((chars or 0) / held * rows / RANGE_CHARS) + 1))
+    # Each n-th row of the sample in order: by range partitions, so no task sorts the whole sample.
+    parts = first.select("id", "h").repartitionByRange(max(1, min(64, n)), "id", "h").sortWithinPartitions("id", "h")
+    parts = parts.select("id", "h", F.monotonically_increasing_id().alias("at"))
+    step = max(1, held // n)
+    picked = parts.where(F.pmod(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(step)) == step - 1)
+    return sorted({(r[0], r[1]) for r in picked.select("id", "h").collect()}, key=lambda c: (c[0] is not None, c[0] or 0, c[1]))
+
+
+def with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+    """(id, text, sketch, next_text, next_sketch): each row with that of the next id; after the last comes the first.
+
+    Ids are cut into ranges at rows of the table, so the first row of every range but
+    the first is known: it is also sent to the range before it, as a row that only
+    ends it.  One shuffle of texts and sketches is enough, no task holds more than a
+    range, and one id or null may fill many ranges.
     """
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = min(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
-    ranged = docs.withColumn("g", F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("id")))))
-    # The least (id, text) of each range: ids alone are aggregated, at most one row a range comes back.
-    firsts = sorted((g, lo, null) for g, lo, null in ranged.groupBy("g").agg(F.min("id"), F.max(F.col("id").isNull())).collect())
-    if not firsts:
-        return docs.select("id", "text", F.col("text").alias("next_text"))
-    heads = [(g, firsts[i - 1][0], None if null else lo, i == 0) for i, (g, lo, null) in enumerate(firsts)]
-    before = F.create_map(*[F.lit(x) for g, back, _, _ in heads for x in (g, back)])
-    least = F.create_map(*[y for g, _, lo, _ in heads for y in (F.lit(g), F.lit(lo).cast("bigint"))])
-    is_head = F.col("id").eqNullSafe(least[F.col("g")])
-    wraps = F.col("g") == firsts[0][0]
-    own = F.struct(F.col("g").alias("g"), F.lit(0).alias("turn"), F.lit(False).alias("ghost"))
-    ghost = F.struct(before[F.col("g")].alias("g"), wraps.cast("int").alias("turn"), F.lit(True).alias("ghost"))
-    dealt = ranged.select("id", "text", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))).alias("at")).select("id", "text", "at.*")
-    order = "PARTITION BY g ORDER BY turn, ghost AND turn = 0, id NULLS FIRST, text"
-    # A ghost sorts after its range: its id is larger, or its turn is.
-    return dealt.selectExpr("id", "text", "ghost", f"lead(text) OVER ({order}) AS next_text").where("NOT ghost").drop("ghost")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    least = docs.agg(F.min(F.struct("id", "h"))).first()[0]
+    if least is None:
+        return docs.select("id", "text", sketch(F.col("text"), k).alias("sketch"), F.col("text").alias("next_text"), sketch(F.col("text"), k).alias("next_sketch"))
+    cuts = [c for c in cuts_of(docs) if c != tuple(least)]
+    at = F.struct("id", "h")
+    chunk = max(1, isqrt(len(cuts)))
+    chunks = [cuts[i : i + chunk] for i in range(0, len(cuts), chunk)]
+    if chunks:
+        # One literal of all cuts; a row compares with the first of each chunk, then with those of its chunk.
+        bounds = F.from_json(F.lit(json.dumps([[{"id": i, "h": h} for i, h in c] for c in chunks])), "array<array<struct<id:bigint,h:bigint>>>")
+        coarse = F.size(F.filter(bounds, lambda c: c[0] <= at))
+        fine = F.element_at(bounds, F.greatest(coarse, F.lit(1)))
+        g = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * chunk + F.size(F.filter(fine, lambda c: c <= at)))
+        begins = F.exists(fine, lambda c: c == at)
+    else:
+        g, begins = F.lit(0), F.lit(False)
+    begins = begins | (at == F.struct(F.lit(least[0]).cast("bigint").alias("id"), F.lit(least[1]).cast("bigint").alias("h")))
+    rows = docs.select("id", "h", "text", sketch(F.col("text"), k).alias("sketch"), g.cast("int").alias("g"), begins.alias("begins"))
+    own = F.struct(F.col("g").alias("g"), F.lit(False).alias("ghost"), F.lit(0).alias("turn"))
+    ghost = F.struct(F.when(F.col("g") == 0, len(cuts)).otherwise(F.col("g") - 1).alias("g"), F.lit(True).alias("ghost"), F.lit(1).alias("turn"))
+    dealt = rows.select("id", "h", "text", "sketch", F.explode(F.when(F.col("begins"), F.array(own, ghost)).otherwise(F.array(own))).alias("at")).select("id", "h", "text", "sketch", "at.*")
+    order = "PARTITION BY g ORDER BY turn, id NULLS FIRST, h"
+    return dealt.selectExpr("id", "text", "sketch", "ghost", f"lead(text) OVER ({order}) AS next_text", f"lead(sketch) OVER ({order}) AS next_sketch").where("NOT ghost").drop("ghost")
 
 
 def edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -107,13 +148,15 @@ def edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: i
 
     The edited text replaces the last floor(n/4) of n code points by the first as
     many (or all) of the next text.  Columns: id, n_chars, edited_sha256, sketch,
-    edited_sketch, near_edited, near_next.
+    edited_sketch, near_edited, near_next, held_edited and held_next (share of the
+    text's shingles that the other one has), n_shingles.
     """
-    pairs = with_next(df, id_col=id_col, text_col=text_col)
-    n = F.length("text")
-    cut = F.floor(n / 4).cast("int")
-    pairs = pairs.select("id", "text", n.cast("long").alias("n_chars"), F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))").alias("head"), F.expr("substring(next_text, 1, cast(floor(length(text) / 4) as int))").alias("tail"), "next_text")
-    del cut
-    made = pairs.select("id", "n_chars", F.concat("head", "tail").alias("edited"), sketch(F.col("text"), k).alias("a"), sketch(F.col("next_text"), k).alias("b"))
-    made = made.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", "b", sketch(F.col("edited"), k).alias("e"))
-    return made.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", F.col("a").alias("sketch"), F.col("e").alias("edited_sketch"), resemblance(F.col("a"), F.col("e"), k).alias("near_edited"), resemblance(F.col("a"), F.col("b"), k).alias("near_next"))
+    pairs = with_next(df, id_col=id_col, text_col=text_col, k=k)
+    cut = "cast(floor(length(text) / 4) as int)"
+    pairs = pairs.selectExpr("id", "cast(length(text) as bigint) AS n_chars", "sketch AS a", "next_sketch AS b", f"concat(substring(text, 1, length(text) - {cut}), substring(next_text, 1, {cut})) AS edited")
+    made = pairs.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", "b", sketch(F.col("edited"), k).alias("e"))
+    a, b, e = map(F.col, "abe")
+    return made.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", a.alias("sketch"), e.alias("edited_sketch"), resemblance(a, e, k).alias("near_edited"), resemblance(a, b, k).alias("near_next"),
+        containment(a, e, k).alias("held_edited"), containment(a, b, k).alias("held_next"), distinct_shingles(a, k).alias("n_shingles"),
+    )

@@ -47,7 +47,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprint.edits(_documents(spark, sf_dir))
     return made.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint.as_text(F.col("sketch")).alias("fingerprint"),
-        fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+        fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "held_edited", "held_next", "n_shingles",
     )
 
 
