@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than this share of all rows is hot; there are fewer than ``HEAVY`` such keys.
-HEAVY = 1000
+#: A key with more than one in ``HEAVY`` of all rows is hot, if it has more than ``MANY``; there are fewer than ``HEAVY`` such keys.
+HEAVY, MANY = 1000, 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,15 +69,16 @@ class Scratch:
 def attach(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of rows with facts, which hold each key once and its number of rows (``size``).
 
-    A key that holds more than one in ``HEAVY`` of all rows is hot.  There are fewer
-    than ``HEAVY`` hot keys, so their facts are broadcast and their rows stay where
-    they are; only the other rows are shuffled.
+    There are fewer than ``HEAVY`` hot keys, so their facts are broadcast and their rows
+    stay where they are; only the other rows are shuffled.
     """
-    total = facts.agg(F.sum(size)).first()[0] or 0
-    hot = F.col(size) * HEAVY > total
-    heavy = facts.where(hot).select(key)
-    spread = rows.join(F.broadcast(facts.where(hot)), key)
-    return spread.unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(facts.where(~hot), key))
+    total, most = facts.agg(F.sum(size), F.max(size)).first()
+    least = max((total or 0) // HEAVY, MANY)
+    if (most or 0) <= least:
+        return rows.join(facts, key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(facts.where(F.col(size) > least).collect(), facts.schema))
+    cool = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col(size) <= least), key)
+    return rows.join(hot, key).unionByName(cool)
 
 
 def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
@@ -85,24 +86,23 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
 
     Minima are aggregated before they are shuffled and reach the edges of hubs by
     ``attach``, so no task gets a hub.  Every round ends in a saved table, and the
-    table of the round before is removed.
+    tables of the round before are removed.
     """
     since = len(scratch.paths)
     e, before = scratch.save(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()), None
     for _ in range(most):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("b").alias("size")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("b").alias("size"))
         large = attach(both, least, "a", "size").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = scratch.save(large)
-        small = scratch.save(large.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("size")))
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("size"))
         linked = attach(large, small, "a", "size")
         e = scratch.save(linked.select("a", F.col("m").alias("b")).unionAll(linked.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))).distinct())
         scratch.clear(since)
         now = e.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-            own = e.select("b").distinct().join(e.select("a").distinct(), F.col("b") == F.col("a"), "left_anti")
-            found = scratch.save(roots.unionAll(own.select(F.col("b").alias("node"), F.col("b").alias("root"))))
+            # A settled edge list is stars: each node but the roots stands once as a.
+            found = scratch.save(e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
             scratch.clear(since)
             return found
         before = now

@@ -81,8 +81,9 @@ def test_hot_keys_and_repeated_ids(spark, monkeypatch):
     rows = near_copies(60, seed=9)
     rows += [(1000 + i, " ".join(long)) for i in range(60)] + [(5, " ".join(long)), (5, "another text of its own with some words"), (6, " ".join([*long, "more"])), (6, " ".join([*long, "more"]))]
     rows += [(7, " ".join(word() for _ in range(20))) for _ in range(30)] + [(8, "the same row")] * 30
-    for heavy in (1000, 8):
+    for heavy, many in ((1000, 500), (1000, 0), (20, 5)):
         monkeypatch.setattr(graph, "HEAVY", heavy)
+        monkeypatch.setattr(graph, "MANY", many)
         check(spark, rows)
 
 
