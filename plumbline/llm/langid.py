@@ -16,8 +16,15 @@ no learned language: words in scripts of none have more letters than the main
 language, or the likelihood per letter on the path lies ``FAR`` nats and
 ``FAR_SHORT`` over the root of the number of letters below that of the sample.
 
+Memory holds for any number of languages: the path is read back from one label and
+one bit set a word, scores are kept for fewer words the more languages there are,
+and spans grow so that their tables stay within ``SPAN_CELLS``.
+
 Defined cases: null texts and texts without a letter are ``und`` with score 0.
-Equal texts get equal results.  Without any labelled row all is ``und``.
+Equal texts get equal results, so repeated rows too.  Without any labelled row all
+is ``und``.  A null id is not held out and nothing is learned from its row.  Texts
+of any length are labelled whole.  Other columns are ignored (``keep`` returns
+them), whatever their names; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +49,8 @@ BUCKETS, SWITCH = 1 << 16, 12.0
 MOST = 10.0
 #: Nats per letter below the learned sample from which a text is in no learned language; more for short texts.
 FAR, FAR_SHORT = 8.0, 12.0
+#: Most entries of the span tables of one call, and most of the scores kept by a worker.
+SPAN_CELLS, SCORE_CELLS = 4_000_000, 4_000_000
 _CHUNK = re.compile(r"\S+")
 _NO_WORD = re.compile(r"[\d@/\\]")
 #: First code point of each script range, in order; fixed values.
@@ -75,11 +84,15 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def letters(chunk: str) -> str:
-    """The letters of a chunk in lower case; none of keys, numbers and addresses."""
+    """The letters of a chunk in lower case; none of keys, numbers and addresses.
+
+    Those are written in Latin letters: in a chunk with a digit, letters of other
+    scripts count, as a whole sentence may stand without a space.
+    """
     if chunk.isalpha():
         return chunk.lower()
     if _NO_WORD.search(chunk):
-        return ""
+        return "" if chunk.isascii() else "".join([c for c in chunk if c >= "\u0370" and c.isalpha()]).lower()
     return "".join([c for c in chunk if c.isalpha()]).lower()
 
 
@@ -103,7 +116,6 @@ class Model:
     table: np.ndarray  # bucket x language, log probabilities
     scripts: np.ndarray  # language -> bits of scripts
     usual: np.ndarray  # language -> log probability per letter in the sample
-    cap: int = 250_000
     known: dict = field(default_factory=dict)  # chunk of text -> row
     words: dict = field(default_factory=dict)  # its letters -> row
     scores: np.ndarray | None = None
@@ -115,7 +127,7 @@ class Model:
 
         Row 0 is for chunks without a letter.
         """
-        if len(self.known) > self.cap or self.scores is None:
+        if len(self.known) > SCORE_CELLS // max(16, len(self.langs)) or self.scores is None:
             self.known, self.words = {}, {"": 0}
             self.scores, self.weights = np.zeros((1, len(self.langs)), np.float32), np.zeros(1, np.int32)
             self.strange = np.zeros(1, bool)
@@ -206,12 +218,15 @@ class Model:
 def viterbi(scores: np.ndarray, row: np.ndarray, size: np.ndarray, switch: float, span: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Best label of each word and the number of changes, for all documents at once.
 
-    Documents are cut into spans of words.  All spans run side by side, for each
-    label of their first word: value[s, i, j] is the best score of span s from label
-    i to label j.  Then the spans of each document are joined, and the path is read
-    back.  So the number of steps is that of a span, however long a document is.
+    Documents are cut into spans of ``span`` words or more.  All spans run side by
+    side, for each label of their first word: value[s, i, j] is the best score of span
+    s from label i to label j.  Then the spans of each document are joined, which gives
+    their first labels, and run once more from those, keeping for each word the best
+    label before it and the labels that it is better to stay with.  So the number of
+    steps is that of a span, however long a document is.
     """
     c, docs = scores.shape[1], len(size)
+    span = max(span, -(-len(row) * c * c // SPAN_CELLS))
     first = np.cumsum(size) - size
     parts = -(-size // span)
     owner = np.repeat(np.arange(docs), parts)
@@ -221,30 +236,25 @@ def viterbi(scores: np.ndarray, row: np.ndarray, size: np.ndarray, switch: float
     order = np.argsort(-length, kind="stable")
     start, steps = begin[order], int(length.max(initial=0))
     running = np.searchsorted(-length[order], -np.arange(steps), side="left")
-    labels = np.arange(c, dtype=np.int8)
+    labels = np.arange(c, dtype=np.int16)
     value = np.full((len(order), c, c), -np.inf, np.float32)
-    back = np.zeros((len(row), c, c), np.int8)
     for t in range(steps):
-        a = running[t]
-        at = start[:a] + t
-        own = scores[row[at]]
+        own = scores[row[start[: running[t]] + t]]
         if not t:
             value[:, labels, labels] = own
             continue
-        v = value[:a]
-        top = v.argmax(2)
-        jump = v.max(2)[:, :, None] - switch
-        stay = v >= jump
-        back[at] = np.where(stay, labels, top[:, :, None].astype(np.int8))
-        value[:a] = np.where(stay, v, jump) + own[:, None, :]
+        v = value[: running[t]]
+        np.maximum(v, v.max(2)[:, :, None] - switch, out=v)
+        v += own[:, None, :]
     matrix = np.empty_like(value)
     matrix[order] = value
+    del value
 
     # Join the spans of each document: the k-th spans of all documents that have one.
     base = np.cumsum(parts) - parts
     total = np.zeros((docs, c), np.float32)
-    entry = np.zeros((len(owner), c), np.int8)  # first label of the span for its last label
-    before = np.zeros((len(owner), c), np.int8)  # last label of the span before, for the first label
+    entry = np.zeros((len(owner), c), np.int16)  # first label of the span for its last label
+    before = np.zeros((len(owner), c), np.int16)  # last label of the span before, for the first label
     for k in range(int(parts.max(initial=0))):
         d = np.flatnonzero(parts > k)
         s = base[d] + k
@@ -253,17 +263,18 @@ def viterbi(scores: np.ndarray, row: np.ndarray, size: np.ndarray, switch: float
             top = prev.argmax(1)
             jump = prev.max(1)[:, None] - switch
             stay = prev >= jump
-            before[s] = np.where(stay, labels, top[:, None].astype(np.int8))
+            before[s] = np.where(stay, labels, top[:, None].astype(np.int16))
             into = np.where(stay, prev, jump)
         else:
             into = np.zeros((len(d), c), np.float32)
         joined = into[:, :, None] + matrix[s]
         entry[s] = joined.argmax(1)
         total[d] = joined.max(1)
+    del matrix
 
-    end = np.zeros(len(owner), np.int8)
-    head = np.zeros(len(owner), np.int8)
-    label = total.argmax(1).astype(np.int8)
+    end = np.zeros(len(owner), np.int16)
+    head = np.zeros(len(owner), np.int16)
+    label = total.argmax(1).astype(np.int16)
     for k in range(int(parts.max(initial=0)) - 1, -1, -1):
         d = np.flatnonzero(parts > k)
         s = base[d] + k
@@ -271,30 +282,48 @@ def viterbi(scores: np.ndarray, row: np.ndarray, size: np.ndarray, switch: float
         head[s] = entry[s, label[d]]
         label[d] = before[s, head[s]]
 
-    path = np.zeros(len(row), np.int8)
-    now, source = end[order], head[order]
+    # Once more from the first labels, now with the way back.
+    best = np.full((len(order), c), -np.inf, np.float32)
+    top, stays = np.zeros(len(row), np.int16), np.zeros((len(row), -(-c // 8)), np.uint8)
+    for t in range(steps):
+        a = running[t]
+        at = start[:a] + t
+        own = scores[row[at]]
+        if not t:
+            rows = np.arange(len(order))
+            best[rows, head[order]] = own[rows, head[order]]
+            continue
+        v = best[:a]
+        top[at] = v.argmax(1)
+        jump = v.max(1)[:, None] - switch
+        stays[at] = np.packbits(v >= jump, axis=1)
+        best[:a] = np.maximum(v, jump) + own
+    path = np.zeros(len(row), np.int16)
+    now = end[order]
     for t in range(steps - 1, -1, -1):
         a = running[t]
         at = start[:a] + t
         path[at] = now[:a]
         if t:
-            now[:a] = back[at, source[:a], now[:a]]
+            stay = stays[at, now[:a] >> 3] >> (7 - (now[:a] & 7)) & 1
+            now[:a] = np.where(stay, now[:a], top[at])
     doc = np.repeat(np.arange(docs), size)
     change = (path[1:] != path[:-1]) & (doc[1:] == doc[:-1])
     return path, np.bincount(doc[1:][change], minlength=docs).astype(np.int64)
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+    """Whether a row is kept for tests; a null id is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, usable: Column | None = None) -> Model:
     """A model from about ``sample`` labelled documents of each language.
 
-    Counting runs on the executors, in one partition for each of eight buckets of
-    the sample; the driver gets one count vector for each bucket and language.
+    Counting runs on the executors, each language in one place; the driver gets one
+    count vector for each language, which together are the model's table.
     """
-    ok = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    ok = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()
     ok = ok & usable if usable is not None else ok
     sizes = {r[0]: r[1] for r in df.where(ok).groupBy(lang_col).count().collect()}
     if not sizes:
@@ -302,32 +331,36 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
     langs = sorted(sizes)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1 << 30, int(sample / sizes[k] * (1 << 20)))))])
     picked = df.where(ok & (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) < share[F.col(lang_col)]))
-    picked = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).repartition(8)
+    picked = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).repartition("lang").sortWithinPartitions("lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
-        bits: dict[str, int] = {}
-        size: dict[str, int] = {}
+        now, vector, bits, size = None, np.zeros(BUCKETS), 0, 0
+
+        def made() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([vector.astype(np.float32).tobytes()]), pa.array([bits]), pa.array([size])], ["lang", "counts", "bits", "letters"])
+
         for batch in batches:
             for first, texts in text_slices(batch, "text"):
                 for lang, t in zip(batch.column(0).slice(first, len(texts)).to_pylist(), texts):
+                    if lang != now:
+                        yield from made()
+                        now, vector, bits, size = lang, np.zeros(BUCKETS), 0, 0
                     words = [w for w in map(letters, t.split()) if w]
                     if words:
                         bucket, real, _, codes = grams(words)
-                        vector = seen.setdefault(lang, np.zeros(BUCKETS, np.float64))
                         vector += np.bincount(bucket[real], minlength=BUCKETS)
-                        size[lang] = size.get(lang, 0) + sum(map(len, words))
-                        for b in np.unique(scripts_of(words, codes)).tolist():
-                            bits[lang] = bits.get(lang, 0) | b
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v.tobytes() for v in seen.values()]), pa.array([bits.get(k, 0) for k in seen], pa.int64()), pa.array([size[k] for k in seen], pa.int64())], ["lang", "counts", "bits", "letters"])
+                        size += sum(map(len, words))
+                        bits = int(np.bitwise_or.reduce(np.unique(scripts_of(words, codes)), initial=bits))
+        yield from made()
 
-    counts = np.zeros((BUCKETS, len(langs)))
+    counts = np.zeros((BUCKETS, len(langs)), np.float32)
     scripts, size = np.zeros(len(langs), np.int64), np.zeros(len(langs), np.int64)
-    for lang, vector, seen, n in picked.mapInArrow(count, "lang string, counts binary, bits long, letters long").collect():
-        counts[:, langs.index(lang)] += np.frombuffer(vector, np.float64)
-        scripts[langs.index(lang)] |= seen
-        size[langs.index(lang)] += n
+    for lang, vector, seen, n in picked.mapInArrow(count, "lang string, counts binary, bits long, letters long").toLocalIterator():
+        at = langs.index(lang)
+        counts[:, at] += np.frombuffer(vector, np.float32)
+        scripts[at] |= seen
+        size[at] += n
     table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS))
     return Model(langs, table, scripts, (counts * table).sum(0) / np.maximum(size, 1))
 
