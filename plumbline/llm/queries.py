@@ -64,7 +64,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = toxicity.held_out("doc_id")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~held)
     return toxicity.score(docs, model).withColumn("held_out", held)
 

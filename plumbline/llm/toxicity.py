@@ -13,11 +13,16 @@ seeds and averaged.
 
 Both samples are bounded: ``POSITIVES`` and ``UNLABELLED`` are the expected
 numbers of documents, picked by a hash of the id with a threshold set from the
-counts.  ``FEATURES`` bounds the words that the driver gets.  Scoring covers all
-documents, whole texts, once.
+counts.  Features are all words and beginnings of ``LEAST_DOCS`` or more sampled
+documents whose shares in the two samples differ by ``LEAST_Z`` standard errors;
+there is no cap on their number.  Scoring covers all documents, whole texts, once.
 
 Defined cases: null and empty texts get the score of a text without any feature.
-Equal texts get equal scores.  Without any positive every score is 0.
+Equal texts get equal scores, so repeated rows too.  Without any positive every
+score is 0.  A null id is not held out and nothing is learned from its row; of
+several labels of one id any 1 counts.  Texts of any length are scored whole.
+Other columns are ignored (``keep`` returns them), whatever their names; an empty
+table has no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import text_slices
 
-POSITIVES, UNLABELLED, FEATURES, LEAST_DOCS = 2500, 7500, 512, 4
+POSITIVES, UNLABELLED, LEAST_DOCS, LEAST_Z = 2500, 7500, 4, 4.0
 EPOCHS, STEP_POSITIVES, RATE, DECAY, SEEDS = 250, 512, 0.05, 3e-4, (1, 2, 3)
 #: Size of the strongest feature in training; weaker ones are smaller, so decay holds them closer to zero.
 STRONGEST = 2.0
@@ -61,32 +66,40 @@ class Model:
         return float(1 / (1 + np.exp(-(self.weights[hits].sum() + self.bias))))
 
 
-def train(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of one linear model; absent features are 0."""
-    rng = np.random.default_rng(seed)
-    n = x_p.shape[1]
-    theta, m, v, step = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0
-    theta[-1] = np.log(prior / (1 - prior))
+def risk_slope(theta: np.ndarray, x_p: np.ndarray, x_u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(positive part, negative part, gradient) of the risk of one batch.
+
+    The risk is the positive part plus the negative one.  While the negative part is
+    at least 0 the gradient is that of the risk, else that of minus the negative part.
+    """
+    w = theta[:-1].astype(np.float32)
+    z_p, z_u = x_p @ w + theta[-1], x_u @ w + theta[-1]
 
     def slope(x: np.ndarray, z: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
         """Mean logistic loss of sign * g and its gradient."""
         d = (-sign / (1 + np.exp(np.clip(sign * z, -50, 50)))).astype(np.float32)
         return float(np.logaddexp(0, -sign * z).mean()), np.append(d @ x, d.sum()) / len(x)
 
+    loss, pull = slope(x_p, z_p, 1)
+    loss_p, push_p = slope(x_p, z_p, -1)
+    loss_u, push_u = slope(x_u, z_u, -1)
+    negative, rest = loss_u - prior * loss_p, push_u - prior * push_p
+    return prior * loss, negative, prior * pull + rest if negative >= 0 else -rest
+
+
+def train(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of one linear model; absent features are 0."""
+    rng = np.random.default_rng(seed)
+    n = x_p.shape[1]
+    theta, m, v, step = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0
+    theta[-1] = np.log(prior / (1 - prior))
     decay = max(DECAY, 0.12 / len(x_p))  # a small sample is held closer to zero
     batches = max(1, len(x_p) // STEP_POSITIVES)
     for _ in range(EPOCHS // batches + 1):
         for p, u in zip(np.array_split(rng.permutation(len(x_p)), batches), np.array_split(rng.permutation(len(x_u)), batches)):
             if not len(p) or not len(u):
                 continue
-            w = theta[:-1].astype(np.float32)
-            rows_p, rows_u = x_p[p], x_u[u]
-            z_p, z_u = rows_p @ w + theta[-1], rows_u @ w + theta[-1]
-            _, g_pos = slope(rows_p, z_p, 1)
-            neg_p, g_neg_p = slope(rows_p, z_p, -1)
-            neg_u, g_neg_u = slope(rows_u, z_u, -1)
-            rest = g_neg_u - prior * g_neg_p
-            grad = prior * g_pos + rest if neg_u - prior * neg_p >= 0 else -rest
+            *_, grad = risk_slope(theta, x_p[p], x_u[u], prior)
             grad[:-1] += decay * theta[:-1]
             step += 1
             m = 0.9 * m + 0.1 * grad
@@ -103,7 +116,7 @@ def _picked(df: DataFrame, id_col: str, want: int, count: int, salt: int) -> Dat
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None) -> Model:
     """Learn from the usable rows; ``usable`` is a condition on the id column."""
     labels = labels.select(id_col, label_col).where(F.col(id_col).isNotNull())
-    docs = docs.select(id_col, F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+    docs = docs.select(id_col, F.col(text_col).alias("text")).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if usable is not None:
         labels, docs = labels.where(usable), docs.where(usable)
     n_pos, n_all = labels.agg(F.sum((F.col(label_col) == 1).cast("long")), F.count(label_col)).first()
@@ -128,7 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         seen = bags.select("p", F.explode("words").alias("w")).groupBy("w").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b"))
         share = (F.col("a") + F.col("b") + 1) / F.lit(float(n_p + n_u + 2))
         strength = F.abs(F.col("a") / F.lit(float(n_p)) - F.col("b") / F.lit(float(n_u))) / F.sqrt(share * (1 - share) + 1e-9)
-        rows = seen.where(F.col("a") + F.col("b") >= LEAST_DOCS).select("w", strength.alias("s")).orderBy(F.desc("s"), "w").limit(FEATURES).collect()
+        z = F.col("s") / F.lit((1 / n_p + 1 / n_u) ** 0.5)
+        rows = seen.where(F.col("a") + F.col("b") >= LEAST_DOCS).select("w", strength.alias("s")).where(z >= LEAST_Z).collect()
+        rows.sort(key=lambda r: (-r[1], r[0]))
         features = [r[0] for r in rows]
         size = STRONGEST * np.array([r[1] for r in rows], np.float32) / max(rows[0][1], 1e-9) if rows else np.zeros(0, np.float32)
         index = {w: i for i, w in enumerate(features)}
@@ -174,6 +189,11 @@ class Scorer:
         return out
 
 
+def held_out(id_col: str) -> Column:
+    """Whether a row is kept for tests; a null id is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
 def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, score, predicted.  The model is broadcast."""
     kind = df.schema[id_col].dataType.simpleString()

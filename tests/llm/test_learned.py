@@ -65,6 +65,37 @@ def test_viterbi_is_the_best_path(span):
         at += n
 
 
+def test_viterbi_memory_is_bounded(monkeypatch):
+    """With many labels spans grow instead of tables; the path stays the same."""
+    rng = np.random.default_rng(7)
+    scores = rng.normal(0, 2, (50, 40)).astype(np.float32)
+    size = np.array([900, 3, 0, 2000])
+    row = rng.integers(0, 50, size.sum())
+    wide = langid.viterbi(scores, row, size, 3.0)
+    monkeypatch.setattr(langid, "SPAN_CELLS", 16_000)
+    narrow = langid.viterbi(scores, row, size, 3.0)
+
+    def value(path):
+        doc = np.repeat(np.arange(4), size)
+        return sum(scores[row, path]) - 3.0 * ((path[1:] != path[:-1]) & (doc[1:] == doc[:-1])).sum()
+
+    assert value(wide[0]) == pytest.approx(value(narrow[0]), rel=1e-5)
+
+
+def test_sentences_without_spaces_count():
+    assert langid.letters("我们在2024年去了北京") == "我们在年去了北京"
+    assert langid.letters("user7") == langid.letters("a@b.c") == "" and langid.letters("日本/usr/bin") == "日本"
+
+
+def test_null_id_and_very_long_text(spark, docs, langs):
+    long = " ".join(next(r.text for r in docs.where("lang = 'en'").where("n_chars > 400").collect()).split()[:40] * 20_000)
+    rows = spark.createDataFrame([(None, "x"), (1, long)], "doc_id long, text string")
+    found = {r.doc_id: r for r in langid.predict(rows, langs).withColumn("held_out", langid.held_out("doc_id")).collect()}
+    assert found[None].held_out is False and found[1].lang_pred == "en" and len(found[1].spans) == 1
+    scored = {r.doc_id: r for r in toxicity.score(rows, toxicity.Model(["idiot"], np.array([9.0]), -5.0)).withColumn("held_out", toxicity.held_out("doc_id")).collect()}
+    assert scored[None].held_out is False and scored[1].predicted == 0
+
+
 def test_scripts_narrow(spark):
     rows = [(i, t, lang) for i in range(60) for t, lang in ((f"слово текст пример {i}", "ru"), (f"word text example {i}", "en"))]
     df = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
@@ -104,8 +135,11 @@ def test_toxicity_held_out(spark):
     clean = [k for k, x in found.items() if not (words | stems) & x]
     assert np.mean([rows[k].predicted for k in toxic]) > 0.9
     assert np.mean([rows[k].predicted for k in clean]) < 0.02
-    held = [r for r in labels.collect() if rows[r.doc_id].held_out]
-    assert held and all(0 <= rows[r.doc_id].score <= 1 for r in held)
+    held = [(rows[r.doc_id].score, r.toxic) for r in labels.collect() if rows[r.doc_id].held_out]
+    good, bad = [s for s, t in held if not t], [s for s, t in held if t]
+    assert all(0 <= s <= 1 for s, _ in held) and len(bad) >= 5
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert auc > 0.8 and np.mean([b >= 0.5 for b in bad]) > 0.6 and np.mean([g >= 0.5 for g in good]) < 0.06
 
 
 def test_toxicity_cases(docs, none):
@@ -118,6 +152,29 @@ def test_toxicity_cases(docs, none):
     assert toxicity.score(none, m).count() == 0
 
 
+def test_slope_is_that_of_the_risk():
+    """Parts of the risk by their definition, and the gradient by differences, on both sides of zero."""
+    rng = np.random.default_rng(9)
+    x_p, x_u = (rng.random((n, 6)) for n in (40, 90))
+    loss = lambda z: np.log1p(np.exp(-z)).mean()
+    sides = set()
+    for prior in (0.1, 0.5, 0.9):
+        for _ in range(20):
+            theta = rng.normal(0, 3, 7)
+
+            def parts(t):
+                g_p, g_u = x_p @ t[:-1] + t[-1], x_u @ t[:-1] + t[-1]
+                return prior * loss(g_p), loss(-g_u) - prior * loss(-g_p)
+
+            positive, negative, grad = toxicity.risk_slope(theta, x_p, x_u, prior)
+            assert (positive, negative) == pytest.approx(parts(theta), abs=1e-4)
+            whole = (lambda t: sum(parts(t))) if negative >= 0 else (lambda t: -parts(t)[1])
+            steps = np.eye(7) * 1e-5
+            assert grad == pytest.approx([(whole(theta + d) - whole(theta - d)) / 2e-5 for d in steps], abs=1e-4)
+            sides.add(negative >= 0)
+    assert sides == {True, False}
+
+
 def test_risk_stays_non_negative():
     rng = np.random.default_rng(3)
     p = (rng.random((200, 30)) < np.r_[np.full(5, 0.6), np.full(25, 0.1)]).astype(np.float32)
