@@ -7,7 +7,11 @@ leaves (the pair, its right part, its left neighbour) and their ancestors.
 
 Pre-tokens of up to 64 bytes are merged many at a time, one tree per matrix row;
 longer ones use one tree each, in O(n log n).  Results of words are kept in
-bounded caches.  Null and empty texts encode to no ids.
+bounded caches.
+
+Defined cases: null and empty texts encode to no ids.  Texts of any length are
+encoded whole.  Each row is encoded on its own, repeated ones too.  Other columns
+are ignored, whatever their names; an empty table has no rows.
 """
 
 from __future__ import annotations

@@ -5,6 +5,8 @@ and ssn (range rules and a context word near it).  Every span has a score from
 its kind, its checksum and the words within ``NEAR`` characters of it.
 
 Offsets are code points, the end exclusive.  Null and empty texts have no spans.
+Each row is searched on its own, repeated ones too; other columns are ignored
+(``clean`` returns them), whatever their names; an empty table has no rows.
 Spans of different kinds may overlap; spans of one kind never do.
 
 Patterns whose naive search is quadratic are anchored instead: an e-mail address

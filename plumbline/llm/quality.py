@@ -7,7 +7,9 @@ word characters that lie in repeated windows of n words, and line coverage the
 share of the text's characters that lie in lines equal to an earlier line.
 
 Defined cases: null and empty texts have no words and fail the base rule.
-Equal documents get equal verdicts.  Other columns of the input are ignored.
+Equal documents get equal verdicts, so repeated rows too.  Texts of any length are
+measured whole.  Other columns of the input are ignored, whatever their names; an
+empty table has no rows.
 """
 
 from __future__ import annotations
