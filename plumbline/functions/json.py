@@ -64,6 +64,37 @@ def first_number(v: Column, keys: Iterable[str], strict: bool = False) -> Column
     return F.coalesce(*found)
 
 
+def first_filled(v: Column, keys: Iterable[str]) -> Column:
+    """The first synonym that is neither null, "", [] nor {}, as a variant."""
+    found = []
+    for k in keys:
+        x = field(v, k, "variant")
+        kind = kind_of(x)
+        empty = (kind == "VOID") | ((kind == "STRING") & (field(v, k, "string") == "")) | F.to_json(x).isin("[]", "{}")
+        found.append(F.when(x.isNotNull() & ~empty, x))
+    return F.coalesce(*found)
+
+
+def as_length(x: Column) -> Column:
+    """A variant as a number: numbers, and text that reads as one; null otherwise."""
+    kind = kind_of(x)
+    written = F.trim(F.replace(F.try_variant_get(x, "$", "string"), F.lit(","), F.lit("."))).try_cast("double")
+    return F.when(is_numeric(x), F.try_variant_get(x, "$", "double")).when(kind == "STRING", written)
+
+
+def first_present(v: Column, keys: Iterable[str]) -> Column:
+    """The first synonym that is not null, whatever it holds, as a variant."""
+    return F.coalesce(*[F.when(kind_of(field(v, k, "variant")) != "VOID", field(v, k, "variant")) for k in keys])
+
+
+def notes_text(x: Column) -> Column:
+    """Notes as text: a list joined by "; ", an object as "key: value" pairs."""
+    kind = kind_of(x)
+    parts = F.filter(F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda e: F.trim(F.try_variant_get(e, "$", "string"))), lambda t: t != "")
+    pairs = F.transform(F.map_entries(F.try_variant_get(x, "$", "map<string,string>")), lambda e: F.concat(e.key, F.lit(": "), e.value))
+    return F.when(kind == "ARRAY", F.array_join(parts, "; ")).when(kind == "OBJECT", F.array_join(pairs, "; ")).otherwise(F.try_variant_get(x, "$", "string"))
+
+
 def reference(v: Column) -> Column:
     """The mark that an entry names: text, or the first named field; a number k is P<k>."""
     own = F.when(kind_of(v) == "STRING", F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit("")))

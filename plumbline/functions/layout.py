@@ -65,7 +65,9 @@ def run_folder(experiment: Column, at: Column) -> Column:
 
 
 def image_name(prefix: Column, page: Column) -> Column:
-    return F.concat(prefix, F.lit("_"), F.lpad(page.cast("string"), 2, "0"), F.lit(".png"))
+    """Two digits of the page at least, all of a longer number."""
+    digits = page.cast("string")
+    return F.concat(prefix, F.lit("_"), F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits), F.lit(".png"))
 
 
 def model_key(name: Column) -> Column:

@@ -14,25 +14,27 @@ def half_even(x: Column, digits: int = 0) -> Column:
 def fmt_g(x: Column) -> Column:
     """Six significant digits as C's %g writes them: 5563, 0.25, 1.23457e+06.
 
-    Ties of the shortest decimal form go to the even digit.
+    Ties of the shortest decimal form go to the even digit.  Whole numbers of up to
+    six digits are written straight.
     """
     x = x.cast("double")
-    size = F.substring_index(F.format_string("%.5e", x), "e", -1).try_cast("int")
-    x = F.coalesce(*[F.when(size == e, F.bround(x, 5 - e)) for e in range(-8, 16)], x)
-    scientific = F.format_string("%.5e", x)
-    exponent = F.substring_index(scientific, "e", -1).try_cast("int")
-    # Fixed notation: all digits that %g keeps after the point, then no trailing zeros.
-    fixed = F.coalesce(*[F.when(exponent == e, F.format_string(f"%.{5 - e}f", x)) for e in range(-4, 6)])
-    fixed = F.when(fixed.contains("."), F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), "\\.$", "")).otherwise(fixed)
-    mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(scientific, "e", 1), "0+$", ""), "\\.$", "")
+    exponent = F.substring_index(F.format_string("%.5e", x), "e", -1)
+    e = exponent.try_cast("int")
+    one = F.lit(10.0)
+    scaled = F.when(e < 0, F.abs(x) * F.pow(one, -e)).otherwise(F.abs(x) / F.pow(one, e))
+    digits = F.regexp_replace(F.replace(F.format_string("%.5f", F.bround(scaled, 5)), F.lit("."), F.lit("")), "0+$", "")
+    size = F.length(digits)
+    large = F.when(size <= e + 1, F.rpad(digits, e + 1, F.lit("0"))).otherwise(F.concat(F.substring(digits, 1, e + 1), F.lit("."), F.substring(digits, e + 2, size)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    power = F.concat(F.substring(digits, 1, 1), F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(F.lit("")), F.lit("e"), exponent)
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
     return (
         F.when(x.isNull(), F.lit(None).cast("string"))
+        .when((F.abs(x) < 1e6) & (x == F.floor(x)), x.cast("bigint").cast("string"))
         .when(F.isnan(x), F.lit("nan"))
         .when(x == float("inf"), F.lit("inf"))
         .when(x == float("-inf"), F.lit("-inf"))
-        .when(x == 0, F.lit("0"))
-        .when(exponent.between(-4, 5), fixed)
-        .otherwise(F.concat(mantissa, F.lit("e"), F.substring_index(scientific, "e", -1)))
+        .otherwise(F.concat(sign, F.when(e.between(0, 5), large).when(e.between(-4, -1), small).otherwise(power)))
     )
 
 

@@ -40,13 +40,23 @@ def _numeric(x) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool)
 
 
-def nodes(reply, context: str = "", depth: int = 0) -> Iterator[tuple[dict, str]]:
-    """Objects of a reply in order, with the name of the container they lie in."""
-    if depth <= MOST_DEPTH:
-        if isinstance(reply, dict):
-            yield reply, context
-        for key, value in reply.items() if isinstance(reply, dict) else ((None, x) for x in reply) if isinstance(reply, list) else ():
-            yield from nodes(value, key if key is not None and isinstance(value, (dict, list)) else context, depth + 1)
+def nodes(reply, context: str = "") -> Iterator[tuple[dict, str]]:
+    """Objects of a reply in order, with the name of the container they lie in.
+
+    A stack holds what is still to be seen, the next on top; a value of an object is
+    in the container that its key names, an element of a list in that of the list.
+    """
+    waiting = [(reply, context, 0)]
+    while waiting:
+        here, context, depth = waiting.pop()
+        inner = []
+        if isinstance(here, dict):
+            yield here, context
+            inner = [(x, k) for k, x in here.items()]
+        elif isinstance(here, list):
+            inner = [(x, context) for x in here]
+        if depth < MOST_DEPTH:
+            waiting += [(x, name, depth + 1) for x, name in reversed(inner) if isinstance(x, (dict, list))]
 
 
 def _box(node: dict) -> list[float] | None:
@@ -183,9 +193,34 @@ def model_regions(walked: DataFrame, sizes: DataFrame, by: list[str], space: str
 
 
 def stats(regions: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of found, missing, duplicated and excluded candidates, and the missing values."""
-    return regions.groupBy(*by).agg(
-        F.count_if(~F.col("missing")).alias("found"), F.count_if("missing").alias("missing"), F.count_if(F.col("duplicated") & ~F.col("missing")).alias("duplicated"),
-        F.count_if(F.col("role") == "excluded").alias("excluded"),
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("missing"), F.struct("pos", "value")))), lambda x: num.fmt_g(x.value)).alias("missing_values"),
+    """Counts of candidates, of those found by role, missing, duplicated and excluded ones, and the missing values."""
+    found = ~F.col("missing")
+    rows = regions.withColumn("written", F.when(F.col("missing"), num.fmt_g(F.col("value"))))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(found).alias("found"), F.count_if("missing").alias("missing"), F.count_if(F.col("duplicated") & found).alias("duplicated"),
+        F.count_if(found & (F.col("role") == "parent")).alias("parent"), F.count_if(found & (F.col("role") == "child")).alias("child"), F.count_if(found & (F.col("role") == "excluded")).alias("excluded"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("missing"), F.struct("pos", "written")))), lambda x: x.written).alias("missing_values"),
     )
+
+
+#: Parts of an annotated sheet's title.
+TITLE = {"sheet": "Лист ", "found": " · размечено ", "of": " из ", "excluded": "исключено из расчёта: ", "duplicated": "повторов на листе не хватило: ", "missing": "нет на листе: ", "scan": "текстовый слой PDF пуст — размечено по bbox модели"}
+
+
+def sheet_title(counted: DataFrame, page: str = "page_number", has_text: str = "has_text") -> DataFrame:
+    """Rows of ``stats`` with the title of their annotated sheet."""
+    part = lambda name: F.when(F.col(name) > 0, F.concat(F.lit(TITLE[name]), F.col(name).cast("string")))
+    head = F.concat(F.lit(TITLE["sheet"]), F.col(page).cast("string"), F.lit(TITLE["found"]), F.col("found").cast("string"), F.lit(TITLE["of"]), F.col("total").cast("string"))
+    return counted.withColumn("title", F.concat_ws(" · ", head, part("excluded"), part("duplicated"), part("missing"), F.when(~F.col(has_text), F.lit(TITLE["scan"]))))
+
+
+def regions(by_text: DataFrame, by_model: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """What is marked on each sheet: labels of its text layer, or the model's own boxes where it has none.
+
+    ``by_text`` comes from ``text_regions``, ``by_model`` from ``model_regions``.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    layer = items.select(*by).distinct()
+    text = dedupe(by_text, by).select(*by, "pos", "label", F.col("role").alias("kind"), F.lit("pdf_text").alias("origin"), *box)
+    own = by_model.join(layer, by, "left_anti").select(*by, "pos", "label", "kind", F.lit("model").alias("origin"), *box)
+    return text.unionByName(own)

@@ -16,11 +16,13 @@ def with_pricing(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     """Calls with the tariff of their model, else the row ``default``, else none.
 
     A missing or zero reasoning price is the output price.  ``price_source`` is
-    model, default or unknown.  The tariff table has a row for each model.
+    model, default or unknown.  The tariff table has a row for each model; of several
+    rows of one model one counts, so no call is doubled.
     """
-    named = pricing.select(F.col("model").alias("__m"), F.struct(*PRICES).alias("__own"))
-    fallback = pricing.where("model = 'default'").select(F.struct(*PRICES).alias("__other"))
-    out = calls.join(named, F.col("model") == F.col("__m"), "left").join(fallback, F.lit(True), "left")
+    tariffs = pricing.groupBy("model").agg(F.first(F.struct(*PRICES)).alias("__own"))
+    named = tariffs.select(F.col("model").alias("__m"), "__own")
+    fallback = tariffs.where("model = 'default'").agg(F.first("__own").alias("__other"))  # one row, always
+    out = calls.join(named, F.col("model") == F.col("__m"), "left").crossJoin(F.broadcast(fallback))
     chosen = F.coalesce("__own", "__other")
     zero = F.lit(0.0)
     price = {p: F.coalesce(chosen[p].cast("double"), zero) for p in PRICES}
@@ -49,22 +51,50 @@ def costs(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     return priced.select("*", *[(F.col(t) / MILLION * F.col(f"price_{p}")).alias(name) for name, t, p in parts])
 
 
+COSTS = ("input_cost", "output_cost", "reasoning_cost", "cache_write_cost", "cache_read_cost")
+
+
+def pricing_enabled(pricing: DataFrame) -> DataFrame:
+    """One row: whether any tariff has a price."""
+    return pricing.agg(F.coalesce(F.bool_or(F.greatest(*[F.coalesce(F.col(p).cast("double"), F.lit(0.0)) for p in PRICES]) > 0), F.lit(False)).alias("enabled"))
+
+
 def usage_totals(costed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counters and costs summed; ``pricing_known`` only if every call's tariff is."""
-    sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(f"{c}_tokens") for c in COUNTERS]
-    sums += [F.sum(c).alias(c) for c in ("input_cost", "output_cost", "reasoning_cost", "cache_write_cost", "cache_read_cost")]
-    return costed.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("calls"), *sums, F.bool_and(F.col("price_source") != "unknown").alias("pricing_known"))
+    """Counters and costs summed; ``pricing_known`` only if every call's tariff is.
+
+    Where calls have them, ``retry_reason`` (null for a first try), ``failed`` and
+    ``at`` (order) give retries, failures and the list of reasons in order.  Partial
+    aggregates merge as totals do.
+    """
+    sums = [F.coalesce(F.sum(F.coalesce(F.col(c).cast("bigint"), F.lit(0))), F.lit(0)).alias(f"{c}_tokens") for c in COUNTERS]
+    sums += [F.coalesce(F.sum("visible"), F.lit(0)).alias("visible_tokens")] if "visible" in costed.columns else []
+    sums += [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in COSTS]
+    if "retry_reason" in costed.columns:
+        told = F.when(F.col("retry_reason").isNotNull(), F.struct("at", "retry_reason"))
+        sums += [F.count("retry_reason").alias("retries"), F.count_if("failed").alias("failures"), F.transform(F.sort_array(F.collect_list(told)), lambda x: x.retry_reason).alias("retry_reasons")]
+    return costed.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("calls"), *sums, F.coalesce(F.bool_and(F.col("price_source") != "unknown"), F.lit(True)).alias("pricing_known"))
 
 
-def run_stats(responses: DataFrame, totals: DataFrame) -> DataFrame:
-    """One row of a run: pages, failures and what a page took and cost.
+def run_stats(pages: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each run: pages, failures, what a page took and cost, and what was found on it.
 
-    ``responses`` has error and elapsed for each page; ``totals`` one row of
-    ``usage_totals``.  Shares of nothing are 0.
+    ``pages`` has a row for each page: error, elapsed, and, as far as they are known,
+    trimmed, area_ratio, dimensions, pointers and rejected.  ``totals`` comes from
+    ``usage_totals`` by the same keys.  Shares of nothing are 0, the mean area 1.
     """
-    pages = responses.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("error").isNotNull()).alias("pages_failed"), F.coalesce(F.sum("elapsed"), F.lit(0.0)).alias("elapsed"))
-    total = F.col("input_cost") + F.col("output_cost") + F.col("reasoning_cost") + F.col("cache_write_cost") + F.col("cache_read_cost")
-    return pages.join(totals).select(
+    has = set(pages.columns)
+    own = [F.count(F.lit(1)).alias("pages"), F.count_if(F.col("error").isNotNull()).alias("pages_failed"), F.coalesce(F.sum("elapsed"), F.lit(0.0)).alias("elapsed")]
+    own += [F.count_if("trimmed").alias("pages_trimmed")] if "trimmed" in has else []
+    own += [F.bround(F.coalesce(F.avg("area_ratio"), F.lit(1.0)), 4).alias("area_ratio_mean")] if "area_ratio" in has else []
+    own += [F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_total") for c in ("dimensions", "pointers", "rejected") if c in has]
+    sums = pages.groupBy(*by).agg(*own)
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in COSTS[1:]), F.coalesce(F.col(COSTS[0]), F.lit(0.0)))
+    return sums.join(totals, by, "left").select(
         "*", (F.col("pages") - F.col("pages_failed")).alias("pages_ok"), F.bround(num.safe_share(F.col("elapsed"), F.col("pages")), 2).alias("elapsed_per_page"),
-        F.bround(num.safe_share(F.col("calls"), F.col("pages")), 2).alias("calls_per_page"), F.bround(total, 6).alias("total_cost"), F.bround(num.safe_share(total, F.col("pages")), 6).alias("cost_per_page"),
+        F.bround(num.safe_share(F.coalesce("calls", F.lit(0)), F.col("pages")), 2).alias("calls_per_page"), F.bround(total, 6).alias("total_cost"), F.bround(num.safe_share(total, F.col("pages")), 6).alias("cost_per_page"),
     )
+
+
+def page_errors(pages: DataFrame, by: list[str], page: str = "page_number") -> DataFrame:
+    """Errors of each run in page order, as structs (page, error)."""
+    return pages.where(F.col("error").isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(page).alias("page"), "error"))).alias("errors"))

@@ -2,7 +2,7 @@
 
 What the detection accepted is a dimension; all other text goes, and a rule only
 says why.  A box is padded; if the padded box would touch a dimension it is tried
-bare, and skipped if that touches one too.
+bare, now with a small margin, and skipped if that touches one too.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from plumbline.functions import geometry as G
 from plumbline.functions import text
 from plumbline.operators import sequence, spatial
 
-#: Points around a box in the plan and at the cut, and the least distance from a dimension; fixed values.
-FRAME_PAD, TOUCH = 2.4, 0.6
+#: Points around a box in the plan and at the cut, and the least distances from a dimension of a padded and of a bare box; fixed values.
+FRAME_PAD, TOUCH, BARE_TOUCH = 2.4, 0.0, 0.6
 BOX = list(spatial.BOX)
+#: Why a box is left alone.
+LABEL_HIT, LINE_HIT = "подпись размера", "размерная линия"
 
 
 def elements(spans: DataFrame, by: list[str], only_with_digits: bool = True) -> DataFrame:
@@ -66,27 +68,36 @@ def guards(lines: DataFrame, by: list[str]) -> DataFrame:
     return labels.unionAll(strokes).unionAll(leads)
 
 
-def decide(boxes: DataFrame, guard: DataFrame, by: list[str], pad: float = FRAME_PAD, touch: float = TOUCH) -> DataFrame:
+def decide(boxes: DataFrame, guard: DataFrame, by: list[str], pad: float = FRAME_PAD, touch: float = TOUCH, bare_touch: float = BARE_TOUCH) -> DataFrame:
     """Boxes with ``applied``, the padding used and the reason of a skip (label or line)."""
     g = guard.select(*by, "what", *[F.col(c).alias(f"g_{c}") for c in BOX], "ax", "ay", "bx", "by")
     pairs = boxes.join(g, by, "left")
     other = [F.col(f"g_{c}") for c in BOX]
 
-    def hits(extra: float):
-        mine = G.grow([F.col(c) for c in BOX], extra + touch)
+    def hits(margin: float):
+        mine = G.grow([F.col(c) for c in BOX], margin)
         label = (F.col("what") == "label") & (mine[0] < other[2]) & (mine[2] > other[0]) & (mine[1] < other[3]) & (mine[3] > other[1])
         line = (F.col("what") == "line") & spatial.rect_hits_segment(mine, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
         return F.coalesce(label, F.lit(False)), F.coalesce(line, F.lit(False))
 
-    (wide_label, wide_line), (bare_label, bare_line) = hits(pad), hits(0.0)
+    (wide_label, wide_line), (bare_label, bare_line) = hits(pad + touch), hits(bare_touch)
     found = pairs.groupBy(*by, "mark").agg(F.bool_or(wide_label).alias("wl"), F.bool_or(wide_line).alias("wn"), F.bool_or(bare_label | bare_line).alias("bare"))
     out = boxes.join(found, [*by, "mark"])
     free = ~F.col("wl") & ~F.col("wn")
     return out.select(
         *boxes.columns, (free | ~F.col("bare")).alias("applied"), F.when(free, pad).when(~F.col("bare"), 0.0).alias("pad"),
-        F.when(~free & F.col("bare"), F.when(F.col("wl"), "label of a dimension").otherwise("dimension line")).alias("skip_reason"),
+        F.when(~free & F.col("bare"), F.when(F.col("wl"), LABEL_HIT).otherwise(LINE_HIT)).alias("skip_reason"),
     )
 
 
-def counts(decided: DataFrame, by: list[str]) -> DataFrame:
-    return decided.groupBy(*by).agg(F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("skipped"))
+def counts(decided: DataFrame, by: list[str], reason: str = "role") -> DataFrame:
+    """Applied boxes by reason and skipped ones by what they would have touched, each with its number."""
+    told = F.when(F.col("applied"), F.col(reason)).otherwise(F.col("skip_reason"))
+    return decided.groupBy(*by, "applied", told.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def kept_geometry(lines: DataFrame, by: list[str]) -> DataFrame:
+    """Ends of the dimension lines that a plan must spare, leaders last."""
+    own = lines.select(*by, "idx", F.lit("line").alias("part"), "ax", "ay", "bx", "by")
+    lead = lines.where("leader_end is not null").select(*by, "idx", F.lit("leader"), "ax", "ay", "leader_end.x", "leader_end.y")
+    return own.unionAll(lead)

@@ -160,9 +160,9 @@ def chain_total(lines: DataFrame, by: list[str], value: str = "value", line_id:
 
 
 def rect_hits_segment(rect: list[Column], ax: Column, ay: Column, bx: Column, by: Column, step: float = 2.0) -> Column:
-    """A segment, sampled every ``step`` points of its L1 length, enters a rectangle."""
-    n = F.greatest(F.ceil((F.abs(bx - ax) + F.abs(by - ay)) / step).cast("int"), F.lit(1))
+    """A segment, sampled about every ``step`` points of its L1 length, enters a half-open rectangle."""
+    n = F.greatest(F.floor((F.abs(bx - ax) + F.abs(by - ay)) / step).cast("int"), F.lit(1))
     return F.exists(
         F.sequence(F.lit(0), n),
-        lambda i: ((ax + (bx - ax) * i / n) >= rect[0]) & ((ax + (bx - ax) * i / n) <= rect[2]) & ((ay + (by - ay) * i / n) >= rect[1]) & ((ay + (by - ay) * i / n) <= rect[3]),
+        lambda i: ((ax + (bx - ax) * (i / n)) >= rect[0]) & ((ax + (bx - ax) * (i / n)) < rect[2]) & ((ay + (by - ay) * (i / n)) >= rect[1]) & ((ay + (by - ay) * (i / n)) < rect[3]),
     )

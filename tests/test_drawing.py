@@ -144,10 +144,10 @@ def test_redaction(spark, found):
     nine = plan.where("text = '9'").first()
     assert (nine.x0, nine.y1) == (500 - 2.4, 120 + 2.4)
     assert redaction.removable_frames(contours, plan.withColumn("x0", F.col("x0") + 3).withColumn("y0", F.col("y0") + 3).withColumn("x1", F.col("x1") - 3).withColumn("y1", F.col("y1") - 3), drawing.SHEET).count() == 2
-    places = {"N1": (150.0, 99.0, 160.0, 101.0), "N2": (700.0, 700.0, 710.0, 710.0), "N3": (205.0, 101.0, 215.0, 106.0), "N4": (155.0, 84.0, 160.0, 87.0)}
+    places = {"N1": (150.0, 99.0, 160.0, 101.0), "N2": (700.0, 700.0, 710.0, 710.0), "N3": (205.0, 101.0, 215.0, 106.0), "N4": (155.0, 84.0, 160.0, 87.0), "N5": (150.0, 92.0, 160.0, 97.0)}
     boxes = spark.createDataFrame([("d", 1, k, *v) for k, v in places.items()], "doc_id string, page_number int, mark string, x0 double, y0 double, x1 double, y1 double")
     done = {r.mark: (r.applied, r.pad, r.skip_reason) for r in redaction.decide(boxes, redaction.guards(lines, drawing.SHEET), drawing.SHEET).collect()}
-    assert done == {"N1": (False, None, "label of a dimension"), "N2": (True, 2.4, None), "N3": (True, 0.0, None), "N4": (True, 0.0, None)}
+    assert done == {"N1": (False, None, redaction.LINE_HIT), "N5": (False, None, redaction.LABEL_HIT), "N2": (True, 2.4, None), "N3": (True, 0.0, None), "N4": (True, 0.0, None)}
 
 
 def test_shapes():
@@ -221,10 +221,17 @@ def test_annotation(spark):
     assert [(r.label, r.duplicated, r.missing) for r in rows] == [("24 100", False, False), ("6000", False, False), ("6000", False, False), ("6000", True, False), ("P8", False, True)]
     assert rows[0].x0 == 18.0 and rows[0].y0 == 3.0
     s = annotate.stats(regions, ["page"]).first()
-    assert (s.found, s.missing, s.duplicated, s.excluded, s.missing_values) == (4, 1, 1, 1, ["12.5"])
+    assert (s.total, s.found, s.missing, s.duplicated, s.parent, s.child, s.excluded, s.missing_values) == (5, 4, 1, 1, 1, 3, 0, ["12.5"])
+    titled = annotate.sheet_title(annotate.stats(regions, ["page"]).withColumn("has_text", F.lit(False)), "page").first()
+    assert titled.title == "Лист 1 · размечено 4 из 5 · повторов на листе не хватило: 1 · нет на листе: 1 · текстовый слой PDF пуст — размечено по bbox модели"
     assert annotate.dedupe(regions, ["page"]).count() == 3
     boxes = annotate.model_regions(walked, spark.createDataFrame([(1, 25, 100)], "page int, width int, height int"), ["page"]).collect()
     assert [(b.kind, b.x0, b.x1) for b in boxes] == [("branch", 10.0, 25.0)]
+    model = annotate.model_regions(walked, spark.createDataFrame([(1, 25, 100)], "page int, width int, height int"), ["page"])
+    assert {r.origin for r in annotate.regions(regions, model, items, ["page"]).collect()} == {"pdf_text"}
+    assert [r.origin for r in annotate.regions(regions.limit(0), model, items.limit(0), ["page"]).collect()] == ["model"]
+    deep = {"k": [{"a": [{"b": 1}], "c": {"d": {}}}, 5, {"e": 2}]}
+    assert [(sorted(n), c) for n, c in annotate.nodes(deep)] == [(["k"], ""), (["a", "c"], "k"), (["b"], "a"), (["d"], "c"), ([], "d"), (["e"], "k")]
 
 
 def test_sequences(spark):

@@ -72,12 +72,18 @@ def test_report_of_other_shapes(spark):
         (3, '{"total_length_mm": 900, "segments": [{"length": 200}, {"length": 320}]}', None),
         (4, None, "429"),
         (5, '{"length": 0}', None),
+        (6, '{"segments": [{"length": "n/a", "value": 5}, {"length": 7}], "notes": ["a", " ", "b"], "sheet": "12A"}', None),
+        (7, '{"branches": [{"branch_id": "B1", "axis": "x", "parent_length": 10, "notes": " long "}, {"parent_length": 5, "notes": "n"}], "notes": "own"}', None),
+        (8, '{"total_length_mm": "900,5", "page_number": 77, "segments": [{"length": 200}]}', None),
     ]
     got = report(spark, rows)
-    assert got[1].length_mm == 120.5 and got[1].segments == 3 and "segment 3: no length" in got[1].notes and got[1].line == "L1"
+    assert got[1].length_mm == 120.5 and got[1].segments == 3 and got[1].notes == "участок 3: длина не определена" and got[1].line == "L1"
     assert got[2].length_mm == 350 and got[2].formula == "300 + 50 = 350 мм" and got[2].segments == 3 and got[2].length_m == 0.35
-    assert got[3].status == "differs by 380 mm" and got[3].formula == "200 + 320 = 520 мм" and got[3].length_mm == 900
-    assert got[4].status == "error" and got[4].notes == "429" and got[4].length_mm is None
+    assert got[3].status == "расхождение 380 мм" and got[3].notes == "модель указала 900 мм, сумма участков 520 мм" and got[3].formula == "200 + 320 = 520 мм" and got[3].length_mm == 900
+    assert got[4].status == "ошибка" and got[4].notes == "429" and got[4].length_mm is None and got[4].sheet == "4"
+    assert got[6].length_mm == 7 and got[6].notes == "a; b; участок 1: длина не определена" and got[6].sheet == "12A" and got[6].formula == "7 = 7 мм"
+    assert got[7].notes == "own; B1 (x): long; ? (?): n" and got[7].formula == "10 + 5 = 15 мм"
+    assert got[8].sheet == "8" and got[8].status == "расхождение 700 мм" and got[8].notes.startswith("модель указала 900.5 мм") and got[8].length_m == 0.9
     assert not got[5].length_mm
 
 
@@ -114,9 +120,23 @@ def test_run_totals(spark):
     r = t.first()
     assert (r.reasoning_cost, r.output_cost, r.input_cost) == (pytest.approx(1.5309), pytest.approx(0.05735), pytest.approx(0.0003))
     assert not r.pricing_known and r.calls == 2
-    pages = spark.createDataFrame([(None, 4.0), ("e", 6.0)], "error string, elapsed double")
-    s = cost.run_stats(pages, t).first()
-    assert (s.pages, s.pages_ok, s.pages_failed, s.elapsed_per_page, s.calls_per_page) == (2, 1, 1, 5.0, 1.0)
+    pages = spark.createDataFrame([("r", 1, None, 4.0, True, 0.25, 3), ("r", 2, "e", 6.0, False, 1.0, 0), ("s", 1, None, 1.0, False, None, None)], "run string, page_number int, error string, elapsed double, trimmed boolean, area_ratio double, dimensions long")
+    by = {r.run: r for r in cost.run_stats(pages, t.withColumn("run", F.lit("r")), ["run"]).collect()}
+    s = by["r"]
+    assert (s.pages, s.pages_ok, s.pages_failed, s.elapsed_per_page, s.calls_per_page, s.pages_trimmed, s.area_ratio_mean, s.dimensions_total) == (2, 1, 1, 5.0, 1.0, 1, 0.625, 3)
+    assert (by["s"].calls_per_page, by["s"].area_ratio_mean, by["s"].total_cost) == (0.0, 1.0, 0.0)
+    assert [(r.run, [tuple(e) for e in r.errors]) for r in cost.page_errors(pages, ["run"]).collect()] == [("r", [(2, "e")])]
+
+
+def test_retries(spark):
+    calls = spark.createDataFrame([("m", 1, None, False, 1), ("m", 1, "timeout", False, 3), ("m", 1, "not json", True, 2)], "model string, prompt long, retry_reason string, failed boolean, at int")
+    for c in ("completion", "reasoning", "cache_write", "cache_read"):
+        calls = calls.withColumn(c, F.lit(0))
+    r = cost.usage_totals(cost.costs(calls, tariff(spark, [("m", 1.0, 1.0, 0.0, 0.0, 0.0), ("m", 1.0, 1.0, 0.0, 0.0, 0.0)]))).first()
+    assert (r.calls, r.retries, r.failures, r.retry_reasons, r.pricing_known) == (3, 2, 1, ["not json", "timeout"], True)
+    empty = cost.usage_totals(cost.costs(calls.limit(0), tariff(spark, []))).first()
+    assert (empty.calls, empty.prompt_tokens, empty.pricing_known, empty.retry_reasons) == (0, 0, True, [])
+    assert [cost.pricing_enabled(tariff(spark, rows)).first().enabled for rows in ([], [("a", 0.0, 0.0, None, 0.0, 0.0)], [("a", 0.0, 1.0, None, 0.0, 0.0)])] == [False, False, True]
 
 
 def test_label_files(spark, tmp_path):
