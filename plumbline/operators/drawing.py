@@ -2,7 +2,7 @@
 
 Stages are DataFrames keyed by sheet: scale, limits, strokes, contours, numbers,
 arrow tips, spans, leaders.  Only the last, the one-to-one attachment of numbers,
-depends on the order of its own choices and runs as one pandas call for a sheet.
+depends on the order of its own choices and takes a sheet's rows as one group.
 
 Inputs (see README): sheets, paths, words and spans, with ``doc_id`` and
 ``page_number`` as the sheet's key and ordinals that keep the drawing order.
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,12 +129,10 @@ def attach(items: DataFrame) -> DataFrame:
     and the three gaps.  Numbers take free leaders first, then spans take the
     best number near them, at last the one at the end of their anchored leader.
     """
-    schema = ", ".join([*(f"{c} {items.schema[c].dataType.simpleString()}" for c in SHEET), "kind string", "number int", "line int", "leader int"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        numbers, spans, leaders = ([r for r in pdf.itertuples() if r.kind == k] for k in ("number", "span", "leader"))
-        gaps = pdf.iloc[0]
+    def one(rows: list) -> list[tuple]:
+        numbers, spans, leaders = ([r for r in rows if r.kind == k] for k in ("number", "span", "leader"))
+        gaps = rows[0]
         hyp = lambda x, y: (x * x + y * y) ** 0.5
 
         def to_box(x: float, y: float, m) -> float:
@@ -155,7 +152,7 @@ def attach(items: DataFrame) -> DataFrame:
             return None if found is None else found[1]
 
         free, idle, out = dict.fromkeys(range(len(numbers))), dict.fromkeys(range(len(leaders))), []
-        loose = [j for j, x in enumerate(leaders) if pd.isna(x.anchor)]
+        loose = [j for j, x in enumerate(leaders) if x.anchor is None]
         for i, m in enumerate(numbers):
             near = ((to_box(leaders[j].bx, leaders[j].by, m), j) for j in loose if j in idle)
             j = best(x for x in near if x[0] <= gaps.leader_label_gap)
@@ -176,12 +173,32 @@ def attach(items: DataFrame) -> DataFrame:
                     del free[i], idle[j]
                     out.append(("span", numbers[i].n, s.n, leaders[j].n))
                     break
-        made = pd.DataFrame(out, columns=["kind", "number", "line", "leader"]).astype({"number": "Int32", "line": "Int32", "leader": "Int32"})
-        for c in SHEET:
-            made[c] = gaps[c]
-        return made[[*SHEET, "kind", "number", "line", "leader"]]
+        return out
 
-    return items.groupBy(*SHEET).applyInPandas(one, schema)
+    return sequence.each_group(items, SHEET, ["n", "kind"], one, "kind string, number int, line int, leader int")
+
+
+def arrowed(segments: DataFrame, tips: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans, leaders): strokes with an arrow of their own at both ends, and at exactly one end.
+
+    Both are numbered (n) in drawing order; a leader goes from its tip (a) to its tail (b).
+    """
+    lim = limits.select(*SHEET, "min_length", "leader_min_length", "arrow_gap")
+    long = segments.withColumn("length_pt", G.dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).withColumn("seg", F.concat_ws(":", "path_id", "ord")).join(lim, SHEET)
+    ended = spatial.tips_at_ends(long, tips, SHEET, "seg", F.col("arrow_gap"))
+    drawn = Window.partitionBy(*SHEET).orderBy("path_id", "ord")
+    spans = ended.where("length_pt >= min_length and at_a and at_b and only_a and only_b").withColumn("n", F.row_number().over(drawn))
+    leaders = ended.where("length_pt >= leader_min_length and at_a <> at_b").withColumn("n", F.row_number().over(drawn))
+    tip = {c: F.when(F.col("at_a"), F.col(f"a{c}")).otherwise(F.col(f"b{c}")) for c in "xy"}
+    tail = {c: F.when(F.col("at_a"), F.col(f"b{c}")).otherwise(F.col(f"a{c}")) for c in "xy"}
+    return spans, leaders.select(*SHEET, "n", "stroke_width", "length_pt", tip["x"].alias("ax"), tip["y"].alias("ay"), tail["x"].alias("bx"), tail["y"].alias("by"))
+
+
+def anchored(leaders: DataFrame, spans: DataFrame, limits: DataFrame) -> DataFrame:
+    """Leaders with ``anchor``: the first span in whose middle they point; null if none."""
+    mid = spans.select(*SHEET, F.col("n").alias("span"), ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my"))
+    near = leaders.join(mid, SHEET).join(limits.select(*SHEET, "leader_anchor_gap"), SHEET).where(F.hypot(F.col("mx") - F.col("ax"), F.col("my") - F.col("ay")) <= F.col("leader_anchor_gap"))
+    return leaders.join(near.groupBy(*SHEET, "n").agg(F.min("span").alias("anchor")), [*SHEET, "n"], "left")
 
 
 def detect(sheets: DataFrame, paths: DataFrame, words: DataFrame, spans: DataFrame, limits: Limits = Limits(), width: float | None = DEFAULT_WIDTH, auto_scale: bool = True) -> dict[str, DataFrame]:
@@ -206,18 +223,9 @@ def detect(sheets: DataFrame, paths: DataFrame, words: DataFrame, spans: DataFra
     line_order = Window.partitionBy(*SHEET).orderBy("block_no", "line_no", "x0", "word_no")
     marks = numbers.where("verdict = 'ok'").withColumn("n", F.row_number().over(line_order))
 
-    thin = open_.join(lim.select(*SHEET, "width", "width_tol", "min_length", "leader_min_length", "arrow_gap"), SHEET).where(F.abs(F.col("stroke_width") - F.col("width")) <= F.col("width_tol"))
-    thin = thin.withColumn("length_pt", G.dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).withColumn("seg", F.concat_ws(":", "path_id", "ord"))
-    ended = spatial.tips_at_ends(thin, tips, SHEET, "seg", F.col("arrow_gap"))
-    drawn = Window.partitionBy(*SHEET).orderBy("path_id", "ord")
-    spans_ = ended.where("length_pt >= min_length and at_a and at_b and only_a and only_b").withColumn("n", F.row_number().over(drawn))
-    leaders = ended.where("length_pt >= leader_min_length and at_a <> at_b").withColumn("n", F.row_number().over(drawn))
-    tip = {c: F.when(F.col("at_a"), F.col(f"a{c}")).otherwise(F.col(f"b{c}")) for c in "xy"}
-    tail = {c: F.when(F.col("at_a"), F.col(f"b{c}")).otherwise(F.col(f"a{c}")) for c in "xy"}
-    leaders = leaders.select(*SHEET, "n", "stroke_width", "length_pt", tip["x"].alias("ax"), tip["y"].alias("ay"), tail["x"].alias("bx"), tail["y"].alias("by"))
-    mid = spans_.select(*SHEET, F.col("n").alias("span"), ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my"))
-    at_mid = leaders.join(mid, SHEET).join(lim.select(*SHEET, "leader_anchor_gap"), SHEET).where(F.hypot(F.col("mx") - F.col("ax"), F.col("my") - F.col("ay")) <= F.col("leader_anchor_gap"))
-    leaders = leaders.join(at_mid.groupBy(*SHEET, "n").agg(F.min("span").alias("anchor")), [*SHEET, "n"], "left")
+    thin = open_.join(lim.select(*SHEET, "width", "width_tol"), SHEET).where(F.abs(F.col("stroke_width") - F.col("width")) <= F.col("width_tol"))
+    spans_, leaders = arrowed(thin.drop("width", "width_tol"), tips, lim)
+    leaders = anchored(leaders, spans_, lim)
 
     gaps = lim.select(*SHEET, "label_gap", "leader_label_gap")
     null = lambda kind: F.lit(None).cast(kind)

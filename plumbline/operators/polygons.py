@@ -1,16 +1,18 @@
 """Closed shapes of a sheet: loops of connected strokes and rings of loose arcs.
 
-Components and hulls are graph and order algorithms, so a sheet's strokes go
-through one grouped pandas call; everything else about shapes is Columns.
+Components and hulls are graph and order algorithms, so a sheet's strokes stream
+through Python as one group; everything else about shapes is Columns.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry
+from plumbline.operators import sequence
 
 #: How far off its hull a point of a ring may lie, in points.
 OFF_HULL = 0.35
@@ -98,34 +100,31 @@ def contours(segments: DataFrame, by: list[str]) -> DataFrame:
     sheet's limits as columns frame_min_side, frame_max_side, ring_min_segments and
     ring_min_fill.  One path may give a loop and a ring.
     """
-    fields = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
-    schema = ", ".join([*(f"{c} {fields[c]}" for c in by), "contour_id int", *(f"{c} double" for c in ("x0", "y0", "x1", "y1"))])
+    limits = ["frame_min_side", "frame_max_side", "ring_min_segments", "ring_min_fill"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        limits = pdf.iloc[0]
-        boxes: list[tuple] = []
+    def one(rows: list) -> list[tuple]:
+        limit, boxes = rows[0], []
 
         def add(edges: list[tuple]) -> None:
             xs, ys = [p[0] for e in edges for p in e], [p[1] for e in edges for p in e]
             x0, y0, x1, y1 = min(xs), min(ys), max(xs), max(ys)
-            if all(limits.frame_min_side <= side <= limits.frame_max_side for side in (x1 - x0, y1 - y0)):
-                boxes.append((x0, y0, x1, y1))
+            if all(limit.frame_min_side <= side <= limit.frame_max_side for side in (x1 - x0, y1 - y0)):
+                boxes.append((len(boxes) + 1, x0, y0, x1, y1))
 
-        for _, path in pdf.sort_values(["path_id", "ord"]).groupby("path_id", sort=True):
-            edges = [((r.ax, r.ay), (r.bx, r.by)) for r in path.itertuples()]
+        for _, path in groupby(rows, key=lambda r: r.path_id):
+            edges = [((r.ax, r.ay), (r.bx, r.by)) for r in path]
+            if len(edges) < 3:
+                continue
             for group in components(edges):
                 some = [edges[i] for i in group]
                 if is_loop(some):
                     add(some)
-            if len(edges) >= limits.ring_min_segments and is_ring(edges, limits.ring_min_fill):
+            if len(edges) >= limit.ring_min_segments and is_ring(edges, limit.ring_min_fill):
                 add(edges)
-        out = pd.DataFrame(boxes, columns=["x0", "y0", "x1", "y1"], dtype="float64")
-        for c in by:
-            out[c] = limits[c]
-        out["contour_id"] = range(1, len(out) + 1)
-        return out[[*by, "contour_id", "x0", "y0", "x1", "y1"]]
+        return boxes
 
-    return segments.groupBy(*by).applyInPandas(one, schema)
+    rows = segments.select(*by, "path_id", "ord", "ax", "ay", "bx", "by", *limits)
+    return sequence.each_group(rows, by, ["path_id", "ord"], one, "contour_id int, x0 double, y0 double, x1 double, y1 double")
 
 
 def bounds(segments: DataFrame, by: list[str]) -> DataFrame:

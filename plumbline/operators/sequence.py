@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plumbline.functions import geometry
 
@@ -14,6 +19,41 @@ def reading_order(y: Column, x: Column, *ties: Column) -> list[Column]:
     return [F.rint(y * 10), x, *ties]
 
 
+def each_group(df: DataFrame, by: list[str], order: list[str], make: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    """``make`` applied to the sorted rows of each group; what it gives follows the group's keys.
+
+    Groups stream through sorted partitions, many in one Arrow batch, so a task holds
+    a batch and one group.  For choices that depend on earlier ones of the same group.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out_schema = StructType.fromDDL(", ".join([*(f"`{c}` {fields[c]}" for c in by), schema]))
+    arrow, names = to_arrow_schema(out_schema), df.columns
+    keys = [names.index(c) for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, held, last = namedtuple("Row", names, rename=True), [], None
+
+        def done(made: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
+
+        for batch in batches:
+            made: list[tuple] = []
+            for r in map(row._make, zip(*(c.to_pylist() for c in batch.columns))):
+                key = tuple(r[k] for k in keys)
+                if held and key != last:
+                    made += [(*last, *x) for x in make(held)]
+                    held = []
+                last = key
+                held.append(r)
+            if made:
+                yield done(made)
+        made = [(*last, *x) for x in make(held)] if held else []
+        if made:
+            yield done(made)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, out_schema)
+
+
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "n", prefix: str | None = None) -> DataFrame:
     """Row numbers from 1 in each group, optionally as labels such as P7."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -71,6 +111,21 @@ def mode(df: DataFrame, by: list[str], value: Column, name: str = "mode") -> Dat
     return counts.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
+    """Rows with their place (from 0) in one order of the whole table.
+
+    A range sort deals the rows; each partition numbers its own and starts after all
+    before it, so no task sees the table and what is joined is a row for each partition.
+    """
+    keys = [o.alias(f"__o{i}") for i, o in enumerate(order)]
+    names = [f"__o{i}" for i in range(len(order))]
+    cut = df.select("*", *keys).repartitionByRange(*names).sortWithinPartitions(*names).withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
+    sizes = cut.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    starts = sizes.select("__p", before.alias("__s"))
+    return cut.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__m", "__s", *names)
+
+
 def page_range(spec: str, pages: int, keep_repeats: bool = False) -> list[int]:
     """Pages named by ``1-3,7``; a reversed range is swapped, ``all`` or nothing is every page.
 
@@ -89,6 +144,17 @@ def page_range(spec: str, pages: int, keep_repeats: bool = False) -> list[int]:
     return found if keep_repeats else sorted(set(found))
 
 
+def pages_of_spec(df: DataFrame, spec: str, page: str) -> DataFrame:
+    """Rows whose page their own specification names: ``1-3,7``, ranges in either order, ``all`` or nothing.
+
+    Repeats in a specification name a page once.
+    """
+    parts = F.transform(F.split(F.trim(F.lower(F.col(spec))), "\\s*,\\s*"), lambda p: F.transform(F.split(p, "\\s*-\\s*"), lambda n: n.try_cast("long")))
+    ends = F.transform(parts, lambda p: F.struct(F.array_min(p).alias("a"), F.array_max(p).alias("b")))
+    whole = F.coalesce(F.trim(F.lower(F.col(spec))).isin("", "all"), F.lit(True))
+    return df.where(whole | F.exists(ends, lambda e: F.col(page).between(e.a, e.b)))
+
+
 def select_pages(df: DataFrame, pages: list[int], column: str = "page_number") -> DataFrame:
     """Rows of the pages; a plain filter, so scans of partitioned tables are pruned."""
     return df.where(F.col(column).isin(pages))
@@ -102,7 +168,8 @@ def sheet_order(sheet: Column, page: Column) -> list[Column]:
 
 def natural_order(name: Column) -> list[Column]:
     """By the number in a name, then the name."""
-    return [F.regexp_extract(name, "(\\d+)", 1).try_cast("bigint").asc_nulls_last(), name]
+    number = F.regexp_extract(name, "(\\d+)", 1).try_cast("bigint")
+    return [number.isNull(), number, name]
 
 
 def group_spans(spans: DataFrame, by: list[str]) -> DataFrame:
@@ -139,15 +206,12 @@ def group_spans(spans: DataFrame, by: list[str]) -> DataFrame:
 def cluster_lines(words: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     """Words (word, x0, y0, x1, y1) as lines: each joins the first line whose mean height is near.
 
-    A line's height is the running mean of its words, so the order matters; sheets
-    go through one pandas call each.
+    A line's height is the running mean of its words, so the order matters.
     """
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in words.schema.fields if f.name in by] + ["line int", "text string", "y double"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0"], kind="stable")
+    def one(rows: list) -> list[tuple]:
         lines: list[list] = []
-        for w in pdf.itertuples():
+        for w in rows:
             y = (w.y0 + w.y1) / 2
             for line in lines:
                 if abs(line[0] - y) <= tolerance:
@@ -157,12 +221,9 @@ def cluster_lines(words: DataFrame, by: list[str], tolerance: float) -> DataFram
             else:
                 lines.append([y, [(w.x0, w.word)]])
         lines.sort(key=lambda x: x[0])
-        out = pd.DataFrame({"line": range(1, len(lines) + 1), "text": [" ".join(t for _, t in sorted(x[1])) for x in lines], "y": [x[0] for x in lines]})
-        for c in by:
-            out[c] = pdf[c].iloc[0]
-        return out[[*by, "line", "text", "y"]]
+        return [(n, " ".join(t for _, t in sorted(x[1])), x[0]) for n, x in enumerate(lines, 1)]
 
-    return words.groupBy(*by).applyInPandas(one, schema)
+    return each_group(words.select(*by, "word", "x0", "y0", "x1", "y1"), by, ["y0", "x0", "x1", "word"], one, "line int, text string, y double")
 
 
 def tokens_of_spans(spans: DataFrame, by: list[str], least_height: float = 0.0) -> DataFrame:

@@ -8,43 +8,20 @@ stands in the SQL.  Marks are numbered by a full ordering of lineitem, because
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry, json, layout, num, text
 from plumbline.operators import cost, quality, selection, sequence, spatial, textmap
+from plumbline.plans.registry import query
 from plumbline.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 NUMBERED = """SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem"""
 #: %g of a double in DuckDB.
 G = "printf('%g', {})"
 
 
-def query(sql: str | None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sheet, ord, mark_id, value, flag) of every line item."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *ORDER, "l_quantity", "l_returnflag")
@@ -53,16 +30,24 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _refs(marks: DataFrame) -> DataFrame:
-    """Replies: N is included, R excluded, A not mentioned; each also asks for an absent mark."""
+    """Replies: N is included, R excluded, A not mentioned; each also asks for an absent mark.
+
+    Every third mark of N is named twice, every third of R is in both lists.
+    """
     named = marks.where("flag <> 'A'").select("sheet", F.when(F.col("flag") == "N", "included").otherwise("excluded").alias("list"), F.col("ord").alias("pos"), F.col("mark_id").alias("ref"), F.lit("").alias("reason"))
+    again = marks.where("flag <> 'A' and ord % 3 = 0").select("sheet", F.lit("included").alias("list"), (F.col("ord") + 100).alias("pos"), F.col("mark_id").alias("ref"), F.lit("").alias("reason"))
     absent = marks.groupBy("sheet").agg(F.max("ord").alias("n")).select("sheet", F.lit("included").alias("list"), (F.col("n") + 1).alias("pos"), F.concat(F.lit("P"), (F.col("n") + 1).cast("string")).alias("ref"), F.lit("").alias("reason"))
-    return named.unionAll(absent)
+    return named.unionAll(again).unionAll(absent)
+
+
+#: What a mark's flag and number make of it in these replies.
+COUNTS, IN_REPLY = "(l_returnflag <> 'R' OR k % 3 = 0)", "CASE WHEN l_returnflag = 'R' THEN k + 100 ELSE k END"
 
 
 @query(f"""
 WITH m AS ({NUMBERED})
 SELECT l_orderkey AS sheet, 'P' || k AS mark_id, l_quantity AS value,
-       CASE l_returnflag WHEN 'N' THEN 'included' WHEN 'R' THEN 'excluded' ELSE 'unclassified' END AS outcome FROM m
+       CASE WHEN l_returnflag = 'A' THEN 'unclassified' WHEN {COUNTS} THEN 'included' ELSE 'excluded' END AS outcome FROM m
 UNION ALL SELECT l_orderkey, 'P' || (max(k) + 1), NULL, 'unresolved' FROM m GROUP BY l_orderkey
 """)
 def label_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +57,9 @@ def label_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH m AS ({NUMBERED})
-SELECT l_orderkey AS sheet, coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0.0) AS length_mm,
-       round_even(coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0.0) / 1000, 3) AS length_m,
-       count(*) FILTER (l_returnflag <> 'R') AS segments, count(*) FILTER (l_returnflag = 'R') AS excluded
+SELECT l_orderkey AS sheet, coalesce(sum(l_quantity) FILTER ({COUNTS}), 0.0) AS length_mm,
+       round_even(coalesce(sum(l_quantity) FILTER ({COUNTS}), 0.0) / 1000, 3) AS length_m,
+       count(*) FILTER ({COUNTS}) AS segments, count(*) FILTER (l_returnflag = 'R') AS excluded
 FROM m GROUP BY l_orderkey
 """)
 def route_length_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +71,8 @@ def route_length_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH m AS ({NUMBERED})
 SELECT l_orderkey AS sheet,
-       coalesce(string_agg({G.format('l_quantity')}, ' + ' ORDER BY l_returnflag = 'A', k, l_quantity) FILTER (l_returnflag <> 'R'), '')
-         || ' = ' || {G.format("coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0.0)")} || ' мм' AS formula
+       coalesce(string_agg({G.format('l_quantity')}, ' + ' ORDER BY l_returnflag = 'A', {IN_REPLY}, l_quantity) FILTER ({COUNTS}), '')
+         || ' = ' || {G.format(f"coalesce(sum(l_quantity) FILTER ({COUNTS}), 0.0)")} || ' мм' AS formula
 FROM m GROUP BY l_orderkey
 """)
 def route_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,86 +108,124 @@ def axis_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(geometry.axis_of(angle).alias("axis")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_LINES = "SELECT l_orderkey AS sheet, k AS idx, CAST(l_discount * 1000 AS DOUBLE) AS ax, CAST(l_linenumber * 2 AS DOUBLE) AS ay, l_discount * 1000 + l_quantity AS bx, CAST(l_linenumber * 2 AS DOUBLE) AS by_, l_quantity AS len FROM m"
+_LINES = "SELECT l_orderkey AS sheet, k AS idx, l_partkey % 2 = 1 AS up, CAST(l_discount * 1000 AS DOUBLE) AS u, CAST(l_linenumber * 2 AS DOUBLE) AS v, l_quantity AS len FROM m"
+#: Lines along x, or along y where up holds, that run beside each other; and their families.
+FAMILY = f"""s AS ({_LINES}),
+p AS (SELECT a.sheet, a.idx AS big, b.idx AS small FROM s a JOIN s b ON a.sheet = b.sheet AND a.idx <> b.idx AND a.up = b.up
+      WHERE a.len >= 1e-6 AND b.len <= a.len AND abs(a.v - b.v) >= 0.5 AND b.u - a.u >= -1 AND b.u + b.len - a.u <= a.len + 1),
+c AS (SELECT sheet, big, count(*) AS children FROM p GROUP BY 1, 2 HAVING count(*) >= 2),
+r AS (SELECT p.sheet, p.small, max(p.big) AS parent FROM p JOIN c ON p.sheet = c.sheet AND p.big = c.big GROUP BY 1, 2)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each order, along x or along y; long enough that none is parallel to one of the other direction."""
+    rows = sequence.numbered(table(spark, sf_dir, "lineitem"), ["l_orderkey"], list(map(F.col, ORDER)), "idx")
+    u, v, up, size = F.col("l_discount") * 1000, (F.col("l_linenumber") * 2).cast("double"), F.col("l_partkey") % 2 == 1, F.col("l_quantity")
+    x, y = F.when(up, v).otherwise(u), F.when(up, u).otherwise(v)
+    return rows.select(F.col("l_orderkey").alias("sheet"), "idx", x.alias("ax"), y.alias("ay"), F.when(up, x).otherwise(x + size).alias("bx"), F.when(up, y + size).otherwise(y).alias("by"), size.alias("length_pt"), size.alias("value"))
 
 
 @query(f"""
-WITH m AS ({NUMBERED}), s AS ({_LINES}),
-p AS (SELECT a.sheet, a.idx AS big, b.idx AS small FROM s a JOIN s b ON a.sheet = b.sheet AND a.idx <> b.idx
-      WHERE a.len >= 1e-6 AND b.len <= a.len AND abs(a.ay - b.ay) >= 0.5 AND b.ax - a.ax >= -1 AND b.bx - a.ax <= a.len + 1),
-c AS (SELECT sheet, big, count(*) AS children FROM p GROUP BY 1, 2 HAVING count(*) >= 2),
-r AS (SELECT p.sheet, p.small, max(p.big) AS parent FROM p JOIN c ON p.sheet = c.sheet AND p.big = c.big GROUP BY 1, 2)
+WITH m AS ({NUMBERED}), {FAMILY}
 SELECT s.sheet, s.idx, coalesce(c.children, 0) AS children, r.parent FROM s
 LEFT JOIN c ON s.sheet = c.sheet AND s.idx = c.big LEFT JOIN r ON s.sheet = r.sheet AND s.idx = r.small
 """)
 def interval_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    rows = sequence.numbered(rows, ["l_orderkey"], list(map(F.col, ORDER)), "idx")
-    x, y = F.col("l_discount") * 1000, (F.col("l_linenumber") * 2).cast("double")
-    lines = rows.select(F.col("l_orderkey").alias("sheet"), "idx", x.alias("ax"), y.alias("ay"), (x + F.col("l_quantity")).alias("bx"), y.alias("by"), F.col("l_quantity").alias("length_pt"))
-    return spatial.hierarchy(lines, ["sheet"]).select("sheet", F.col("idx").cast("long").alias("idx"), F.size("children").cast("long").alias("children"), F.col("parent").cast("long").alias("parent"))
+    return spatial.hierarchy(_lines(spark, sf_dir), ["sheet"]).select("sheet", F.col("idx").cast("long").alias("idx"), F.size("children").cast("long").alias("children"), F.col("parent").cast("long").alias("parent"))
+
+
+@query(f"""
+WITH m AS ({NUMBERED}), {FAMILY},
+o AS (SELECT p.sheet, p.big, sum(b.len) AS kids, any_value(a.len) AS own FROM p JOIN c ON p.sheet = c.sheet AND p.big = c.big JOIN s a ON a.sheet = p.sheet AND a.idx = p.big JOIN s b ON b.sheet = p.sheet AND b.idx = p.small GROUP BY 1, 2),
+q AS (SELECT sheet, count(*) AS overalls, count(*) FILTER (abs(own - kids) < 1) AS right_sums, sum(kids) AS children_sum FROM o GROUP BY 1)
+SELECT s.sheet, sum(s.len) AS sum_all, sum(s.len) FILTER (r.parent IS NULL) AS sum_without_duplicates, count(*) AS lines, max(s.len) AS longest_pt,
+  coalesce(any_value(q.overalls), 0) AS overalls, coalesce(any_value(q.right_sums), 0) AS right_sums, any_value(q.children_sum) AS children_sum
+FROM s LEFT JOIN r ON s.sheet = r.sheet AND s.idx = r.small LEFT JOIN q ON q.sheet = s.sheet GROUP BY 1
+""")
+def chain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spatial.chain_total(spatial.hierarchy(_lines(spark, sf_dir), ["sheet"]), ["sheet"])
+    all_ = F.coalesce("overalls", F.array().cast(found.schema["overalls"].dataType))
+    return found.select(
+        "sheet", "sum_all", "sum_without_duplicates", "lines", "longest_pt", F.size(all_).cast("long").alias("overalls"), F.size(F.filter(all_, lambda o: o.arithmetic_ok)).cast("long").alias("right_sums"),
+        F.when(F.size(all_) > 0, F.aggregate(all_, F.lit(0.0), lambda t, o: t + o.children_sum)).alias("children_sum"),
+    )
 
 
-_BOXES = """p AS (SELECT p_partkey, p_size % 25 AS cell, p_size * 1.0 AS x0, p_retailprice % 50 AS y0, p_size + 3.0 AS x1, p_retailprice % 50 + 2.0 AS y1 FROM part),
-s AS (SELECT s_suppkey, s_nationkey AS cell, s_nationkey + 0.5 AS x0, abs(s_acctbal) % 50 AS y0, s_nationkey + 3.2 AS x1, abs(s_acctbal) % 50 + 2.0 AS y1 FROM supplier)"""
+_BOXES = f"""n AS ({NUMBERED}),
+p AS (SELECT l_orderkey AS cell, k AS p_partkey, l_discount * 100 AS x0, l_quantity AS y0, l_discount * 100 + 3.0 AS x1, l_quantity + 2.0 AS y1 FROM n WHERE l_partkey % 2 = 0),
+s AS (SELECT l_orderkey AS cell, k AS s_suppkey, l_discount * 100 + 0.5 AS x0, l_quantity - 0.25 AS y0, l_discount * 100 + 3.2 AS x1, l_quantity + 2.5 AS y1 FROM n WHERE l_partkey % 2 = 1)"""
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    price, acct = F.col("p_retailprice") % 50, F.abs("s_acctbal") % 50
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 25).alias("cell"), F.col("p_size").cast("double").alias("x0"), price.alias("y0"), (F.col("p_size") + 3.0).alias("x1"), (price + 2.0).alias("y1"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("cell"), (F.col("s_nationkey") + 0.5).alias("x0"), acct.alias("y0"), (F.col("s_nationkey") + 3.2).alias("x1"), (acct + 2.0).alias("y1"))
+    """Labels (p) and frames (s) of each order (cell), from its lines with even and odd parts."""
+    rows = sequence.numbered(table(spark, sf_dir, "lineitem"), ["l_orderkey"], list(map(F.col, ORDER)), "k")
+    x, y, cell = F.col("l_discount") * 100, F.col("l_quantity"), F.col("l_orderkey").alias("cell")
+    p = rows.where("l_partkey % 2 = 0").select(F.col("k").cast("long").alias("p_partkey"), cell, x.alias("x0"), y.alias("y0"), (x + 3.0).alias("x1"), (y + 2.0).alias("y1"))
+    s = rows.where("l_partkey % 2 = 1").select(F.col("k").cast("long").alias("s_suppkey"), cell, (x + 0.5).alias("x0"), (y - 0.25).alias("y0"), (x + 3.2).alias("x1"), (y + 2.5).alias("y1"))
     return p, s
 
 
 @query(f"""
 WITH {_BOXES}
-SELECT p_partkey FROM p WHERE EXISTS (SELECT 1 FROM s WHERE s.cell = p.cell AND abs(round_even(p.x0, 1) - s.x0) <= 1 AND abs(round_even(p.y0, 1) - s.y0) <= 1
+SELECT cell, p_partkey FROM p WHERE EXISTS (SELECT 1 FROM s WHERE s.cell = p.cell AND abs(round_even(p.x0, 1) - s.x0) <= 1 AND abs(round_even(p.y0, 1) - s.y0) <= 1
   AND abs(round_even(p.x1, 1) - s.x1) <= 1 AND abs(round_even(p.y1, 1) - s.y1) <= 1)
 """)
 def band_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = _boxes(spark, sf_dir)
-    return spatial.band_semi_join(p, s, ["cell"]).select("p_partkey")
+    return spatial.band_semi_join(p, s, ["cell"]).select("cell", "p_partkey")
 
 
 @query(f"""
 WITH {_BOXES}
-SELECT p.p_partkey, s.s_suppkey FROM p JOIN s ON s.cell = p.cell
+SELECT p.cell, p.p_partkey, s.s_suppkey FROM p JOIN s ON s.cell = p.cell
 WHERE (p.x0 + p.x1) / 2 >= s.x0 AND (p.x0 + p.x1) / 2 < s.x1 AND (p.y0 + p.y1) / 2 >= s.y0 AND (p.y0 + p.y1) / 2 < s.y1
 """)
 def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = _boxes(spark, sf_dir)
     points = p.select("p_partkey", "cell", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"))
-    return spatial.points_in_boxes(points, s, ["cell"]).select("p_partkey", "s_suppkey")
+    return spatial.points_in_boxes(points, s, ["cell"]).select("cell", "p_partkey", "s_suppkey")
 
 
 @query(f"""
-WITH {_BOXES}, d AS (SELECT p_partkey, s_suppkey, greatest(s.x0 - (p.x0 + p.x1) / 2, 0, (p.x0 + p.x1) / 2 - s.x1) AS dx,
+WITH {_BOXES}, d AS (SELECT p.cell, p_partkey, s_suppkey, greatest(s.x0 - (p.x0 + p.x1) / 2, 0, (p.x0 + p.x1) / 2 - s.x1) AS dx,
   greatest(s.y0 - (p.y0 + p.y1) / 2, 0, (p.y0 + p.y1) / 2 - s.y1) AS dy FROM p JOIN s ON p.cell = s.cell)
-SELECT p.p_partkey, (SELECT s_suppkey FROM d WHERE d.p_partkey = p.p_partkey AND dx * dx + dy * dy <= 25 ORDER BY dx * dx + dy * dy, s_suppkey LIMIT 1) AS s_suppkey FROM p
+SELECT p.cell, p.p_partkey, (SELECT s_suppkey FROM d WHERE d.cell = p.cell AND d.p_partkey = p.p_partkey AND dx * dx + dy * dy <= 25 ORDER BY dx * dx + dy * dy, s_suppkey LIMIT 1) AS s_suppkey FROM p
 """)
 def nearest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = _boxes(spark, sf_dir)
     points = p.select("p_partkey", "cell", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"))
     away = geometry.dist_point_box(F.col("px"), F.col("py"), *spatial.right())
-    return spatial.nearest(points, s, ["cell"], "p_partkey", away, 5.0, "s_suppkey").select("p_partkey", "s_suppkey")
+    return spatial.nearest(points, s, ["cell"], "p_partkey", away, 5.0, "s_suppkey").select("cell", "p_partkey", "s_suppkey")
 
 
 @query(f"""
 WITH {_BOXES}
-SELECT p_partkey FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.cell = p.cell
+SELECT cell, p_partkey FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.cell = p.cell
   AND s.x0 + 0.3 < (p.x0 + p.x1) / 2 AND (p.x0 + p.x1) / 2 < s.x1 - 0.3 AND s.y0 + 0.3 < (p.y0 + p.y1) / 2 AND (p.y0 + p.y1) / 2 < s.y1 - 0.3
   AND p.x0 >= s.x0 - 1.2 AND p.y0 >= s.y0 - 1.2 AND p.x1 <= s.x1 + 1.2 AND p.y1 <= s.y1 + 1.2)
 """)
 def number_in_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = _boxes(spark, sf_dir)
-    return spatial.contained_anti_join(p, s, ["cell"], F.lit(1.2), F.lit(0.3)).select("p_partkey")
+    return spatial.contained_anti_join(p, s, ["cell"], F.lit(1.2), F.lit(0.3)).select("cell", "p_partkey")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size % 5 AS cell, CAST(p_partkey % 997 AS DOUBLE) AS px, p_retailprice % 200 AS py FROM part), s AS (SELECT s_suppkey, s_nationkey % 5 AS cell, CAST(s_suppkey % 997 AS DOUBLE) AS x0, abs(s_acctbal) % 200 AS y0 FROM supplier)
+SELECT p_partkey, s_suppkey FROM p JOIN s ON s.cell = p.cell WHERE px >= x0 AND px < x0 + 60 AND py >= y0 AND py < y0 + 15
+""")
+def crowded_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few sheets with very many items: cells join the key."""
+    points = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).alias("cell"), (F.col("p_partkey") % 997).cast("double").alias("px"), (F.col("p_retailprice") % 200).alias("py"))
+    x, y = (F.col("s_suppkey") % 997).cast("double"), F.abs("s_acctbal") % 200
+    boxes = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("cell"), x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 15).alias("y1"))
+    return spatial.grid_join(points, boxes, ["cell"], 20.0).select("p_partkey", "s_suppkey")
 
 
 @query("""
-SELECT c_nationkey AS sheet, list_sort(list(c_acctbal))[len(list(c_acctbal)) // 2 + 1] AS scale, count(*) AS n FROM customer GROUP BY 1
+SELECT o_custkey AS sheet, list_sort(list(o_totalprice))[len(list(o_totalprice)) // 2 + 1] AS scale, count(*) AS n FROM orders GROUP BY 1
 """)
 def upper_median_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("sheet")).agg(num.upper_median(F.collect_list("c_acctbal")).alias("scale"), F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sheet")).agg(num.upper_median(F.collect_list("o_totalprice")).alias("scale"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -237,16 +260,30 @@ def last_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.last_wins(rows, ["user_id", "event_type"], "position").select("user_id", "event_type", "position", "value")
 
 
-@query("""
-WITH t AS (SELECT doc_id, split_part(text, ' ', 1) || ' ' || (n_chars % 90) AS s FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(s, '^[XYZxyz] ?[0-9]+') THEN 'coordinate' WHEN regexp_matches(s, '^[ОOoККk] ?[0-9]+') THEN 'support'
-  WHEN regexp_matches(s, '^[Dd][Nn] ?[0-9]') THEN 'spec' WHEN regexp_matches(s, '^[SsWw]{1,2}[_-]?[0-9]') THEN 'title' WHEN regexp_matches(s, '^[Nn]$') THEN 'other'
-  WHEN regexp_matches(s, '^[ОOo]\\.? ?[А-Яа-яA-Za-z]') THEN 'other' WHEN regexp_matches(s, '^[0-9]+ *[mM][mM]([^A-Za-zÀ-ÿ0-9_]|$)') THEN 'spec' END AS role
+#: Texts that meet each rule or just miss it; a number of the event follows some.
+_TEXTS = (
+    "<#>", "X +#", "О#", "к #", "#/#", "См. #", "12_34_ab", "DN # x #", "dn#", "sw-#", "Лист #", "страница", "Тестовое  задание #", "рвбл", "нипе", "С.", "N", "см.", "подключение", "АБ-#/1", "# mm", "Н.О. б", "од ", "ШТУРВАЛ", "#", "abc", "листва", "N#", "<#> x",
+)
+_B = "([^0-9A-Za-zÀ-ÿЀ-ӿ_]|$)"
+
+
+@query(rf"""
+WITH e AS (SELECT event_id, replace(list_value({', '.join(f"'{x}'" for x in _TEXTS)})[event_id % {len(_TEXTS)} + 1], '#', CAST(event_id % 900 AS VARCHAR)) AS s FROM events
+  UNION ALL SELECT -doc_id - 1, text FROM documents),
+t AS (SELECT event_id, trim(regexp_replace(s, '[ \t\n\x0B\f\r\x{{85}}\x{{A0}}]+', ' ', 'g')) AS s FROM e)
+SELECT event_id, CASE WHEN regexp_matches(s, '^< ?[0-9]+ ?>$') THEN 'node' WHEN regexp_matches(s, '^[XYZxyz] ?[+±-]? ?[0-9]+') THEN 'coordinate' WHEN regexp_matches(s, '^[ОOoККk] ?[0-9]+') THEN 'support'
+  WHEN regexp_matches(s, '^[0-9]+ ?/ ?[0-9]+$') THEN 'support' WHEN regexp_matches(s, '^[Сс][Мм]\.? ?[0-9]') THEN 'coordinate' WHEN regexp_matches(s, '^[0-9]{{2,4}}[_-][0-9]{{2,3}}[_-][0-9A-Za-zÀ-ÿЀ-ӿ_]+') THEN 'spec'
+  WHEN regexp_matches(s, '^[Dd][Nn] ?[0-9]') THEN 'spec' WHEN regexp_matches(s, '^[SWsw]{{1,2}}[_-]?[0-9]') THEN 'title' WHEN regexp_matches(s, '^(?i:лист){_B}') OR regexp_matches(s, '^(?i:страница){_B}') THEN 'title'
+  WHEN regexp_matches(s, '^(?i:тестовое ?задание)') THEN 'other' WHEN regexp_matches(s, '^(?i:рвбл){_B}') THEN 'support' WHEN regexp_matches(s, '^(?i:нипе){_B}') THEN 'other' WHEN regexp_matches(s, '^[Сс]\.?$') OR regexp_matches(s, '^[Nn]$') THEN 'other'
+  WHEN regexp_matches(s, '^[Сс][Мм]\.? ?$') THEN 'coordinate' WHEN regexp_matches(s, '^(?i:подключение)') OR regexp_matches(s, '^[A-Za-zА-Яа-я]{{1,3}}-[0-9/]+$') THEN 'other' WHEN regexp_matches(s, '^[0-9]+ ?(?i:mm){_B}') THEN 'spec'
+  WHEN regexp_matches(s, '^(Н\.)?[ОOo]\.? ?[А-Яа-яA-Za-z]') THEN 'other' WHEN regexp_matches(s, '^(?i:[однодна]{{1,2}} ?$)') OR regexp_matches(s, '^(?i:штурвал){_B}') THEN 'other' END AS role
 FROM t
 """)
 def role_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" "), (F.col("n_chars") % 90).cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.role_of_text(words).alias("role"))
+    made = F.replace(F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("event_id") % len(_TEXTS) + 1).cast("int")), F.lit("#"), (F.col("event_id") % 900).cast("string"))
+    events = table(spark, sf_dir, "events").select("event_id", made.alias("s"))
+    docs = table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("event_id"), F.col("text").alias("s"))
+    return events.unionAll(docs).select("event_id", text.role_of_text(F.col("s")).alias("role"))
 
 
 @query("""
@@ -273,7 +310,7 @@ x AS (SELECT u.*, greatest(prompt - w - rd, 0) AS plain, completion - r AS visib
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = lambda c: F.col(c).cast("bigint")
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.concat(F.lit("m"), (F.col("l_linenumber") % 4).cast("string")).alias("model"), (q("l_partkey") * 10).alias("prompt"), (q("l_suppkey") * 3).alias("completion"),
+        "l_orderkey", F.col("l_linenumber").alias("line"), F.concat(F.lit("m"), (F.col("l_linenumber") % 4).cast("string")).alias("model"), (q("l_partkey") * 10).alias("prompt"), (q("l_suppkey") * 3).alias("completion"),
         (q("l_quantity") * 2).alias("reasoning"), (q("l_partkey") * q("l_linenumber")).alias("cache_write"), (q("l_partkey") * 3).alias("cache_read"),
     )
 
@@ -319,16 +356,18 @@ def retry_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS v, row_number() OVER (PARTITION BY l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
-b AS (SELECT p_partkey, p_size * 1.0 AS v, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_size) AS c FROM part)
-SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, b.p_partkey, coalesce(a.k > s.c, FALSE) AS duplicated FROM a
-LEFT JOIN (SELECT v, max(c) AS c FROM b GROUP BY v) s ON s.v = a.v LEFT JOIN b ON b.v = a.v AND b.k = CASE WHEN a.k > s.c THEN 1 ELSE a.k END
+WITH a AS (SELECT *, l_quantity % 2 AS v, row_number() OVER (PARTITION BY l_partkey, l_quantity % 2 ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS k FROM lineitem WHERE l_returnflag <> 'A'),
+b AS (SELECT l_partkey, l_quantity % 2 AS v, l_extendedprice AS price, row_number() OVER (PARTITION BY l_partkey, l_quantity % 2 ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_partkey, l_quantity % 2) AS c FROM lineitem WHERE l_returnflag = 'A')
+SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, b.price, coalesce(a.k > s.c, FALSE) AS duplicated FROM a
+LEFT JOIN (SELECT l_partkey, v, max(c) AS c FROM b GROUP BY 1, 2) s ON s.v = a.v AND s.l_partkey = a.l_partkey LEFT JOIN b ON b.v = a.v AND b.l_partkey = a.l_partkey AND b.k = CASE WHEN a.k > s.c THEN 1 ELSE a.k END
 """)
 def nth_occurrence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("v"))
-    pool = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("v"))
-    found = sequence.nth_match(asked, pool, ["v"], list(map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))), [F.col("p_partkey")])
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "p_partkey", "duplicated")
+    """Requests for a value of a part's sheet take its occurrences in turn."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("v", F.col("l_quantity") % 2)
+    asked = rows.where("l_returnflag <> 'A'").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "v")
+    pool = rows.where("l_returnflag = 'A'").select("l_partkey", "v", F.col("l_extendedprice").alias("price"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
+    found = sequence.nth_match(asked, pool, ["l_partkey", "v"], list(map(F.col, ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"))), list(map(F.col, ("price", "o", "n"))))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "duplicated")
 
 
 @query("""
@@ -357,15 +396,14 @@ def number_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'A-' || o_orderkey WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS VARCHAR) END AS sheet, o_custkey FROM orders)
-SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN TRY_CAST(sheet AS DOUBLE) IS NOT NULL THEN 0 WHEN sheet IS NOT NULL THEN 1 ELSE 2 END, TRY_CAST(sheet AS DOUBLE) NULLS FIRST, o_orderkey) - 1 AS pos FROM t ORDER BY pos LIMIT 100
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'A-' || o_orderkey WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS VARCHAR) END AS sheet FROM orders)
+SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN TRY_CAST(sheet AS DOUBLE) IS NOT NULL THEN 0 WHEN sheet IS NOT NULL THEN 1 ELSE 2 END, TRY_CAST(sheet AS DOUBLE) NULLS FIRST, o_orderkey) - 1 AS pos FROM t
 """)
 def sheet_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred report rows in sheet order (a top-k report)."""
+    """The place of every report row in sheet order."""
     sheet = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("A-"), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 50).cast("string"))
-    first = table(spark, sf_dir, "orders").select("o_orderkey", sheet.alias("sheet")).orderBy(*sequence.sheet_order(F.col("sheet"), F.col("o_orderkey"))).limit(100)
-    pos = F.row_number().over(Window.orderBy(*sequence.sheet_order(F.col("sheet"), F.col("o_orderkey")))) - 1  # one hundred rows
-    return first.select("o_orderkey", pos.cast("long").alias("pos"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", sheet.alias("sheet"))
+    return sequence.placed(rows, sequence.sheet_order(F.col("sheet"), F.col("o_orderkey")), "pos").select("o_orderkey", "pos")
 
 
 @query("""
@@ -380,15 +418,24 @@ def segment_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(ring.alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(geometry.fraction(*s)), 3).alias("along"))
 
 
-@query("""
-SELECT o_orderstatus AS experiment, count(*) AS pages, count(*) FILTER (o_orderkey % 11 = 0) AS pages_failed, round(sum(o_totalprice) / count(*), 2) AS elapsed_per_page, count(DISTINCT o_custkey) AS lists,
-  min(o_orderdate) AS first_at, max(o_orderdate) AS last_at FROM orders GROUP BY 1
+@query(f"""
+WITH {_CALLS}, y AS (SELECT l_orderkey % 100 AS run, count(*) AS calls, CAST(sum(prompt) AS BIGINT) AS prompt_tokens, CAST(sum(visible) AS BIGINT) AS visible_tokens, count(*) FILTER (l_linenumber % 3 = 0) AS retries,
+  sum(plain / 1e6 * (CASE m WHEN 0 THEN 10.0 WHEN 1 THEN 2.0 ELSE 0.0 END) + visible / 1e6 * (CASE m WHEN 0 THEN 50.0 WHEN 1 THEN 8.0 ELSE 0.0 END) + r / 1e6 * (CASE m WHEN 0 THEN 50.0 WHEN 1 THEN 8.0 ELSE 0.0 END)
+    + w / 1e6 * (CASE m WHEN 0 THEN 12.5 ELSE 0.0 END) + rd / 1e6 * (CASE m WHEN 0 THEN 1.25 WHEN 1 THEN 1.0 ELSE 0.0 END)) AS cost, bool_and(m < 2) AS pricing_known FROM x GROUP BY 1),
+p AS (SELECT o_orderkey % 100 AS run, count(*) AS pages, count(*) FILTER (o_orderkey % 11 = 0) AS pages_failed, sum(floor(o_totalprice)) AS elapsed, count(*) FILTER (o_custkey % 2 = 0) AS pages_trimmed, avg(CAST(o_custkey % 10 AS DOUBLE)) AS area, CAST(sum(o_custkey) AS BIGINT) AS dims FROM orders GROUP BY 1)
+SELECT p.run, pages, pages_failed, pages - pages_failed AS pages_ok, round_even(elapsed / pages, 2) AS elapsed_per_page, pages_trimmed, round_even(area, 4) AS area_ratio_mean, dims AS dimensions_total, calls, prompt_tokens, visible_tokens, retries, pricing_known,
+  round_even(coalesce(calls, 0) / pages, 2) AS calls_per_page, round(coalesce(cost, 0), 3) AS total_cost FROM p LEFT JOIN y ON y.run = p.run
 """)
 def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders")
-    return rows.groupBy(F.col("o_orderstatus").alias("experiment")).agg(
-        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("o_orderkey") % 11 == 0).alias("pages_failed"), F.round(num.safe_share(F.sum("o_totalprice"), F.count(F.lit(1))), 2).alias("elapsed_per_page"),
-        F.countDistinct("o_custkey").alias("lists"), F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"),
+    """Runs of pages (orders) and calls (lines): usage summed, then the statistics of each run."""
+    calls = _calls(spark, sf_dir).withColumn("run", F.col("l_orderkey") % 100)
+    calls = calls.withColumn("retry_reason", F.when(F.col("line") % 3 == 0, "timeout")).withColumn("failed", F.lit(False)).withColumn("at", F.col("line"))
+    totals = cost.usage_totals(cost.costs(calls, _tariffs(spark, False)), ["run"])
+    pages = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100).alias("run"), F.when(F.col("o_orderkey") % 11 == 0, "failed").alias("error"), F.floor("o_totalprice").cast("double").alias("elapsed"), (F.col("o_custkey") % 2 == 0).alias("trimmed"), (F.col("o_custkey") % 10).cast("double").alias("area_ratio"), F.col("o_custkey").alias("dimensions"))
+    rows = cost.run_stats(pages, totals, ["run"])
+    return rows.select(
+        "run", "pages", "pages_failed", "pages_ok", "elapsed_per_page", "pages_trimmed", "area_ratio_mean", "dimensions_total", "calls", "prompt_tokens", "visible_tokens", "retries", "pricing_known",
+        "calls_per_page", F.round("total_cost", 3).alias("total_cost"),
     )
 
 
@@ -409,7 +456,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, o_orderstatus || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') AS folder, 'page_' || CASE WHEN o_orderkey % 150 < 100 THEN lpad(CAST(o_orderkey % 150 AS VARCHAR), 2, '0') ELSE substr(CAST(o_orderkey % 150 AS VARCHAR), 1, 2) END || '.png' AS image FROM orders
+SELECT o_orderkey, o_orderstatus || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') AS folder, 'page_' || printf('%02d', o_orderkey % 150) || '.png' AS image FROM orders
 """)
 def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
@@ -420,7 +467,7 @@ _PIXELS = "SELECT p_partkey, p_size * 20.0 AS a, p_retailprice / 2 AS b, p_size
 
 
 @query(f"""
-WITH p AS ({_PIXELS}), q AS (SELECT p_partkey, greatest(least(a * 0.8, c * 0.8), 0) AS x0, least(greatest(a * 0.8, c * 0.8), 800.0) AS x1, greatest(least(b * 0.5, d * 0.5), 0) AS y0, least(greatest(b * 0.5, d * 0.5), 500.0) AS y1 FROM p)
+WITH p AS ({_PIXELS}), q AS (SELECT p_partkey, CAST(greatest(least(a * 0.8, c * 0.8), 0) AS DOUBLE) AS x0, CAST(least(greatest(a * 0.8, c * 0.8), 800.0) AS DOUBLE) AS x1, greatest(least(b * 0.5, d * 0.5), 0) AS y0, least(greatest(b * 0.5, d * 0.5), 500.0) AS y1 FROM p)
 SELECT p_partkey, x0, y0, x1, y1 FROM q WHERE x1 - x0 >= 1 AND y1 - y0 >= 1
 """)
 def model_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,13 +478,18 @@ def model_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS ({_PIXELS}), t AS (SELECT p_partkey, a AS x0, b AS y0, a + 30 AS x1, b + 12 AS y1 FROM p)
-SELECT p_partkey, CASE WHEN x1 + 2 + 13 <= 1000 THEN 'right' ELSE 'left' END AS side FROM t
+WITH p AS ({_PIXELS}), t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 5.0 ELSE a END AS x0, b AS y0, CASE p_partkey % 3 WHEN 0 THEN 990.0 ELSE a + 30 END AS x1, b + 12 AS y1, CASE WHEN p_partkey % 2 = 0 THEN 480.0 ELSE 3000.0 END AS h FROM p)
+SELECT p_partkey, CASE WHEN x1 + 15 <= 1000 AND y0 >= 0 AND y0 + 14.5 <= h THEN 'right' WHEN x0 - 15 >= 0 AND y0 + 14.5 <= h THEN 'left' WHEN y0 - 16.5 >= 0 AND x0 + 13 <= 1000 AND y0 - 2 <= h THEN 'above' WHEN y1 + 16.5 <= h AND x0 + 13 <= 1000 THEN 'below' ELSE 'clipped' END AS side FROM t
 """)
 def chip_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = F.col("p_partkey") % 3 == 0
     size, price = F.col("p_size") * 20.0, F.col("p_retailprice") / 2
-    place = layout.chip([size, price, size + 30, price + 12], 10.0, F.lit(1000.0), F.lit(1e9))
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(place.x0 > size, "right").otherwise("left").alias("side"))
+    x0, x1, y1 = F.when(wide, 5.0).otherwise(size), F.when(wide, 990.0).otherwise(size + 30), price + 12
+    height = F.when(F.col("p_partkey") % 2 == 0, 480.0).otherwise(3000.0)
+    place = layout.chip([x0, price, x1, y1], 10.0, F.lit(1000.0), height)
+    right, left = (place.x0 == x1 + 2) & (place.x1 - place.x0 == 13) & (place.y1 - place.y0 == 14.5), place.x1 == x0 - 2
+    side = F.when(left, "left").when(place.y1 == price - 2, "above").when(place.y0 == y1 + 2, "below").when(right, "right").otherwise("clipped")
+    return table(spark, sf_dir, "part").select("p_partkey", side.alias("side"))
 
 
 @query("""
@@ -463,13 +515,16 @@ def truth_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) WHEN event_id % 3 = 1 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) + 0.5 END AS length FROM events
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) WHEN 1 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) + 0.5 WHEN 4 THEN 7.0 END AS length FROM events
 """)
 def reply_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first length field of a reply: a number, text with a comma, or none."""
-    k = F.get_json_object("props", "$.k")
-    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"value": '), k, F.lit("}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"length": "'), k, F.lit(',5"}'))).otherwise(F.lit('{"length": "n/a"}'))
-    return table(spark, sf_dir, "events").select("event_id", json.first_number(F.try_parse_json(reply), selection.LENGTHS).alias("length"))
+    """The first length field that a segment has: a number, text with a comma, what is no number, none, or one after a null."""
+    k, which = F.get_json_object("props", "$.k"), F.col("event_id") % 5
+    reply = (
+        F.when(which == 0, F.concat(F.lit('{"value": '), k, F.lit("}"))).when(which == 1, F.concat(F.lit('{"length": "'), k, F.lit(',5"}')))
+        .when(which == 2, F.concat(F.lit('{"length": "n/a", "value": '), k, F.lit("}"))).when(which == 3, F.lit('{"label": "x"}')).otherwise(F.lit('{"length_mm": null, "length": 7, "value": 9}'))
+    )
+    return table(spark, sf_dir, "events").select("event_id", json.as_length(json.first_present(F.try_parse_json(reply), selection.LENGTHS)).alias("length"))
 
 
 @query("""

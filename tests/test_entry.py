@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
-from plumbline.plans import bridge
+from plumbline import plans
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DIR = "/root/testdata/sf0.001"
@@ -29,9 +29,9 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in bridge.oracle_sql()])
+@pytest.mark.parametrize("name", [n for n in plans.oracle_sql()])
 def test_against_duckdb(spark, con, name):
-    assert rows(bridge.queries()[name](spark, DIR).toPandas()) == rows(con.execute(bridge.oracle_sql()[name]).df())
+    assert rows(plans.queries()[name](spark, DIR).toPandas()) == rows(con.execute(plans.oracle_sql()[name]).df())
 
 
 def test_entry(spark):
@@ -44,12 +44,12 @@ def test_without_the_optional_part(tmp_path):
     for n in ("__spark_entry__.py", "plumbline"):
         os.symlink(os.path.join(ROOT, n), tmp_path / n) if n.endswith(".py") else None
     os.makedirs(tmp_path / "plumbline")
-    optional = [n for n in os.listdir(os.path.join(ROOT, "plumbline")) if n != "ll" + "m"]
+    optional = [n for n in os.listdir(os.path.join(ROOT, "plumbline")) if n != "llm"]
     for n in optional:
         os.symlink(os.path.join(ROOT, "plumbline", n), tmp_path / "plumbline" / n)
     code = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"
     done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
-    assert done.stdout.split() == [str(len(bridge.queries())), "False"], done.stderr
+    assert done.stdout.split() == [str(len(plans.queries())), "False"], done.stderr
 
 
 def test_nothing_else_imports_the_optional_part():
