@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Shares of a badge's size and of a chip's.
@@ -59,6 +59,21 @@ def png_size(data: Column) -> Column:
     return F.when(is_png & (F.octet_length(data) >= 24), F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
+def picture_facts(pictures: DataFrame) -> DataFrame:
+    """Pictures (data, overlay, crop, full_width, full_height) with what follows from them.
+
+    ``crop`` is null where nothing was trimmed; the model sees the overlay if there is one.
+    """
+    seen = F.coalesce("overlay", "data")
+    size = png_size(F.col("data"))
+    c = F.col("crop")
+    area = F.try_divide(((c[2] - c[0]) * (c[3] - c[1])).cast("double"), F.col("full_width") * F.col("full_height"))
+    return pictures.select(
+        "*", size.width.alias("width"), size.height.alias("height"), F.octet_length("data").alias("size_bytes"), F.coalesce(area, F.lit(1.0)).alias("area_ratio"),
+        seen.alias("model_image"), F.concat(F.lit("data:image/png;base64,"), F.base64(seen)).alias("data_url"),
+    )
+
+
 def run_folder(experiment: Column, at: Column) -> Column:
     """Folder of a run: its experiment and the start in UTC (the session's time zone)."""
     return F.concat(experiment, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"))

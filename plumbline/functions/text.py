@@ -62,6 +62,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
 def norm_key(text: Column) -> Column:
     """Lookup key of sheet text."""
     return F.lower(collapse(F.translate(text, ODD_SPACES, " " * len(ODD_SPACES))))
@@ -108,7 +113,7 @@ def reply_class(reply: Column, finish_reason: Column, parsed: Column) -> Column:
     """Why a reply can't be used: truncated, empty, not JSON; null if it can be."""
     return (
         F.when(finish_reason == "length", "truncated")
-        .when(reply.isNull() | (F.trim(reply) == ""), "empty")
+        .when(reply.isNull() | (strip(reply) == ""), "empty")
         .when(parsed.isNull(), "not_json")
     )
 
@@ -128,5 +133,25 @@ def clip(text: Column, most: int = 6000) -> Column:
     return F.substring(text, 1, most)
 
 
+#: What a model is asked where an experiment says nothing of its own, and what is said of the picture.
+ASKED = "Проанализируй этот лист изометрического чертежа трубопровода и верни результат строго по схеме."
+PICTURE = "\n\nЛист № {page}. Размер изображения: {width}x{height} px."
+
+
+def instruction(own: Column, page: Column, width: Column, height: Column) -> Column:
+    """What goes with the picture of one sheet: the experiment's own words or the usual ones, and the picture's size."""
+    said = F.lit(PICTURE)
+    for name, x in (("page", page), ("width", width), ("height", height)):
+        said = F.replace(said, F.lit("{" + name + "}"), x.cast("bigint").cast("string"))
+    return F.concat(F.coalesce(F.nullif(own, F.lit("")), F.lit(ASKED)), said)
+
+
+def user_content(text: Column, urls: Column) -> Column:
+    """Message parts as JSON: the text, then a picture for each URL."""
+    part = lambda kind, words, url: F.struct(F.lit(kind).alias("type"), words.alias("text"), url.alias("image_url"))
+    none, no_url = F.lit(None).cast("string"), F.lit(None).cast("struct<url:string>")
+    return F.to_json(F.concat(F.array(part("text", text, no_url)), F.transform(urls, lambda u: part("image_url", none, F.struct(u.alias("url"))))))
+
+
 def backoff(attempt: Column, base: float = 1.0, most: float = 30.0) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))

@@ -54,9 +54,9 @@ def costs(calls: DataFrame, pricing: DataFrame) -> DataFrame:
 COSTS = ("input_cost", "output_cost", "reasoning_cost", "cache_write_cost", "cache_read_cost")
 
 
-def pricing_enabled(pricing: DataFrame) -> DataFrame:
-    """One row: whether any tariff has a price."""
-    return pricing.agg(F.coalesce(F.bool_or(F.greatest(*[F.coalesce(F.col(p).cast("double"), F.lit(0.0)) for p in PRICES]) > 0), F.lit(False)).alias("enabled"))
+def pricing_enabled(pricing: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Whether any tariff has a price: of all, or of each group."""
+    return pricing.groupBy(*(by or [])).agg(F.coalesce(F.bool_or(F.greatest(*[F.coalesce(F.col(p).cast("double"), F.lit(0.0)) for p in PRICES]) > 0), F.lit(False)).alias("enabled"))
 
 
 def usage_totals(costed: DataFrame, by: list[str] | None = None) -> DataFrame:

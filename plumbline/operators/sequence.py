@@ -104,6 +104,20 @@ def multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("extra")).unionAll(b.exceptAll(a).withColumn("side", F.lit("missing")))
 
 
+def set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows with ``side``: only in a (extra), only in b (missing), in both."""
+    told = a.distinct().withColumn("__a", F.lit(1)).withColumn("__b", F.lit(0)).unionAll(b.distinct().withColumn("__a", F.lit(0)).withColumn("__b", F.lit(1)))
+    sides = told.groupBy(*a.columns).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    side = F.when(F.col("__a") > F.col("__b"), "extra").when(F.col("__a") < F.col("__b"), "missing").otherwise("both")
+    return sides.select(*a.columns, side.alias("side"))
+
+
+def distinct_values(df: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """The distinct values of each group, sorted, and their number."""
+    rows = df.select(*by, value.alias("__v")).distinct().groupBy(*by)
+    return rows.agg(F.sort_array(F.collect_list("__v")).alias("values"), F.count("__v").alias("n"))
+
+
 def mode(df: DataFrame, by: list[str], value: Column, name: str = "mode") -> DataFrame:
     """The most frequent value of each group, the least of equally frequent ones."""
     counts = df.groupBy(*by, value.alias(name)).agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
@@ -64,9 +64,17 @@ def find(lines: DataFrame, needle: str, case_sensitive: bool = False) -> DataFra
 
 
 def occurrences(lines: DataFrame, needle: str) -> DataFrame:
-    """Each occurrence of the needle in a line (any case), with a box in proportion to its characters."""
-    low, size = F.lower("text"), len(needle)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(size)) == needle.lower())
+    """Each occurrence of the needle in a line (any case), with a box in proportion to its characters.
+
+    The text is cut at the needle, and the cuts' lengths are summed up, so a long line
+    costs what its length is.
+    """
+    size = len(needle)
+    cuts = F.split(F.lower("text"), "\\Q" + needle.lower() + "\\E", -1)
+    starts = F.aggregate(
+        F.slice(cuts, 1, F.size(cuts) - 1), F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found")),
+        lambda s, cut: F.struct((s.at + F.length(cut) + size).alias("at"), F.concat(s.found, F.array(s.at + F.length(cut))).alias("found")), lambda s: s.found,
+    )
     hits = find(lines, needle).withColumn("at", F.explode(starts))
     step = (F.col("x1") - F.col("x0")) / F.length("text")
     left = F.col("x0") + (F.col("at") - 1) * step
@@ -79,6 +87,32 @@ def page_text(lines: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, F.array_join(F.transform("t", lambda t: F.trim(t.text)), "\n").alias("text"))
 
 
+def page_blocks(lines: DataFrame, by: list[str]) -> DataFrame:
+    """One text for each page with all its lines, trimmed, blank ones kept: the block mode."""
+    rows = lines.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("t"))
+    return rows.select(*by, F.array_join(F.transform("t", lambda t: F.trim(t.text)), "\n").alias("text"))
+
+
+def sorted_words(words: DataFrame, by: list[str], tolerance: float = 3.0, least_height: float = 0.0) -> DataFrame:
+    """One text for each page by the place of its words, whatever their order: the sorted mode.
+
+    Words lower than ``least_height`` are left out.
+    """
+    high = words.where(F.col("y1") - F.col("y0") >= least_height)
+    lines = sequence.cluster_lines(high, by, tolerance)
+    return page_blocks(lines.select(*by, F.col("line").alias("n"), "text"), by)
+
+
+def is_numeric(text: Column) -> Column:
+    """Labels of digits, points and commas alone."""
+    return text.rlike("(?U)^[\\d.,]+$")
+
+
+def numbers(items: DataFrame) -> DataFrame:
+    """Items whose text is such a label."""
+    return items.where(is_numeric(F.col("text")))
+
+
 def prompt_block(items: DataFrame, sheets: DataFrame, by: list[str], title: str = "Text layer of the sheet") -> DataFrame:
     """A block for each sheet: title, picture size, a line for each item; another text where there is none.
 
