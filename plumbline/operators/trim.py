@@ -28,22 +28,25 @@ class Trim:
 
 
 def content_box(pixels: np.ndarray, t: Trim) -> tuple[tuple[int, int, int, int], dict]:
-    """Box of what is drawn on a height x width (x channels) array; the whole page if nothing is."""
-    grey = pixels.min(axis=2) if pixels.ndim == 3 else pixels
-    height, width = grey.shape
-    factor, small = 1, grey.astype(np.float32)
-    while small.shape[1] > t.probe:
+    """Box of what is drawn on a height x width (x channels) array; the whole page if nothing is.
+
+    The darkest channel of the corner is the background.  A row counts its dark
+    channel values, a column its pixels with one.
+    """
+    height, width = pixels.shape[:2]
+    factor, small = 1, pixels.reshape(height, width, -1).astype(np.float32)
+    while small.shape[1] > t.probe and min(small.shape[:2]) > 1:
         h, w = small.shape[0] // 2 * 2, small.shape[1] // 2 * 2
-        small = small[:h, :w].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3)) if min(h, w) else small
+        small = small[:h, :w].reshape(h // 2, 2, w // 2, 2, -1).mean(axis=(1, 3))
         factor *= 2
-    background = float(small[0, 0])
+    background = float(small[0, 0].min())
     ink = small < background - t.noise
-    rows = np.flatnonzero(ink.sum(axis=1) >= t.min_ink)
+    rows = np.flatnonzero(ink.sum(axis=(1, 2)) >= t.min_ink)
     found = {"background": int(background), "factor": factor, "empty": not len(rows)}
     if not len(rows):
         return (0, 0, width, height), found
     y0, y1 = int(rows[0]), int(rows[-1]) + 1
-    cols = np.flatnonzero(ink[y0:y1].sum(axis=0) >= t.min_ink)
+    cols = np.flatnonzero(ink[y0:y1].any(axis=2).sum(axis=0) >= t.min_ink)
     x0, x1 = (int(cols[0]), int(cols[-1]) + 1) if len(cols) else (0, ink.shape[1])
     wider = t.min_run - 1
     box = ((x0 - wider) * factor, (y0 - wider) * factor, (x1 + wider) * factor, (y1 + wider) * factor)
@@ -56,9 +59,12 @@ def expand(box: tuple[int, int, int, int], t: Trim, width: int, height: int) ->
 
 
 def trim(rasters: DataFrame, key: list[str], t: Trim = Trim()) -> DataFrame:
-    """(key, x0, y0, x1, y1, background, factor, empty, area_ratio) of rasters (key, width, height, pixels)."""
+    """(key, x0, y0, x1, y1, background, factor, empty, skipped, area_ratio) of rasters (key, width, height, pixels).
+
+    ``skipped``: the page stays whole, as nothing is drawn, too little or all of it.
+    """
     fields = {f.name: f.dataType.simpleString() for f in rasters.schema.fields}
-    schema = ", ".join([*(f"{c} {fields[c]}" for c in key), "x0 int, y0 int, x1 int, y1 int, background int, factor int, empty boolean, area_ratio double"])
+    schema = ", ".join([*(f"{c} {fields[c]}" for c in key), "x0 int, y0 int, x1 int, y1 int, background int, factor int, empty boolean, skipped boolean, area_ratio double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -68,7 +74,7 @@ def trim(rasters: DataFrame, key: list[str], t: Trim = Trim()) -> DataFrame:
                 channels = len(flat) // (r["width"] * r["height"])
                 box, found = content_box(flat.reshape(r["height"], r["width"], channels), t)
                 x0, y0, x1, y1 = expand(box, t, r["width"], r["height"])
-                out.append({**{c: r[c] for c in key}, "x0": x0, "y0": y0, "x1": x1, "y1": y1, **found, "area_ratio": (x1 - x0) * (y1 - y0) / (r["width"] * r["height"])})
-            yield pd.DataFrame(out, columns=[*key, "x0", "y0", "x1", "y1", "background", "factor", "empty", "area_ratio"])
+                out.append({**{c: r[c] for c in key}, "x0": x0, "y0": y0, "x1": x1, "y1": y1, **found, "skipped": (x0, y0, x1, y1) == (0, 0, r["width"], r["height"]), "area_ratio": (x1 - x0) * (y1 - y0) / (r["width"] * r["height"])})
+            yield pd.DataFrame(out, columns=[*key, "x0", "y0", "x1", "y1", "background", "factor", "empty", "skipped", "area_ratio"])
 
     return rasters.select(*key, "width", "height", "pixels").mapInPandas(run, schema)

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import json, layout, num, text
-from plumbline.operators import annotate, cost, quality, selection, sequence, textmap
+from plumbline.operators import annotate, cost, quality, selection, sequence, spatial, textmap
 from plumbline.plans.bridge import NUMBERED, ORDER
 from plumbline.plans.registry import query
 from plumbline.session import table
-from plumbline.sources import labels
+from plumbline.sources import exports, labels
 
 EVENT = "e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 8 AS w FROM events)"
 M = f"m AS ({NUMBERED})"
@@ -301,3 +301,33 @@ def sheet_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("page_number")
     own = F.when(page % 2 == 0, F.lit("Own words.")).otherwise("")
     return sizes.select("page_number", text.instruction(own, page, F.col("width"), F.col("height")).alias("instruction"), text.user_content(F.lit("t"), F.array(F.concat(F.lit("u"), page.cast("string")))).alias("content"))
+
+
+@query(f"""
+WITH {M}, p AS (SELECT l_orderkey AS run, k, '<"page_number":' || k || ',"error":' || CASE WHEN l_returnflag = 'R' THEN '"late"' ELSE 'null' END || ',"response":' || CASE WHEN l_returnflag = 'R' THEN 'null' ELSE '"' || l_suppkey || '"' END || '>' AS page FROM m)
+SELECT o_orderkey AS run, replace(replace('<"experiment":"' || o_orderstatus || '","pages_total":' || o_custkey || ', "pages": [' || coalesce(string_agg(page, ', ' ORDER BY k), '') || ']>', '<', chr(123)), '>', chr(125)) AS document FROM orders LEFT JOIN p ON p.run = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_custkey
+""")
+def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs (orders) as nested JSON with their pages (lines) in order; some have none."""
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("experiment"), F.col("o_custkey").alias("pages_total"))
+    late = F.col("l_returnflag") == "R"
+    reply = F.col("l_suppkey").cast("string")
+    pages = _rows(spark, sf_dir).select(F.col("l_orderkey").alias("run"), F.col("k").alias("page_number"), F.when(late, "late").alias("error"), F.when(~late, reply).alias("response"))
+    return exports.run_documents(runs, pages, ["run"])
+
+
+@query(f"""
+WITH {M}, s AS (SELECT l_orderkey AS sheet, k AS idx, CAST(l_discount * 1000 AS BIGINT) AS u, l_linenumber * 2 AS v, CAST(l_quantity AS BIGINT) AS len, l_quantity FROM m),
+p AS (SELECT a.sheet, a.idx AS big, b.idx AS small FROM s a JOIN s b ON a.sheet = b.sheet AND a.idx <> b.idx WHERE b.len <= a.len AND abs(a.v - b.v) >= 1 AND b.u - a.u >= -1 AND b.u + b.len - a.u <= a.len + 1),
+c AS (SELECT sheet, big, '"P' || string_agg(small, '","P' ORDER BY small) || '"' AS kids FROM p GROUP BY 1, 2 HAVING count(*) >= 2), r AS (SELECT p.sheet, p.small, max(p.big) AS parent FROM p JOIN c ON p.sheet = c.sheet AND p.big = c.big GROUP BY 1, 2),
+j AS (SELECT s.sheet, string_agg('<"id":"P' || s.idx || '","kind":"span","label":"' || s.len || '","value":' || s.len || ',"parent":' || coalesce('"P' || r.parent || '"', 'null') || ',"children":[' || coalesce(c.kids, '') || ']>', ', ' ORDER BY s.idx) AS h FROM s LEFT JOIN c ON c.sheet = s.sheet AND c.big = s.idx LEFT JOIN r ON r.sheet = s.sheet AND r.small = s.idx GROUP BY 1)
+SELECT sheet, replace(replace('<"hierarchy": [' || h || '], "numbers": [], "orphans": [], "stats": <"scale":' || sheet % 7 || '>>', '<', chr(123)), '>', chr(125)) AS document FROM j
+""")
+def detection_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets as nested JSON: lines with their family, and statistics."""
+    rows, q = _rows(spark, sf_dir), F.col("l_quantity")
+    x, y, size = F.rint(F.col("l_discount") * 1000), (F.col("l_linenumber") * 2).cast("double"), q.cast("bigint")
+    lines = rows.select(F.col("l_orderkey").alias("sheet"), F.col("k").alias("idx"), F.lit("span").alias("kind"), size.cast("string").alias("label"), size.alias("value"), x.alias("ax"), y.alias("ay"), (x + q).alias("bx"), y.alias("by"), q.alias("length_pt"))
+    none = lines.limit(0).select("sheet", F.lit("").alias("text"), *[F.lit(0.0).alias(c) for c in spatial.BOX])
+    stats = lines.select("sheet").distinct().select("sheet", (F.col("sheet") % 7).alias("scale"))
+    return exports.detection_documents(spatial.hierarchy(lines, ["sheet"]), none, none, stats, ["sheet"])

@@ -7,13 +7,16 @@ repeated task would decode or call again.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.functions import text
+from plumbline.operators import sequence
 
 DECODED = "doc_id string, table string, row string"
 REPLIES = "doc_id string, page_number int, response string, error string, attempts int, elapsed double"
@@ -24,18 +27,42 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
 
 
-def decode(files: DataFrame, decoder: Callable[[bytes], Iterator[tuple[str, str]]]) -> DataFrame:
-    """Rows (doc_id, table, row as JSON) of each file; ``decoder`` yields (table, row)."""
+def decode(files: DataFrame, decoder: Callable[[bytes], Iterator[tuple[str, str]]], pages: str = "all") -> DataFrame:
+    """Rows (doc_id, table, row as JSON) of each file; ``decoder`` yields (table, row).
+
+    ``pages`` names the pages wanted (1-3,7).  A file that can't be opened, needs a
+    password or has no page gives one row of the table ``error`` and stops no other.
+    """
+    wanted = None if pages.strip().lower() in ("", "all") else pages
+
+    def rows_of(content: bytes) -> list[tuple[str, str]]:
+        found = list(decoder(content))
+        numbers = [json.loads(row).get("page_number") for table, row in found if table == "sheets"]
+        if not numbers:
+            raise ValueError("the document has no pages")
+        if wanted is None:
+            return found
+        keep = set(sequence.page_range(wanted, max(numbers)))
+        return [(table, row) for table, row in found if json.loads(row).get("page_number") in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                rows = [(r.path, t, row) for t, row in decoder(bytes(r.content))]
+                try:
+                    rows = [(r.path, *x) for x in rows_of(bytes(r.content))]
+                except Exception as e:  # noqa: BLE001  any error of a decoder is an error row
+                    rows = [(r.path, "error", json.dumps({"error": f"{type(e).__name__}: {e}"}))]
                 yield pd.DataFrame(rows, columns=["doc_id", "table", "row"])
 
     return files.mapInPandas(run, DECODED)
 
 
+def decoded_table(decoded: DataFrame, name: str, schema: str) -> DataFrame:
+    """One table of what ``decode`` gave, typed; the file is its doc_id."""
+    own = ", ".join(p.strip() for p in schema.split(", ") if not p.startswith("doc_id "))
+    return decoded.where(F.col("table") == name).select("doc_id", F.from_json("row", own).alias("r")).select("doc_id", "r.*")
+
+
 def classify(message: str) -> str:
     """The driver-side twin of ``text.error_class``."""
     low = message.lower()

@@ -93,6 +93,21 @@ def _union(kinds: list[T.DataType]) -> T.DataType:
     return T.DoubleType() if all(isinstance(k, (T.LongType, T.DoubleType)) for k in kinds) else T.VariantType()
 
 
+def unique_names(titles: list[str]) -> list[str]:
+    """Names of types from titles: ASCII word characters alone, a letter first and large, a number where one is taken."""
+    taken: set[str] = set()
+    out = []
+    for title in titles:
+        plain = "".join(c if c.isascii() and (c.isalnum() or c == "_") else "_" for c in title)
+        name = plain[0].upper() + plain[1:] if plain[:1].isalpha() else "Model_" + plain
+        n = 1
+        while (full := name if n == 1 else f"{name}{n}") in taken:
+            n += 1
+        taken.add(full)
+        out.append(full)
+    return out
+
+
 def strict(schema: Any) -> Any:
     """The schema with all properties required and no others allowed, at every level."""
     if isinstance(schema, list):
