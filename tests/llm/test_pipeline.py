@@ -1,7 +1,11 @@
 """The corpus pipeline against what its operators say."""
 
+import numpy as np
+import public_tokenizers
+
 import corpus_pipeline as C
-from plumbline.llm import forest, langid, pii, queries, toxicity
+from plumbline.llm import forest, graph, langid, pii, queries, toxicity
+from tests.llm.test_forest import brute, near_copies
 
 
 def test_stages(spark, docs, sf_dir):
@@ -31,6 +35,32 @@ def test_stages(spark, docs, sf_dir):
     assert set(pieces.doc_id) == {r.doc_id for r in kept.collect()}
 
 
+def test_near_duplicates_by_brute_force(spark, sf_dir):
+    """One document of each group stays, by all pairs of shingle sets and not by the operator."""
+    texts = near_copies(130, seed=4)
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in texts] + [(texts[0][0], texts[0][1], "en", "s", 1), (None, "null id", "en", "s", 7), (None, "null id", "en", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in dict(C.STAGES)["near_duplicates"](spark, docs, sf_dir).collect()]
+    classes = brute(texts)
+    assert sorted(k for k in kept if k is not None) == sorted({c for c, *_ in classes.values()}) and kept.count(None) == 2
+
+
+def test_last_stages_by_plain_code(spark, sf_dir):
+    """Personal data by plain patterns, tokens by the library: what is left is in the pieces, once."""
+    from tokenizers import Tokenizer
+
+    said = ["call +1 (389) 555-5010 now", "a.b@c.de wrote to x@y.org", "from 10.1.2.3 to 999.1.1.1", "card 4111 1111 1111 1111 of it", "nothing here", None, "IBAN GB82 WEST 1234 5698 7654 32 paid", "end <|endoftext|> mark"]
+    gone = ["call [PHONE] now", "[EMAIL] wrote to [EMAIL]", "from [IP] to 999.1.1.1", "card [CARD] of it", "nothing here", None, "IBAN [IBAN] paid", "end <|endoftext|> mark"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(said)], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = dict(C.STAGES)["personal_data"](spark, docs, sf_dir)
+    assert [(r.text, r.n_chars) for r in clean.orderBy("doc_id").collect()] == [(t, None if t is None else len(t)) for t in gone]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = dict(C.STAGES)["packing"](spark, clean, sf_dir).toPandas()
+    for key, g in pieces.sort_values("start").groupby("doc_id"):
+        assert np.frombuffer(b"".join(g.ids), "<u4").tolist() == [*t.encode(gone[int(key)] or "", add_special_tokens=False).ids, 1]
+    assert set(pieces.doc_id) == set(range(len(said)))
+
+
 def test_clean_documents_stay(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -42,7 +72,9 @@ def test_clean_documents_stay(spark):
 
 
 def test_run(spark, sf_dir):
-    pieces = C.run(spark, sf_dir).toPandas()
+    made = C.run(spark, sf_dir)
+    assert len(graph.tables_of(made)) == 1  # no table of an earlier stage is left in the plan
+    pieces = made.toPandas()
     assert len(pieces) and pieces.groupby("sequence_id").length.sum().max() <= 2048
 
 
