@@ -155,3 +155,15 @@ def test_quality_any_texts(texts):
     m = quality.measure(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     for i, t in enumerate(texts):
         assert tuple(int(m[c][i]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == plain_quality(t)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(["GB", "NL", "IT", "MT", "DE", "NO", "BG", "LV"]), st.text("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", min_size=11, max_size=30), st.integers(0, 3), st.booleans())
+def test_any_iban(country, rest, group, wrong):
+    """Codes whose check digits are computed apart from the operator, in groups of four or whole."""
+    plain = int("".join(str(int(c, 36)) for c in rest + country + "00"))
+    check = 98 - plain % 97
+    code = f"{country}{(check + wrong - 2) % 97 + 2:02}{rest}"
+    code = " ".join(code[i : i + 4] for i in range(0, len(code), 4)) if group == 0 else code
+    found = [x[1:3] for x in pii.find(f"to {code}, now") if x[0] == "iban"]
+    assert ((3, 3 + len(code)) in found) != wrong
