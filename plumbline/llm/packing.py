@@ -20,7 +20,6 @@ repeats a partition and makes the same rows.
 from __future__ import annotations
 
 import heapq
-import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,70 +33,36 @@ from pyspark.sql import functions as F
 from plumbline.llm import vec
 from plumbline.llm.bpe import text_slices
 
-_UNSAFE = re.compile(r" (?:\s|\Z)")
 COLUMNS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
-class CachedIds:
-    """Ids of texts as the ``tokenizers`` library gives them, with a bounded cache of words.
+class Ids:
+    """Ids of texts as the ``tokenizers`` library gives them.
 
     A text that holds one of the tokenizer's added strings (an end mark, say) goes to
-    the library whole, which alone knows what they mean.  In any other text a space
-    that a visible character follows always starts a pre-token, so texts are cut there
-    and words looked up; the missing words of many texts are encoded by the same ranks
-    in one call.  Words over ``LONG`` characters are not kept.
+    that library, which alone knows what they mean.  Any other text is encoded by the
+    same ranks in the faster library; a test holds both equal.
     """
 
-    LONG = 64
-
-    def __init__(self, tokenizer_path: str, rank_path: str, pattern: str, cache: int = 300_000):
+    def __init__(self, tokenizer_path: str, rank_path: str, pattern: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         from plumbline.llm.bpe import read_ranks
 
-        ranks = read_ranks(rank_path)
         self.library = Tokenizer.from_file(tokenizer_path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.spaced = np.zeros(max(ranks.values()) + 1, bool)  # ids that begin with a space
-        self.spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
-        self.cache, self.words = cache, {}
-
-    def _plain(self, text: str) -> np.ndarray:
-        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-
-    def _learn(self, fresh: list[str]) -> None:
-        """Ids of words, each with its space: one text of all, cut before each id that begins with a space."""
-        ids = self._plain(" " + " ".join(fresh))
-        flat, at = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
-        self.words.update((w, flat[a:b]) for w, a, b in zip(fresh, at, [*at[1:], len(flat)]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.cache:
-            self.words = {}
-        words, cut, new = self.words, [], set()
-        for t in texts:
-            if any(x in t for x in self.added):
-                cut.append((np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), []))
-            elif _UNSAFE.search(t):
-                cut.append((self._plain(t).tobytes(), []))
-            else:
-                head, *rest = t.split(" ")
-                new.update(rest)
-                cut.append((self._plain(head).tobytes(), rest))
-        new.difference_update(words)
-        if new:
-            self._learn(list(new))
-        out = [head + b"".join(map(words.__getitem__, rest)) for head, rest in cut]
-        for w in new:
-            if len(w) > self.LONG:
-                del words[w]
-        return out
-
-
-def loaded(tokenizer_path: str, rank_path: str, pattern: str) -> CachedIds:
-    return vec.worker_slot(("ids", tokenizer_path, rank_path, pattern), lambda: CachedIds(tokenizer_path, rank_path, pattern))
+        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(rank_path), special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit bytes."""
+        if any(x in text for x in self.added):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+def loaded(tokenizer_path: str, rank_path: str, pattern: str) -> Ids:
+    return vec.worker_slot(("ids", tokenizer_path, rank_path, pattern), lambda: Ids(tokenizer_path, rank_path, pattern))
 
 
 @dataclass
@@ -208,8 +173,8 @@ def pack(df: DataFrame, tokenizer_path: str, rank_path: str, pattern: str, *, id
             id_type = batch.column(0).type
             for first, texts in text_slices(batch, text_col):
                 keys = batch.column(0).slice(first, len(texts)).to_pylist()
-                for key, ids in zip(keys, ids_of.encode(texts)):
-                    pools.add(key, ids + end)
+                for key, text in zip(keys, texts):
+                    pools.add(key, ids_of.encode(text) + end)
                 yield from flush()
         if id_type is not None:
             pools.pack(True)
