@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry, layout, num, text
-from plumbline.operators import drawing, polygons, redaction, sequence, spatial, textmap
+from plumbline.operators import cost, drawing, polygons, redaction, sequence, spatial, textmap
 from plumbline.plans.bridge import NUMBERED, ORDER
 from plumbline.plans.registry import query
 from plumbline.session import table
@@ -496,3 +496,44 @@ def detected_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = rows.limit(0).select(*SHEET, F.lit("").alias("text"), F.lit(1.0).alias("font_size"), F.array().cast(CHARS).alias("chars"))
     found = drawing.detect(sheets, paths, words, spans)["lines"]
     return found.select("page_number", "idx", "kind", "label", "value", "length_pt")
+
+
+@query(f"""
+WITH {M}, v AS (SELECT l_orderkey AS page_number, k AS idx, {X} AS x, {Y} AS y, l_quantity AS q, l_returnflag = 'N' AS led FROM m)
+SELECT page_number, idx, 'line' AS part, x AS ax, y AS ay, x + q AS bx, y AS by FROM v UNION ALL SELECT page_number, idx, 'leader', x, y, x - 5, y + q FROM v WHERE led
+""")
+def spared_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of lines, and of the leaders that some have, which a cut must spare."""
+    x, y, q = F.col("x"), F.col("y"), F.col("l_quantity")
+    lead = F.when(F.col("l_returnflag") == "N", F.struct((x - 5).alias("x"), (y + q).alias("y")))
+    lines = _rows(spark, sf_dir).select("page_number", F.col("k").alias("idx"), x.alias("ax"), y.alias("ay"), (x + q).alias("bx"), y.alias("by"), lead.alias("leader_end"))
+    return redaction.kept_geometry(lines, ["page_number"])
+
+
+@query("""
+WITH p AS (SELECT o_custkey AS run, o_orderkey AS page, CASE o_orderkey % 4 WHEN 0 THEN 'late' WHEN 1 THEN 'empty' END AS error FROM orders)
+SELECT run, string_agg(page || ' ' || error, ', ' ORDER BY page) AS errors FROM p WHERE error IS NOT NULL GROUP BY 1
+""")
+def run_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    which = F.col("o_orderkey") % 4
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("page_number"), F.when(which == 0, "late").when(which == 1, "empty").alias("error"))
+    told = F.transform("errors", lambda e: F.concat(e.page.cast("string"), F.lit(" "), e.error))
+    return cost.page_errors(pages, ["run"]).select("run", F.array_join(told, ", ").alias("errors"))
+
+
+@query("""
+WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity % 12, l_discount, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem),
+w AS (SELECT l_orderkey AS page_number, r, l_quantity % 12 AS y FROM m),
+f AS (SELECT page_number, r, [y] AS means, [1] AS sizes FROM w WHERE r = 1
+  UNION ALL SELECT w.page_number, w.r, CASE WHEN hit IS NULL THEN list_append(means, w.y) ELSE list_transform(means, lambda v, i: CASE WHEN i = hit THEN v + (w.y - v) / (sizes[i] + 1) ELSE v END) END, CASE WHEN hit IS NULL THEN list_append(sizes, 1) ELSE list_transform(sizes, lambda v, i: CASE WHEN i = hit THEN v + 1 ELSE v END) END
+  FROM f JOIN w ON w.page_number = f.page_number AND w.r = f.r + 1, LATERAL (SELECT list_min(list_filter(range(1, len(means) + 1), lambda i: abs(means[i] - w.y) <= 2)) AS hit) q)
+SELECT page_number, CAST(len(arg_max(means, r)) AS BIGINT) AS lines, list_max(arg_max(sizes, r)) AS longest, round(list_sum(arg_max(means, r)), 6) AS heights FROM f GROUP BY 1
+""")
+def clustered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words to the first line whose running mean is near."""
+    rows = table(spark, sf_dir, "lineitem")
+    y = F.col("l_quantity") % 12
+    words = rows.select(F.col("l_orderkey").alias("page_number"), F.lit("w").alias("word"), F.col("l_discount").alias("x0"), y.alias("y0"), (F.col("l_discount") + 1).alias("x1"), y.alias("y1"))
+    found = sequence.cluster_lines(words, ["page_number"], 2.0)
+    sizes = F.size(F.split("text", " "))
+    return found.groupBy("page_number").agg(F.count(F.lit(1)).alias("lines"), F.max(sizes).alias("longest"), F.round(F.sum("y"), 6).alias("heights"))
