@@ -37,20 +37,23 @@ SELECT *, NOT base_failed AND NOT (line_coverage > {quality.LINES} OR n_symbols
 
 
 def jaccard_join(threshold: float = 0.8) -> str:
-    """Exact links by shared shingles and classes by a recursive closure, without sketches."""
+    """Exact links by shared shingles and classes by a recursive closure, without sketches.
+
+    A document is an id with a set: repeated rows count once, an id with two sets twice.
+    """
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], chr(31))))) END AS s FROM d),
-k AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS rep, count(*) OVER (PARTITION BY s) AS copies FROM s),
-r AS (SELECT doc_id, len(s) AS n, copies, s FROM k WHERE doc_id = rep),
-x AS (SELECT doc_id, n, copies, unnest(s) AS g FROM r),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(b.copies) AS copies FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+r AS (SELECT row_number() OVER (ORDER BY s) AS node, s, len(s) AS n, min(doc_id) AS rep, count(DISTINCT doc_id) AS copies FROM s WHERE doc_id IS NOT NULL GROUP BY s),
+x AS (SELECT node, n, copies, unnest(s) AS g FROM r),
+p AS (SELECT a.node AS a, b.node AS b, any_value(b.copies) AS copies FROM x a JOIN x b ON a.g = b.g AND a.node <> b.node
       GROUP BY 1, 2 HAVING count(*) >= {threshold} * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-6),
 t AS (SELECT a, b FROM p UNION SELECT t.a, p.b FROM t JOIN p ON t.b = p.a),
-c AS (SELECT a, least(a, min(b)) AS root FROM t GROUP BY 1),
+c AS (SELECT t.a, min(r.rep) AS root FROM t JOIN r ON r.node = t.b GROUP BY 1),
 l AS (SELECT a, CAST(sum(copies) AS BIGINT) AS links, count(*) AS texts FROM p GROUP BY 1)
-SELECT k.doc_id, coalesce(c.root, k.rep) AS class_id, coalesce(l.links, 0) + k.copies - 1 AS n_links, k.copies - 1 AS n_copies, coalesce(l.texts, 0) AS n_linked_texts
-FROM k LEFT JOIN c ON c.a = k.rep LEFT JOIN l ON l.a = k.rep
+SELECT s.doc_id, CASE WHEN s.doc_id IS NOT NULL THEN least(coalesce(c.root, r.rep), r.rep) END AS class_id, CASE WHEN s.doc_id IS NULL THEN 0 ELSE coalesce(l.links, 0) + r.copies - 1 END AS n_links,
+  CASE WHEN s.doc_id IS NULL THEN 0 ELSE r.copies - 1 END AS n_copies, CASE WHEN s.doc_id IS NULL THEN 0 ELSE coalesce(l.texts, 0) END AS n_linked_texts
+FROM s LEFT JOIN r ON r.s = s.s LEFT JOIN c ON c.a = r.node LEFT JOIN l ON l.a = r.node
 """
 
 

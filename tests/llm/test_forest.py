@@ -3,10 +3,12 @@
 import random
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
-from plumbline.llm import forest, graph
+from plumbline.llm import forest, graph, oracles
 
 
 def shingle_set(text, n=5):
@@ -57,9 +59,11 @@ def near_copies(n=260, seed=2):
 
 def check(spark, rows, lost=0):
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, id string, node int").repartition(5)
-    got = sorted(tuple(r) for r in forest.join(df).collect())
+    got = sorted((tuple(r) for r in forest.join(df).collect()), key=lambda r: (r[0] or 0, *map(str, r[1:])))
     want = brute([r for r in rows if r[0] is not None])
-    want = sorted((k, *(want[k, shingle_set(t or "")] if k is not None else (None, 0, 0, 0))) for k, t in rows if k is not None)
+    want = sorted(((k, *want[k, shingle_set(t or "")]) for k, t in rows if k is not None), key=lambda r: (r[0], *map(str, r[1:])))
+    want += [(None, None, 0, 0, 0)] * (len(rows) - len(want))
+    got = [r for r in got if r[0] is not None] + [r for r in got if r[0] is None]
     assert len(got) == len(rows)
     wrong = [(g, w) for g, w in zip(got, want) if g != w]
     assert len(wrong) <= lost, wrong[:5]
@@ -81,6 +85,12 @@ def test_hot_keys_and_repeated_ids(spark, monkeypatch):
     rows = near_copies(60, seed=9)
     rows += [(1000 + i, " ".join(long)) for i in range(60)] + [(5, " ".join(long)), (5, "another text of its own with some words"), (6, " ".join([*long, "more"])), (6, " ".join([*long, "more"]))]
     rows += [(7, " ".join(word() for _ in range(20))) for _ in range(30)] + [(8, "the same row")] * 30
+    rows += [(None, "no id"), (None, " ".join(long))]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array([k for k, _ in rows], "Int64"), "text": [t for _, t in rows]}))
+    want = sorted(con.execute(oracles.jaccard_join()).fetchall(), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, forest.join(df).collect()), key=str) == want
     for heavy, many in ((1000, 500), (1000, 0), (20, 5)):
         monkeypatch.setattr(graph, "HEAVY", heavy)
         monkeypatch.setattr(graph, "MANY", many)
