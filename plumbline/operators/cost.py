@@ -19,10 +19,11 @@ def with_pricing(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     model, default or unknown.  The tariff table has a row for each model; of several
     rows of one model one counts, so no call is doubled.
     """
-    tariffs = pricing.groupBy("model").agg(F.first(F.struct(*PRICES)).alias("__own"))
-    named = tariffs.select(F.col("model").alias("__m"), "__own")
-    fallback = tariffs.where("model = 'default'").agg(F.first("__own").alias("__other"))  # one row, always
-    out = calls.join(named, F.col("model") == F.col("__m"), "left").crossJoin(F.broadcast(fallback))
+    named = pricing.groupBy("model").agg(F.first(F.struct(*[F.col(p).cast("double").alias(p) for p in PRICES])).alias("__own")).withColumnRenamed("model", "__m")
+    usual = named.where("__m = 'default'").select("__own").first()  # one row at most
+    out = calls.join(named, F.col("model") == F.col("__m"), "left")
+    other = F.struct(*[F.lit(usual[0][p]).cast("double").alias(p) for p in PRICES]) if usual else F.lit(None).cast(named.schema["__own"].dataType)
+    out = out.withColumn("__other", other)
     chosen = F.coalesce("__own", "__other")
     zero = F.lit(0.0)
     price = {p: F.coalesce(chosen[p].cast("double"), zero) for p in PRICES}
