@@ -40,10 +40,10 @@ def _lanes(*values: Column) -> list[Column]:
 
 
 def turns(df: DataFrame) -> DataFrame:
-    """(conv, turn, m, role, text) with nulls defined; m is the MD5 of role and text."""
+    """(conv, turn, m, role, text) with nulls defined; m is the MD5 of role and text, in bytes."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(_FIRST).cast("long"))
-    return df.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").alias("conv"), turn.alias("turn"), F.md5(F.concat(role, F.lit("\x1f"), text).cast("binary")).alias("m"), role.alias("role"), text.alias("text"))
+    return df.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").alias("conv"), turn.alias("turn"), F.unhex(F.md5(F.concat(role, F.lit("\x1f"), text).cast("binary"))).alias("m"), role.alias("role"), text.alias("text"))
 
 
 def positions(df: DataFrame, scratch: graph.Scratch) -> DataFrame:
