@@ -487,7 +487,7 @@ def chip_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, x1, y1 = F.when(wide, 5.0).otherwise(size), F.when(wide, 990.0).otherwise(size + 30), price + 12
     height = F.when(F.col("p_partkey") % 2 == 0, 480.0).otherwise(3000.0)
     place = layout.chip([x0, price, x1, y1], 10.0, F.lit(1000.0), height)
-    right, left = (place.x0 == x1 + 2) & (place.x1 - place.x0 == 13) & (place.y1 - place.y0 == 14.5), place.x1 == x0 - 2
+    right, left = (place.x0 == x1 + 2) & (F.abs(place.x1 - place.x0 - 13) < 1e-6) & (F.abs(place.y1 - place.y0 - 14.5) < 1e-6), place.x1 == x0 - 2
     side = F.when(left, "left").when(place.y1 == price - 2, "above").when(place.y0 == y1 + 2, "below").when(right, "right").otherwise("clipped")
     return table(spark, sf_dir, "part").select("p_partkey", side.alias("side"))
 
