@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more than one in ``HEAVY`` of all rows is hot, if it has more than ``MANY``; there are fewer than ``HEAVY`` such keys.
@@ -65,6 +65,14 @@ class Scratch:
         for path in gone:
             remove(self.spark, path)
 
+    def only(self, *kept: DataFrame) -> None:
+        """Remove the saved tables that none of these reads."""
+        names = {p.rsplit("/", 1)[-1] for df in kept for p in tables_of(df)}
+        gone = [p for p in self.paths if p.rsplit("/", 1)[-1] not in names]
+        self.paths = [p for p in self.paths if p not in gone]
+        for path in gone:
+            remove(self.spark, path)
+
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of rows with facts, which hold each key once and its number of rows (``size``).
@@ -81,6 +89,20 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
     return rows.join(hot, key).unionByName(cool)
 
 
+def running(df: DataFrame, by: str, order: list[str], value: str, scratch: Scratch) -> DataFrame:
+    """df with ``start``: the sum of ``value`` over the rows before it in its ``by``, in this order.
+
+    From one range sort that is saved: what passes between its partitions is a row for
+    each of them and each ``by``, so a ``by`` of any size is spread.  Rows that are
+    equal in the order get their places in any order.
+    """
+    cut = scratch.save(df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("__p", F.spark_partition_id()))
+    before = Window.partitionBy(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    skip = cut.groupBy(by, "__p").agg(F.sum(value).alias("__n")).select(by, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    inside = Window.partitionBy(by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("__r", F.sum(value).over(inside)).join(skip, [by, "__p"]).withColumn("start", F.col("__s") + F.col("__r") - F.col(value)).drop("__p", "__s", "__r")
+
+
 def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
     """(node, root) for each node of an edge list (a, b); root is the least node.
 

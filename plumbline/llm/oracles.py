@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, quality
+from plumbline.llm import chat, divergence, mixing, quality
 
 _SPLIT = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
 
@@ -58,4 +58,4 @@ FROM s LEFT JOIN r ON r.s = s.s LEFT JOIN c ON c.a = r.node LEFT JOIN l ON l.a =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE_SQL, "op3_quality_rules": quality_rules(), "op10_jaccard_join": jaccard_join()}
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op3_quality_rules": quality_rules(), "op10_jaccard_join": jaccard_join(), "op11_source_mixing": mixing.ORACLE_SQL, "op13_source_divergence": divergence.ORACLE_SQL}
