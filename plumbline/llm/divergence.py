@@ -34,6 +34,7 @@ from collections.abc import Callable, Iterator
 from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,12 +58,11 @@ def runs(text: bytes, size: int = RUN) -> Iterator[bytes]:
         at = end
 
 
-def _told(found: dict, schema: pa.Schema, terms: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
-    """Counters by group as rows (group, term, number), cleared; terms may go by their place in a list."""
-    rows = [(*(g if isinstance(g, tuple) else (g,)), (terms[t] if terms else t).decode(), n) for g, c in found.items() for t, n in c.items()]
-    found.clear()
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+def _counted(groups: list[tuple[str, ...]], sizes: list[int], terms: list[pa.Array], numbers: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (group, term, number) of groups with so many terms each."""
+    if sum(sizes):
+        keys = [pa.array(list(c)).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for c in zip(*groups)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.concat_arrays(terms), pa.array(np.concatenate(numbers))], schema=schema)
 
 
 def document_counts(df: DataFrame) -> DataFrame:
@@ -71,6 +71,12 @@ def document_counts(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            made = list(found.items())
+            found.clear()
+            yield from _counted([(g,) for g, _ in made], [len(c) for _, c in made], [pa.array(c.keys(), pa.binary()).cast(pa.string()) for _, c in made], [np.fromiter(c.values(), np.int64, len(c)) for _, c in made], schema)
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 own: set[bytes] = set()
@@ -78,8 +84,8 @@ def document_counts(df: DataFrame) -> DataFrame:
                     own.update(part.split())
                 found[lang].update(own)
                 if sum(map(len, found.values())) > FLUSH:
-                    yield from _told(found, schema)
-        yield from _told(found, schema)
+                    yield from told()
+        yield from told()
 
     return df.select("lang", "text").mapInArrow(run, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
@@ -88,20 +94,22 @@ def document_counts(df: DataFrame) -> DataFrame:
 _BUILT: dict[str, tuple] = {}
 
 
-def automaton(terms: list[tuple[str, str]]) -> tuple[ahocorasick.Automaton, list[bytes], dict[str, set[int]]]:
-    """An automaton over padded terms with their numbers, the terms, and each language's numbers, of (lang, term).
+def automaton(terms: list[tuple[str, str]]) -> tuple[ahocorasick.Automaton, pa.Array, dict[str, np.ndarray]]:
+    """An automaton over padded terms with their numbers, the terms, and whether each language keeps each, of (lang, term).
 
     Terms are UTF-8 bytes read as Latin-1, so that a text needs no decoding.
     """
-    number: dict[bytes, int] = {}
-    kept: dict[str, set[int]] = defaultdict(set)
+    number: dict[str, int] = {}
+    for _, term in terms:
+        number.setdefault(term, len(number))
+    kept = {lang: np.zeros(len(number), bool) for lang, _ in terms}
     for lang, term in terms:
-        kept[lang].add(number.setdefault(term.encode(), len(number)))
+        kept[lang][number[term]] = True
     built = ahocorasick.Automaton()
     for term, i in number.items():
-        built.add_word(f" {term.decode('latin-1')} ", i)
+        built.add_word(f" {term.encode().decode('latin-1')} ", i)
     built.make_automaton()
-    return built, list(number), dict(kept)
+    return built, pa.array(number, pa.string()), kept
 
 
 def counter(shard, token: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -114,16 +122,28 @@ def counter(shard, token: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             _BUILT[token] = automaton(shard.value)
         built, terms, kept = _BUILT[token]
         found: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            sizes, words, numbers, groups = [], [], [], list(found)
+            for lang, source in groups:  # a match may be a term that only other languages keep
+                c = found[lang, source]
+                at, n = np.fromiter(c.keys(), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))
+                own = kept[lang][at]
+                sizes.append(int(own.sum()))
+                words.append(terms.take(pa.array(at[own])))
+                numbers.append(n[own])
+            found.clear()
+            yield from _counted(groups, sizes, words, numbers, schema)
+
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
                 if lang in kept:
                     own = found[lang, source]
                     for part in runs(text.as_py()):
-                        seen = Counter(map(itemgetter(1), built.iter(f" {part.decode('latin-1')} ")))
-                        own.update({i: n for i, n in seen.items() if i in kept[lang]})
+                        own.update(map(itemgetter(1), built.iter(f" {part.decode('latin-1')} ")))
             if sum(map(len, found.values())) > FLUSH:
-                yield from _told(found, schema, terms)
-        yield from _told(found, schema, terms)
+                yield from told()
+        yield from told()
 
     return run
 
