@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import namedtuple
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from plumbline import saved
 from plumbline.functions import geometry
 
 
@@ -128,16 +130,21 @@ def mode(df: DataFrame, by: list[str], value: Column, name: str = "mode") -> Dat
 def placed(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """Rows with their place (from 0) in one order of the whole table.
 
-    A range sort deals the rows; each partition numbers its own and starts after all
-    before it, so no task sees the table and what is joined is a row for each partition.
+    A range sort deals the rows and is saved once with each row's partition and its number
+    there, so sizes and rows come from the same cut; a partition starts after all before
+    it.  No task sees the table, and what is joined is a row for each partition.  Rows
+    that are equal in the order go by a hash of all their columns, so that one frequent
+    value is spread over partitions, and reruns agree.
     """
-    keys = [o.alias(f"__o{i}") for i, o in enumerate(order)]
-    names = [f"__o{i}" for i in range(len(order))]
-    cut = df.select("*", *keys).repartitionByRange(*names).sortWithinPartitions(*names).withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
+    hashed = [f.name for f in df.schema.fields if not re.search("map|variant", f.dataType.simpleString())]
+    keys = [o.alias(f"__o{i}") for i, o in enumerate([*order, F.xxhash64(*(F.col(f"`{c}`") for c in hashed))])]
+    names = [f"__o{i}" for i in range(len(keys))]
+    cut = df.select("*", *keys).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+    cut, _ = saved.write(cut.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
     sizes = cut.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
     starts = sizes.select("__p", before.alias("__s"))
-    return cut.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__m", "__s", *names)
+    return cut.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__m", "__s")
 
 
 def page_range(spec: str, pages: int, keep_repeats: bool = False) -> list[int]:
@@ -186,6 +193,21 @@ def natural_order(name: Column) -> list[Column]:
     return [number.isNull(), number, name]
 
 
+def joined_spans(rows: list) -> list[tuple]:
+    """``group_spans`` of the rows of one sheet: the elements (``JOINED``) in order."""
+    out: list[list] = []
+    for s in sorted(rows, key=lambda r: (round(r.y0 * 10), r.x0, r.y0, r.x1, r.y1, r.text)):
+        if out:
+            e = out[-1]
+            height = s.y1 - s.y0
+            level, gap = abs(s.y0 - e[2]) <= max(1.5, 0.35 * min(height, e[4] - e[2])), s.x0 - e[3]
+            if level and -0.5 <= gap <= max(2.0, 0.6 * height):
+                out[-1] = [f"{e[0]} {s.text}", min(e[1], s.x0), min(e[2], s.y0), max(e[3], s.x1), max(e[4], s.y1)]
+                continue
+        out.append([s.text, s.x0, s.y0, s.x1, s.y1])
+    return [(n, *e) for n, e in enumerate(out, 1)]
+
+
 def group_spans(spans: DataFrame, by: list[str]) -> DataFrame:
     """Text spans (text, x0, y0, x1, y1) that nearly touch on one line, joined.
 
@@ -217,27 +239,32 @@ def group_spans(spans: DataFrame, by: list[str]) -> DataFrame:
     return folded.select(*by, F.posexplode("e").alias("i", "e")).select(*by, (F.col("i") + 1).alias("n"), "e.*")
 
 
+#: What ``cluster_lines`` and ``group_spans`` give of a sheet.
+LINES, JOINED = "line int, text string, y double", "n int, text string, x0 double, y0 double, x1 double, y1 double"
+
+
+def lines_of(rows: list, tolerance: float) -> list[tuple]:
+    """The lines (``LINES``) of one sheet's sorted words."""
+    lines: list[list] = []
+    for w in rows:
+        y = (w.y0 + w.y1) / 2
+        for line in lines:
+            if abs(line[0] - y) <= tolerance:
+                line[1].append((w.x0, w.word))
+                line[0] += (y - line[0]) / len(line[1])
+                break
+        else:
+            lines.append([y, [(w.x0, w.word)]])
+    lines.sort(key=lambda x: x[0])
+    return [(n, " ".join(t for _, t in sorted(x[1])), x[0]) for n, x in enumerate(lines, 1)]
+
+
 def cluster_lines(words: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     """Words (word, x0, y0, x1, y1) as lines: each joins the first line whose mean height is near.
 
     A line's height is the running mean of its words, so the order matters.
     """
-
-    def one(rows: list) -> list[tuple]:
-        lines: list[list] = []
-        for w in rows:
-            y = (w.y0 + w.y1) / 2
-            for line in lines:
-                if abs(line[0] - y) <= tolerance:
-                    line[1].append((w.x0, w.word))
-                    line[0] += (y - line[0]) / len(line[1])
-                    break
-            else:
-                lines.append([y, [(w.x0, w.word)]])
-        lines.sort(key=lambda x: x[0])
-        return [(n, " ".join(t for _, t in sorted(x[1])), x[0]) for n, x in enumerate(lines, 1)]
-
-    return each_group(words.select(*by, "word", "x0", "y0", "x1", "y1"), by, ["y0", "x0", "x1", "word"], one, "line int, text string, y double")
+    return each_group(words.select(*by, "word", "x0", "y0", "x1", "y1"), by, ["y0", "x0", "x1", "word"], lambda rows: lines_of(rows, tolerance), LINES)
 
 
 def tokens_of_spans(spans: DataFrame, by: list[str], least_height: float = 0.0) -> DataFrame:
