@@ -96,14 +96,17 @@ def render(df: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, n_copies, rendered) of the maximal conversations.
 
     ``part`` numbers the blocks of positions of a conversation, ``n_turns`` the turns
-    in the part, ``n_copies`` the equal conversations.  Texts are shuffled only here,
-    to the places of kept turns; repeated rows are one before that.
+    in the part, ``n_copies`` the equal conversations.  Texts are shuffled only here:
+    turns of other conversations are sifted out where they are, all but those that share
+    a bit of the filter with a kept one (``graph.sift``), and repeated rows are one before
+    the shuffle to the places of kept turns.
     """
     scratch = graph.Scratch(df.sparkSession)
     placed = positions(df, scratch)
     wanted = scratch.save(maximal(placed))
     kept = graph.attach(placed.drop("n"), wanted, "conv", "n").select("conv", "turn", "m", "c", "p", "n_copies")
-    texts = turns(df).groupBy("conv", "turn", "m").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    mine = graph.sift(df.select("conv_id", "turn", "role", "text"), wanted.select(F.col("conv").alias("conv_id")), ["conv_id"])
+    texts = turns(mine).groupBy("conv", "turn", "m").agg(F.first("role").alias("role"), F.first("text").alias("text"))
     rows = _each(kept.join(texts, ["conv", "turn", "m"]))
     parts = rows.groupBy("conv", F.floor((F.col("p") - 1) / BLOCK).alias("part")).agg(F.max("n_copies").alias("n_copies"), F.count("p").alias("n_turns"), F.sort_array(F.collect_list(F.struct("p", "role", "text"))).alias("t"))
     return parts.select(F.col("conv").alias("conv_id"), "part", "n_turns", "n_copies", F.array_join(F.transform("t", lambda t: segment(t.role, t.text)), "").alias("rendered"))

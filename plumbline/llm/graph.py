@@ -2,50 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A key with more than one in ``HEAVY`` of all rows is hot, if it has more than ``MANY``; there are fewer than ``HEAVY`` such keys.
-HEAVY, MANY = 1000, 500
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset a local session, whose executors are the driver, gets one of its
-    own; a cluster must name one.
-    """
-    own = spark.sparkContext.getCheckpointDir()
-    found = spark.conf.get("spark.checkpoint.dir", None) or own
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="plumbline-")
-    if not own:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def write(df: DataFrame) -> tuple[DataFrame, str]:
-    """df written as Parquet in the shared folder, reread; and its path."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+from plumbline.saved import remove, shared_dir, tables_of, write
 
+__all__ = ["Scratch", "attach", "components", "remove", "running", "shared_dir", "sift", "tables_of", "write"]
 
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def tables_of(df: DataFrame) -> set[str]:
-    """Paths of the tables made by ``write`` that df reads."""
-    return {m.group() for f in df.inputFiles() if (m := re.match(r".*/plumbline-[0-9a-f]{32}(?=/)", f))}
+#: A key with more than one in ``HEAVY`` of all rows is hot, if it has more than ``MANY``; there are fewer than ``HEAVY`` such keys.
+HEAVY, MANY = 1000, 500
+#: Bits of a filter for each key, and at most in all: a filter of the most is a million rows of 16 bytes.
+BITS, MOST_BITS = 16, 1 << 26
 
 
 class Scratch:
@@ -89,6 +56,21 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
     return rows.join(hot, key).unionByName(cool)
 
 
+def sift(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """The rows that may have one of the keys, where they are: no key's row is missed, some others stay.
+
+    A bit for each hash of a key, in words of 64; the words are broadcast, ``MOST_BITS``
+    in all whatever the number of keys.  A join with the keys follows, and what it
+    shuffles is mostly theirs.
+    """
+    bits = 1 << max(10, min(MOST_BITS, BITS * keys.count()).bit_length() - 1)
+    bit = F.pmod(F.xxhash64(*by), F.lit(bits))
+    word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    words = keys.select(word.alias("__word"), mask.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    met = rows.withColumn("__word", word).join(F.broadcast(words), "__word")
+    return met.where(F.col("__bits").bitwiseAND(mask) != 0).drop("__word", "__bits")
+
+
 def running(df: DataFrame, by: str, order: list[str], value: str, scratch: Scratch) -> DataFrame:
     """df with ``start``: the sum of ``value`` over the rows before it in its ``by``, in this order.
 

@@ -70,7 +70,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.join(_documents(spark, sf_dir), threshold=0.8)
+    return forest.join(_documents(spark, sf_dir), threshold=0.8).drop("text_hash", "class_hash")
 
 
 def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.llm import forest, graph, oracles
+from plumbline.llm import forest, graph, oracles, vec
 
 
 def shingle_set(text, n=5):
@@ -57,9 +58,13 @@ def near_copies(n=260, seed=2):
     return [(3 * i + 1, t) for i, t in enumerate(rows)]
 
 
+def links(df):
+    return forest.join(df).drop("text_hash", "class_hash")
+
+
 def check(spark, rows, lost=0):
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, id string, node int").repartition(5)
-    got = sorted((tuple(r) for r in forest.join(df).collect()), key=lambda r: (r[0] or 0, *map(str, r[1:])))
+    got = sorted((tuple(r)[:5] for r in links(df).collect()), key=lambda r: (r[0] or 0, *map(str, r[1:])))
     want = brute([r for r in rows if r[0] is not None])
     want = sorted(((k, *want[k, shingle_set(t or "")]) for k, t in rows if k is not None), key=lambda r: (r[0], *map(str, r[1:])))
     want += [(None, None, 0, 0, 0)] * (len(rows) - len(want))
@@ -90,7 +95,7 @@ def test_hot_keys_and_repeated_ids(spark, monkeypatch):
     con.register("documents", pd.DataFrame({"doc_id": pd.array([k for k, _ in rows], "Int64"), "text": [t for _, t in rows]}))
     want = sorted(con.execute(oracles.jaccard_join()).fetchall(), key=str)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, forest.join(df).collect()), key=str) == want
+    assert sorted(map(tuple, links(df).collect()), key=str) == want
     for heavy, many in ((1000, 500), (1000, 0), (20, 5)):
         monkeypatch.setattr(graph, "HEAVY", heavy)
         monkeypatch.setattr(graph, "MANY", many)
@@ -158,3 +163,59 @@ def test_components(spark):
             ra, rb = find(a), find(b)
             root[max(ra, rb)] = min(ra, rb)
     assert got == {x: find(x) for x in root}
+
+
+def test_large_nodes_take_linear_time(spark, monkeypatch):
+    """Different near copies of one text: candidates leave the blocks in proportion to them, and all are found."""
+    import time
+
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 80)]
+    seconds = {}
+    for m in (5_000, 20_000):
+        texts = []
+        for i in range(m):
+            words = list(base)
+            words[int(rng.integers(0, 80))] = f"x{i}"
+            texts.append(" ".join(words))
+        made, offs = [], [0]
+        for t in texts:
+            v = np.frombuffer(t.encode(), np.uint8)
+            made.append(v)
+            offs.append(offs[-1] + len(v))
+        values, at = vec.shingles(vec.tokenise(np.concatenate(made), np.array(offs)))
+        sig = forest.signatures(values, at)
+        df = spark.createDataFrame([(i, bytes(s.tobytes())) for i, s in enumerate(sig)], "node long, sig binary")
+        nodes = forest.more_labels(df)
+        sizes = nodes.groupBy("g").agg(F.count("node").alias("size"), F.min("node").alias("hub")).where("size > 1").withColumn("nb", F.ceil(F.col("size") / forest.BLOCK).cast("int"))
+        members = nodes.join(sizes, "g").join(df, "node")
+        dealt = forest._with_least(members)
+        assert dealt.count() < 1.1 * nodes.count()  # no member is sent to all blocks but the least
+        began = time.time()
+        near = dealt.select("g", "i", "node", "tree", "sig").mapInArrow(forest.candidates(0.8, 4), "a long, b long").distinct()
+        found = graph.components(near, graph.Scratch(spark)).toPandas()
+        seconds[m] = time.time() - began
+        assert len(found) > 0.999 * m and found.root.nunique() == 1
+    assert seconds[20_000] < 8 * max(seconds[5_000], 2), seconds  # 16 times the pairs
+
+
+def test_keep(spark):
+    """One row of each class by id and text, where an id has several texts or a copy of another id's."""
+    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey", "north south east west up down")
+    rows = [(3, a), (5, a), (5, b), (6, c), (6, d), (None, a), (None, a), (7, d), (5, b)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, class_id int").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in forest.keep(df).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (6, c), (6, d), (None, a), (None, a)], key=str)
+    assert forest.keep(df).columns == df.columns and forest.keep(df.limit(0)).count() == 0
+
+
+def test_texts_of_others_stay(spark, tmp_path):
+    """Only texts of candidates are shuffled."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(300))) for i in range(400)] + [(1000 + i, " ".join(f"v{k}" for k in range(300)) + f" {i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = spark.createDataFrame([(i,) for i in range(1000, 1003)], "doc_id long")
+    kept = graph.sift(df, keys, ["doc_id"]).select("doc_id").collect()
+    assert {r.doc_id for r in kept} >= {1000, 1001, 1002} and len(kept) < 10
+    assert graph.sift(df, keys.limit(0), ["doc_id"]).count() == 0
+    plan = graph.sift(df, keys, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan

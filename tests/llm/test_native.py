@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import duckdb
 import pytest
@@ -137,3 +138,39 @@ def test_native_plans(docs, spark):
     for df in (fingerprint.edits(docs), chat.render(spark.createDataFrame(conversations(), SCHEMA))):
         plan = df._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def exchanged(spark, run):
+    """Largest data size of an exchange that run() makes, in bytes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    most = 0.0
+    for k in range(before, store.executionsCount()):
+        execution = store.executionsList(k, 1).apply(0).executionId()
+        values = store.executionMetrics(execution)
+        nodes = store.planGraph(execution).allNodes()
+        for i in range(nodes.size()):
+            node = nodes.apply(i)
+            for j in range(node.metrics().size()):
+                metric = node.metrics().apply(j)
+                if node.name() == "Exchange" and metric.name() == "data size" and values.contains(metric.accumulatorId()):
+                    number, unit = re.search(r"([\d.]+) ([KMGT]?i?B)", values.apply(metric.accumulatorId())).groups()
+                    most = max(most, float(number) * {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30}[unit])
+    return most
+
+
+def test_only_kept_texts_are_shuffled(spark):
+    """Growing snapshots: what an exchange moves is in proportion to the kept texts, not to all that was logged."""
+    rows, kept = [], 0
+    rng = random.Random(6)
+    for c in range(40):
+        turns = ["".join(rng.choices("abcdefghij ", k=1500)) for _ in range(30)]
+        kept += sum(map(len, turns))
+        rows += [(c * 100 + n, i, "user", t) for n in range(1, 31) for i, t in enumerate(turns[:n])]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4).persist()
+    logged = sum(len(r[3]) for r in rows)
+    assert df.count() and logged > 15 * kept
+    assert exchanged(spark, lambda: chat.render(df).collect()) < 1.5 * kept + 200_000
+    df.unpersist()
