@@ -34,11 +34,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group; null ids stay."""
-    found = forest.join(docs, threshold=0.8)
-    first = found.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """Keeps the first document of each group; rows with one id and different texts are documents of their own, null ids stay."""
+    return forest.keep(docs.select(*COLUMNS), threshold=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
