@@ -45,6 +45,15 @@ def test_near_duplicates_by_brute_force(spark, sf_dir):
     assert sorted(k for k in kept if k is not None) == sorted({c for c, *_ in classes.values()}) and kept.count(None) == 2
 
 
+def test_near_duplicates_with_one_id_and_several_texts(spark, sf_dir):
+    """Rows that share an id and differ are documents of their own; none is lost, copies of other ids go."""
+    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey", "north south east west up down")
+    rows = [(3, a), (5, a), (5, b), (6, c), (6, d), (None, b), (None, b), (6, d)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in dict(C.STAGES)["near_duplicates"](spark, docs, sf_dir).collect()), key=str)
+    assert kept == sorted([(3, a), (5, b), (6, c), (6, d), (None, b), (None, b)], key=str)
+
+
 def test_last_stages_by_plain_code(spark, sf_dir):
     """Personal data by plain patterns, tokens by the library: what is left is in the pieces, once."""
     from tokenizers import Tokenizer
