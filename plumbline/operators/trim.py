@@ -1,6 +1,7 @@
 """Content boxes of page rasters.
 
-Pixels come as bytes of one grey (or several interleaved) channels.  A probe of
+Pixels come as PNGs (``trim_png``) or as bytes of one grey (or several interleaved)
+channels (``trim``).  A probe of
 at most ``probe`` pixels is taken by block means, rows then columns with enough
 ink bound the content.  Batches of rasters go through numpy.
 """
@@ -12,7 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from plumbline.functions import png
 
 
 @dataclass(frozen=True)
@@ -58,6 +64,38 @@ def expand(box: tuple[int, int, int, int], t: Trim, width: int, height: int) ->
     return (x0, y0, x1, y1) if x1 - x0 >= t.min_side and y1 - y0 >= t.min_side else (0, 0, width, height)
 
 
+def trim_png(pictures: DataFrame, key: list[str], t: Trim = Trim(), data: str = "data") -> DataFrame:
+    """(key, trimmed, box, background, factor, empty, skipped, area_ratio, error) of PNGs: what ``trim`` gives, and the cut picture.
+
+    A picture that stays whole keeps its bytes; one that can't be decoded gives an error;
+    null gives neither.  A task holds one picture at a time.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in pictures.schema.fields}
+    schema = StructType.fromDDL(", ".join([*(f"{c} {fields[c]}" for c in key), "trimmed binary, x0 int, y0 int, x1 int, y1 int, background int, factor int, empty boolean, skipped boolean, area_ratio double, error string"]))
+    arrow = to_arrow_schema(schema)
+
+    def facts(raw: bytes | None) -> dict:
+        if raw is None:
+            return {}
+        try:
+            pixels = png.decode(raw)
+        except png.PngError as e:
+            return {"error": str(e)}
+        height, width = pixels.shape[:2]
+        box, found = content_box(pixels, t)
+        x0, y0, x1, y1 = expand(box, t, width, height)
+        whole = (x0, y0, x1, y1) == (0, 0, width, height)
+        return {"trimmed": raw if whole else png.encode(pixels[y0:y1, x0:x1]), "x0": x0, "y0": y0, "x1": x1, "y1": y1, **found, "skipped": whole, "area_ratio": (x1 - x0) * (y1 - y0) / (width * height)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = {c: batch.column(k)[i].as_py() for k, c in enumerate(key)}
+                yield pa.RecordBatch.from_pylist([own | facts(batch.column(len(key))[i].as_py())], schema=arrow)
+
+    return pictures.select(*key, data).mapInArrow(run, schema)
+
+
 def trim(rasters: DataFrame, key: list[str], t: Trim = Trim()) -> DataFrame:
     """(key, x0, y0, x1, y1, background, factor, empty, skipped, area_ratio) of rasters (key, width, height, pixels).
 
