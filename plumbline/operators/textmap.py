@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
@@ -81,6 +81,50 @@ def occurrences(lines: DataFrame, needle: str) -> DataFrame:
     return hits.withColumn("x1", left + size * step).withColumn("x0", left)
 
 
+def glyphs(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Characters of pages as they are searched: (by, k, c, block_no, line_no, box), numbered by k from 1.
+
+    Small letters, and one blank for any run of white space; a line's end is white space
+    too, without a box.  A character whose small form is longer stays as it is.
+    """
+    at = ["block_no", "line_no", "span_no", "i"]
+    chars = spans.select(*by, *at[:3], F.posexplode("chars").alias("i", "ch")).select(*by, *at, "ch.*")
+    nowhere = F.lit(None).cast("double")
+    ends = spans.select(*by, "block_no", "line_no").distinct().select(*by, "block_no", "line_no", F.lit(-1).alias("span_no"), F.lit(-1).alias("i"), F.lit(" ").alias("c"), *[nowhere.alias(b) for b in BOX])
+    rows = chars.select(*by, *at, "c", *BOX).unionByName(ends)
+    blank = F.coalesce(F.col("c").rlike("^(?U)\\s*$"), F.lit(True))
+    page = Window.partitionBy(*by).orderBy(*at)
+    rows = rows.withColumn("__b", blank)
+    rows = rows.withColumn("__p", F.lag("__b", 1, True).over(page)).where(~F.col("__b") | ~F.col("__p"))
+    small = F.when(F.col("__b"), " ").when(F.length(F.lower("c")) == F.length("c"), F.lower("c")).otherwise(F.col("c"))
+    return rows.select(*by, F.row_number().over(page).alias("k"), small.alias("c"), "block_no", "line_no", *BOX)
+
+
+def glyph_hits(spans: DataFrame, by: list[str], needle: str) -> DataFrame:
+    """Each occurrence of the needle on a page with the exact boxes of its glyphs: (by, hit, part, block_no, line_no, box).
+
+    Any case and any white space match; a hit may go over the ends of lines and then has
+    a part with a box for each.  Hits are numbered from 1 and don't overlap.  ``spans``
+    has block_no, line_no, span_no and chars; a page is a few thousand characters.
+    """
+    wanted = " ".join(needle.split()).lower()
+    if not wanted:
+        raise ValueError("nothing to search for")
+    found = glyphs(spans, by)
+    one = F.substring("c", 1, 1)  # a glyph of several characters (a ligature) is found by its first
+    text = found.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", one.alias("c")))), lambda x: x.c), "").alias("__t"))
+    cuts = F.split("__t", "\\Q" + wanted.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+    starts = F.aggregate(
+        F.slice(cuts, 1, F.size(cuts) - 1), F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found")),
+        lambda s, cut: F.struct((s.at + F.length(cut) + len(wanted)).alias("at"), F.concat(s.found, F.array(s.at + F.length(cut))).alias("found")), lambda s: s.found,
+    )
+    hits = text.where(F.contains("__t", F.lit(wanted))).select(*by, F.posexplode(starts).alias("hit", "__s"))
+    each = hits.select(*by, (F.col("hit") + 1).alias("hit"), F.explode(F.sequence("__s", F.col("__s") + len(wanted) - 1)).alias("k"))
+    lines = each.join(found, [*by, "k"]).where("x0 is not null and c <> ' '").groupBy(*by, "hit", "block_no", "line_no")
+    boxes = lines.agg(F.min("k").alias("__k"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return sequence.numbered(boxes, [*by, "hit"], [F.col("__k")], "part").drop("__k")
+
+
 def page_text(lines: DataFrame, by: list[str]) -> DataFrame:
     """One text for each page, a line for each line item in order; blank ones are left out."""
     rows = lines.where(F.trim("text") != "").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("t"))

@@ -51,3 +51,46 @@ def test_layout(spark):
     assert r.badge == pytest.approx([20 - 0.28 * 13.662, 10 - 0.34 * 6.9, 20 + 0.72 * 13.662, 10 + 0.66 * 6.9])
     assert r.right.x0 == 32 and r.left.x1 == 78 and (r.clipped.x0, r.clipped.x1) == (11.0, 12.0)
     assert tuple(r.png) == (640, 480) and r.gif is None and r.name == "page_07.png" and r.on
+
+
+def test_glyph_hits(spark):
+    """Boxes of hits against a search over the characters, one by one."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for page in range(20):
+        for line in range(rng.randint(1, 4)):
+            x = 0.0
+            for span in range(rng.randint(1, 3)):
+                chars = []
+                for _ in range(rng.randint(1, 7)):
+                    c = rng.choice("aAbB \t ")
+                    wide = rng.choice([2.0, 3.5])
+                    chars.append((c, x, line * 10.0 - rng.random(), x + wide, line * 10.0 + 8))
+                    x += wide
+                rows.append(("d", page, line // 2, line, span, 8.0, 1.0, 0.0, chars))
+    from plumbline.sources import schemas
+
+    spans = spark.createDataFrame(rows, schemas.SPANS)
+    for needle in ("ab", "A a", " b  A ", "aa", "b", "a a b"):
+        wanted = " ".join(needle.split()).lower()
+        want = {}
+        for page in range(20):
+            listed, before = [], None
+            for r in sorted((r for r in rows if r[1] == page), key=lambda r: r[2:5]):
+                if before != r[2:4]:
+                    listed.append((" ", r[2:4], None))
+                    before = r[2:4]
+                listed += [(c[0].lower() if c[0].strip() else " ", r[2:4], c[1:]) for c in r[8]]
+            seen = [x for i, x in enumerate(listed) if x[0] != " " or not i or listed[i - 1][0] != " "]
+            text, at, hit = "".join(x[0] for x in seen), 0, 0
+            while (at := text.find(wanted, at)) >= 0:
+                hit += 1
+                part = 0
+                for place in dict.fromkeys(x[1] for x in seen[at : at + len(wanted)] if x[0] != " "):
+                    boxes = [x[2] for x in seen[at : at + len(wanted)] if x[1] == place and x[0] != " "]
+                    part += 1
+                    want[page, hit, part] = (*place, min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes))
+                at += len(wanted)
+        got = {(r.page_number, r.hit, r.part): (r.block_no, r.line_no, r.x0, r.y0, r.x1, r.y1) for r in textmap.glyph_hits(spans, ["doc_id", "page_number"], needle).collect()}
+        assert got == want and want, needle
