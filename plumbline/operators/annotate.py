@@ -9,9 +9,11 @@ from __future__ import annotations
 import json as pyjson
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plumbline.functions import geometry as G
 from plumbline.functions import num, text
@@ -94,6 +96,32 @@ def _first_text(node: dict, keys: tuple[str, ...]) -> str:
     return ""
 
 
+#: What ``walk`` gives of a reply, after its position.
+WALKED = "pos int, context string, key string, value double, mark string, label string, role_text string, box array<double>, in_list boolean"
+_SKIPPED = {*META_KEYS, *FRAME_KEYS, *LABEL_KEYS, *ROLE_KEYS}
+
+
+def rows_of(response: str | None) -> Iterator[tuple]:
+    """Numbers and boxes of a reply's JSON text in order; what does not parse has none."""
+    try:
+        reply = pyjson.loads(response) if response else None
+    except ValueError:
+        return
+    for node, context in nodes(reply):
+        mark = next((node[k].strip() for k in MARK_KEYS if isinstance(node.get(k), str) and node[k].strip()), None)
+        label, role = _first_text(node, LABEL_KEYS), _first_text(node, ROLE_KEYS)
+        for key, value in node.items():
+            if _numeric(value) and key not in _SKIPPED:
+                yield context, key, float(value), mark, label, role, None, False
+        for key, value in node.items():
+            for item in value if isinstance(value, list) else ():
+                if _numeric(item):
+                    yield context, key, float(item), mark, label, role, None, True
+        box = _box(node)
+        if box:
+            yield context, "__box", None, mark, label, role, box, False
+
+
 def walk(responses: DataFrame, by: list[str], column: str = "response") -> DataFrame:
     """(by, pos, context, key, value, mark, label, role_text, box, in_list): numbers and boxes of replies.
 
@@ -101,36 +129,19 @@ def walk(responses: DataFrame, by: list[str], column: str = "response") -> DataF
     or a box (key ``__box``).  Numbers that are text are not read.
     """
     fields = {f.name: f.dataType.simpleString() for f in responses.schema.fields}
-    schema = ", ".join([*(f"{c} {fields[c]}" for c in by), "pos int, context string, key string, value double, mark string, label string, role_text string, box array<double>, in_list boolean"])
-    skip = {*META_KEYS, *FRAME_KEYS, *LABEL_KEYS, *ROLE_KEYS}
-
-    def rows(reply) -> Iterator[tuple]:
-        for node, context in nodes(reply):
-            mark = next((node[k].strip() for k in MARK_KEYS if isinstance(node.get(k), str) and node[k].strip()), None)
-            label, role = _first_text(node, LABEL_KEYS), _first_text(node, ROLE_KEYS)
-            for key, value in node.items():
-                if _numeric(value) and key not in skip:
-                    yield context, key, float(value), mark, label, role, None, False
-            for key, value in node.items():
-                for item in value if isinstance(value, list) else ():
-                    if _numeric(item):
-                        yield context, key, float(item), mark, label, role, None, True
-            box = _box(node)
-            if box:
-                yield context, "__box", None, mark, label, role, box, False
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    reply = pyjson.loads(r[-1]) if r[-1] else None
-                except ValueError:
-                    reply = None
-                out += [(*r[:-1], i, *x) for i, x in enumerate(rows(reply))]
-            yield pd.DataFrame(out, columns=[*by, "pos", "context", "key", "value", "mark", "label", "role_text", "box", "in_list"])
-
-    return responses.select(*by, column).mapInPandas(run, schema)
+    schema = StructType.fromDDL(", ".join([*(f"`{c}` {fields[c]}" for c in by), WALKED]))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replies = batch.column(len(by)).to_pylist()
+            found = [(i, k, *x) for i, r in enumerate(replies) for k, x in enumerate(rows_of(r))]
+            if found:
+                at, *columns = zip(*found)
+                own = [batch.column(k).take(pa.array(at)) for k in range(len(by))]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(by) :]))], schema=arrow)
+
+    return responses.select(*by, column).mapInArrow(run, schema)
 
 
 def color_of(role_text: Column, context: Column) -> Column:

@@ -121,6 +121,57 @@ def stroke_width(segments: DataFrame, tips: DataFrame, limits: DataFrame) -> Dat
     return sequence.mode(spans, SHEET, F.bround("stroke_width", 2), "width")
 
 
+#: What ``attach`` gives of a sheet.
+PAIRS = "kind string, number int, line int, leader int"
+
+
+def dealt_numbers(rows: list) -> list[tuple]:
+    """The pairs (``PAIRS``) of one sheet's items, in the order of n; see ``attach``."""
+    numbers, spans, leaders = ([r for r in rows if r.kind == k] for k in ("number", "span", "leader"))
+    gaps = rows[0]
+    hyp = lambda x, y: (x * x + y * y) ** 0.5
+
+    def to_box(x: float, y: float, m) -> float:
+        return hyp(max(m.x0 - x, 0.0, x - m.x1), max(m.y0 - y, 0.0, y - m.y1))
+
+    def to_span(m, s) -> tuple[float, float]:
+        """Distance of a label's centre, and its score: far from the middle costs."""
+        px, py, dx, dy = (m.x0 + m.x1) / 2, (m.y0 + m.y1) / 2, s.bx - s.ax, s.by - s.ay
+        square = dx * dx + dy * dy
+        t = 0.0 if square < 1e-9 else min(1.0, max(0.0, ((px - s.ax) * dx + (py - s.ay) * dy) / square))
+        d = hyp(px - s.ax - t * dx, py - s.ay - t * dy)
+        return d, d + 0.35 * abs(t - 0.5) * square**0.5
+
+    def best(scored) -> int | None:
+        """Index of the least score; the first of equals."""
+        found = min(scored, default=None)
+        return None if found is None else found[1]
+
+    free, idle, out = dict.fromkeys(range(len(numbers))), dict.fromkeys(range(len(leaders))), []
+    loose = [j for j, x in enumerate(leaders) if x.anchor is None]
+    for i, m in enumerate(numbers):
+        near = ((to_box(leaders[j].bx, leaders[j].by, m), j) for j in loose if j in idle)
+        j = best(x for x in near if x[0] <= gaps.leader_label_gap)
+        if j is not None:
+            del free[i], idle[j]
+            out.append(("pointer", m.n, None, leaders[j].n))
+    for s in spans:
+        scored = ((to_span(numbers[i], s), i) for i in free)
+        i = best((score, i) for (d, score), i in scored if d <= gaps.label_gap)
+        if i is not None:
+            del free[i]
+            out.append(("span", numbers[i].n, s.n, None))
+            continue
+        for j in [j for j in idle if leaders[j].anchor == s.n]:
+            near = ((to_box(leaders[j].bx, leaders[j].by, numbers[i]), i) for i in free)
+            i = best(x for x in near if x[0] <= gaps.leader_label_gap)
+            if i is not None:
+                del free[i], idle[j]
+                out.append(("span", numbers[i].n, s.n, leaders[j].n))
+                break
+    return out
+
+
 def attach(items: DataFrame) -> DataFrame:
     """Numbers dealt one-to-one to leaders and spans; a row for each pair.
 
@@ -129,53 +180,7 @@ def attach(items: DataFrame) -> DataFrame:
     and the three gaps.  Numbers take free leaders first, then spans take the
     best number near them, at last the one at the end of their anchored leader.
     """
-
-    def one(rows: list) -> list[tuple]:
-        numbers, spans, leaders = ([r for r in rows if r.kind == k] for k in ("number", "span", "leader"))
-        gaps = rows[0]
-        hyp = lambda x, y: (x * x + y * y) ** 0.5
-
-        def to_box(x: float, y: float, m) -> float:
-            return hyp(max(m.x0 - x, 0.0, x - m.x1), max(m.y0 - y, 0.0, y - m.y1))
-
-        def to_span(m, s) -> tuple[float, float]:
-            """Distance of a label's centre, and its score: far from the middle costs."""
-            px, py, dx, dy = (m.x0 + m.x1) / 2, (m.y0 + m.y1) / 2, s.bx - s.ax, s.by - s.ay
-            square = dx * dx + dy * dy
-            t = 0.0 if square < 1e-9 else min(1.0, max(0.0, ((px - s.ax) * dx + (py - s.ay) * dy) / square))
-            d = hyp(px - s.ax - t * dx, py - s.ay - t * dy)
-            return d, d + 0.35 * abs(t - 0.5) * square**0.5
-
-        def best(scored) -> int | None:
-            """Index of the least score; the first of equals."""
-            found = min(scored, default=None)
-            return None if found is None else found[1]
-
-        free, idle, out = dict.fromkeys(range(len(numbers))), dict.fromkeys(range(len(leaders))), []
-        loose = [j for j, x in enumerate(leaders) if x.anchor is None]
-        for i, m in enumerate(numbers):
-            near = ((to_box(leaders[j].bx, leaders[j].by, m), j) for j in loose if j in idle)
-            j = best(x for x in near if x[0] <= gaps.leader_label_gap)
-            if j is not None:
-                del free[i], idle[j]
-                out.append(("pointer", m.n, None, leaders[j].n))
-        for s in spans:
-            scored = ((to_span(numbers[i], s), i) for i in free)
-            i = best((score, i) for (d, score), i in scored if d <= gaps.label_gap)
-            if i is not None:
-                del free[i]
-                out.append(("span", numbers[i].n, s.n, None))
-                continue
-            for j in [j for j in idle if leaders[j].anchor == s.n]:
-                near = ((to_box(leaders[j].bx, leaders[j].by, numbers[i]), i) for i in free)
-                i = best(x for x in near if x[0] <= gaps.leader_label_gap)
-                if i is not None:
-                    del free[i], idle[j]
-                    out.append(("span", numbers[i].n, s.n, leaders[j].n))
-                    break
-        return out
-
-    return sequence.each_group(items, SHEET, ["n", "kind"], one, "kind string, number int, line int, leader int")
+    return sequence.each_group(items, SHEET, ["n", "kind"], dealt_numbers, PAIRS)
 
 
 def arrowed(segments: DataFrame, tips: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -282,10 +287,23 @@ def marks_in_pixels(lines: DataFrame, view: DataFrame) -> DataFrame:
     return sequence.numbered(out, SHEET, sequence.reading_order(F.col("y0"), F.col("x0"), F.col("idx")), "mark_id", "P").drop("idx")
 
 
+#: Words of a mark's line in the prompt.
+KIND_WORDS, LINE_WORD, AXIS_WORD = {"span": "отрезок", "pointer": "выноска"}, "линия", "ось"
+
+
+def _whole(box: list[Column]) -> Column:
+    """A box in whole pixels, in brackets."""
+    return F.concat(F.lit("["), F.concat_ws(",", *[F.bround(c, 0).cast("long").cast("string") for c in box]), F.lit("]"))
+
+
 def prompt_block(marks: DataFrame) -> DataFrame:
-    """One text block for each sheet: a line for each mark, in order."""
+    """One text block for each sheet, a line for each mark in order: its label, box and line box, kind, axis and degrees."""
     n = F.regexp_extract("mark_id", "(\\d+)", 1).cast("int")
-    box = F.concat(F.lit("["), F.concat_ws(",", *[F.bround(c, 0).cast("long").cast("string") for c in spatial.BOX]), F.lit("]"))
-    line = F.concat(F.col("mark_id"), F.lit(' "'), F.col("label"), F.lit('" '), box, F.lit(" "), F.col("kind"), F.lit(" axis "), F.col("axis").cast("string"))
+    words = F.create_map(*(F.lit(x) for pair in KIND_WORDS.items() for x in pair))
+    degrees = F.concat(F.lit("("), F.bround("angle", 0).cast("long").cast("string"), F.lit("°)"))
+    line = F.concat_ws(
+        " ", "mark_id", F.concat(F.lit('"'), F.col("label"), F.lit('"')), _whole([F.col(c) for c in spatial.BOX]), F.lit(LINE_WORD), _whole([F.col(f"line_box.{c}") for c in spatial.BOX]),
+        F.coalesce(F.try_element_at(words, F.col("kind")), F.col("kind")), F.lit(AXIS_WORD), F.col("axis").cast("string"), degrees,
+    )
     rows = marks.select(*SHEET, F.struct(n.alias("n"), line.alias("t")).alias("r")).groupBy(*SHEET).agg(F.sort_array(F.collect_list("r")).alias("r"))
     return rows.select(*SHEET, F.array_join(F.transform("r", lambda r: r.t), "\n").alias("block"))

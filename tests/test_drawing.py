@@ -125,7 +125,7 @@ def test_hierarchy_and_marks(spark, found):
     marks = drawing.marks_in_pixels(lines, view)
     got = [(r.mark_id, r.label, r.x0, r.axis) for r in marks.orderBy("y0").collect()]
     assert got[0] == ("P1", "1250", 290.0, 0) and [g[0] for g in got] == [f"P{i}" for i in range(1, 7)]
-    assert drawing.prompt_block(marks).first().block.split("\n")[0] == 'P1 "1250" [290,156,322,173] span axis 0'
+    assert drawing.prompt_block(marks).first().block.split("\n")[0] == 'P1 "1250" [290,156,322,173] линия [190,180,430,180] отрезок ось 0 (0°)'
 
 
 def test_redaction(spark, found):
