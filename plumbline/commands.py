@@ -2,27 +2,33 @@
 
     python -m plumbline.commands dims TABLES --pages 1-3
     python -m plumbline.commands report TABLES --out report.csv
+    python -m plumbline.commands run TABLES RESEARCH/exp_05 --client mine:client --out RUNS --model m
     python -m plumbline.commands experiments RESEARCH
 
 ``TABLES`` holds sheets, paths, words and spans, and, for report and stats,
-responses as Parquet.  Nothing here calls a model: replies are written once by
-``adapters.call_models`` and read many times.
+responses as Parquet.  ``run`` asks a model for every sheet through a client of your
+own and writes the folder of the run; its replies are then read like any others.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import UTC, datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry
+from plumbline.functions import text as words
 from plumbline.operators import annotate, drawing, selection, sequence, textmap
 from plumbline.settings import Options
-from plumbline.sources import experiments, schemas, sinks
+from plumbline.sources import adapters, experiments, pages, schemas, sinks
 
 SHEET = drawing.SHEET
 
@@ -42,6 +48,14 @@ def parser() -> argparse.ArgumentParser:
             v.add_argument("--out", help="a ;-separated file with a byte order mark")
         if name == "analyze":
             v.add_argument("--regions", action="store_true")
+    v = verbs.add_parser("run")
+    v.add_argument("tables")
+    v.add_argument("folder", help="the experiment")
+    v.add_argument("--pages", default="all", help="1-3,7; all by default")
+    v.add_argument("--client", required=True, help="module:attribute, called with a model and an effort, gives prompt -> reply")
+    v.add_argument("--out", required=True, help="the folder that holds the folders of runs")
+    v.add_argument("--model", help="in place of the experiment's")
+    v.add_argument("--effort", help="in place of the experiment's")
     for name in ("experiments", "schema", "prompt"):
         v = verbs.add_parser(name)
         v.add_argument("folder")
@@ -134,6 +148,48 @@ def analyze(t: Tables, a: argparse.Namespace, o: Options, out) -> int:
     return 0
 
 
+def prompts(t: Tables, e: experiments.Experiment, o: Options) -> DataFrame:
+    """(sheet, prompt): the system prompt with each sheet's blocks, then the instruction."""
+    view = t.view(o)
+    place = view.select(*SHEET, "zoom", "dx", "dy")
+    found = drawing.marks_in_pixels(drawing.detect(t.sheets, t.paths, t.words, t.spans)["lines"], place)
+    items = textmap.text_items(t.spans, place, SHEET, most=o.text_items or None)
+    blocks = textmap.prompt_block(items, view, SHEET).withColumnRenamed("block", "text_block")
+    rows = blocks.join(drawing.prompt_block(found).withColumnRenamed("block", "dims_block"), SHEET, "left").join(view.select(*SHEET, "width", "height"), SHEET)
+    said = F.udf(lambda texts, marks: experiments.render(e, texts, marks), "string", useArrow=True)
+    asked = words.instruction(F.lit(e.user or ""), F.col("page_number"), F.col("width"), F.col("height"))
+    return rows.select(*SHEET, F.concat(said("text_block", "dims_block"), F.lit("\n\n"), asked).alias("prompt"))
+
+
+def run(t: Tables, a: argparse.Namespace, o: Options, out) -> int:
+    """Asks a model about every sheet; the run's folder gets prompts, replies, the report and its statistics."""
+    e = experiments.load(a.folder)
+    e = replace(e, model=a.model or e.model or o.model, effort=a.effort or e.effort or o.effort)
+    client, schema, began = pages.named(a.client), schemas.strict(e.schema), datetime.now(UTC)
+    where = os.path.join(a.out, f"{e.name}_{began:%Y%m%d_%H%M%S}")
+
+    def wrong(reply: str) -> str | None:
+        try:
+            found = schemas.problems(json.loads(reply), schema)
+        except ValueError:
+            return "it is not JSON"
+        return "; ".join(found[:3]) or None
+
+    prompts(t, e, o).write.parquet(os.path.join(where, "prompts"))
+    asked = t.spark.read.parquet(os.path.join(where, "prompts"))
+    adapters.call_models(asked, partial(client, e.model, e.effort), wrong, o.attempts, o.parallel).write.parquet(os.path.join(where, "responses.parquet"))
+    done = Tables(t.spark, t.folder, t.pages)
+    done.responses = t.spark.read.parquet(os.path.join(where, "responses.parquet"))
+    a.out = os.path.join(where, "report.csv")
+    code = report(done, a, o, out)
+    sums = done.responses.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("error").isNotNull()).alias("pages_failed"), F.sum("attempts").alias("calls"), F.round(F.sum("elapsed"), 2).alias("elapsed")).first().asDict()
+    stats = {"experiment": e.name, "model": e.model, "effort": e.effort, "started": began.isoformat(), "seconds": round((datetime.now(UTC) - began).total_seconds(), 2), **sums}
+    with open(os.path.join(where, "stats.json"), "w", encoding="utf-8") as f:
+        json.dump(stats, f, ensure_ascii=False, indent=2)
+    out(f"{where}: {sums['pages'] - sums['pages_failed']} of {sums['pages']} sheets")
+    return code
+
+
 def catalogue(a: argparse.Namespace, out) -> int:
     found = experiments.catalogue(a.folder)
     for name, e, error in found:
@@ -157,8 +213,8 @@ def main(argv: list[str] | None = None, out: Callable[[str], None] = print, spar
                 out(said)
             return 0
         spark = spark or SparkSession.builder.appName("plumbline").getOrCreate()
-        run = {"extract": extract, "dims": dims, "text": text, "report": report, "analyze": analyze}[a.verb]
-        return run(Tables(spark, a.tables, a.pages), a, Options.read(), out)
+        verb = {"extract": extract, "dims": dims, "text": text, "report": report, "analyze": analyze, "run": run}[a.verb]
+        return verb(Tables(spark, a.tables, a.pages), a, Options.read(), out)
     except (ValueError, OSError) as e:
         out(f"error: {e}")
         return 2

@@ -109,13 +109,17 @@ def error_class(message: Column) -> Column:
     return F.when(contains_any(low, RETRYABLE), "retryable").when(contains_any(low, FATAL), "fatal").when(contains_any(low, NO_SCHEMA), "no_schema").otherwise("other")
 
 
-def reply_class(reply: Column, finish_reason: Column, parsed: Column) -> Column:
-    """Why a reply can't be used: truncated, empty, not JSON; null if it can be."""
-    return (
+def reply_class(reply: Column, finish_reason: Column, parsed: Column, problems: Column | None = None) -> Column:
+    """Why a reply can't be used: truncated, empty, not JSON, not by its schema; null if it can be.
+
+    ``problems`` lists where the reply departs from its schema (``schemas.checked``).
+    """
+    found = (
         F.when(finish_reason == "length", "truncated")
         .when(reply.isNull() | (strip(reply) == ""), "empty")
         .when(parsed.isNull(), "not_json")
     )
+    return found if problems is None else found.when(F.size(problems) > 0, "schema")
 
 
 def substitute(template: Column, token: str, block: Column) -> Column:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The decoded drawing, keyed by sheet; ordinals keep the drawing order.
 SHEETS = "doc_id string, page_number int, width_pt double, height_pt double"
@@ -158,3 +162,25 @@ def problems(value: Any, schema: dict, root: dict | None = None, at: str = "$")
 def problems_allow_null(schema: dict) -> bool:
     kind = schema.get("type")
     return isinstance(kind, list) and "null" in kind or any(s.get("type") == "null" for key in ("anyOf", "oneOf") for s in schema.get(key, []))
+
+
+def checked(replies: DataFrame, schema: dict, column: str = "response", most: int = 3) -> DataFrame:
+    """Replies with ``problems``: the first places at which the JSON text in a column departs from a schema.
+
+    Null for a text that is no JSON, empty for a good reply.
+    """
+    out = T.StructType([*replies.schema.fields, T.StructField("problems", T.ArrayType(T.StringType()))])
+    at, arrow = replies.columns.index(column), to_arrow_schema(out)
+
+    def found(text: str | None) -> list[str] | None:
+        try:
+            return None if text is None else problems(json.loads(text), schema)[:most]
+        except ValueError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = pa.array(list(map(found, batch.column(at).to_pylist())), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, told], arrow)], schema=arrow)
+
+    return replies.mapInArrow(run, out)

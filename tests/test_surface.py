@@ -111,3 +111,44 @@ def test_commands(spark, tmp_path):
     with pytest.raises(SystemExit):
         commands.main(["nothing"])
     assert drawing.SHEET == commands.SHEET
+
+
+def client(model, effort):
+    """A model that selects P1 at once, or answers badly first, by its name."""
+    bad = [] if model == "good" else ["no JSON", '{"included": "P1"}']
+
+    def ask(prompt):
+        assert "P1" in prompt or "scan" in prompt
+        return bad.pop(0) if bad else '{"included": ["P1"]}' if model != "never" else "{}"
+
+    return ask
+
+
+def test_run_command(spark, tmp_path):
+    test_commands(spark, tmp_path)  # makes the tables
+    e = tmp_path / "research" / "exp_7"
+    e.mkdir()
+    (e / "system.md").write_text("Select.\n\n{{DIMENSIONS}}", encoding="utf-8")
+    (e / "response.json").write_text('{"type": "object", "properties": {"included": {"type": "array", "items": {"type": "string"}}}}', encoding="utf-8")
+    (e / "meta.json").write_text('{"model": "never", "reasoning_effort": "low"}', encoding="utf-8")
+    said, runs = [], tmp_path / "runs"
+    code = commands.main(["run", str(tmp_path / "t"), str(e), "--client", "tests.test_surface:client", "--out", str(runs), "--model", "good", "--pages", "1"], said.append, spark)
+    where = next(runs.iterdir())
+    stats = json.loads((where / "stats.json").read_text())
+    assert code == 0 and where.name.startswith("exp_7_") and (stats["model"], stats["effort"], stats["pages"], stats["pages_failed"], stats["calls"]) == ("good", "low", 1, 0, 1)
+    assert (where / "report.csv").read_text("utf-8-sig").splitlines()[1].startswith("1;;320.0;0.32;320 = 320 мм;1")
+    prompt = spark.read.parquet(str(where / "prompts")).first().prompt
+    assert prompt.startswith("Select.") and 'P1 "320"' in prompt and "Лист № 1" in prompt and "{{" not in prompt
+    runs = tmp_path / "again"
+    assert commands.main(["run", str(tmp_path / "t"), str(e), "--client", "tests.test_surface:client", "--out", str(runs), "--model", "slow", "--pages", "1"], said.append, spark) == 0
+    assert json.loads((next(runs.iterdir()) / "stats.json").read_text())["calls"] == 3  # two bad replies, then a good one
+    runs = tmp_path / "failed"
+    assert commands.main(["run", str(tmp_path / "t"), str(e), "--client", "tests.test_surface:client", "--out", str(runs), "--pages", "1"], said.append, spark) == 1
+    replies = spark.read.parquet(str(next(runs.iterdir()) / "responses.parquet")).first()
+    assert replies.response is None and "included: missing" in replies.error
+
+
+def test_checked_replies(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}'), (2, "{}"), (3, '{"a": "x", "b": 2}'), (4, "no"), (5, None)], "k int, response string")
+    got = {r.k: r.problems for r in schemas.checked(df, {"type": "object", "properties": {"a": {"type": "integer"}}, "required": ["a"], "additionalProperties": False}).collect()}
+    assert got[1] == [] and got[2] == ["$.a: missing"] and sorted(got[3]) == ["$.a: not integer", "$.b: unexpected"] and got[4] is None and got[5] is None
