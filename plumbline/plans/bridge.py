@@ -100,12 +100,11 @@ def reading_order_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CAST(CAST(round_even((((l_quantity * 7.5 - 180) % 180) + 180) % 180 / 30, 0) AS INT) % 6 AS INT) AS axis, count(*) AS n
-FROM lineitem GROUP BY 1
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(round_even((((l_quantity * 7.5 - 180) % 180) + 180) % 180 / 30, 0) AS INT) % 6 AS INT) AS axis FROM lineitem
 """)
 def axis_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle = F.col("l_quantity") * 7.5 - 180
-    return table(spark, sf_dir, "lineitem").groupBy(geometry.axis_of(angle).alias("axis")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", geometry.axis_of(angle).alias("axis"))
 
 
 _LINES = "SELECT l_orderkey AS sheet, k AS idx, l_partkey % 2 = 1 AS up, CAST(l_discount * 1000 AS DOUBLE) AS u, CAST(l_linenumber * 2 AS DOUBLE) AS v, l_quantity AS len FROM m"
@@ -342,16 +341,19 @@ def pricing_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("model", "price_source", "price_reasoning").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ERRORS = ("Error 429: Concurrent request limit reached for this API key", "invalid API key", "response_format is not supported", "connection reset by peer", "model not found", "odd")
+_PARTS = (*text.RETRYABLE, *text.FATAL, *text.NO_SCHEMA, "odd")
+_ANY = lambda words: " OR ".join(f"contains(lower(s), '{w}')" for w in words)
 
 
 @query(f"""
-WITH e AS (SELECT event_id, list_value({', '.join(f"'{x}'" for x in _ERRORS)})[event_id % 6 + 1] || ' ' || event_type AS s FROM events)
-SELECT event_id, CASE WHEN contains(lower(s), '429') OR contains(lower(s), 'connection reset') THEN 'retryable' WHEN contains(lower(s), 'api key') OR contains(lower(s), 'model not found') THEN 'fatal'
-  WHEN contains(lower(s), 'response_format') THEN 'no_schema' ELSE 'other' END AS class FROM e
+WITH e AS (SELECT event_id, p[event_id % len(p) + 1] || ' - ' || upper(p[event_id * 7 % len(p) + 1]) || CASE WHEN event_id % 3 = 0 THEN '' ELSE ' ' || event_type END AS s FROM (SELECT *, list_value({', '.join(f"'{x}'" for x in _PARTS)}) AS p FROM events))
+SELECT event_id, CASE WHEN {_ANY(text.RETRYABLE)} THEN 'retryable' WHEN {_ANY(text.FATAL)} THEN 'fatal' WHEN {_ANY(text.NO_SCHEMA)} THEN 'no_schema' ELSE 'other' END AS class FROM e
 """)
 def retry_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    message = F.concat(F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 6 + 1).cast("int")), F.lit(" "), F.col("event_type"))
+    """Messages of two parts each, all fixed parts among them; which part comes first does not matter."""
+    part = lambda at: F.element_at(F.array(*map(F.lit, _PARTS)), (at % len(_PARTS) + 1).cast("int"))
+    key = F.col("event_id")
+    message = F.concat(part(key), F.lit(" - "), F.upper(part(key * 7)), F.when(key % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.col("event_type"))))
     return table(spark, sf_dir, "events").select("event_id", text.error_class(message).alias("class"))
 
 
@@ -409,13 +411,12 @@ def sheet_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS px, l_discount * 500 AS py, l_tax * 300 AS ax, 5.0 AS ay, l_quantity + 3 AS bx, 25.0 AS by_ FROM lineitem),
 f AS (SELECT *, least(1.0, greatest(0.0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM t)
-SELECT CAST(floor(sqrt((px - ax - t * (bx - ax)) ** 2 + (py - ay - t * (by_ - ay)) ** 2) / 5 + 0.0001) AS BIGINT) AS ring, count(*) AS n, round(sum(t), 3) AS along FROM f GROUP BY 1
+SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt((px - ax - t * (bx - ax)) ** 2 + (py - ay - t * (by_ - ay)) ** 2), 6) AS distance, round(t, 6) AS along FROM f
 """)
 def segment_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")
     s = [q, F.col("l_discount") * 500, F.col("l_tax") * 300, F.lit(5.0), q + 3, F.lit(25.0)]
-    ring = F.floor(geometry.dist_point_segment(*s) / 5 + 0.0001)
-    return table(spark, sf_dir, "lineitem").groupBy(ring.alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(geometry.fraction(*s)), 3).alias("along"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(geometry.dist_point_segment(*s), 6).alias("distance"), F.round(geometry.fraction(*s), 6).alias("along"))
 
 
 @query(f"""
@@ -479,7 +480,9 @@ def model_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH p AS ({_PIXELS}), t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 5.0 ELSE a END AS x0, b AS y0, CASE p_partkey % 3 WHEN 0 THEN 990.0 ELSE a + 30 END AS x1, b + 12 AS y1, CASE WHEN p_partkey % 2 = 0 THEN 480.0 ELSE 3000.0 END AS h FROM p)
-SELECT p_partkey, CASE WHEN x1 + 15 <= 1000 AND y0 >= 0 AND y0 + 14.5 <= h THEN 'right' WHEN x0 - 15 >= 0 AND y0 + 14.5 <= h THEN 'left' WHEN y0 - 16.5 >= 0 AND x0 + 13 <= 1000 AND y0 - 2 <= h THEN 'above' WHEN y1 + 16.5 <= h AND x0 + 13 <= 1000 THEN 'below' ELSE 'clipped' END AS side FROM t
+SELECT p_partkey, round(CASE side WHEN 'left' THEN x0 - 15 WHEN 'above' THEN x0 WHEN 'below' THEN x0 WHEN 'right' THEN x1 + 2 ELSE greatest(x1 + 2, 0) END, 6) AS cx0, round(CASE side WHEN 'above' THEN y0 - 16.5 WHEN 'below' THEN y1 + 2 WHEN 'clipped' THEN greatest(y0, 0) ELSE y0 END, 6) AS cy0,
+  round(CASE side WHEN 'left' THEN x0 - 2 WHEN 'above' THEN x0 + 13 WHEN 'below' THEN x0 + 13 WHEN 'right' THEN x1 + 15 ELSE least(x1 + 15, 1000) END, 6) AS cx1, round(CASE side WHEN 'above' THEN y0 - 2 WHEN 'below' THEN y1 + 16.5 WHEN 'clipped' THEN least(y0 + 14.5, h) ELSE y0 + 14.5 END, 6) AS cy1
+FROM (SELECT *, CASE WHEN x1 + 15 <= 1000 AND y0 >= 0 AND y0 + 14.5 <= h THEN 'right' WHEN x0 - 15 >= 0 AND y0 + 14.5 <= h THEN 'left' WHEN y0 - 16.5 >= 0 AND x0 + 13 <= 1000 AND y0 - 2 <= h THEN 'above' WHEN y1 + 16.5 <= h AND x0 + 13 <= 1000 THEN 'below' ELSE 'clipped' END AS side FROM t)
 """)
 def chip_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.col("p_partkey") % 3 == 0
@@ -487,9 +490,7 @@ def chip_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, x1, y1 = F.when(wide, 5.0).otherwise(size), F.when(wide, 990.0).otherwise(size + 30), price + 12
     height = F.when(F.col("p_partkey") % 2 == 0, 480.0).otherwise(3000.0)
     place = layout.chip([x0, price, x1, y1], 10.0, F.lit(1000.0), height)
-    right, left = (place.x0 == x1 + 2) & (F.abs(place.x1 - place.x0 - 13) < 1e-6) & (F.abs(place.y1 - place.y0 - 14.5) < 1e-6), place.x1 == x0 - 2
-    side = F.when(left, "left").when(place.y1 == price - 2, "above").when(place.y0 == y1 + 2, "below").when(right, "right").otherwise("clipped")
-    return table(spark, sf_dir, "part").select("p_partkey", side.alias("side"))
+    return table(spark, sf_dir, "part").select("p_partkey", *(F.round(place[c], 6).alias(f"c{c}") for c in ("x0", "y0", "x1", "y1")))
 
 
 @query("""

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import json, layout, num, text
-from plumbline.operators import annotate, cost, quality, selection, sequence, spatial, textmap
+from plumbline.operators import annotate, cost, selection, sequence, spatial, textmap
 from plumbline.plans.bridge import NUMBERED, ORDER
 from plumbline.plans.registry import query
 from plumbline.session import table
-from plumbline.sources import exports, labels
+from plumbline.sources import exports, labels, schemas
 
 EVENT = "e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 8 AS w FROM events)"
 M = f"m AS ({NUMBERED})"
@@ -50,22 +50,24 @@ def extracted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {EVENT} SELECT event_id, CASE w WHEN 0 THEN 'truncated' WHEN 1 THEN 'empty' WHEN 2 THEN 'empty' WHEN 3 THEN 'not_json' WHEN 7 THEN 'truncated' END AS failure FROM e
+WITH {EVENT} SELECT event_id, CASE w WHEN 0 THEN 'truncated' WHEN 1 THEN 'empty' WHEN 2 THEN 'empty' WHEN 3 THEN 'not_json' WHEN 5 THEN 'schema' WHEN 6 THEN 'schema' WHEN 7 THEN 'truncated' END AS failure, CASE w WHEN 5 THEN '$: not object' WHEN 6 THEN '$.v: not number|$.y: unexpected' END AS problems FROM e
 """)
 def reply_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why a reply can't be used."""
-    reply = _case([_k('{"v": #}'), F.lit(""), F.lit(" \n"), _k("no #"), _k('{"v": #}'), F.lit("[]"), F.lit("{}"), F.lit("")])
-    finish = F.when(F.col("w").isin(0, 7), "length").otherwise("stop")
-    return _events(spark, sf_dir).select("event_id", text.reply_class(reply, finish, json.extract_json(reply)).alias("failure"))
+    """Why a reply can't be used, and where it departs from its schema."""
+    reply = _case([_k('{"v": #}'), F.lit(""), F.lit(" \n"), _k("no #"), _k('{"v": #}'), F.lit("[]"), F.lit('{"v": "x", "y": 1}'), F.lit("")])
+    rows = _events(spark, sf_dir).select("event_id", reply.alias("response"), F.when(F.col("w").isin(0, 7), "length").otherwise("stop").alias("finish"))
+    rows = schemas.checked(rows, {"type": "object", "properties": {"v": {"type": "number"}}, "required": ["v"], "additionalProperties": False})
+    failure = text.reply_class(F.col("response"), F.col("finish"), json.extract_json(F.col("response")), F.col("problems"))
+    return rows.select("event_id", failure.alias("failure"), F.when(F.size("problems") > 0, F.array_join(F.sort_array("problems"), "|")).alias("problems"))
 
 
 @query(f"""
-WITH {EVENT} SELECT event_id, CASE w WHEN 0 THEN 'P' || k WHEN 1 THEN 'P' || k WHEN 2 THEN 'P' || k WHEN 3 THEN 'm' || k WHEN 5 THEN 'P' || k WHEN 6 THEN 'x' END AS ref, CASE w WHEN 1 THEN 'far' WHEN 2 THEN 'n' || k WHEN 0 THEN 'P' || k WHEN 4 THEN '' WHEN 6 THEN 'x' ELSE '' END AS reason FROM e WHERE w < 7
+WITH {EVENT} SELECT event_id, CASE w WHEN 0 THEN 'P' || k WHEN 1 THEN 'P' || k WHEN 2 THEN 'P' || k WHEN 3 THEN 'm' || k WHEN 5 THEN 'P' || k WHEN 6 THEN 'x' END AS ref, CASE w WHEN 1 THEN 'far' WHEN 2 THEN 'n' || k WHEN 0 THEN 'P' || k WHEN 4 THEN '' WHEN 6 THEN 'x' ELSE '' END AS reason FROM e
 """)
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mark and the reason of entries of many shapes."""
     entry = _case([_k('"P#"'), _k('{"index": "P#", "reason": " far "}'), _k('{"index": "", "mark": "P#", "why": "n#"}'), _k('{"id": "m#", "reason": ""}'), F.lit("{}"), _k('{"label": null, "size": #}'), F.lit('" x "'), F.lit("null")])
-    rows = _events(spark, sf_dir).where("w < 7").select("event_id", F.try_parse_json(entry).alias("v"))
+    rows = _events(spark, sf_dir).select("event_id", F.try_parse_json(entry).alias("v"))
     return rows.select("event_id", json.reference(F.col("v")).alias("ref"), json.reason(F.col("v")).alias("reason"))
 
 
@@ -145,11 +147,16 @@ def region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {FOUND}, d AS (SELECT page_number, x, min(pos) AS pos, arg_max(role, pos) AS kind FROM r WHERE NOT missing GROUP BY 1, 2) SELECT page_number, pos, kind, 'pdf_text' AS origin, x - 2 AS x0 FROM d
+UNION ALL SELECT page_number, 4, CASE page_number % 2 WHEN 0 THEN 'included' ELSE 'default' END, 'model', 10.0 + page_number % 7 FROM (SELECT page_number FROM c GROUP BY 1 HAVING max(k) = 1)
 """)
 def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of one label drawn once, with the last role in the first place; the model's own boxes are not wanted."""
+    """Boxes of one label drawn once, with the last role in the first place; the model's own boxes only where a sheet has no text."""
     found, items = _regions(spark, sf_dir)
-    own = found.limit(0).select("page_number", "pos", "label", F.col("role").alias("kind"), "x0", "y0", "x1", "y1")
+    page = F.col("page_number")
+    box = F.concat(F.lit('{"segs": [{"status": "'), F.when(page % 2 == 0, "included").otherwise("other"), F.lit('", "bbox": ['), (page % 7 + 10).cast("string"), F.lit(", 5, 60, 20]}]}"))
+    replies = _rows(spark, sf_dir).select("page_number").distinct().select("page_number", box.alias("response"))
+    sizes = replies.select("page_number", F.lit(90).alias("width"), F.lit(50).alias("height"))
+    own = annotate.model_regions(annotate.walk(replies, ["page_number"]), sizes, ["page_number"])
     return annotate.regions(found, own, items, ["page_number"]).select("page_number", "pos", "kind", "origin", "x0")
 
 
@@ -194,19 +201,6 @@ def truth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_number").distinct().join(sums, "page_number", "left").join(totals, "page_number", "left").join(wrong, "page_number", "left")
 
 
-@query(f"""
-WITH RECURSIVE {M}, v AS (SELECT l_orderkey AS page_number, k, l_quantity AS q FROM m WHERE k <= 8), g AS (SELECT page_number, CASE page_number % 3 WHEN 0 THEN max(q) WHEN 1 THEN sum(q) ELSE min(q) + 0.75 END AS target FROM v GROUP BY 1),
-s AS (SELECT page_number, k, q AS total, 1 AS n FROM v UNION ALL SELECT s.page_number, v.k, s.total + v.q, s.n + 1 FROM s JOIN v ON v.page_number = s.page_number AND v.k > s.k)
-SELECT g.page_number, CAST(min(s.n) AS INT) AS items FROM g LEFT JOIN s ON s.page_number = g.page_number AND abs(s.total - g.target) < 0.5 GROUP BY 1
-""")
-def reachable_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many values of a sheet (its first eight) make the largest, all together, or none."""
-    values = _rows(spark, sf_dir).where("k <= 8").select("page_number", F.col("l_quantity").alias("value"))
-    kind = F.col("page_number") % 3
-    targets = values.groupBy("page_number").agg(F.max("value").alias("a"), F.sum("value").alias("b"), F.min("value").alias("c")).select("page_number", F.when(kind == 0, F.col("a")).when(kind == 1, F.col("b")).otherwise(F.col("c") + 0.75).alias("target"))
-    return quality.reachable(values, targets, ["page_number"]).select("page_number", F.when(F.col("subset").isNotNull(), F.size("subset")).alias("items"))
-
-
 @query(f"""
 WITH {M}, a AS (SELECT DISTINCT l_orderkey AS page_number, l_quantity AS value FROM m WHERE l_returnflag = 'N'), b AS (SELECT DISTINCT l_orderkey AS page_number, l_quantity AS value FROM m WHERE l_returnflag = 'R')
 SELECT *, 'extra' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'missing' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
@@ -272,23 +266,26 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, 640 AS width, 300 + CAST(p_size AS INT) AS height, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS area_ratio, 24 AS size_bytes, 'data:image/png;base64,' || to_base64(unhex('89504E470D0A1A0A0000000D4948445200000280' || printf('%08X', 300 + p_size))) AS data_url FROM part
+SELECT p_partkey, 640 AS width, 300 + CAST(p_size AS INT) AS height, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS area_ratio, 24 AS size_bytes, 'data:image/png;base64,' || to_base64(unhex('89504E470D0A1A0A0000000D4948445200000280' || printf('%08X', CASE WHEN p_partkey % 3 = 0 THEN 7 ELSE 300 + p_size END))) AS data_url FROM part
 """)
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is known of a picture from its bytes, its cropped box and its overlay."""
-    data = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D4948445200000280"), F.lpad(F.hex(F.col("p_size") + 300), 8, "0")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", data.alias("data"), F.lit(None).cast("binary").alias("overlay"), F.when(F.col("p_size") % 2 > 0, F.array(*(F.lit(v) for v in (0, 0, 50, 50)))).alias("crop"), F.lit(100).alias("full_width"), F.lit(100).alias("full_height"))
+    """What is known of a picture from its bytes, its cropped box and its overlay; the model sees the overlay of every third."""
+    head = lambda height: F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D4948445200000280"), F.lpad(F.hex(height), 8, "0")))
+    data, drawn = head(F.col("p_size") + 300), F.when(F.col("p_partkey") % 3 == 0, head(F.lit(7)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", data.alias("data"), drawn.alias("overlay"), F.when(F.col("p_size") % 2 > 0, F.array(*(F.lit(v) for v in (0, 0, 50, 50)))).alias("crop"), F.lit(100).alias("full_width"), F.lit(100).alias("full_height"))
     return layout.picture_facts(rows).select("p_partkey", "width", "height", "area_ratio", F.col("size_bytes").cast("int").alias("size_bytes"), "data_url")
 
 
 @query("""
-SELECT DISTINCT 'm' || (l_linenumber % 4) AS model, l_linenumber % 4 < 2 AS enabled FROM lineitem
+SELECT 'm' || s_suppkey AS model, s_suppkey % 3 > 0 OR s_suppkey % 5 = 0 AS enabled FROM supplier
 """)
 def priced_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether any tariff of a model has a price."""
-    models = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("m"), (F.col("l_linenumber") % 4).cast("string")).alias("model")).distinct()
-    tariffs = models.select("model", F.when(F.col("model").isin("m0", "m1"), 2.0).otherwise(0.0).alias("input"), *[F.lit(0.0).alias(p) for p in cost.PRICES[1:]])
-    return cost.pricing_enabled(tariffs, ["model"])
+    """Whether any tariff of a model has a price; every model has two tariffs."""
+    key = F.col("s_suppkey")
+    models = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("m"), key.cast("string")).alias("model"))
+    first = models.select("model", (key % 3).cast("double").alias("input"), *[F.lit(0.0).alias(p) for p in cost.PRICES[1:]])
+    second = models.select("model", F.lit(0.0), *[F.lit(0.0) for _ in cost.PRICES[2:]], F.when(key % 5 == 0, 1.5).otherwise(0.0))
+    return cost.pricing_enabled(first.unionAll(second), ["model"])
 
 
 @query(f"""
@@ -320,14 +317,15 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {M}, s AS (SELECT l_orderkey AS sheet, k AS idx, CAST(l_discount * 1000 AS BIGINT) AS u, l_linenumber * 2 AS v, CAST(l_quantity AS BIGINT) AS len, l_quantity FROM m),
 p AS (SELECT a.sheet, a.idx AS big, b.idx AS small FROM s a JOIN s b ON a.sheet = b.sheet AND a.idx <> b.idx WHERE b.len <= a.len AND abs(a.v - b.v) >= 1 AND b.u - a.u >= -1 AND b.u + b.len - a.u <= a.len + 1),
 c AS (SELECT sheet, big, '"P' || string_agg(small, '","P' ORDER BY small) || '"' AS kids FROM p GROUP BY 1, 2 HAVING count(*) >= 2), r AS (SELECT p.sheet, p.small, max(p.big) AS parent FROM p JOIN c ON p.sheet = c.sheet AND p.big = c.big GROUP BY 1, 2),
-j AS (SELECT s.sheet, string_agg('<"id":"P' || s.idx || '","kind":"span","label":"' || s.len || '","value":' || s.len || ',"parent":' || coalesce('"P' || r.parent || '"', 'null') || ',"children":[' || coalesce(c.kids, '') || ']>', ', ' ORDER BY s.idx) AS h FROM s LEFT JOIN c ON c.sheet = s.sheet AND c.big = s.idx LEFT JOIN r ON r.sheet = s.sheet AND r.small = s.idx GROUP BY 1)
-SELECT sheet, replace(replace('<"hierarchy": [' || h || '], "numbers": [], "orphans": [], "stats": <"scale":' || sheet % 7 || '>>', '<', chr(123)), '>', chr(125)) AS document FROM j
+j AS (SELECT s.sheet, string_agg('<"id":"P' || s.idx || '","kind":"span","label":"' || s.len || '","value":' || s.len || ',"parent":' || coalesce('"P' || r.parent || '"', 'null') || ',"children":[' || coalesce(c.kids, '') || ']>', ', ' ORDER BY s.idx) AS h FROM s LEFT JOIN c ON c.sheet = s.sheet AND c.big = s.idx LEFT JOIN r ON r.sheet = s.sheet AND r.small = s.idx GROUP BY 1),
+n AS (SELECT sheet, string_agg('<"text":"' || len || '","bbox":[' || u || '.0,' || v || '.0,' || (u + 5) || '.5,' || (v + 2) || '.0]>', ', ' ORDER BY v, u, CAST(len AS VARCHAR)) AS a, string_agg('<"text":"' || len || '","bbox":[' || u || '.0,' || v || '.0,' || (u + 5) || '.5,' || (v + 2) || '.0]>', ', ' ORDER BY v, u, CAST(len AS VARCHAR)) FILTER (idx % 3 = 0) AS o FROM s GROUP BY 1)
+SELECT j.sheet, replace(replace('<"hierarchy": [' || h || '], "numbers": [' || n.a || '], "orphans": [' || coalesce(n.o, '') || '], "stats": <"scale":' || j.sheet % 7 || '>>', '<', chr(123)), '>', chr(125)) AS document FROM j JOIN n ON n.sheet = j.sheet
 """)
 def detection_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets as nested JSON: lines with their family, and statistics."""
+    """Sheets as nested JSON: lines with their family, numbers, every third without a line, and statistics."""
     rows, q = _rows(spark, sf_dir), F.col("l_quantity")
     x, y, size = F.rint(F.col("l_discount") * 1000), (F.col("l_linenumber") * 2).cast("double"), q.cast("bigint")
     lines = rows.select(F.col("l_orderkey").alias("sheet"), F.col("k").alias("idx"), F.lit("span").alias("kind"), size.cast("string").alias("label"), size.alias("value"), x.alias("ax"), y.alias("ay"), (x + q).alias("bx"), y.alias("by"), q.alias("length_pt"))
-    none = lines.limit(0).select("sheet", F.lit("").alias("text"), *[F.lit(0.0).alias(c) for c in spatial.BOX])
+    numbers = lines.select("sheet", F.col("label").alias("text"), F.col("ax").alias("x0"), F.col("ay").alias("y0"), (F.col("ax") + 5.5).alias("x1"), (F.col("ay") + 2).alias("y1"), "idx")
     stats = lines.select("sheet").distinct().select("sheet", (F.col("sheet") % 7).alias("scale"))
-    return exports.detection_documents(spatial.hierarchy(lines, ["sheet"]), none, none, stats, ["sheet"])
+    return exports.detection_documents(spatial.hierarchy(lines, ["sheet"]), numbers.drop("idx"), numbers.where("idx % 3 = 0").drop("idx"), stats, ["sheet"])

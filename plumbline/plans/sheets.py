@@ -114,12 +114,12 @@ def _strokes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query(f"""
 WITH {STROKES}
-SELECT page_number, k AS path_id, at_a, at_b, at_a AS only_a, at_b AS only_b FROM s
+SELECT page_number, k AS path_id, at_a OR at_b AND short AS at_a, at_b OR at_a AND short AS at_b, at_a AND NOT short AS only_a, at_b AND NOT short AS only_b FROM (SELECT *, sqrt(len * len + 0.015625) <= 12 AS short FROM s)
 """)
 def arrowheads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which arrow tips touch which ends; no stroke is shorter than the gap."""
+    """Which arrow tips touch which ends; those of a stroke that is shorter than the gap touch both."""
     lines, tips = _strokes(_rows(spark, sf_dir))
-    return spatial.tips_at_ends(lines, tips, SHEET, "path_id", F.lit(0.2)).select("page_number", "path_id", "at_a", "at_b", "only_a", "only_b")
+    return spatial.tips_at_ends(lines, tips, SHEET, "path_id", F.lit(12.0)).select("page_number", "path_id", "at_a", "at_b", "only_a", "only_b")
 
 
 @query(f"""
@@ -292,7 +292,9 @@ def cut_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {M}, v AS (SELECT l_orderkey AS page_number, k, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS label, CASE l_returnflag WHEN 'N' THEN 'span' ELSE 'pointer' END AS kind, 2.0::DOUBLE * {X} - 10 AS x0, 2.0::DOUBLE * {Y} - 20 AS y0, 2.0::DOUBLE * ({X} + 12) - 10 AS x1, 2.0::DOUBLE * ({Y} + 8) - 20 AS y1, l_quantity * 7.5::DOUBLE - 180 AS angle FROM m WHERE l_returnflag <> 'A'),
 p AS (SELECT *, row_number() OVER (PARTITION BY page_number ORDER BY round_even(y0 * 10, 0), x0, k) AS n, CAST(CAST(round_even(((angle % 180) + 180) % 180 / 30, 0) AS INT) % 6 AS INT) AS axis FROM v)
-SELECT page_number, string_agg('P' || n || ' "' || label || '" [' || CAST(round_even(x0, 0) AS BIGINT) || ',' || CAST(round_even(y0, 0) AS BIGINT) || ',' || CAST(round_even(x1, 0) AS BIGINT) || ',' || CAST(round_even(y1, 0) AS BIGINT) || '] ' || kind || ' axis ' || axis, chr(10) ORDER BY n) AS block FROM p GROUP BY 1
+SELECT page_number, string_agg('P' || n || ' "' || label || '" [' || CAST(round_even(x0, 0) AS BIGINT) || ',' || CAST(round_even(y0, 0) AS BIGINT) || ',' || CAST(round_even(x1, 0) AS BIGINT) || ',' || CAST(round_even(y1, 0) AS BIGINT)
+  || '] линия [' || CAST(round_even(x0, 0) AS BIGINT) || ',' || CAST(round_even(y0, 0) AS BIGINT) || ',' || CAST(round_even(x1, 0) AS BIGINT) || ',' || CAST(round_even(y0, 0) AS BIGINT) || '] '
+  || CASE kind WHEN 'span' THEN 'отрезок' ELSE 'выноска' END || ' ось ' || axis || ' (' || CAST(round_even(angle, 0) AS BIGINT) || '°)', chr(10) ORDER BY n) AS block FROM p GROUP BY 1
 """)
 def mark_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimension lines to marks in pixels, in reading order, and their prompt block; lines of A have no value."""
@@ -349,26 +351,26 @@ def span_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {TOKENS}, p AS (SELECT DISTINCT sheet, word, 2.0::DOUBLE * x - 1 AS x0, 2.0::DOUBLE * p_size - 3 AS y0 FROM b WHERE p_size / 4.0 * 2 >= 6), r AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY round_even(y0 * 10, 0), x0, word) - 1 AS r, count(*) OVER (PARTITION BY sheet) AS c FROM p)
-SELECT sheet, count(*) AS items, min(y0) AS top, CAST(sum(length(word)) AS BIGINT) AS chars FROM r GROUP BY 1
+WITH {TOKENS}, p AS (SELECT DISTINCT sheet, word, 2.0::DOUBLE * x - 1 AS x0, 2.0::DOUBLE * p_size - 3 AS y0 FROM b WHERE p_size / 4.0 * 2 >= 6)
+SELECT sheet, word AS text, x0, y0 FROM p
 """)
 def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text layer in pixels: small fonts dropped, each text and place once."""
     spans = _spans(spark, sf_dir)
     view = spans.select("sheet").distinct().select("sheet", F.lit(2.0).alias("zoom"), F.lit(1.0).alias("dx"), F.lit(3.0).alias("dy"))
-    found = textmap.text_items(spans, view, ["sheet"], 6.0)
-    return found.groupBy("sheet").agg(F.count(F.lit(1)).alias("items"), F.min("y0").alias("top"), F.sum(F.length("text")).alias("chars"))
+    return textmap.text_items(spans, view, ["sheet"], 6.0).select("sheet", "text", "x0", "y0")
 
 
 @query(f"""
 WITH {M}, s AS (SELECT l_orderkey AS page_number, l_suppkey % 2 AS line_no, k AS span_no, CASE WHEN l_partkey % 7 = 0 THEN ' ' ELSE 't' || k END AS t, l_discount * 100 AS x0, l_quantity AS y0, l_discount * 100 + 9.5 AS x1, l_quantity + 4.25 AS y1, l_tax * 100 + 3 AS size FROM m),
-l AS (SELECT page_number, line_no, trim(string_agg(t, ' ' ORDER BY x0, span_no)) AS text, round_even(min(x0), 2) AS x0, round_even(min(y0), 2) AS y0, round_even(max(x1), 2) AS x1, round_even(max(y1), 2) AS y1, round_even(max(size), 2) AS size FROM s WHERE trim(t) <> '' GROUP BY 1, 2)
-SELECT page_number, line_no, text, x0, y0, x1, y1, size, round_even((x0 + x1) / 2, 2) AS cx, CAST(-90.0 AS DOUBLE) AS angle, CAST(row_number() OVER (PARTITION BY page_number ORDER BY round_even(y0 * 10, 0), x0, line_no) AS INT) AS n FROM l WHERE size >= 4
+l AS (SELECT page_number, line_no, page_number % 4 AS turn, trim(string_agg(t, ' ' ORDER BY x0, span_no)) AS text, round_even(min(x0), 2) AS x0, round_even(min(y0), 2) AS y0, round_even(max(x1), 2) AS x1, round_even(max(y1), 2) AS y1, round_even(max(size), 2) AS size FROM s WHERE trim(t) <> '' GROUP BY 1, 2)
+SELECT page_number, line_no, text, x0, y0, x1, y1, size, round_even((x0 + x1) / 2, 2) AS cx, CASE turn WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN -90.0::DOUBLE WHEN 2 THEN 45.0::DOUBLE ELSE 90.0::DOUBLE END AS angle, CAST(row_number() OVER (PARTITION BY page_number ORDER BY round_even(y0 * 10, 0), x0, line_no) AS INT) AS n FROM l WHERE size >= 4
 """)
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
+    """Lines of spans in four directions."""
+    rows, turn = _rows(spark, sf_dir), F.col("page_number") % 4
     x, y = F.col("l_discount") * 100, F.col("l_quantity")
-    spans = rows.select("page_number", F.lit(1).alias("block_no"), (F.col("l_suppkey") % 2).alias("line_no"), F.col("k").alias("span_no"), F.when(F.col("l_partkey") % 7 == 0, " ").otherwise(F.concat(F.lit("t"), F.col("k").cast("string"))).alias("text"), (F.col("l_tax") * 100 + 3).alias("font_size"), F.lit(0.0).alias("dir_x"), F.lit(1.0).alias("dir_y"), x.alias("x0"), y.alias("y0"), (x + 9.5).alias("x1"), (y + 4.25).alias("y1"))
+    spans = rows.select("page_number", F.lit(1).alias("block_no"), (F.col("l_suppkey") % 2).alias("line_no"), F.col("k").alias("span_no"), F.when(F.col("l_partkey") % 7 == 0, " ").otherwise(F.concat(F.lit("t"), F.col("k").cast("string"))).alias("text"), (F.col("l_tax") * 100 + 3).alias("font_size"), F.when(turn == 0, 1.0).when(turn == 2, 0.5).otherwise(0.0).alias("dir_x"), F.when(turn == 0, 0.0).when(turn == 1, 1.0).when(turn == 2, -0.5).otherwise(-1.0).alias("dir_y"), x.alias("x0"), y.alias("y0"), (x + 9.5).alias("x1"), (y + 4.25).alias("y1"))
     return textmap.line_items(spans, ["page_number"], 4.0).select("page_number", "line_no", "text", "x0", "y0", "x1", "y1", "size", "cx", "angle", "n")
 
 
@@ -484,7 +486,7 @@ def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def detected_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole detection: strokes with arrows, labels in their middle; held against plain code in the tests."""
+    """A whole detection: strokes with arrows, labels in their middle; the choice among labels is held against plain code in the tests."""
     rows = _rows(spark, sf_dir)
     x, y, q = F.col("x"), F.col("k") * 60.0, F.col("l_quantity") + 20
     item = lambda kind, a, b, c, d: F.struct(F.lit(kind).alias("kind"), a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
