@@ -39,17 +39,31 @@ def test_entry(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-def test_without_the_optional_part(tmp_path):
-    """The entry imports, and only its own queries are left, where the optional folders are gone."""
-    for n in ("__spark_entry__.py", "plumbline"):
-        os.symlink(os.path.join(ROOT, n), tmp_path / n) if n.endswith(".py") else None
+def told_without(tmp_path, *gone):
+    """(number of queries, whether op queries are there, whether the pipeline is) in a copy that lacks some files or folders."""
+    for n in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if n not in gone and os.path.exists(os.path.join(ROOT, n)):
+            os.symlink(os.path.join(ROOT, n), tmp_path / n)
     os.makedirs(tmp_path / "plumbline")
-    optional = [n for n in os.listdir(os.path.join(ROOT, "plumbline")) if n != "llm"]
-    for n in optional:
-        os.symlink(os.path.join(ROOT, "plumbline", n), tmp_path / "plumbline" / n)
-    code = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"
+    for n in os.listdir(os.path.join(ROOT, "plumbline")):
+        if f"plumbline/{n}" not in gone:
+            os.symlink(os.path.join(ROOT, "plumbline", n), tmp_path / "plumbline" / n)
+    code = "import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); print(len(q), any(k.startswith('op') for k in q), 'pipeline' in q)"
     done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
-    assert done.stdout.split() == [str(len(plans.queries())), "False"], done.stderr
+    assert done.returncode == 0, done.stderr
+    return done.stdout.split()
+
+
+@pytest.mark.parametrize("gone", [("plumbline/llm",), ("plumbline/llm", "corpus_pipeline.py")])
+def test_without_the_optional_part(tmp_path, gone):
+    """The entry imports, and only its own queries are left, where the optional folder is gone, with the pipeline's file or without."""
+    assert told_without(tmp_path, *gone) == [str(len(plans.queries())), "False", "False"]
+
+
+@pytest.mark.skipif(not os.path.isdir(os.path.join(ROOT, "plumbline", "llm")), reason="the optional part is not there")
+def test_without_the_pipeline_alone(tmp_path):
+    n, ops, pipeline = told_without(tmp_path, "corpus_pipeline.py")
+    assert int(n) > len(plans.queries()) and (ops, pipeline) == ("True", "False")
 
 
 def test_nothing_else_imports_the_optional_part():
