@@ -184,7 +184,7 @@ def painted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = lambda z, contours, color: parts.select(key, F.lit(z).cast("long").alias("z"), contours.alias("contours"), F.lit(None).cast("string").alias("text"), *(none.alias(c) for c in ("x", "y", "size")), F.array(*map(F.lit, color)).alias("color"), F.lit(1.0).alias("alpha"))
     red = shape(1, box(20.0, 10.0, size + 20, 130.0), (1.0, 0.0, 0.0))
     blue = shape(2, box((key % 7 + 40).cast("double"), 30.0, 150.0, size + 30), (0.0, 0.0, 1.0))
-    drawn = overlay.render(parts.select(key, F.lit(blank).alias("data")), red.unionAll(blue), ["p_partkey"])
+    drawn, _ = saved.write(overlay.render(parts.select(key, F.lit(blank).alias("data")), red.unionAll(blue), ["p_partkey"]))
     cut = trim.trim_png(drawn, ["p_partkey"]).select("p_partkey", "x0", "y0", "x1", "y1")
     return _shares(drawn).join(cut, "p_partkey")
 
