@@ -10,9 +10,10 @@ surrounding text: identifiers, words and copies of nearby strings add little,
 random strings nearly their entropy.  Candidates that hardly compress are
 reported as ``novel``.
 
-A candidate of letters alone, all lower case or a capital and lower case, is taken
-for a word and not measured: long words and random letters add the same 6 to 8 bits
-a character there.
+A candidate without digits whose parts (split at capitals and punctuation) have four
+letters or more on average is a name, a path or words, and not measured: new words and
+random letters add the same 5 to 8 bits a character.  Random letters of both cases have
+parts of two or three; capitals alone are measured unless punctuation parts them.
 
 Offsets are code points, the end exclusive.  Null and empty texts have no spans.
 Texts of any length are scanned whole.  An empty table has no rows.
@@ -59,6 +60,15 @@ _PART = re.compile(r"[A-Za-z0-9+/_.-]+(?:=+(?![A-Za-z0-9+/_=.-]))?")
 _NAME = re.compile(r"[A-Za-z]+[0-9]*(?:[_.-]+(?:[A-Za-z]+[0-9]*|[0-9]+))*=?\Z")
 _VALUE = re.compile(r"""(?:=|(?<==))["']?[A-Za-z0-9+/_.-]""")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.I | re.A)
+_WORD, WORD_LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 4
+
+
+def is_name(candidate: str) -> bool:
+    """Words, joined in any of the ways of code."""
+    if any(c.isdigit() or c in "+=" for c in candidate):
+        return False
+    parts = _WORD.findall(candidate)
+    return (len(parts) > 1 or not candidate.isupper()) and sum(map(len, parts)) >= WORD_LETTERS * len(parts) > 0
 
 
 class Novelty:
@@ -100,7 +110,7 @@ def find(text: str, novelty: Novelty, least_bits: float = LEAST_BITS) -> list[tu
                 continue
             if _NAME.match(m.group()) and _VALUE.match(text, b):
                 continue
-            if not (outer or _SENSITIVE.search(text[near:a])) or m.group().isalpha() and (m.group().islower() or m.group().istitle()):
+            if not (outer or _SENSITIVE.search(text[near:a])) or is_name(m.group()):
                 continue
             if novelty.bits(text[max(0, a - AROUND) : a], m.group(), text[b : b + AROUND]) >= least_bits:
                 found.append((a, 3, b))
