@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import random
 
 import pytest
@@ -29,15 +30,15 @@ def events(seed, sheets=6):
 
 def ran(spark, folder, batches, wait="1 hour"):
     """Rows of the stream over files of events, a micro-batch each."""
-    got, source, n = [], folder / "in", 0
+    got, source = [], folder / "in"
     source.mkdir()
-    for batch in batches:
+    for n, batch in enumerate(batches):
         (source / f"{n}.json").write_text("\n".join(map(json.dumps, batch)))
-        n += 1
-        stream = spark.readStream.schema(keyed.EVENTS).json(str(source))
-        q = keyed.report_each(stream, lambda df, number: got.extend(df.collect()), str(folder / "checkpoint"), wait=wait, late="1 minute")
-        q.awaitTermination(180)
-        assert q.exception() is None
+        os.utime(source / f"{n}.json", (1_700_000_000 + n,) * 2)  # in this order
+    stream = spark.readStream.schema(keyed.EVENTS).option("maxFilesPerTrigger", 1).json(str(source))
+    q = keyed.report_each(stream, lambda df, number: got.extend(df.collect()), str(folder / "checkpoint"), wait=wait, late="1 minute")
+    q.awaitTermination(240)
+    assert q.exception() is None and not q.isActive
     return got
 
 
@@ -73,5 +74,5 @@ def test_state_goes_with_the_timer(spark, tmp_path, few):
     one = {"doc_id": "d", "page_number": 1, "kind": "mark", "mark_id": "P1", "value": 3.0, "ord": 1, "of": 1}
     reply = {"doc_id": "d", "page_number": 1, "kind": "reply", "response": '{"included": ["P1"]}'}
     other = {"doc_id": "x", "page_number": 1, "kind": "mark", "mark_id": "P1", "value": 3.0, "ord": 1, "of": 9}
-    got = ran(spark, tmp_path, [[{**one, "at": at(0)}, {**reply, "at": at(1)}], [{**one, "at": at(2)}], [{**other, "at": at(100)}], [{**one, "at": at(101)}, {**reply, "at": at(102)}]], wait="10 minutes")
+    got = ran(spark, tmp_path, [[{**one, "at": at(0)}, {**reply, "at": at(1)}], [{**one, "at": at(2)}], [{**other, "at": at(100)}], [{**other, "at": at(103)}], [{**one, "at": at(104)}, {**reply, "at": at(105)}]], wait="10 minutes")
     assert [(r.doc_id, r.complete) for r in got] == [("d", True), ("d", True)]
