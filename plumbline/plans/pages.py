@@ -189,6 +189,33 @@ def painted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shares(drawn).join(cut, "p_partkey")
 
 
+@query("""
+WITH m AS (SELECT p_partkey, 'P' || (p_partkey % 120) AS id, p_size * 3.0::DOUBLE AS x0, 100.0::DOUBLE + p_partkey % 50 AS y0, p_size * 3.0::DOUBLE + 20 + p_size AS x1, 100.0::DOUBLE + p_partkey % 50 + 4 + p_size % 30 AS y1 FROM part),
+f AS (SELECT *, x0 - 2 AS fx0, y0 - 2 AS fy0, x1 + 2 AS fx1, y1 + 2 AS fy1, greatest(7.5 * 1.15, (y1 - y0 + 4) * 0.52) AS h FROM m),
+b AS (SELECT *, greatest(h * 1.05, len(id) * h * 0.66) AS w FROM f), c AS (SELECT *, fx1 - w * 0.28 AS bx, fy0 - h * 0.34 AS by_, h * 0.5 AS s FROM b)
+SELECT p_partkey, round(fx0 - 0.54, 4) AS frame_x0, round(fy1 + 0.54, 4) AS frame_y1, round(fx0 + 0.54, 4) AS hole_x0, round(bx, 4) AS badge_x0, round(by_, 4) AS badge_y0, round(bx + w, 4) AS badge_x1, round(by_ + h, 4) AS badge_y1,
+  round((2 * bx + w - s * (len(id) - (1 - 4 / 6.0::DOUBLE))) / 2, 4) AS text_x, round((2 * by_ + h - s) / 2, 4) AS text_y, round(s, 4) AS text_size,
+  round(x1 + 30 - 7.2, 4) AS line_end, round(200.0 - 0.9, 4) AS line_edge, CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 7 END AS shapes FROM c
+""")
+def overlay_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is drawn of a mark for each part on a picture of 800 x 600: its frame, badge and caption, and its line without the arrows."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    x0, y0 = size * 3, (key % 50).cast("double") + 100
+    x1, y1 = x0 + 20 + size, y0 + 4 + F.col("p_size") % 30
+    marks = table(spark, sf_dir, "part").select(
+        "p_partkey", F.lit(1).alias("n"), F.concat(F.lit("P"), (key % 120).cast("string")).alias("mark_id"), F.when(key % 2 == 0, "span").otherwise("pointer").alias("kind"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"),
+        x0.alias("ax"), F.lit(200.0).alias("ay"), (x1 + 30).alias("bx"), F.lit(200.0).alias("by"), F.lit(800).alias("width"), F.lit(600).alias("height"),
+    )
+    shapes = overlay.mark_shapes(marks, ["p_partkey"])
+    part = lambda i, x: F.max(F.when(F.col("z") == 100 + i, x))
+    at = lambda i, ring, k: F.round(part(i, F.col("contours")[ring][k]), 4)
+    badge = [at(1, 0, k).alias(n) for k, n in ((0, "badge_x0"), (1, "badge_y0"), (4, "badge_x1"), (5, "badge_y1"))]
+    caption = [F.round(part(2, F.col(c)), 4).alias(f"text_{c}") for c in ("x", "y", "size")]
+    edge = F.round(part(3, F.array_min(F.transform(F.col("contours")[0], lambda v, i: F.when(i % 2 == 1, v)))), 4).alias("line_edge")
+    end = F.round(part(3, F.array_max(F.transform(F.col("contours")[0], lambda v, i: F.when(i % 2 == 0, v)))), 4).alias("line_end")
+    return shapes.groupBy("p_partkey").agg(at(0, 0, 0).alias("frame_x0"), at(0, 0, 5).alias("frame_y1"), at(0, 1, 0).alias("hole_x0"), *badge, *caption, end, edge, F.count("z").cast("int").alias("shapes"))
+
+
 @query(f"""
 WITH {EVENT}, r AS (SELECT event_id, w % 4 AS c, CAST(k AS DOUBLE) AS k FROM e),
 t AS (SELECT *, CASE c WHEN 0 THEN k + 10 WHEN 1 THEN k + 30 WHEN 2 THEN k ELSE 30.0 END AS computed, CASE c WHEN 2 THEN 5.0 END AS claimed FROM r)
