@@ -202,7 +202,8 @@ def overlay_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size").cast("double")
     x0, y0 = size * 3, (key % 50).cast("double") + 100
     x1, y1 = x0 + 20 + size, y0 + 4 + F.col("p_size") % 30
-    marks = table(spark, sf_dir, "part").select(
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # drawing costs by shapes, however few bytes a part has
+    marks = parts.select(
         "p_partkey", F.lit(1).alias("n"), F.concat(F.lit("P"), (key % 120).cast("string")).alias("mark_id"), F.when(key % 2 == 0, "span").otherwise("pointer").alias("kind"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"),
         x0.alias("ax"), F.lit(200.0).alias("ay"), (x1 + 30).alias("bx"), F.lit(200.0).alias("by"), F.lit(800).alias("width"), F.lit(600).alias("height"),
     )
