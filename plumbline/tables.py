@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from plumbline.operators import annotate, drawing, sequence
 
@@ -24,11 +25,12 @@ KEY = "doc_id string, page_number int"
 
 
 class WalkReply:
-    """Numbers and boxes of a reply (response): no state, so no partition is needed."""
+    """Numbers and boxes of replies (response), a batch at a time: no state, so no partition is needed."""
 
-    def eval(self, row: Row) -> Iterator[tuple]:
-        for i, found in enumerate(annotate.rows_of(row["response"])):
-            yield (row["doc_id"], row["page_number"], i, *found)
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        at, columns = annotate.walked(batch.column("response"))
+        own = [batch.column("doc_id").take(at), batch.column("page_number").cast(pa.int32()).take(at)]
+        yield pa.Table.from_arrays([*own, *columns], names=["doc_id", "page_number", *(f.name for f in annotate.WALKED_ARROW)])
 
 
 class _Sheet:
@@ -88,4 +90,5 @@ FUNCTIONS = {
 def register(spark: SparkSession) -> None:
     """Make the table functions known to the session's SQL."""
     for name, (cls, schema) in FUNCTIONS.items():
-        spark.udtf.register(name, udtf(cls, returnType=schema, useArrow=True))
+        made = arrow_udtf(cls, returnType=schema) if cls is WalkReply else udtf(cls, returnType=schema, useArrow=True)
+        spark.udtf.register(name, made)
