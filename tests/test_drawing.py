@@ -256,3 +256,12 @@ def test_grid_join_is_the_plain_join(spark):
     boxes = spark.createDataFrame([(1, j, x, y, x + rng.uniform(0, 30), y + rng.uniform(0, 30)) for j in range(40) for x, y in [(rng.uniform(-50, 50), rng.uniform(-50, 50))]], "p int, j int, x0 double, y0 double, x1 double, y1 double")
     pairs = lambda t: sorted((r.i, r.j) for r in t.select("i", "j").collect())
     assert pairs(spatial.grid_join(points, boxes, ["p"], 13.0)) == pairs(spatial.points_in_boxes(points, boxes, ["p"])) != []
+
+
+def test_regions_walk_replies_once(spark):
+    """The replies go through Python once, not once for the forms and again for the rows."""
+    walked = annotate.walk(spark.createDataFrame([(1, '{"length": 5}')], "page int, response string"), ["page"])
+    items = spark.createDataFrame([(1, 1, "5", 1.0, 5.0, 9.0, 9.0)], "page int, n int, text string, x0 double, y0 double, x1 double, y1 double")
+    regions = annotate.text_regions(annotate.candidates(walked), items, ["page"])
+    assert regions._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r.value, r.missing) for r in regions.collect()] == [(5.0, False)]
