@@ -23,7 +23,8 @@ from __future__ import annotations
 import importlib
 import json
 import os
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -56,19 +57,51 @@ class Document(Protocol):
 class LineDrawing:
     """A document of JSON lines, one for each page: {"width_pt", "height_pt", "paths", "words", "spans"}.
 
-    A line {"locked": true} makes the document locked.  Pages are parsed when asked for.
+    A line {"locked": true} makes the document locked.  Lines are read and parsed when
+    their page is asked for, onward from the last one; a page's ``offset`` lets another
+    reader ``resume`` there, so that no one reads the whole document for some of its pages.
     """
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            self.lines = [x for x in f if x.strip()]
-        if any('"locked"' in x and json.loads(x).get("locked") for x in self.lines[:1]):
+        self.path, self.file, self.next, self.starts = path, open(path, "rb"), 1, None
+        first = next((x for x in self.file if x.strip()), b"")
+        if b'"locked"' in first and json.loads(first).get("locked"):
             raise PageError("locked", "the document needs a password")
-        self.page_count = len(self.lines)
+        self.file.seek(0)
+
+    def offset(self, number: int) -> int:
+        """Where a page's line begins."""
+        if self.starts is None:
+            at, self.starts = 0, array("q")
+            with open(self.path, "rb") as f:
+                for x in f:
+                    if x.strip():
+                        self.starts.append(at)
+                    at += len(x)
+        return self.starts[number - 1] if number else 0
+
+    @property
+    def page_count(self) -> int:
+        self.offset(0)
+        return len(self.starts)
+
+    def resume(self, number: int, offset: int) -> None:
+        self.file.seek(offset)
+        self.next = number
+
+    def line(self, number: int) -> bytes:
+        if number < self.next:
+            self.resume(1, 0)
+        for x in self.file:
+            if x.strip():
+                self.next += 1
+                if self.next > number:
+                    return x
+        raise IndexError(f"no page {number}")
 
     def page(self, number: int) -> dict[str, list[dict[str, Any]]]:
         try:
-            found = json.loads(self.lines[number - 1])
+            found = json.loads(self.line(number))
             return {"sheets": [{k: found[k] for k in ("width_pt", "height_pt")}], **{t: found.get(t, []) for t in ("paths", "words", "spans")}}
         except (ValueError, KeyError, AttributeError) as e:
             raise PageError("damaged", f"page {number}: {type(e).__name__}: {e}") from e
@@ -80,11 +113,18 @@ class Pages(InputPartition):
 
     path: str
     doc_id: str
-    numbers: tuple[int, ...] = ()
+    numbers: Sequence[int] = ()
+    offset: int | None = None
     kind: str | None = None
     error: str | None = None
 
 
+def compact(numbers: list[int]) -> Sequence[int]:
+    """Numbers one after the other as a range, others as they are."""
+    whole = range(numbers[0], numbers[-1] + 1)
+    return whole if list(whole) == numbers else tuple(numbers)
+
+
 def named(name: str) -> Callable[[str], Document]:
     """What ``module:attribute`` names."""
     module, _, attribute = name.partition(":")
@@ -104,8 +144,8 @@ def documents(path: str, suffix: str) -> list[tuple[str, str]]:
     return sorted(found)
 
 
-def opened(path: str, decoder: Callable[[str], Document]) -> Document:
-    """A document; whatever is wrong with it is a ``PageError``."""
+def opened(path: str, decoder: Callable[[str], Document], counted: bool = True) -> Document:
+    """A document; whatever is wrong with it is a ``PageError``.  Pages known to be there need not be ``counted`` again."""
     if not os.path.exists(path):
         raise PageError("missing", f"no such file: {path}")
     if os.path.isdir(path):
@@ -116,7 +156,7 @@ def opened(path: str, decoder: Callable[[str], Document]) -> Document:
         raise
     except Exception as e:  # noqa: BLE001  any error of a decoder means a document that can't be opened
         raise PageError("damaged", f"{type(e).__name__}: {e}") from e
-    if not document.page_count:
+    if counted and not document.page_count:
         raise PageError("empty", "the document has no pages")
     return document
 
@@ -125,6 +165,10 @@ def opened(path: str, decoder: Callable[[str], Document]) -> Document:
 COMPARISONS: dict[type, Callable[[Any, Any], bool]] = {EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b}
 
 
+#: Rows of small pages that make one batch.
+ROWS = 4096
+
+
 class PageReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
         self.table, self.schema = options.get("table", "sheets"), schema
@@ -149,16 +193,17 @@ class PageReader(DataSourceReader):
             if not self.wants("doc_id", doc):
                 continue
             try:
-                count = opened(path, decoder).page_count
+                document = opened(path, decoder)
+                count, offset = document.page_count, getattr(document, "offset", lambda n: None)
                 try:
                     numbers = sequence.page_range(self.spec, count)
                 except ValueError as e:
                     raise PageError("selection", str(e)) from e
                 numbers = [n for n in numbers if self.wants("page_number", n)]
-                found += [Pages(path, doc, tuple(numbers[i : i + self.each])) for i in range(0, len(numbers), self.each)]
+                found += [Pages(path, doc, compact(numbers[i : i + self.each]), offset(numbers[i])) for i in range(0, len(numbers), self.each)]
             except PageError as e:
                 if self.table == "errors":
-                    found.append(Pages(path, doc, (), e.kind, str(e)))
+                    found.append(Pages(path, doc, kind=e.kind, error=str(e)))
         return found or [Pages("", "")]
 
     def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
@@ -171,16 +216,24 @@ class PageReader(DataSourceReader):
             yield batch([{"doc_id": partition.doc_id, "kind": partition.kind, "error": partition.error}])
         if not partition.numbers:
             return
-        document = opened(partition.path, named(self.decoder))
+        document = opened(partition.path, named(self.decoder), partition.offset is None)
+        if partition.offset is not None:
+            document.resume(partition.numbers[0], partition.offset)
+        held: list[dict] = []
         for n in partition.numbers:
             own = {"doc_id": partition.doc_id, "page_number": n}
             try:
                 rows = document.page(n)
                 if self.table != "errors":
-                    yield batch([{**r, **own} for r in rows.get(self.table, [])])
+                    held += [{**r, **own} for r in rows.get(self.table, [])]
             except PageError as e:
                 if self.table == "errors":
-                    yield batch([{**own, "kind": e.kind, "error": str(e)}])
+                    held.append({**own, "kind": e.kind, "error": str(e)})
+            if len(held) >= ROWS:
+                yield batch(held)
+                held = []
+        if held:
+            yield batch(held)
 
 
 class PageSource(DataSource):

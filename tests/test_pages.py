@@ -95,3 +95,16 @@ def test_errors_are_rows(source, folder):
     assert source(folder / "none.jsonl").count() == 0
     wrong = source(folder / "b.jsonl", table="errors", pages="1-4").collect()
     assert [(r.kind, "[3, 4]" in r.error) for r in wrong] == [("selection", True)]
+
+
+def test_partitions_read_only_their_lines(tmp_path, monkeypatch):
+    """A partition begins at its first page; it neither counts the document's pages nor reads the lines before."""
+    (tmp_path / "d.jsonl").write_text("\n\n".join(line("d", i + 1) for i in range(40)) + "\n")
+    reader = pages.PageReader({"path": str(tmp_path), "table": "words", "pages_in_partition": "10"}, pages.StructType.fromDDL("doc_id string, page_number int, word string"))
+    parts = reader.partitions()
+    assert [(p.numbers[0], len(p.numbers)) for p in parts] == [(1, 10), (11, 10), (21, 10), (31, 10)]
+    monkeypatch.setattr(pages.LineDrawing, "page_count", property(lambda self: pytest.fail("counted again")))
+    for p in parts:
+        batches = list(reader.read(p))
+        assert len(batches) == 1 and batches[0].column("page_number").to_pylist() == [n for n in p.numbers for _ in range(2)]
+        assert set(batches[0].column("word").to_pylist()) == {f"d{n}" for n in p.numbers}
