@@ -21,7 +21,7 @@ def with_pricing(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     """
     named = pricing.groupBy("model").agg(F.first(F.struct(*[F.col(p).cast("double").alias(p) for p in PRICES])).alias("__own")).withColumnRenamed("model", "__m")
     usual = named.where("__m = 'default'").select("__own").first()  # one row at most
-    out = calls.join(named, F.col("model") == F.col("__m"), "left")
+    out = calls.join(F.broadcast(named), F.col("model") == F.col("__m"), "left")  # a row for each model; calls of one model are not gathered in a task
     other = F.struct(*[F.lit(usual[0][p]).cast("double").alias(p) for p in PRICES]) if usual else F.lit(None).cast(named.schema["__own"].dataType)
     out = out.withColumn("__other", other)
     chosen = F.coalesce("__own", "__other")

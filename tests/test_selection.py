@@ -169,3 +169,10 @@ def test_csv(spark, tmp_path):
     assert sinks.write_xlsx(rows, rows, str(tmp_path / "x.xlsx")) in (None, str(tmp_path / "x.xlsx"))
     with pytest.raises(ValueError):
         sinks.csv_text(rows, ["sheet"], most=1)
+
+
+def test_calls_stay_where_they_are(spark):
+    """Tariffs go to the calls: a shuffle by model would gather all calls of one model in a task."""
+    calls = spark.range(5).selectExpr("'m' as model", "id as prompt", "id as completion", "id as reasoning", "id as cache_write", "id as cache_read")
+    plan = cost.with_pricing(calls, tariff(spark, [("m", 1.0, 1.0, 0.0, 0.0, 0.0)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
