@@ -15,10 +15,17 @@
    which near copies meet in as often as the recall asks and others hardly ever.  A
    node of these that is still too large is dealt in blocks, each with the node's least
    member, so that the candidates of m near copies take time in proportion to m.
-3. Connected candidates are gathered, and *all* pairs among them verified by
+3. What the forest loses (pairs that meet in no tree, and those that its blocks or
+   signatures part) comes back exactly: two sets of at least the threshold share one of
+   the first few shingles of each, in whatever order all sets are sorted (``prefixes``).
+   Sets of different components that share so many of these that, with all that may
+   follow, the threshold can be reached, are compared as sets (``missed``), and the links found join
+   their components.  The order puts shingles that a sample holds often last, which
+   only saves work.
+4. Connected candidates are gathered, and *all* pairs among them verified by
    exact shingle sets, in blocks.  Counts and a spanning forest leave a block,
    never its pairs.
-4. Verified links form the classes.
+5. Verified links form the classes.
 
 A group of candidates of any size is dealt in blocks of bounded size, by members and by
 shingles: it becomes the pairs of its blocks, spread over tasks, so the work on m *different*
@@ -56,6 +63,8 @@ MORE = 32
 BLOCK, EXACT_BLOCK, EXACT_SHINGLES = 4096, 1024, 1 << 19
 #: Documents of the sample that recall is measured on (expected number), and partners of each.
 SAMPLE, PARTNERS = 1000, 8
+#: Documents of the sample that common shingles are taken from (expected number), and how many of them hold a common one.
+COMMON_SAMPLE, COMMON = 20_000, 3
 
 _K = TREES * DEPTH
 _RNG = np.random.default_rng(5150)
@@ -159,8 +168,41 @@ def more_labels(df: DataFrame) -> DataFrame:
     return df.select("node", "sig").mapInArrow(run, "node long, tree int, g long")
 
 
-def features(df: DataFrame, depth: int) -> DataFrame:
-    """(id, h, key, n, sig, buckets) of rows (id, h, text): set key, shingle count, signature, trie nodes."""
+def common_shingles(df: DataFrame, sample: int = COMMON_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that ``COMMON`` sampled rows (id, text) or more hold, and their numbers."""
+    total = df.select("id").count()
+    bound = min(1 << 30, int(sample / max(total, 1) * (1 << 30)) + 1)
+    picked = df.where(F.pmod(F.xxhash64(F.col("id"), F.lit(29)), F.lit(1 << 30)) < bound)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = vec.text_buffers(batch.column(0))
+            for i, j in vec.spans(offs, 1_000_000):
+                values, _ = vec.shingles(vec.tokenise(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["token"])
+
+    found = picked.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toArrow()
+    tokens, n = (found.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(tokens.view(np.uint64))
+    return tokens.view(np.uint64)[order], n[order]
+
+
+def prefix(values: np.ndarray, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of a set of which any set of at least this similarity shares one of its own.
+
+    Sorted rare ones first, then by hash; as many as the partner can't all lack.
+    """
+    tokens, counts = common
+    often = np.zeros(len(values), np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
+        often = np.where(tokens[at] == values, counts[at], 0)
+    kept = len(values) - int(np.ceil(threshold * len(values) - 1e-6)) + 1
+    return values[np.lexsort((values, often))[:kept]]
+
+
+def features(df: DataFrame, depth: int, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, h, key, n, sig, buckets, prefix) of rows (id, h, text): set key, shingle count, signature, trie nodes, first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,10 +213,70 @@ def features(df: DataFrame, depth: int) -> DataFrame:
                 keys = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 nodes = labels(sig, range(TREES), depth)
                 listed = pa.ListArray.from_arrays(np.arange(0, TREES * (j - i) + 1, TREES, dtype=np.int32), pa.array(nodes.ravel()))
+                first = [prefix(values[a:b], threshold, common).tobytes() if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 own = [batch.column(c).slice(i, j - i) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.binary()), pa.array(np.diff(at), pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), listed], ["id", "h", "key", "n", "sig", "buckets"])
+                made = [pa.array(keys, pa.binary()), pa.array(np.diff(at), pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), listed, pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *made], ["id", "h", "key", "n", "sig", "buckets", "prefix"])
+
+    return df.select("id", "h", "text").mapInArrow(run, "id long, h long, key binary, n long, sig binary, buckets array<long>, prefix binary")
+
+
+def prefixes(df: DataFrame) -> DataFrame:
+    """(token, node, n, root) for each first shingle of rows (node, n, root, prefix)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(3).to_pylist()
+            size = np.array([len(x) // 8 for x in raw], np.int64)
+            own = [pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *own], ["token", "node", "n", "root"])
+
+    return df.select("node", "n", "root", "prefix").mapInArrow(run, "token long, node long, n long, root long")
+
+
+def missed(uniq: DataFrame, found: DataFrame, docs: DataFrame, threshold: float, scratch: graph.Scratch) -> DataFrame | None:
+    """Links (a, b) of at least the threshold between sets of different components; None if there are none.
+
+    ``found`` has the components (node, root); a set without one is its own.  Shingles
+    whose sets are all of one component go first, counted before they are shuffled, so
+    near copies cost a row for each of theirs.  Of what is left, pairs of one component
+    are not made: one of a pair is outside of the shingle's largest.
+    """
+    since = len(scratch.paths)
+    rooted = uniq.where("n > 0").join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "prefix")
+    rooted = scratch.save(rooted)
+    roots = prefixes(rooted).groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
+    mixed = scratch.save(roots.where("lo < hi").select("token", "size"))
+    if not mixed.limit(1).count():
+        return None
+    shared = scratch.save(graph.attach(graph.sift(prefixes(rooted), mixed, ["token"]), mixed, "token", "size"))
+    scratch.clear(since)
+    large = shared.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("large"))
+    b = shared.join(large, "token").where("root <> large").select("token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "root")), "large")
+    once = (F.col("root") == F.col("large")) | (F.col("node") < F.col("b_node"))
+    sizes = F.least("n", "b_n") >= threshold * F.greatest("n", "b_n") - 1e-6
+    met = shared.join(b, "token").where((F.col("root") != F.col("b_root")) & once & sizes).groupBy(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b"))
+    met = met.agg(F.count(F.lit(1)).alias("both"), F.max(F.col("n") + F.col("b_n")).alias("sum"), F.max(F.greatest("n", "b_n")).alias("most"))
+    rest = F.ceil(threshold * F.col("most") - 1e-6) - 1  # of the set whose first shingles end earlier, what is not among them
+    pairs = scratch.save(met.where(F.col("both") + rest >= threshold / (1 + threshold) * F.col("sum") - 1e-6).select("a", "b"))
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = scratch.save(ends.join(uniq.select("node", "id", "h"), "node"))
+    whole = graph.sift(docs.where("id is not null"), wanted, ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text"))
+    zero = [F.lit(0).cast("long").alias("g"), F.lit(0).alias("nb"), F.lit(0).cast("long").alias("copies")]
+    values = scratch.save(sets(wanted.join(whole, ["id", "h"]).select("node", *zero, "text")).select("node", "values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and both >= threshold * (len(x) + len(y) - both) - 1e-6)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return df.select("id", "h", "text").mapInArrow(run, "id long, h long, key binary, n long, sig binary, buckets array<long>")
+    sides = pairs.join(values.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(values.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
+    links = scratch.save(sides.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    return links if links.limit(1).count() else None
 
 
 def sets(df: DataFrame) -> DataFrame:
@@ -378,11 +480,11 @@ def join(df: DataFrame, *, threshold: float = 0.8, recall: float = RECALL, id_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     depth = measured_depth(docs, threshold, recall=recall)
-    feats = scratch.save(features(docs, depth))
+    feats = scratch.save(features(docs, depth, threshold, common_shingles(docs)))
     some = feats.where("id is not null")
     copies = some.select("key", "id").distinct().groupBy("key").agg(F.count("id").alias("copies"))
-    first = some.groupBy("key").agg(F.min(F.struct("id", "h")).alias("first"), F.count("id").alias("size"), *(F.first(c).alias(c) for c in ("n", "sig", "buckets")))
-    uniq = scratch.save(first.join(copies, "key").select(F.monotonically_increasing_id().alias("node"), "key", "first.*", "size", "copies", "n", "sig", "buckets"))
+    first = some.groupBy("key").agg(F.min(F.struct("id", "h")).alias("first"), F.count("id").alias("size"), *(F.first(c).alias(c) for c in ("n", "sig", "buckets", "prefix")))
+    uniq = scratch.save(first.join(copies, "key").select(F.monotonically_increasing_id().alias("node"), "key", "first.*", "size", "copies", "n", "sig", "buckets", "prefix"))
 
     nodes = scratch.save(uniq.where("n > 0").select("node", F.posexplode("buckets").alias("tree", "g")))
     sizes = scratch.save(nodes.groupBy("g").agg(F.count("node").alias("size")).where("size > 1"))
@@ -395,6 +497,9 @@ def join(df: DataFrame, *, threshold: float = 0.8, recall: float = RECALL, id_co
     members = graph.attach(nodes, sizes, "g", "size").select("node", "tree", "g", "nb", "hub").join(uniq.select("node", "sig"), "node")
     near = _with_least(members).select("g", "i", "node", "tree", "sig").mapInArrow(candidates(threshold, depth), "a long, b long")
     found = graph.components(near, scratch)
+    more = missed(uniq, found, docs, threshold, scratch)
+    if more is not None:
+        found = graph.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), scratch)
 
     members = scratch.save(found.join(uniq.select("node", "id", "h", "n", "copies"), "node").withColumnRenamed("root", "g"))
     sizes = members.groupBy("g").agg(F.count("node").alias("size"), F.sum("n").alias("shingles"))

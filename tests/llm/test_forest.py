@@ -219,3 +219,40 @@ def test_texts_of_others_stay(spark, tmp_path):
     assert graph.sift(df, keys.limit(0), ["doc_id"]).count() == 0
     plan = graph.sift(df, keys, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def edited_pairs(n=60, seed=11):
+    """Pairs of texts of 120 words, a part of whose words at the end differs: similarity just above 0.8."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(n):
+        base = [word() for _ in range(120)]
+        rows += [" ".join(base), " ".join(base[:108] + [word() for _ in range(12)])]
+    return [(i + 1, t) for i, t in enumerate(rows)]
+
+
+def test_what_the_forest_loses_is_found(spark, monkeypatch):
+    """With whole labels one in ten of these pairs meets in no tree; all the same no link is lost."""
+    rows = edited_pairs()
+    want = brute(rows)
+    assert sum(links for _, links, _, _ in want.values()) == len(rows)
+    monkeypatch.setattr(forest, "measured_depth", lambda *a, **k: forest.DEPTH)
+    got = forest.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies, r.n_linked_texts) for r in got.collect()} == {k: v for (k, _), v in want.items()}
+
+
+def test_prefixes_of_linked_sets_meet():
+    """Any two sets of at least the threshold share a first shingle, whatever shingles are common."""
+    rng = np.random.default_rng(3)
+    for t in (0.5, 0.8, 0.95):
+        for n in (1, 2, 5, 9, 40, 131):
+            for _ in range(20):
+                pool = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.int64).astype(np.uint64))
+                common = np.sort(rng.choice(pool, len(pool) // 3, replace=False)), rng.integers(3, 9, len(pool) // 3)
+                a = np.sort(pool[:n])
+                lost = rng.integers(0, n // 3 + 1)
+                b = np.sort(np.concatenate([rng.permutation(a)[lost:], pool[n : n + rng.integers(0, n // 3 + 1)]]))
+                both = len(np.intersect1d(a, b))
+                if both and both >= t * (len(a) + len(b) - both):
+                    assert np.intersect1d(forest.prefix(a, t, common), forest.prefix(b, t, common)).size
