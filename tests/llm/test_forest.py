@@ -242,6 +242,16 @@ def test_what_the_forest_loses_is_found(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links, r.n_copies, r.n_linked_texts) for r in got.collect()} == {k: v for (k, _), v in want.items()}
 
 
+def test_what_the_blocks_lose_is_found(spark, monkeypatch):
+    """Candidates that come from blocks of two and find no cluster: the links do not depend on them."""
+    rows = [(i, t) for i, t in near_copies(120, 5) if t and len(t.split()) > 5]
+    want = brute(rows)
+    monkeypatch.setattr(forest, "BLOCK", 2)
+    monkeypatch.setattr(forest, "least_agreement", lambda threshold: 1.0)
+    got = forest.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies, r.n_linked_texts) for r in got.collect()} == {k: v for (k, _), v in want.items()}
+
+
 def test_prefixes_of_linked_sets_meet():
     """Any two sets of at least the threshold share a first shingle, whatever shingles are common."""
     rng = np.random.default_rng(3)
