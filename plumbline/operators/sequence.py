@@ -108,7 +108,7 @@ def multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows with ``side``: only in a (extra), only in b (missing), in both."""
-    told = a.distinct().withColumn("__a", F.lit(1)).withColumn("__b", F.lit(0)).unionAll(b.distinct().withColumn("__a", F.lit(0)).withColumn("__b", F.lit(1)))
+    told = a.withColumn("__a", F.lit(1)).withColumn("__b", F.lit(0)).unionAll(b.withColumn("__a", F.lit(0)).withColumn("__b", F.lit(1)))
     sides = told.groupBy(*a.columns).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
     side = F.when(F.col("__a") > F.col("__b"), "extra").when(F.col("__a") < F.col("__b"), "missing").otherwise("both")
     return sides.select(*a.columns, side.alias("side"))

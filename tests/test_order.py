@@ -35,3 +35,12 @@ def test_places_agree_and_mixed_orders(spark):
 
 def test_no_rows(spark):
     assert sequence.placed(spark.range(0), [F.col("id")]).count() == 0
+
+
+def test_set_diff_groups_once(spark):
+    """Repeated rows of either side and nulls; one table of the rows of a task, not three."""
+    a = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, None), (3, 1.0)], "s long, v double")
+    b = spark.createDataFrame([(1, 2.0), (2, None), (2, None), (4, 1.0), (4, 1.0)], "s long, v double")
+    found = sequence.set_diff(a, b)
+    assert sorted((r.s, r.side) for r in found.collect()) == [(1, "both"), (2, "both"), (3, "extra"), (4, "missing")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
