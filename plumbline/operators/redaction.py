@@ -63,11 +63,13 @@ def removable_frames(contours: DataFrame, boxes: DataFrame, by: list[str]) -> Da
 
 def guards(lines: DataFrame, by: list[str]) -> DataFrame:
     """What no cut may touch: label boxes and strokes of dimensions, leaders included."""
-    none = F.lit(None).cast("double")
-    labels = lines.select(*by, F.lit("label").alias("what"), *BOX, *[none.alias(c) for c in ("ax", "ay", "bx", "by")])
-    strokes = lines.select(*by, F.lit("line"), *[none for _ in BOX], "ax", "ay", "bx", "by")
-    leads = lines.where("leader_end is not null").select(*by, F.lit("line"), *[none for _ in BOX], "ax", "ay", "leader_end.x", "leader_end.y")
-    return labels.unionAll(strokes).unionAll(leads)
+    ends = ("ax", "ay", "bx", "by")
+    kept = lambda what, box, at: F.struct(F.lit(what).alias("what"), *[c.cast("double").alias(n) for n, c in zip([*BOX, *ends], [*box, *at])])
+    none, (ax, ay, bx, by_) = [F.lit(None)] * 4, map(F.col, ends)
+    lead = F.when(F.col("leader_end").isNotNull(), kept("line", none, [ax, ay, F.col("leader_end.x"), F.col("leader_end.y")]))
+    # One pass over the lines, so that a task holds one copy of what makes them.
+    found = F.array_compact(F.array(kept("label", map(F.col, BOX), none), kept("line", none, [ax, ay, bx, by_]), lead))
+    return lines.select(*by, F.explode(found).alias("__g")).select(*by, "__g.*")
 
 
 def decide(boxes: DataFrame, guard: DataFrame, by: list[str], pad: float = FRAME_PAD, touch: float = TOUCH, bare_touch: float = BARE_TOUCH) -> DataFrame:

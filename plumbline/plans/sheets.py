@@ -170,14 +170,19 @@ j AS (SELECT n.*, CASE WHEN n.y1 - n.y0 < 4 THEN 'too_small'
     AND n.x0 >= o.x0 - 2 - 1.2 AND n.y0 >= o.y0 - 2 - 1.2 AND n.x1 <= o.x1 + 2 + 1.2 AND n.y1 <= o.y1 + 2 + 1.2) THEN 'in_contour' ELSE 'ok' END AS verdict FROM n)"""
 
 
-def _words(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words and, around those of R, frames."""
+def _flagged_words(rows: DataFrame) -> DataFrame:
+    """Words with the l_returnflag of their lines."""
     kind, q = F.col("l_partkey") % 4, F.col("l_quantity").cast("bigint").cast("string")
     x, y = (F.col("l_suppkey") % 40).cast("double"), (F.col("k") % 2 * 20).cast("double")
-    words = rows.select(
+    return rows.select(
         *SHEET, F.lit(1).alias("block_no"), (F.col("k") % 2).cast("int").alias("line_no"), F.col("k").alias("word_no"), F.when(kind == 1, F.concat(F.lit("N"), q)).when(kind == 2, F.concat(F.lit("<"), q)).otherwise(q).alias("word"),
         x.alias("x0"), y.alias("y0"), (x + 6).alias("x1"), (y + 3 + F.col("l_suppkey") % 3).alias("y1"), "l_returnflag",
     )
+
+
+def _words(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words and, around those of R, frames."""
+    words = _flagged_words(rows)
     box = geometry.grow([F.col(c) for c in spatial.BOX], 2.0)
     frames = words.where("l_returnflag = 'R'").select(*SHEET, F.col("word_no").alias("contour_id"), *[b.alias(c) for b, c in zip(box, spatial.BOX)])
     return words.drop("l_returnflag"), frames
@@ -265,10 +270,7 @@ z AS (SELECT page_number, word_no, bool_or(label OR line) FILTER (pad > 0) AS wi
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    words, _ = _words(rows)
-    flags = rows.select(*SHEET, F.col("k").alias("word_no"), "l_returnflag")
-    items = words.join(flags, [*SHEET, "word_no"])
+    items = _flagged_words(_rows(spark, sf_dir))
     boxes = items.where("l_returnflag <> 'A'").select(*SHEET, F.concat(F.lit("N"), F.col("word_no").cast("string")).alias("mark"), F.lit("spec").alias("role"), *spatial.BOX)
     x0, y0, x1, y1 = map(F.col, spatial.BOX)
     lines = items.where("l_returnflag = 'A'").select(*SHEET, (x0 + 1).alias("x0"), (y0 - 4).alias("y0"), (x1 + 1).alias("x1"), (y1 - 4).alias("y1"), (x0 - 10).alias("ax"), (y0 + 9).alias("ay"), (x1 + 12).alias("bx"), (y1 + 9).alias("by"), F.lit(None).cast("struct<x:double,y:double>").alias("leader_end"))

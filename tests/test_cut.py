@@ -84,3 +84,14 @@ def test_union_covers_what_no_box_does(spark):
     lines = [[("l", 1.0, 5.0, 19.0, 5.0)], [("l", 1.0, 5.0, 25.0, 5.0)], [("l", 1.0, 1.0, 19.0, 9.0)], [("l", 1.0, 5.0, 2.0, 5.0), ("l", 1.0, 5.0, 1.0, 11.0)], [("re", 1.0, 1.0, 19.0, 9.0)], [("re", 1.0, 1.0, 19.0, 11.0)], []]
     paths = spark.createDataFrame([("d", 1, i, None, 1.0, p) for i, p in enumerate(lines)], schemas.PATHS)
     assert sorted(r.path_id for r in redaction.cut_paths(paths, redaction.applied_boxes(decided, BY), BY).collect()) == [1, 3, 5, 6]
+
+
+def test_guards_pass_over_the_lines_once(spark):
+    """Labels, strokes and leaders come from one pass, so what makes the lines is not in a task three times."""
+    row = ("d", 1, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0)
+    kind = "doc_id string, page_number int, x0 double, y0 double, x1 double, y1 double, ax double, ay double, bx double, by double, leader_end struct<x:double,y:double>"
+    lines = spark.createDataFrame([(*row, (8.0, 9.0)), (*row, None)], kind)
+    got = redaction.guards(lines, ["doc_id", "page_number"])
+    label, stroke, lead = (("label", 0.0, 1.0, 2.0, 3.0, *[None] * 4), ("line", *[None] * 4, 4.0, 5.0, 6.0, 7.0), ("line", *[None] * 4, 4.0, 5.0, 8.0, 9.0))
+    assert sorted(map(repr, (tuple(r)[2:] for r in got.collect()))) == sorted(map(repr, [label, label, stroke, stroke, lead]))
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
