@@ -51,6 +51,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +66,8 @@ BLOCK, EXACT_BLOCK, EXACT_SHINGLES = 4096, 1024, 1 << 19
 SAMPLE, PARTNERS = 1000, 8
 #: Documents of the sample that common shingles are taken from (expected number), and how many of them hold a common one.
 COMMON_SAMPLE, COMMON = 20_000, 3
+#: First shingles of a batch that leaves Python.
+PIECE = 1 << 16
 
 _K = TREES * DEPTH
 _RNG = np.random.default_rng(5150)
@@ -121,7 +124,7 @@ def measured_depth(df: DataFrame, threshold: float, *, id_col: str = "id", text_
         yield pa.RecordBatch.from_arrays([pa.array(range(DEPTH + 1), pa.int64()), pa.array(met)], ["depth", "n"])
 
     met = np.zeros(DEPTH + 1)
-    for depth, n in picked.select(text_col).mapInArrow(run, "depth long, n long").groupBy("depth").agg(F.sum("n")).collect():
+    for depth, n in picked.select(text_col).mapInArrow(vec.lean(run), "depth long, n long").groupBy("depth").agg(F.sum("n")).collect():
         met[depth] = n
     reached = met[::-1].cumsum()[::-1]  # pairs that meet at this depth or deeper
     depth = DEPTH
@@ -165,7 +168,7 @@ def more_labels(df: DataFrame) -> DataFrame:
             nodes = labels(sig, trees, DEPTH)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), MORE)), pa.array(np.tile(np.array(trees, np.int32), len(sig))), pa.array(nodes.ravel())], ["node", "tree", "g"])
 
-    return df.select("node", "sig").mapInArrow(run, "node long, tree int, g long")
+    return df.select("node", "sig").mapInArrow(vec.lean(run), "node long, tree int, g long")
 
 
 def common_shingles(df: DataFrame, sample: int = COMMON_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +184,7 @@ def common_shingles(df: DataFrame, sample: int = COMMON_SAMPLE) -> tuple[np.ndar
                 values, _ = vec.shingles(vec.tokenise(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["token"])
 
-    found = picked.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toArrow()
+    found = picked.select("text").mapInArrow(vec.lean(run), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toArrow()
     tokens, n = (found.column(c).to_numpy() for c in ("token", "n"))
     order = np.argsort(tokens.view(np.uint64))
     return tokens.view(np.uint64)[order], n[order]
@@ -218,20 +221,32 @@ def features(df: DataFrame, depth: int, threshold: float, common: tuple[np.ndarr
                 made = [pa.array(keys, pa.binary()), pa.array(np.diff(at), pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary()), listed, pa.array(first, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*own, *made], ["id", "h", "key", "n", "sig", "buckets", "prefix"])
 
-    return df.select("id", "h", "text").mapInArrow(run, "id long, h long, key binary, n long, sig binary, buckets array<long>, prefix binary")
+    return df.select("id", "h", "text").mapInArrow(vec.lean(run), "id long, h long, key binary, n long, sig binary, buckets array<long>, prefix binary")
 
 
-def prefixes(df: DataFrame) -> DataFrame:
-    """(token, node, n, root) for each first shingle of rows (node, n, root, prefix)."""
+def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, n, root, prefix) as one for each first shingle, in batches of at most about ``PIECE``.
+
+    A batch of documents has a hundred times as many shingles, which neither side of the
+    pipe to Python need hold at once.
+    """
+    for batch in batches:
+        size = pc.divide(pc.binary_length(batch.column(3)), 8).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
+            part = batch.slice(i, j - i)
+            own = [np.repeat(part.column(c).to_numpy(), size[i:j]) for c in range(3)]
+            tokens = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
+            for a in range(0, len(tokens), PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + PIECE]) for x in (tokens, *own)], ["token", "node", "n", "root"])
+            i = j
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(3).to_pylist()
-            size = np.array([len(x) // 8 for x in raw], np.int64)
-            own = [pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *own], ["token", "node", "n", "root"])
 
-    return df.select("node", "n", "root", "prefix").mapInArrow(run, "token long, node long, n long, root long")
+def prefixes(df: DataFrame) -> DataFrame:
+    """(token, node, n, root) for each first shingle of rows (node, n, root, prefix)."""
+    return df.select("node", "n", "root", "prefix").mapInArrow(vec.lean(spread), "token long, node long, n long, root long")
 
 
 def missed(uniq: DataFrame, found: DataFrame, docs: DataFrame, threshold: float, scratch: graph.Scratch) -> DataFrame | None:
@@ -275,7 +290,7 @@ def missed(uniq: DataFrame, found: DataFrame, docs: DataFrame, threshold: float,
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     sides = pairs.join(values.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(values.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
-    links = scratch.save(sides.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    links = scratch.save(sides.select("a", "b", "x", "y").mapInArrow(vec.lean(run), "a long, b long"))
     return links if links.limit(1).count() else None
 
 
@@ -290,7 +305,7 @@ def sets(df: DataFrame) -> DataFrame:
                 made = [values[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(4)), pa.array(made, pa.binary())], ["node", "g", "nb", "copies", "values"])
 
-    return df.select("node", "g", "nb", "copies", "text").mapInArrow(run, "node long, g long, nb int, copies long, values binary")
+    return df.select("node", "g", "nb", "copies", "text").mapInArrow(vec.lean(run), "node long, g long, nb int, copies long, values binary")
 
 
 def _blocks(df: DataFrame) -> DataFrame:
@@ -495,7 +510,7 @@ def join(df: DataFrame, *, threshold: float = 0.8, recall: float = RECALL, id_co
     sizes = nodes.groupBy("g").agg(F.count("node").alias("size"), F.min("node").alias("hub")).where("size > 1")
     sizes = scratch.save(sizes.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")))
     members = graph.attach(nodes, sizes, "g", "size").select("node", "tree", "g", "nb", "hub").join(uniq.select("node", "sig"), "node")
-    near = _with_least(members).select("g", "i", "node", "tree", "sig").mapInArrow(candidates(threshold, depth), "a long, b long")
+    near = _with_least(members).select("g", "i", "node", "tree", "sig").mapInArrow(vec.lean(candidates(threshold, depth)), "a long, b long")
     found = graph.components(near, scratch)
     more = missed(uniq, found, docs, threshold, scratch)
     if more is not None:
@@ -508,7 +523,7 @@ def join(df: DataFrame, *, threshold: float = 0.8, recall: float = RECALL, id_co
     members = scratch.save(members)
     whole = graph.sift(docs.where("id is not null"), members, ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text"))  # others and repeated rows go before the shuffle
     dealt = _blocks(sets(members.join(whole, ["id", "h"])))
-    links = scratch.save(dealt.select("g", "i", "j", "node", "own", "copies", "values").mapInArrow(verify(threshold), "node long, hub long, links long, texts long"))
+    links = scratch.save(dealt.select("g", "i", "j", "node", "own", "copies", "values").mapInArrow(vec.lean(verify(threshold)), "node long, hub long, links long, texts long"))
     classes = graph.components(links.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), scratch)
 
     linked = scratch.save(classes.join(uniq.select("node", "id", "h"), "node"))

@@ -356,7 +356,7 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     counts = np.zeros((BUCKETS, len(langs)), np.float32)
     scripts, size = np.zeros(len(langs), np.int64), np.zeros(len(langs), np.int64)
-    for lang, vector, seen, n in picked.mapInArrow(count, "lang string, counts binary, bits long, letters long").toLocalIterator():
+    for lang, vector, seen, n in picked.mapInArrow(vec.lean(count), "lang string, counts binary, bits long, letters long").toLocalIterator():
         at = langs.index(lang)
         counts[:, at] += np.frombuffer(vector, np.float32)
         scripts[at] |= seen
@@ -394,7 +394,7 @@ def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 spans = pa.ListArray.from_arrays(np.cumsum([0, *map(len, spans)]).astype(np.int32), each)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(lang), pa.array(score), spans], [id_col, "lang_pred", "score", "spans"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return df.select(id_col, text_col).mapInArrow(vec.lean(run, model=True), f"`{id_col}` {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def keep(df: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -415,4 +415,4 @@ def keep(df: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "te
                 rows = rows.set_column(at, batch.schema.field(at).name, lang)
                 yield rows.filter(pa.array([x[0] != "und" and x[1] >= least for x in found]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(vec.lean(run, model=True), df.schema)

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from plumbline.llm import vec
 from plumbline.llm.bpe import text_slices
 
 #: Fixed order of kinds; the first four are the base.
@@ -169,4 +170,4 @@ def clean(df: DataFrame, *, text_col: str = "text") -> DataFrame:
                 made = pa.array([redact(t, find(t)) if v else None for t, v in zip(texts, valid)], rows.column(at).type)
                 yield rows.set_column(at, text_col, made)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(vec.lean(run), df.schema)

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import vec
 from plumbline.llm.bpe import text_slices
 
 POSITIVES, UNLABELLED, LEAST_DOCS, LEAST_Z = 2500, 7500, 4, 4.0
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             for first, texts in text_slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string()))], ["p", "words"])
 
-    bags = sample.mapInArrow(split, "p int, words array<string>").persist()
+    bags = sample.mapInArrow(vec.lean(split), "p int, words array<string>").persist()
     try:
         n_p, n_u = bags.agg(F.sum("p"), F.sum(1 - F.col("p"))).first()
         if not n_p or not n_u:
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 hits = [sorted(index[w] for w in x.as_py() if w in index) for x in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], ["p", "hits"])
 
-        placed = sorted((r.p, list(r.hits)) for r in bags.mapInArrow(place, "p int, hits array<int>").collect())
+        placed = sorted((r.p, list(r.hits)) for r in bags.mapInArrow(vec.lean(place), "p int, hits array<int>").collect())
     finally:
         bags.unpersist()
     x = np.zeros((len(placed), len(features)), np.float32)
@@ -206,7 +207,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
                 out = scorer.scores(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], [id_col, "score", "predicted"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return df.select(id_col, text_col).mapInArrow(vec.lean(run), f"`{id_col}` {kind}, score double, predicted int")
 
 
 def keep(df: DataFrame, model: Model, *, below: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -219,4 +220,4 @@ def keep(df: DataFrame, model: Model, *, below: float = 0.5, text_col: str = "te
             for first, texts in text_slices(batch, text_col):
                 yield batch.slice(first, len(texts)).filter(pa.array([s < below for s in scorer.scores(texts)]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(vec.lean(run), df.schema)

@@ -8,7 +8,8 @@ different words collide with probability about 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -30,6 +31,28 @@ def worker_slot(key: Hashable, make: Callable[[], Any]) -> Any:
         _SLOT[key] = make()
     return _SLOT[key]
 
+
+def lean(run: Callable[[Iterator], Iterator], model: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches, for workers that serve many operators: what it freed goes back to the system.
+
+    Allocators keep freed memory, about half of a worker's, which idle workers would hold
+    while others need it.  A kept model goes first, unless ``run`` uses one (``model``).
+    """
+
+    def tidy(batches: Iterator) -> Iterator:
+        if not model:
+            _SLOT.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return tidy
+
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 

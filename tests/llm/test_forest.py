@@ -6,6 +6,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,23 @@ def test_prefixes_of_linked_sets_meet():
                 both = len(np.intersect1d(a, b))
                 if both and both >= t * (len(a) + len(b) - both):
                     assert np.intersect1d(forest.prefix(a, t, common), forest.prefix(b, t, common)).size
+
+
+def test_first_shingles_leave_python_in_small_batches(monkeypatch):
+    """A batch of documents with many first shingles, one very long among them, is no batch of all of these."""
+    monkeypatch.setattr(forest, "PIECE", 50)
+    sizes = [3, 0, 20, 20, 20, 170, 0, 1, 49, 50, 51]
+    tokens = [np.arange(s, dtype=np.int64) + 1000 * i for i, s in enumerate(sizes)]
+    cols = [np.arange(len(sizes)) + k for k in (0, 100, 200)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([t.tobytes() for t in tokens], pa.binary())], ["node", "n", "root", "prefix"])
+    made = list(forest.spread(iter([batch, batch.slice(4, 3), batch.slice(0, 0)])))
+    assert max(b.num_rows for b in made) == 50
+    want = [(int(t), *(int(c[i]) for c in cols)) for i in [*range(len(sizes)), 4, 5, 6] for t in tokens[i]]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want
+
+
+def test_lean_drops_a_kept_model():
+    """A worker that goes on to another operator does not keep the model before; results pass as they are."""
+    vec.worker_slot("model", lambda: 1)
+    assert list(vec.lean(iter, model=True)([1, 2])) == [1, 2] and "model" in vec._SLOT
+    assert list(vec.lean(iter)([1, 2])) == [1, 2] and not vec._SLOT
