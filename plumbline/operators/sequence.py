@@ -26,7 +26,16 @@ def each_group(df: DataFrame, by: list[str], order: list[str], make: Callable[[l
 
     Groups stream through sorted partitions, many in one Arrow batch, so a task holds
     a batch and one group.  For choices that depend on earlier ones of the same group.
+
+    Rows are dealt by a struct of the keys.  By the keys as they are Spark leaves the
+    shuffle out where joins or a union have them already, and may then read partitions
+    of those in parts, as nothing that it knows of needs whole groups.
     """
+    return each_row(df.repartition(F.struct(*by)).sortWithinPartitions(*by, *order), by, make, schema)
+
+
+def each_row(df: DataFrame, by: list[str], make: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    """``make`` applied to each run of rows with equal keys: to each row where a group is one row."""
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out_schema = StructType.fromDDL(", ".join([*(f"`{c}` {fields[c]}" for c in by), schema]))
     arrow, names = to_arrow_schema(out_schema), df.columns
@@ -53,7 +62,14 @@ def each_group(df: DataFrame, by: list[str], order: list[str], make: Callable[[l
         if made:
             yield done(made)
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, out_schema)
+    return df.mapInArrow(run, out_schema)
+
+
+def listed(df: DataFrame, by: list[str], order: list[str], columns: list[str], name: str) -> DataFrame:
+    """One row for each group with a list of its rows; rows that a window has sorted so far are neither hashed nor sorted again."""
+    rows = Window.partitionBy(*by).orderBy(*order)
+    whole = F.collect_list(F.struct(*columns)).over(rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return df.select(*by, whole.alias(name), F.row_number().over(rows).alias("__n")).where("__n = 1").drop("__n")
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "n", prefix: str | None = None) -> DataFrame:

@@ -90,11 +90,18 @@ def tips_at_ends(segments: DataFrame, tips: DataFrame, by: list[str], segment_id
     ``at_a`` and ``at_b``: a tip touches that end; ``only_a`` and ``only_b``: a tip
     touches that end and not the other one.
     """
-    to_a = F.hypot(F.col("r_x") - F.col("ax"), F.col("r_y") - F.col("ay")) <= gap
-    to_b = F.hypot(F.col("r_x") - F.col("bx"), F.col("r_y") - F.col("by")) <= gap
-    pairs = segments.join(aside(tips), _on(by, to_a | to_b)).select(*by, segment_id, to_a.alias("a"), to_b.alias("b"))
-    found = pairs.groupBy(*by, segment_id).agg(F.bool_or("a").alias("at_a"), F.bool_or("b").alias("at_b"), F.bool_or(F.expr("a and not b")).alias("only_a"), F.bool_or(F.expr("b and not a")).alias("only_b"))
-    return segments.join(found, [*by, segment_id], "left").fillna(False, ["at_a", "at_b", "only_a", "only_b"])
+    held = tips.groupBy(*by).agg(F.collect_list(F.struct("x", "y")).alias("__tips"))
+    return touched(segments.join(held, by, "left"), "__tips", gap)
+
+
+def touched(segments: DataFrame, tips: str, gap: Column) -> DataFrame:
+    """``tips_at_ends`` of segments that have the tips of their sheet as a list; the list is dropped."""
+    columns = [c for c in segments.columns if c != tips]
+    touches = lambda t, end: F.hypot(t.x - F.col(f"{end}x"), t.y - F.col(f"{end}y")) <= gap
+    near = F.transform(tips, lambda t: F.struct(touches(t, "a").alias("a"), touches(t, "b").alias("b")))
+    does = {"at_a": lambda t: t.a, "at_b": lambda t: t.b, "only_a": lambda t: t.a & ~t.b, "only_b": lambda t: t.b & ~t.a}
+    ended = segments.select(*columns, F.filter(near, lambda t: t.a | t.b).alias(tips))
+    return ended.select(*columns, *[F.coalesce(F.exists(tips, f), F.lit(False)).alias(c) for c, f in does.items()])
 
 
 def nearest(items: DataFrame, others: DataFrame, by: list[str], item_id: str, distance: Column, most: float, order: str) -> DataFrame:

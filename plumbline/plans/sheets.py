@@ -489,12 +489,15 @@ def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def detected_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole detection: strokes with arrows, labels in their middle; the choice among labels is held against plain code in the tests."""
-    rows = _rows(spark, sf_dir)
+    doc = F.concat(F.lit("d"), (F.col("l_orderkey") % 12).cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select(*ORDER, "l_quantity", "l_discount", doc.alias("doc_id"), F.col("l_orderkey").alias("page_number"))
+    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *SHEET)
+    rows = sequence.numbered(lines, SHEET, list(map(F.col, ORDER)), "k").select(*SHEET, F.col("k").cast("long").alias("k"), (F.col("l_discount") * 1000).alias("x"), "l_quantity")
     x, y, q = F.col("x"), F.col("k") * 60.0, F.col("l_quantity") + 20
-    item = lambda kind, a, b, c, d: F.struct(F.lit(kind).alias("kind"), a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
-    stroke = rows.select(*SHEET, (F.col("k") * 3).alias("path_id"), F.array().cast("array<double>").alias("fill"), F.lit(0.48 * 500 / 841.89).alias("stroke_width"), F.array(item("l", x, y, x + q, y)).cast(_ITEM).alias("items"))
-    head = lambda n, at, way: rows.select(*SHEET, (F.col("k") * 3 + n), F.array(F.lit(0.0)), F.lit(0.0), F.array(item("l", at, y, at + way * 4, y + 1), item("l", at + way * 4, y + 1, at + way * 4, y - 1), item("l", at + way * 4, y - 1, at, y)).cast(_ITEM))
-    paths = stroke.unionAll(head(1, x, 1)).unionAll(head(2, x + q, -1))
+    item = lambda a, b, c, d: F.struct(F.lit("l").alias("kind"), a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
+    path = lambda n, fill, width, *items: F.struct((F.col("k") * 3 + n).alias("path_id"), fill.cast("array<double>").alias("fill"), width.alias("stroke_width"), F.array(*items).cast(_ITEM).alias("items"))
+    head = lambda n, at, way: path(n, F.array(F.lit(0.0)), F.lit(0.0), item(at, y, at + way * 4, y + 1), item(at + way * 4, y + 1, at + way * 4, y - 1), item(at + way * 4, y - 1, at, y))
+    paths = rows.select(*SHEET, F.inline(F.array(path(0, F.array(), F.lit(0.48 * 500 / 841.89), item(x, y, x + q, y)), head(1, x, 1), head(2, x + q, -1))))
     words = rows.select(*SHEET, F.col("k").alias("block_no"), F.lit(1).alias("line_no"), F.lit(1).alias("word_no"), F.col("l_quantity").cast("bigint").cast("string").alias("word"), (x + q / 2 - 4).alias("x0"), (y - 7).alias("y0"), (x + q / 2 + 4).alias("x1"), (y - 1).alias("y1"))
     sheets = rows.select(*SHEET).distinct().select(*SHEET, F.lit(600.0).alias("width_pt"), F.lit(500.0).alias("height_pt"))
     spans = rows.limit(0).select(*SHEET, F.lit("").alias("text"), F.lit(1.0).alias("font_size"), F.array().cast(CHARS).alias("chars"))

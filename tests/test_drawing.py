@@ -265,3 +265,25 @@ def test_regions_walk_replies_once(spark):
     regions = annotate.text_regions(annotate.candidates(walked), items, ["page"])
     assert regions._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert [(r.value, r.missing) for r in regions.collect()] == [(5.0, False)]
+
+
+def test_detection_moves_rows_to_their_sheet_once(spark, sf_dir):
+    """Strokes, tips, numbers and frames stay where their paths and words went."""
+    from plumbline.plans import sheets
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sheets.detected_dimensions(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < plan.count("Exchange hashpartitioning") <= 20
+
+
+def test_groups_of_a_union_are_whole(spark):
+    """Parts of a union that joins have dealt by the same keys: each group comes whole, be the parts read as they may."""
+    ids = spark.range(3000).select(F.lit("d").alias("doc_id"), (F.col("id") % 500).alias("page_number"), F.col("id").alias("v"))
+    some = ids.groupBy("doc_id", "page_number").agg(F.max("v").alias("v"))
+    rows = ids.repartition("doc_id", "page_number").unionAll(some).unionAll(ids.join(some.select("doc_id", "page_number"), ["doc_id", "page_number"]))
+    got = sequence.each_group(rows, ["doc_id", "page_number"], ["v"], lambda held: [(len(held),)], "n int")
+    assert "struct" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.page_number, r.n) for r in got.collect()) == [(i, 13) for i in range(500)]
