@@ -2,9 +2,9 @@
 
 Each name takes the first free place of seven distances and eight directions around the
 middle of its line, longest lines first; where none is free, the least bad one.  What
-stands on a sheet (texts, lines, leaders, names placed before) lies in a grid of cells,
-so a place is tried against its neighbours only, and a sheet takes memory in proportion
-to what it holds.  A choice depends on those before it, so a sheet is one run; sheets
+stands on a sheet (texts, lines, leaders, names placed before) lies in a grid of cells
+once it is more than a few, so a place is tried against its neighbours only, and a sheet
+takes memory in proportion to what it holds.  A choice depends on those before it, so a sheet is one run; sheets
 stream through sorted partitions.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,13 @@ from plumbline.operators import sequence
 #: Distances as multiples of the letters' height, points around a name, the least height of a text in the way, and what is bad about a place.
 RADII, CLEARANCE, LEAST_TEXT, LEAST_STROKE = (1.2, 2.0, 3.0, 4.5, 6.5, 9.0, 13.0), 1.6, 2.0, 0.5
 ON_TEXT, OFF_SHEET, ON_LINE, REACH, REACH_MORE = 40.0, 400.0, 15.0, 0.35, 1.0
+#: Of so many boxes or strokes all are looked at; more lie in cells.
+FEW = 32
 
 Box = tuple[float, float, float, float]
 
 
+@lru_cache(4096)
 def directions(angle: float) -> list[tuple[float, float]]:
     """Beside a line of this angle first, then along it, then between."""
     ux, uy = math.cos(math.radians(angle)), math.sin(math.radians(angle))
@@ -54,6 +58,7 @@ class Sheet:
         self.edge, self.cell = edge, cell
         self.boxes: list[Box] = []
         self.strokes: list[Box] = []
+        self.spreads: list[Box] = []  # the boxes of strokes
         self.box_cells: dict[tuple[int, int], list[int]] = defaultdict(list)
         self.stroke_cells: dict[tuple[int, int], list[int]] = defaultdict(list)
 
@@ -61,23 +66,33 @@ class Sheet:
         return range(math.floor(low / self.cell), math.floor(high / self.cell) + 1)
 
     def add_box(self, box: Box) -> None:
-        for i in self._columns(box[0], box[2]):
-            for j in self._columns(box[1], box[3]):
-                self.box_cells[i, j].append(len(self.boxes))
         self.boxes.append(box)
+        n = len(self.boxes)
+        for k in range(0 if n == FEW + 1 else n - 1, n if n > FEW else 0):
+            x0, y0, x1, y1 = self.boxes[k]
+            for i in self._columns(x0, x1):
+                for j in self._columns(y0, y1):
+                    self.box_cells[i, j].append(k)
 
     def add_stroke(self, ax: float, ay: float, bx: float, by: float) -> None:
-        """In each column of cells, the cells between where the stroke enters and where it leaves."""
         if math.hypot(bx - ax, by - ay) <= LEAST_STROKE:
             return
+        self.strokes.append((ax, ay, bx, by))
+        self.spreads.append((min(ax, bx), min(ay, by), max(ax, bx), max(ay, by)))
+        n = len(self.strokes)
+        for k in range(0 if n == FEW + 1 else n - 1, n if n > FEW else 0):
+            self._cross(k)
+
+    def _cross(self, k: int) -> None:
+        """In each column of cells, the cells between where the stroke enters and where it leaves."""
+        ax, ay, bx, by = self.strokes[k]
         for i in self._columns(min(ax, bx), max(ax, bx)):
             ys = [ay, by]
             if ax != bx:
                 ends = sorted((max(min(ax, bx), i * self.cell), min(max(ax, bx), (i + 1) * self.cell)))
                 ys = [ay + (x - ax) / (bx - ax) * (by - ay) for x in ends]
             for j in self._columns(min(ys) - 1e-6, max(ys) + 1e-6):
-                self.stroke_cells[i, j].append(len(self.strokes))
-        self.strokes.append((ax, ay, bx, by))
+                self.stroke_cells[i, j].append(k)
 
     def _near(self, cells: dict, box: Box) -> set[int]:
         return {k for i in self._columns(box[0], box[2]) for j in self._columns(box[1], box[3]) for k in cells.get((i, j), ())}
@@ -85,11 +100,19 @@ class Sheet:
     def badness(self, box: Box) -> float:
         """0 of a free place; else what it costs."""
         x0, y0, x1, y1 = box[0] - CLEARANCE, box[1] - CLEARANCE, box[2] + CLEARANCE, box[3] + CLEARANCE
-        bad = sum(ON_TEXT for k in self._near(self.box_cells, (x0, y0, x1, y1)) if x1 > self.boxes[k][0] and x0 < self.boxes[k][2] and y1 > self.boxes[k][1] and y0 < self.boxes[k][3])
+        bad = 0.0
+        for a, b, c, d in self.boxes if len(self.boxes) <= FEW else [self.boxes[k] for k in self._near(self.box_cells, (x0, y0, x1, y1))]:
+            if x1 > a and x0 < c and y1 > b and y0 < d:
+                bad += ON_TEXT
         if box[0] < self.edge[0] or box[1] < self.edge[1] or box[2] > self.edge[2] or box[3] > self.edge[3]:
             bad += OFF_SHEET
         x, y, r = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, reach(box)
-        return bad + sum(ON_LINE for k in self._near(self.stroke_cells, (x - r, y - r, x + r, y + r)) if distance(x, y, *self.strokes[k]) <= r)
+        x0, y0, x1, y1 = x - r - 1e-6, y - r - 1e-6, x + r + 1e-6, y + r + 1e-6
+        for k in range(len(self.strokes)) if len(self.strokes) <= FEW else self._near(self.stroke_cells, (x - r, y - r, x + r, y + r)):
+            a, b, c, d = self.spreads[k]
+            if x1 >= a and x0 <= c and y1 >= b and y0 <= d and distance(x, y, *self.strokes[k]) <= r:
+                bad += ON_LINE
+        return bad
 
     def place(self, x: float, y: float, angle: float, width: float, size: float) -> tuple[Box, float, bool]:
         """(box, distance step, forced) of a name around a point; its lower left corner is moved from it."""

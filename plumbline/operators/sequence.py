@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import namedtuple
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,18 @@ def reading_order(y: Column, x: Column, *ties: Column) -> list[Column]:
     return [F.rint(y * 10), x, *ties]
 
 
+def values_of(column: pa.Array) -> list:
+    """A column as Python values; numbers by way of numpy, which takes a tenth of the time."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy().tolist()
+    held = column.is_valid().to_numpy(zero_copy_only=False).tolist()
+    return [v if h else None for v, h in zip(column.fill_null(0).to_numpy().tolist(), held)]
+
+
 def each_group(df: DataFrame, by: list[str], order: list[str], make: Callable[[list], list[tuple]], schema: str) -> DataFrame:
     """``make`` applied to the sorted rows of each group; what it gives follows the group's keys.
 
@@ -39,7 +52,9 @@ def each_row(df: DataFrame, by: list[str], make: Callable[[list], list[tuple]],
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out_schema = StructType.fromDDL(", ".join([*(f"`{c}` {fields[c]}" for c in by), schema]))
     arrow, names = to_arrow_schema(out_schema), df.columns
+    at = slice(names.index(by[0]), names.index(by[0]) + len(by))
     keys = [names.index(c) for c in by]
+    key_of = itemgetter(at) if names[at] == by else lambda r: tuple(r[k] for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, held, last = namedtuple("Row", names, rename=True), [], None
@@ -49,8 +64,8 @@ def each_row(df: DataFrame, by: list[str], make: Callable[[list], list[tuple]],
 
         for batch in batches:
             made: list[tuple] = []
-            for r in map(row._make, zip(*(c.to_pylist() for c in batch.columns))):
-                key = tuple(r[k] for k in keys)
+            for r in map(row._make, zip(*map(values_of, batch.columns))):
+                key = key_of(r)
                 if held and key != last:
                     made += [(*last, *x) for x in make(held)]
                     held = []

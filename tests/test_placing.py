@@ -3,9 +3,10 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
-from plumbline.operators import placing
+from plumbline.operators import placing, sequence
 from plumbline.sources import schemas
 
 LINES = "doc_id string, page_number int, idx int, name string, ax double, ay double, bx double, by double, angle double, length_pt double, leader_end struct<x:double,y:double>"
@@ -84,3 +85,33 @@ def test_crowded_sheet_stays_local():
     s.add_stroke(0.0, 0.0, 1e4, 1e4)
     assert sum(map(len, s.box_cells.values())) < 4 * 10_000 and sum(map(len, s.stroke_cells.values())) <= 3 * 1e4 / 24 + 3
     assert len(s._near(s.box_cells, (500.0, 500.0, 530.0, 510.0))) <= 4
+
+
+def test_few_are_looked_at_without_cells(monkeypatch):
+    """A small sheet makes no cells, a larger one has all in them, and both place names alike."""
+
+    def places(few, crowd):
+        monkeypatch.setattr(placing, "FEW", few)
+        words, lines = sheet(random.Random(crowd), 1, crowd)
+        s = placing.Sheet((0.0, 0.0, 200.0, 140.0), 24.0)
+        for w in words:
+            s.add_box(w[6:10])
+        for r in lines:
+            s.add_stroke(*r[4:8])
+        return s, [s.place((r[4] + r[6]) / 2, (r[5] + r[7]) / 2, r[8], 7.2, 6.0) for r in lines]
+
+    for crowd in (1, 9, 20, 40, 120):
+        assert places(32, crowd)[1] == places(0, crowd)[1] == places(10, crowd)[1]
+    s = places(32, 9)[0]
+    assert not s.box_cells and not s.stroke_cells
+    s = places(32, 40)[0]
+    assert {k for c in s.box_cells.values() for k in c} == set(range(len(s.boxes)))
+
+
+def test_values_of_columns():
+    """As to_pylist, nulls and NaN apart."""
+    for values, kind in (([1, None, 3], pa.int64()), ([1.5, None, math.inf], pa.float64()), ([None, None], pa.float64()), ([2, 1], pa.int32()), (["a", None], pa.string()), ([True, None], pa.bool_()), ([], pa.float64())):
+        got = sequence.values_of(pa.array(values, kind))
+        assert got == values and [type(v) for v in got] == [type(v) for v in values]
+    got = sequence.values_of(pa.array([None, math.nan], pa.float64()))
+    assert got[0] is None and math.isnan(got[1])
