@@ -57,7 +57,8 @@ def resolve(refs: DataFrame, marks: DataFrame, by: list[str], sheets: DataFrame
     names: it counts too), excluded (named there; it still counts if it is also
     included) or unresolved (no such mark: never counted).
 
-    Marks, references and answers are one tagged union, dealt once by sheet.
+    Marks, references and answers are one tagged union, dealt once by sheet, in as many
+    parts as the session has: a few, as small as they are when packed, fill a task's memory.
     """
     null = lambda kind: F.lit(None).cast(kind)
     kind = {c: marks.schema[c].dataType.simpleString() for c in ("value", "ord")}
@@ -72,7 +73,8 @@ def resolve(refs: DataFrame, marks: DataFrame, by: list[str], sheets: DataFrame
         rows = rows.unionAll(part)
     at = lambda name: F.when(F.col("list") == name, F.col("pos"))
     asks = F.col("list") == "sheet" if sheets is not None else F.col("list").isin("included", "excluded")
-    found = rows.repartition(*by).groupBy(*by, "ref").agg(
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(parts, *by).groupBy(*by, "ref").agg(
         F.max("value").alias("value"), F.max("ord").alias("ord"), F.bool_or(F.col("list") == "mark").alias("known"), F.bool_or(asks).alias("asks"),
         F.min(at("included")).alias("inc"), F.min(at("excluded")).alias("exc"), F.min_by("reason", at("excluded")).alias("reason"),
     )

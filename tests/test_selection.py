@@ -176,3 +176,17 @@ def test_calls_stay_where_they_are(spark):
     calls = spark.range(5).selectExpr("'m' as model", "id as prompt", "id as completion", "id as reasoning", "id as cache_write", "id as cache_read")
     plan = cost.with_pricing(calls, tariff(spark, [("m", 1.0, 1.0, 0.0, 0.0, 0.0)]))._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_marks_are_dealt_to_all_parts(spark):
+    """Small packed parts are not put together to a few: what a task sorts and holds is many times as large."""
+    rows = spark.range(400).select((F.col("id") % 200).alias("sheet"), F.concat(F.lit("P"), F.col("id").cast("string")).alias("ref"), "id")
+    marks = rows.select("sheet", F.col("ref").alias("mark_id"), F.lit(1.0).alias("value"), F.col("id").alias("ord"))
+    refs = rows.where("id < 200").select("sheet", F.lit("included").alias("list"), F.lit(0).alias("pos"), "ref", F.lit(None).cast("string").alias("reason"))
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        found = selection.resolve(refs, marks, ["sheet"])
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 12
+        assert sorted((r.outcome, r["count"]) for r in found.groupBy("outcome").count().collect()) == [("included", 200), ("unclassified", 200)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
