@@ -8,7 +8,7 @@ ink bound the content.  Batches of rasters go through numpy.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,13 +48,18 @@ def content_box(pixels: np.ndarray, t: Trim) -> tuple[tuple[int, int, int, int],
         small = small[:h, :w].reshape(h // 2, 2, w // 2, 2, -1).mean(axis=(1, 3))
         factor *= 2
     background = float(small[0, 0].min())
-    ink = small < background - t.noise
-    rows = np.flatnonzero(ink.sum(axis=(1, 2)) >= t.min_ink)
+    limit = background - t.noise
+    if small.dtype == np.uint8:  # bytes are compared as bytes
+        limit = np.uint8(min(max(np.ceil(limit), 0), 255))
+    ink = small < limit
+    flat = ink.reshape(len(ink), -1)
+    rows = np.flatnonzero(flat.any(1) if t.min_ink == 1 else flat.sum(axis=1) >= t.min_ink)
     found = {"background": int(background), "factor": factor, "empty": not len(rows)}
     if not len(rows):
         return (0, 0, width, height), found
     y0, y1 = int(rows[0]), int(rows[-1]) + 1
-    cols = np.flatnonzero(ink[y0:y1].any(axis=2).sum(axis=0) >= t.min_ink)
+    held = flat[y0:y1].any(0) if t.min_ink == 1 else ink[y0:y1].any(axis=2).sum(axis=0)
+    cols = np.flatnonzero(held.reshape(ink.shape[1], -1).any(1) if t.min_ink == 1 else held >= t.min_ink)
     x0, x1 = (int(cols[0]), int(cols[-1]) + 1) if len(cols) else (0, ink.shape[1])
     wider = t.min_run - 1
     box = ((x0 - wider) * factor, (y0 - wider) * factor, (x1 + wider) * factor, (y1 + wider) * factor)
@@ -66,15 +71,17 @@ def expand(box: tuple[int, int, int, int], t: Trim, width: int, height: int) ->
     return (x0, y0, x1, y1) if x1 - x0 >= t.min_side and y1 - y0 >= t.min_side else (0, 0, width, height)
 
 
-def trim_png(pictures: DataFrame, key: list[str], t: Trim = Trim(), data: str = "data", cut: bool = True) -> DataFrame:
+def trim_png(pictures: DataFrame, key: list[str], t: Trim = Trim(), data: str = "data", cut: bool = True, more: Callable[[np.ndarray], tuple] | None = None, added: str = "") -> DataFrame:
     """(key, trimmed, box, background, factor, empty, skipped, area_ratio, error) of PNGs: what ``trim`` gives, and the cut picture.
 
     A picture that stays whole keeps its bytes; one that can't be decoded gives an error;
-    null gives neither.  A task holds one picture at a time.  Without ``cut`` only the facts
-    are found and ``trimmed`` is null.
+    null gives neither.  A task holds one decoded picture at a time.  Without ``cut`` only the
+    facts are found and ``trimmed`` is null.  ``more`` gives further values, the columns
+    ``added``, of the decoded pixels.
     """
     fields = {f.name: f.dataType.simpleString() for f in pictures.schema.fields}
-    schema = StructType.fromDDL(", ".join([*(f"{c} {fields[c]}" for c in key), "trimmed binary, x0 int, y0 int, x1 int, y1 int, background int, factor int, empty boolean, skipped boolean, area_ratio double, error string"]))
+    schema = StructType.fromDDL(", ".join([*(f"{c} {fields[c]}" for c in key), "trimmed binary, x0 int, y0 int, x1 int, y1 int, background int, factor int, empty boolean, skipped boolean, area_ratio double, error string", *[added] * bool(added)]))
+    further = [f.name for f in StructType.fromDDL(added).fields] if added else []
     arrow = to_arrow_schema(schema)
 
     def facts(raw: bytes | None) -> dict:
@@ -88,13 +95,26 @@ def trim_png(pictures: DataFrame, key: list[str], t: Trim = Trim(), data: str =
         box, found = content_box(pixels, t)
         x0, y0, x1, y1 = expand(box, t, width, height)
         whole = (x0, y0, x1, y1) == (0, 0, width, height)
-        return {"trimmed": None if not cut else raw if whole else png.encode(pixels[y0:y1, x0:x1]), "x0": x0, "y0": y0, "x1": x1, "y1": y1, **found, "skipped": whole, "area_ratio": (x1 - x0) * (y1 - y0) / (width * height)}
+        also = dict(zip(further, more(pixels))) if more else {}
+        return also | {"trimmed": None if not cut else raw if whole else png.encode(pixels[y0:y1, x0:x1]), "x0": x0, "y0": y0, "x1": x1, "y1": y1, **found, "skipped": whole, "area_ratio": (x1 - x0) * (y1 - y0) / (width * height)}
+
+    known = png.Known()  # equal pictures are looked at once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                own = {c: batch.column(k)[i].as_py() for k, c in enumerate(key)}
-                yield pa.RecordBatch.from_pylist([own | facts(batch.column(len(key))[i].as_py())], schema=arrow)
+            made, size = [], 0
+            for own, raw in zip(zip(*(batch.column(k).to_pylist() for k in range(len(key)))), batch.column(len(key))):
+                raw = raw.as_py()
+                found = known.get((raw,))
+                if found is None:
+                    found = known[raw,] = facts(raw)
+                made.append(dict(zip(key, own)) | found)
+                size += len(made[-1].get("trimmed") or b"")
+                if size > png.HELD:
+                    yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                    made, size = [], 0
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return pictures.select(*key, data).mapInArrow(run, schema)
 

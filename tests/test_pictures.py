@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +226,62 @@ def test_equal_rows_are_filtered_once(monkeypatch):
     monkeypatch.setattr(png, "filtered", lambda p, *a: seen.append(len(p)) or plain(p, *a))
     assert (png.decode(png.encode(pixels)) == pixels).all()
     assert max(seen) < 10
+
+
+def test_boxes_are_filled_as_other_shapes(monkeypatch):
+    """Boxes with level sides give the pixels that crossings of their edges give."""
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        x0, y0 = rng.uniform(-8, 40, 2).round(int(rng.integers(0, 3)))
+        x1, y1 = (x0, y0) + rng.uniform(0, 30, 2).round(int(rng.integers(0, 3)))
+        ring = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])[:: rng.choice((1, -1))]
+        old = rng.integers(0, 256, (33, 37, 3), dtype=np.uint8)
+        color, alpha = rng.uniform(0, 1, 3), float(rng.choice((1.0, 0.4)))
+        fast, slow = old.copy(), old.copy()
+        raster.paint(fast, [ring], color, alpha)
+        with monkeypatch.context() as m:
+            m.setattr(raster, "upright", lambda r: None)
+            raster.paint(slow, [ring], color, alpha)
+        assert (fast == slow).all()
+
+
+def test_rows_of_paeth_under_equal_pixels():
+    """Stretches under equal pixels are sums, and give what the bytes give one by one."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        above = np.repeat(rng.integers(0, 256, (3, 3), dtype=np.uint8), 40, axis=0)
+        rest = rng.integers(0, 256, above.shape, dtype=np.uint8)
+        assert (png._row(4, rest, above) == plain_unfilter([0, 4], np.stack([above, rest]))[1]).all()
+        rest[rng.random(120) < 0.9] = 0
+        rows = np.stack([above, rest, rest, rest])
+        assert (png._by_rows(np.array([0, 4, 2, 2], np.uint8), rows) == plain_unfilter([0, 4, 2, 2], rows)).all()
+
+
+def test_pictures_leave_render_many_at_once(spark):
+    """Small pictures go on in common batches, equal ones are drawn once, and one decode gives all that is asked of a picture."""
+    from plumbline.plans import pages
+
+    shape = "z bigint, contours array<array<double>>, text string, x double, y double, size double, color array<double>, alpha double"
+    box = lambda x: [[x, 10.0, x + 110, 10.0, x + 110, 120.0, x, 120.0]]
+    pictures = spark.createDataFrame([(i, blank(200, 160)) for i in range(40)] + [(40, b"x"), (41, None), (42, blank(200, 160))], "k int, data binary").coalesce(1)
+    shapes = spark.createDataFrame([(i, 1, box(20.0 + i % 3), None, None, None, None, [1.0, 0.0, 0.0], 1.0) for i in range(42)], f"k int, {shape}")
+    drawn = overlay.render(pictures, shapes, ["k"])
+    got = {r.k: r for r in trim.trim_png(drawn, ["k"], cut=False, more=pages._shares, added="red long, blue long").collect()}
+    assert sorted(got) == list(range(43)) and all((got[i].red, got[i].blue, got[i].x0, got[i].x1) == (110 * 110, 0, 19 + i % 3, 131 + i % 3) for i in range(40))
+    assert got[40].red is None and got[41].red is None and (got[42].red, got[42].empty) == (0, True)
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+
+    n = sum(r.n > 1 for r in drawn.mapInArrow(sizes, "n long").collect())
+    assert n >= 1
+
+
+def test_known_pictures_are_bounded(monkeypatch):
+    monkeypatch.setattr(png, "HELD", 10_000)
+    known = png.Known()
+    for i in range(100):
+        known[(bytes(900), i)] = {"trimmed": bytes(100)}
+        assert known.size <= 10_000 and len(known) <= 10
+    known[(bytes(20_000),)] = b""
+    assert (bytes(20_000),) not in known and (bytes(900), 99) in known
