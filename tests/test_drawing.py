@@ -287,3 +287,57 @@ def test_groups_of_a_union_are_whole(spark):
     got = sequence.each_group(rows, ["doc_id", "page_number"], ["v"], lambda held: [(len(held),)], "n int")
     assert "struct" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.page_number, r.n) for r in got.collect()) == [(i, 13) for i in range(500)]
+
+
+def test_arrows_of_many_sheets_at_once(spark, monkeypatch):
+    """Strokes with arrows by numpy over blocks of sheets are those of the joins; sheets are cut by batches anywhere."""
+    from plumbline.operators import arrows
+
+    rng = random.Random(8)
+    item = "array<struct<kind:string,x0:double,y0:double,x1:double,y1:double>>"
+    paths = []
+    for page in range(12):
+        spots = [(rng.choice((0.0, 20.0, 40.0)), rng.choice((0.0, 15.0, 30.0))) for _ in range(5)]
+        for k in range(rng.choice((1, 9, 30))):
+            (x, y), (u, v) = rng.choice(spots), rng.choice(spots)
+            width, kind = rng.choice((0.5, 0.5, 0.9, None)), rng.choice(("l", "l", "re", "c"))
+            head = [("l", x, y, x + 4, y + 1), ("l", x + 4, y + 1, x + 4, y - 1), ("l", x + 4, y - 1, x, y)]
+            if rng.random() < 0.4:
+                paths.append(("d", page, k, [0.0], 0.0, head if rng.random() < 0.8 else head[:2]))
+            else:
+                paths.append(("d", page, k, rng.choice((None, [])), width, rng.choice(([(kind, x, y, u, v)], [(kind, x, y, u, v), ("l", u, v, (x + u) / 2, (y + v) / 2)], [], None, [("l", x, y, None, v)]))))
+    for k, (x, y) in enumerate([(0.0, 0.0), (40.0, 0.0), (20.0, 0.0)]):
+        paths.append(("d", 12, k, [0.0], 0.0, [("l", x, y, x + 4, y + 1), ("l", x + 4, y + 1, x + 4, y - 1), ("l", x + 4, y - 1, x, y)]))
+    paths += [("d", 12, 5, [], 0.5, [("l", 20.0, 15.0, 20.0, 0.0), ("l", 0.0, 0.0, 40.0, 0.0)])]
+    df = spark.createDataFrame(paths, f"doc_id string, page_number int, path_id long, fill array<double>, stroke_width double, items {item}")
+    values = {"width": 0.5, "width_tol": 0.05, "min_length": 12.0, "leader_min_length": 8.0, "arrow_gap": 0.2, "leader_anchor_gap": 2.5, "arrow_max_area": 30.0}
+    limits = df.where("page_number <> 3").select("doc_id", "page_number").distinct().select("*", *(F.lit(v).alias(c) for c, v in values.items()))
+    tips = polygons.path_tips(df.where(drawing.is_filled()), drawing.SHEET, drawing.strokes_of("items")).where("area <= 30")
+    thin = drawing.strokes(df.where(~drawing.is_filled())).where("abs(stroke_width - 0.5) <= 0.05")
+    spans, leaders = drawing.arrowed(thin, tips, limits)
+    leaders = drawing.anchored(leaders, spans, limits)
+    want = sorted([("span", r.page_number, r.path_id, r.ord, r.n, r.ax, r.ay, r.bx, r.by, None) for r in spans.collect()] + [("leader", r.page_number, None, None, r.n, r.ax, r.ay, r.bx, r.by, r.anchor) for r in leaders.collect()], key=str)
+    assert {w[0] for w in want} == {"span", "leader"} and any(w[9] for w in want)
+    for batch, pairs in (("10000", 1 << 19), ("3", 2)):
+        monkeypatch.setattr(arrows, "PAIRS", pairs)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            rows = arrows.arrowed(df.repartition(3), limits, drawing.SHEET, drawing.is_filled(), 2).select("*", F.inline("strokes")).drop("strokes").collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        got = sorted([(r.kind, r.page_number, *((r.path_id, r.ord) if r.kind == "span" else (None, None)), r.n, r.ax, r.ay, r.bx, r.by, r.anchor) for r in rows], key=str)
+        assert got == want
+
+
+def test_parts_of_pairs_are_all_pairs(monkeypatch):
+    import numpy as np
+
+    from plumbline.operators import arrows
+
+    rng = np.random.default_rng(2)
+    for most in (1, 4, 1000):
+        monkeypatch.setattr(arrows, "PAIRS", most)
+        count, first = rng.integers(0, 6, 30), rng.integers(0, 50, 30)
+        got = [(int(a), int(b)) for i, j in arrows._pairs(first, count) for a, b in zip(i, j)]
+        assert got == [(i, int(first[i]) + k) for i in range(30) for k in range(count[i])]
+        assert all(len(i) <= max(most, 5) for i, _ in arrows._pairs(first, count))
