@@ -1,20 +1,18 @@
 """Strokes with arrow tips at their ends, in numpy, for many sheets at once.
 
-Rows of paths come sorted by sheet, after one row with the sheet's limits; blocks of
-whole sheets become flat arrays of strokes and tips.  Strokes meet the tips of their own
+Rows of paths come sheet by sheet, the first with the sheet's limits; blocks of whole
+sheets become flat arrays of strokes and tips.  Strokes meet the tips of their own
 sheet only, ``PAIRS`` at a time.  A stroke without finite ends has no arrows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -109,8 +107,10 @@ def _pairs(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, n
 def _found(batch: pa.RecordBatch, starts: np.ndarray, keys: int, path_type: pa.DataType) -> pa.RecordBatch | None:
     """A row for each sheet that has arrows, with their list."""
     col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-    own = col["__of"].to_numpy(zero_copy_only=False) == 0
-    sheet = np.repeat(np.arange(len(starts)), np.diff([*starts, batch.num_rows]))
+    place, sheet = col["__n"].to_numpy(), np.repeat(np.arange(len(starts)), np.diff([*starts, batch.num_rows]))
+    if ((sheet[1:] == sheet[:-1]) & (place[1:] < place[:-1])).any():  # a join may give a sheet's rows in any order
+        return _found(batch.take(pa.array(np.lexsort((place, sheet)))), starts, keys, path_type)
+    own = place == 1
     limit = np.full((len(LIMITS), len(starts)), np.nan)  # of sheets without limits nothing is found
     limit[:, sheet[own]] = floats(col["limits"].flatten()).reshape(-1, len(LIMITS)).T
     limit = dict(zip(LIMITS, limit))
@@ -166,20 +166,21 @@ def _found(batch: pa.RecordBatch, starts: np.ndarray, keys: int, path_type: pa.D
     return pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:keys]), listed], [*batch.schema.names[:keys], "strokes"])
 
 
-def arrowed(paths: DataFrame, limits: DataFrame, by: list[str], filled: Column, parts: int) -> DataFrame:
+def arrowed(paths: DataFrame, limits: DataFrame, by: list[str], filled: Column) -> DataFrame:
     """(sheet, strokes): of each sheet its spans, strokes with an arrow of their own at both ends, and leaders, with one at exactly one end.
 
     A stroke has kind, path_id, ord, n (its number among those of its kind, as drawn), its
     ends (a leader goes from its tip to its tail), length_pt, stroke_width and anchor (of a
     leader the n of the first span in whose middle it points).  Leaders come first.
-    ``limits`` has a row for each sheet, which comes before the sheet's paths.
+    ``limits`` has a row for each sheet.
+
+    The window that numbers paths brings each sheet whole and sorted to one task, without a
+    shuffle where its rows are there; a join with one row for each sheet leaves its rows
+    together, whichever side it streams.
     """
     fields = {f.name: f.dataType.simpleString() for f in paths.schema.fields}
-    null = lambda c, t: F.lit(None).cast(t).alias(c)
-    drawn = paths.select(*by, F.lit(1).alias("__of"), "path_id", filled.alias("filled"), F.coalesce(F.col("stroke_width").cast("double"), F.lit(0.0)).alias("stroke_width"), "items", null("limits", "array<double>"))
-    own = limits.select(*by, F.lit(0).alias("__of"), null("path_id", fields["path_id"]), null("filled", "boolean"), null("stroke_width", "double"), null("items", fields["items"]), F.array(*LIMITS).alias("limits"))
-    known = [F.col(c).isNotNull() for c in by]  # a sheet has a key, as in joins
-    rows = own.where(reduce(and_, known)).unionAll(drawn.where(reduce(and_, known))).repartition(parts, F.struct(*by)).sortWithinPartitions(*by, "__of", "path_id")
+    drawn = paths.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy("path_id")).alias("__n"), "path_id", filled.alias("filled"), F.coalesce(F.col("stroke_width").cast("double"), F.lit(0.0)).alias("stroke_width"), "items")
+    rows = drawn.join(limits.select(*by, *LIMITS), by).select(*by, "__n", "path_id", "filled", "stroke_width", "items", F.when(F.col("__n") == 1, F.array(*LIMITS)).alias("limits"))
     schema = StructType.fromDDL(", ".join([*(f"`{c}` {fields[c]}" for c in by), f"strokes array<struct<kind:string,path_id:{fields['path_id']},ord:int,n:int,ax:double,ay:double,bx:double,by:double,length_pt:double,stroke_width:double,anchor:int>>"]))
     path_type, keys = to_arrow_schema(paths.select("path_id").schema).field(0).type, len(by)
 

@@ -3,8 +3,8 @@
 Stages are DataFrames keyed by sheet: scale, limits, strokes, contours, numbers,
 arrow tips, spans, leaders.  Only the last, the one-to-one attachment of numbers,
 depends on the order of its own choices and takes a sheet's rows as one group.
-Paths move to their sheet before they are cut into strokes, and meet their tips there
-(``arrows``); words move once.  Joins have the sheet as their whole key and find short
+Paths and words move once, to their sheet, before they are cut into strokes; strokes
+meet their tips there, in numpy (``arrows``).  Joins have the sheet as their whole key and find short
 lists (numbers, strokes, frames).
 
 Inputs (see README): sheets, paths, words and spans, with ``doc_id`` and
@@ -314,7 +314,7 @@ def detect(sheets: DataFrame, paths: DataFrame, words: DataFrame, spans: DataFra
     lim = scale.select(*SHEET, "scale", "scale_source", *scaled_limits(F.col("scale"), limits))
     # In so many parts as the session has: small tables as they are when packed, lists and sorts take many times that.
     parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = words.repartition(parts, *SHEET)
+    paths, words = paths.repartition(parts, *SHEET), words.repartition(parts, *SHEET)
     tipped = polygons.path_tips(paths.where(is_filled()), SHEET, strokes_of("items")).groupBy(*SHEET).agg(F.collect_list(F.struct("path_id", "area", "x", "y")).alias("tips"))
     tipped = lim.select(*SHEET, "arrow_max_area").join(tipped, SHEET, "left").select(*SHEET, F.filter("tips", lambda t: t.area <= F.col("arrow_max_area")).alias("tips"))
     tips = tipped.select(*SHEET, F.inline("tips"))
@@ -331,7 +331,7 @@ def detect(sheets: DataFrame, paths: DataFrame, words: DataFrame, spans: DataFra
     line_order = Window.partitionBy(*SHEET).orderBy("block_no", "line_no", "x0", "word_no")
     marks = numbers.where("verdict = 'ok'").withColumn("n", F.row_number().over(line_order))
 
-    drawn = arrows.arrowed(paths, lim, SHEET, is_filled(), parts)
+    drawn = arrows.arrowed(paths, lim, SHEET, is_filled())
     strokes_ = drawn.select(*SHEET, F.inline("strokes"))
     spans_, leaders = strokes_.where("kind = 'span'"), strokes_.where("kind = 'leader'")
 

@@ -318,13 +318,15 @@ def test_arrows_of_many_sheets_at_once(spark, monkeypatch):
     leaders = drawing.anchored(leaders, spans, limits)
     want = sorted([("span", r.page_number, r.path_id, r.ord, r.n, r.ax, r.ay, r.bx, r.by, None) for r in spans.collect()] + [("leader", r.page_number, None, None, r.n, r.ax, r.ay, r.bx, r.by, r.anchor) for r in leaders.collect()], key=str)
     assert {w[0] for w in want} == {"span", "leader"} and any(w[9] for w in want)
-    for batch, pairs in (("10000", 1 << 19), ("3", 2)):
+    for batch, pairs, join in (("10000", 1 << 19, "-1"), ("3", 2, "-1"), ("5", 7, "10MB")):
         monkeypatch.setattr(arrows, "PAIRS", pairs)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", join)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         try:
-            rows = arrows.arrowed(df.repartition(3), limits, drawing.SHEET, drawing.is_filled(), 2).select("*", F.inline("strokes")).drop("strokes").collect()
+            rows = arrows.arrowed(df.repartition(3), limits, drawing.SHEET, drawing.is_filled()).select("*", F.inline("strokes")).drop("strokes").collect()
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         got = sorted([(r.kind, r.page_number, *((r.path_id, r.ord) if r.kind == "span" else (None, None)), r.n, r.ax, r.ay, r.bx, r.by, r.anchor) for r in rows], key=str)
         assert got == want
 
