@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import urllib.parse
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
